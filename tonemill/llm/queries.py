@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, licences, secrets, sql, wordpiece
+from . import bpe, chat, decontaminate, jaccard, licences, secrets, sql, wordpiece
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -42,6 +42,11 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest_columns(secrets.scan_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"]))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose word shingles overlap by four fifths."""
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences declared in every document."""
     found = licences.scan_licences(table(spark, sf_dir, "documents"), keep=["doc_id"])
@@ -57,6 +62,6 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op4_chat_format, op5_secret_scan, op7_licence_scan, op8_token_counts)
+    f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op4_chat_format, op5_secret_scan, op6_jaccard_join, op7_licence_scan, op8_token_counts)
 }
 ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL

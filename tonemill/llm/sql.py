@@ -44,4 +44,16 @@ SELECT own.conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, le
 FROM own LEFT JOIN again ON again.conv_id = own.conv_id LEFT JOIN sys ON sys.conv_id = own.conv_id
 """
 
-ORACLE_SQL = {"op1_decontaminate": OP1, "op4_chat_format": OP4}
+OP6 = rf"""
+WITH RECURSIVE doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_AZ}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                 ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM doc),
+size AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS o FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN size x ON x.doc_id = a JOIN size y ON y.doc_id = b WHERE 100 * o >= 80 * (x.n + y.n - o)),
+reach AS (SELECT doc_id, doc_id AS c FROM doc UNION SELECT link.b, reach.c FROM reach JOIN link ON link.a = reach.doc_id)
+SELECT doc.doc_id, coalesce(any_value(size.n), 0)::BIGINT AS n_shingles, min(c)::BIGINT AS component_id
+FROM doc LEFT JOIN size USING (doc_id) JOIN reach ON reach.doc_id = doc.doc_id GROUP BY doc.doc_id
+"""
+
+ORACLE_SQL = {"op1_decontaminate": OP1, "op4_chat_format": OP4, "op6_jaccard_join": OP6}
