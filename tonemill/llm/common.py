@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,7 +73,7 @@ def sliced(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
         if n:
             yield batch
         return
-    lengths = pa.compute.fill_null(pa.compute.binary_length(column), 0).to_pylist()
+    lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     for i, size in enumerate(lengths):
         if held and held + size > SLICE_BYTES:
             yield batch.slice(start, i - start)
