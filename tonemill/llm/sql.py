@@ -56,4 +56,14 @@ SELECT doc.doc_id, coalesce(any_value(size.n), 0)::BIGINT AS n_shingles, min(c):
 FROM doc LEFT JOIN size USING (doc_id) JOIN reach ON reach.doc_id = doc.doc_id GROUP BY doc.doc_id
 """
 
-ORACLE_SQL = {"op1_decontaminate": OP1, "op4_chat_format": OP4, "op6_jaccard_join": OP6}
+OP10 = """
+WITH RECURSIVE fine AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+unit AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) AS v FROM fine),
+link AS (SELECT p.vec_id AS a, q.vec_id AS b FROM unit p JOIN unit q ON p.vec_id <> q.vec_id AND list_dot_product(p.v, q.v) >= 0.95),
+reach AS (SELECT vec_id, vec_id AS c FROM embeddings UNION SELECT link.b, reach.c FROM reach JOIN link ON link.a = reach.vec_id),
+least AS (SELECT vec_id, min(c) AS c FROM reach GROUP BY vec_id), n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT least.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c::BIGINT AS component_id, c = least.vec_id AS kept FROM least LEFT JOIN n ON n.a = least.vec_id
+"""
+
+ORACLE_SQL = {"op1_decontaminate": OP1, "op4_chat_format": OP4, "op6_jaccard_join": OP6, "op10_embedding_dedup": OP10}
