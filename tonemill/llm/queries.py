@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, licences, neighbours, secrets, sql, wordpiece
+from . import bpe, chat, decontaminate, jaccard, licences, neighbours, pii, secrets, sql, wordpiece
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -61,12 +61,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wordpiece.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), keep=["doc_id"])
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.digest_columns(pii.find_pii(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings at cosine 0.95."""
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op4_chat_format, op5_secret_scan, op6_jaccard_join, op7_licence_scan, op8_token_counts, op10_embedding_dedup)
+    f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op4_chat_format, op5_secret_scan, op6_jaccard_join, op7_licence_scan, op8_token_counts, op9_pii, op10_embedding_dedup)
 }
 ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL
