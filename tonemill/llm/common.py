@@ -65,17 +65,25 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def sliced(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
-    """Parts of ``batch`` whose column ``text`` holds about SLICE_BYTES each, one row at least."""
+def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
+    """``df``, with the session's Arrow batches cut to at most ``rows`` rows: long texts would fill a worker otherwise."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
+def sliced(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of ``batch`` whose column ``text`` holds about ``limit`` bytes each, one row at least."""
     n, start, held = batch.num_rows, 0, 0
     column = batch.column(text)
-    if column.nbytes <= SLICE_BYTES:
+    if column.nbytes <= limit:
         if n:
             yield batch
         return
     lengths = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     for i, size in enumerate(lengths):
-        if held and held + size > SLICE_BYTES:
+        if held and held + size > limit:
             yield batch.slice(start, i - start)
             start, held = i, 0
         held += size
@@ -106,4 +114,4 @@ def map_text(df: DataFrame, text_col: str, added: dict[str, T.DataType], make: C
                 arrays += [pa.array(v, type=out_schema.field(width + i).type) for i, v in enumerate(columns)]
                 yield pa.RecordBatch.from_arrays(arrays, names=out_schema.names)
 
-    return source.mapInArrow(run, schema)
+    return bounded_batches(source).mapInArrow(run, schema)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, licences, neighbours, pii, secrets, sql, wordpiece
+from . import bpe, chat, decontaminate, jaccard, licences, neighbours, pii, quality, secrets, sql, wordpiece
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_columns(coded)
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Perplexity of every document and whether it is kept."""
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "lang", "n_bytes", F.round("perplexity", 4).alias("perplexity"), F.col("keep").alias("kept"))
+
+
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one that quotes control strings, formatted and read back."""
     said = "\\### Assistant: </turn> ok"
@@ -72,6 +78,6 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op4_chat_format, op5_secret_scan, op6_jaccard_join, op7_licence_scan, op8_token_counts, op9_pii, op10_embedding_dedup)
+    f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op3_quality_classifier, op4_chat_format, op5_secret_scan, op6_jaccard_join, op7_licence_scan, op8_token_counts, op9_pii, op10_embedding_dedup)
 }
 ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL
