@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_AZ, settle, sliced, small
+from .common import LOWER_AZ, bounded_batches, settle, sliced, small
 from .components import components
 
 WORDS, AT_LEAST, OUT_OF = 5, 4, 5
@@ -37,7 +37,9 @@ FRAGMENTS = 8
 #: The most frequent shingles that are known as such on every worker (bounded: 16 bytes each).
 FREQUENT, FREQUENT_FROM = 300_000, 4
 #: Shingles gathered by a worker before it counts those that repeat.
-STRETCH = 4_000_000
+STRETCH = 2_000_000
+#: Bytes of text that are hashed at once.
+AT_ONCE = 2 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -163,7 +165,7 @@ def set_summaries(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
             return pa.RecordBatch.from_arrays([pa.array(np.ones(k, dtype=bool)), pa.nulls(k, out.field(1).type), pa.array(counts[more]), pa.array(_signed(values[more])), pa.nulls(k, pa.int64())], schema=out)
 
         for whole in batches:
-            for batch in sliced(whole, 1):
+            for batch in sliced(whole, 1, AT_ONCE):
                 sets = shingle_sets(batch.column(1).to_pylist(), width)
                 digests = [set_digest(s) for s in sets]
                 k = len(sets)
@@ -176,7 +178,7 @@ def set_summaries(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
         if size:
             yield counted()
 
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
+    return bounded_batches(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(run, schema)
 
 
 def frequent_shingles(summaries: DataFrame) -> Order:
@@ -195,7 +197,7 @@ def prefixes(docs: DataFrame, order, width: int) -> DataFrame:
 
         out, glob = to_arrow_schema(schema), order.value
         for whole in batches:
-            for batch in sliced(whole, 1):
+            for batch in sliced(whole, 1, AT_ONCE):
                 keep, parts = [], []
                 for i, (s, one, two) in enumerate(zip(shingle_sets(batch.column(1).to_pylist(), width), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                     if len(s) and (one is None or set_digest(s) == (one, two)):
@@ -221,7 +223,7 @@ def fragments(docs: DataFrame, order, width: int) -> DataFrame:
         out, glob = to_arrow_schema(schema), order.value
         shift = np.uint64(64 - FRAGMENTS.bit_length() + 1)
         for whole in batches:
-            for batch in sliced(whole, 1):
+            for batch in sliced(whole, 1, AT_ONCE):
                 rows, f, parts = [], [], []
                 for i, (s, one, two) in enumerate(zip(shingle_sets(batch.column(1).to_pylist(), width), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                     if not len(s) or (one is not None and set_digest(s) != (one, two)):
