@@ -14,7 +14,7 @@ MISSING = ".404"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of stored pages as (key, html): files named by cache key; empty marks of missing pages have a null html."""
+    """A folder of stored pages as (key, html): files named by cache key; marks of missing pages have a null html (Spark passes over files without a byte, so an empty mark is as no mark)."""
     files = spark.read.format("binaryFile").load(path)
     name = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
     gone = name.endswith(MISSING)
