@@ -269,7 +269,10 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     order = sc.broadcast(frequent_shingles(summaries))
     sets = summaries.where("NOT is_count")
     one = sets.where("id IS NOT NULL AND n > 0").groupBy("id").agg(F.min(F.struct("s1", "s2", "n")).alias("s")).select("id", "s.*")
-    member = settle(one.join(one.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep")), ["s1", "s2", "n"]), "jaccard-classes")
+    # Classes of more than one; a third of all rows may be one class, so its rows aren't gathered by a key where that can be helped.
+    shared = one.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k")
+    shared = small(settle(shared, "jaccard-shared"))
+    member = settle(one.join(shared, ["s1", "s2", "n"], "left").withColumn("rep", F.coalesce("rep", "id")), "jaccard-classes")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     # Copies are few beside the documents: they go by an anti-join that can be a broadcast, and the digests stay in step.
     copies = small(member.where("id <> rep").select(F.col("id").alias("copy")))

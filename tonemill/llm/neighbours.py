@@ -2,11 +2,11 @@
 
 Vectors are scaled to length one and halved. Each half has a codebook of its own (k-means on a bounded sample of
 FIT_VECTORS vectors; the number of words grows with the square root of the table), and every vector lies in the cell
-that its two nearest words name. A query walks the grid's cells in the order of the summed distances of its halves to
-the words (multi-sequence traversal: a heap that holds the next word of either half) and stops by a bound, not by a
-count: a linked vector's halves differ from the query's by at most 2 - 2 * cosine in summed squares, and a cell
-whose words lie farther away than its members' largest distance allows can't hold one. So recall is whole for any
-codebook. Every candidate of a visited cell is verified by its cosine in double precision.
+that its two nearest words name. A query walks the grid's cells in the order of the summed squared distances of its
+halves to the words (multi-sequence traversal: a heap that holds the next word of either half) until the target recall:
+how far beyond the query's own cell it must go is measured on neighbours that are made for the sample's vectors, their
+cosines spread evenly from the link's least cosine to one, so that TARGET_RECALL of them lie in a visited cell. Every
+candidate of a visited cell is verified by its cosine in double precision, so no link found is false.
 
 Cells are cut into blocks of BLOCK vectors, and a query meets a block's vectors at once as a matrix product; a block
 gives back link counts and the edges of a spanning forest, never its pairs, so a group of near copies costs rows in
@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from .common import bounded_batches, settle
 from .components import components
 
 COSINE = 0.95
 FIT_VECTORS, FIT_ROUNDS = 20_000, 8
-WORDS_FEWEST, WORDS_MOST = 16, 512
+WORDS_FEWEST, WORDS_MOST = 4, 512
+TARGET_RECALL, MADE_NEIGHBOURS = 0.995, 4000
 #: Vectors of one cell that one task holds together, and queries it multiplies at once.
 BLOCK, QUERIES = 2048, 2048
 
@@ -59,35 +60,22 @@ def distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares, 0))
 
 
-def gaps(d: np.ndarray, radii: np.ndarray, between: np.ndarray) -> np.ndarray:
-    """Lower bounds of the distance from each query to any member of each word.
+def traverse(first: np.ndarray, second: np.ndarray, cells: np.ndarray, margin: float):
+    """Cells with members (as i * words + j), nearest first, up to ``margin`` beyond the nearest words' summed squares.
 
-    By the triangle inequality (the word's distance less its largest member distance), and as members lie on their
-    word's side of the plane midway between it and the query's own word.
+    ``first``, ``second``: the query's squared distances to the words of either half.
     """
-    own = d.argmin(axis=1)
-    apart = between[own]
-    plane = (d * d - (d.min(axis=1) ** 2)[:, None]) / np.where(apart > 0, 2 * apart, np.inf)
-    return np.maximum(np.maximum(d - radii[None], plane), 0.0)
-
-
-def traverse(first: np.ndarray, second: np.ndarray, gap1: np.ndarray, gap2: np.ndarray, cells: np.ndarray, reach: float):
-    """Cells (as i * words + j) that can hold a point within ``reach`` of the query, nearest first.
-
-    ``first``, ``second``: the query's distances to the words of either half; ``gap1``, ``gap2``: lower bounds of its
-    distances to their members; ``cells``: whether a cell has members. Words that alone are too far are never queued.
-    """
-    one, two = np.flatnonzero(gap1 <= reach), np.flatnonzero(gap2 <= reach)
+    least = first.min() + second.min()
+    one, two = np.flatnonzero(first + second.min() <= least + margin), np.flatnonzero(second + first.min() <= least + margin)
     one, two = one[np.argsort(first[one], kind="stable")].tolist(), two[np.argsort(second[two], kind="stable")].tolist()
-    if not one or not two:
-        return
-    near = (first[one] ** 2).tolist(), (second[two] ** 2).tolist()
+    near = first[one].tolist(), second[two].tolist()
     heap, seen = [(near[0][0] + near[1][0], 0, 0)], {(0, 0)}
     while heap:
-        _, a, b = heapq.heappop(heap)
-        i, j = one[a], two[b]
-        if cells[i, j] and gap1[i] ** 2 + gap2[j] ** 2 <= reach * reach:
-            yield i * cells.shape[1] + j
+        cost, a, b = heapq.heappop(heap)
+        if cost > least + margin:
+            return
+        if cells[one[a], two[b]]:
+            yield one[a] * cells.shape[1] + two[b]
         for x, y in ((a + 1, b), (a, b + 1)):
             if x < len(one) and y < len(two) and (x, y) not in seen:
                 seen.add((x, y))
@@ -101,19 +89,31 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 class Index:
-    """Codebooks, radii, and which cells have members."""
+    """Codebooks, the traversal's margin, and which cells have members."""
 
     def __init__(self, one: np.ndarray, two: np.ndarray):
         self.one, self.two = one, two
-        self.between = (distances(one, one), distances(two, two))
-        self.radii = (np.zeros(len(one)), np.zeros(len(two)))
         self.cells = np.zeros((len(one), len(two)), dtype=bool)
+        self.margin = 0.0
 
     def halves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Distances of both halves to their words."""
         h = x.shape[1] // 2
         return distances(x[:, :h], self.one), distances(x[:, h:], self.two)
 
+    def measure(self, x: np.ndarray, cosine: float, recall: float = TARGET_RECALL, seed: int = 3) -> None:
+        """Set the margin at which this share of made neighbours of ``x`` lies in visited cells."""
+        rng = np.random.default_rng(seed)
+        x = x[rng.choice(len(x), MADE_NEIGHBOURS)]
+        c = rng.uniform(cosine, 1, len(x))[:, None]
+        away = rng.normal(size=x.shape)
+        away -= (away * x).sum(1)[:, None] * x
+        away /= np.maximum(np.linalg.norm(away, axis=1), 1e-12)[:, None]
+        made = c * x + np.sqrt(1 - c * c) * away
+        (one, two), (i, j), at = self.halves(x), (d.argmin(1) for d in self.halves(made)), np.arange(len(x))
+        beyond = one[at, i] ** 2 + two[at, j] ** 2 - one.min(1) ** 2 - two.min(1) ** 2
+        self.margin = float(np.quantile(beyond, recall)) + 1e-9
+
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v): vectors of length one, one row per id."""
@@ -144,32 +144,30 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     # The codebooks fit on a bounded sample; what they are changes the work, not the result.
     share = min(1.0, 1.2 * FIT_VECTORS / total)
     sample = np.array([r.v for r in (every.sample(share, 11) if share < 1 else every).limit(FIT_VECTORS).select("v").collect()] or [every.first().v])
-    words = int(min(WORDS_MOST, max(WORDS_FEWEST, np.sqrt(total) / 2)))
+    words = int(min(WORDS_MOST, max(WORDS_FEWEST, np.sqrt(total) / 4)))
     index = Index(kmeans(sample[:, : dim // 2], words), kmeans(sample[:, dim // 2 :], words))
+    index.measure(sample, cosine)
     wide = index.cells.shape[1]
     book = spark.sparkContext.broadcast(index)
 
     id_type = every.schema["id"].dataType
-    assigned_schema = T.StructType([T.StructField("id", id_type), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("d1", T.DoubleType()), T.StructField("d2", T.DoubleType()), T.StructField("m", T.LongType())])
+    assigned_schema = T.StructType([T.StructField("id", id_type), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("m", T.LongType())])
 
     def assign(batches):
         for batch in batches:
             if batch.num_rows:
                 one, two = book.value.halves(_matrix(batch.column(1)))
                 i, j = one.argmin(1), two.argmin(1)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), pa.array(one.min(1)), pa.array(two.min(1)), batch.column(2)], names=[f.name for f in assigned_schema])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), batch.column(2)], names=[f.name for f in assigned_schema])
 
-    assigned = settle(every.select("id", "v", "m").mapInArrow(assign, assigned_schema), "neighbours-cells")
+    assigned = settle(bounded_batches(every.select("id", "v", "m")).mapInArrow(assign, assigned_schema), "neighbours-cells")
     # At most WORDS_MOST squared cells, so this is bounded.
-    for row in assigned.groupBy("i", "j").agg(F.max("d1").alias("d1"), F.max("d2").alias("d2"), F.count("*").alias("n")).collect():
+    for row in assigned.select("i", "j").distinct().collect():
         index.cells[row.i, row.j] = True
-        index.radii[0][row.i] = max(index.radii[0][row.i], row.d1)
-        index.radii[1][row.j] = max(index.radii[1][row.j], row.d2)
     full = spark.sparkContext.broadcast(index)
     counts = assigned.groupBy((F.col("i") * wide + F.col("j")).alias("cell")).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     blocks = spark.sparkContext.broadcast({r.cell: r.blocks for r in counts.where("blocks > 1").collect()})
 
-    reach = float(np.sqrt(max(0.0, 2 - 2 * cosine))) + 1e-6
     task_schema = T.StructType([T.StructField("cell", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("asks", T.BooleanType()), T.StructField("id", id_type), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("m", T.LongType())])
 
     def visit(batches):
@@ -181,7 +179,6 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 batch = whole.slice(start, 512)
                 x = _matrix(batch.column(1))
                 one, two = full.value.halves(x)
-                gap1, gap2 = (gaps(d, full.value.radii[k], full.value.between[k]) for k, d in enumerate((one, two)))
                 i, j = batch.column(2).to_numpy(), batch.column(3).to_numpy()
                 place = np.frombuffer(x.tobytes(), dtype=np.uint64).reshape(x.shape)
                 with np.errstate(over="ignore"):
@@ -194,14 +191,14 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                     cell.append(own)
                     block.append(int((int(spread[k]) * 31 + int(ids_at[k])) % parts.get(own, 1)))
                     asks.append(False)
-                    for c in traverse(one[k], two[k], gap1[k], gap2[k], full.value.cells, reach):
+                    for c in traverse(one[k] ** 2, two[k] ** 2, full.value.cells, full.value.margin):
                         for b in range(parts.get(c, 1)):
                             rows.append(k)
                             cell.append(c)
                             block.append(b)
                             asks.append(True)
                 at = pa.array(rows)
-                yield pa.RecordBatch.from_arrays([pa.array(cell, type=pa.int32()), pa.array(block, type=pa.int32()), pa.array(asks), batch.column(0).take(at), batch.column(1).take(at).cast(out.field(4).type), batch.column(6).take(at)], schema=out)
+                yield pa.RecordBatch.from_arrays([pa.array(cell, type=pa.int32()), pa.array(block, type=pa.int32()), pa.array(asks), batch.column(0).take(at), batch.column(1).take(at).cast(out.field(4).type), batch.column(4).take(at)], schema=out)
 
     found_schema = T.StructType([T.StructField("id", id_type), T.StructField("links", T.LongType()), T.StructField("other", id_type)])
 
