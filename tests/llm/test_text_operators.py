@@ -1,0 +1,224 @@
+"""Operators 2, 5, 7, 8, 9: whole texts against brute force, and defined cases."""
+
+import hashlib
+import random
+import re
+from array import array
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+from tonemill.llm import boosting, bpe, licences, pii, queries, secrets, wordpiece
+
+SF = "/root/testdata/sf0.001"
+RANKS = public_tokenizers.path(queries.BPE_RANKS)
+PIECES = public_tokenizers.path(queries.PIECES)
+LONG = "ab" * 60_000 + " " + "1" * 50_000 + " x." * 20_000
+EDGE = [(1, None, "k"), (2, "", "k"), (3, "  \n\t", "k"), (4, LONG, "k"), (None, "null id", "k"), (6, "same text here", "k"), (6, "same text here", "k"), (7, "other text, same id", "k"), (7, "differs", None)]
+
+
+def edge(spark, *clash):
+    names = ["doc_id", "text", "extra", *clash]
+    return spark.createDataFrame([(*r, *(["c"] * len(clash))) for r in EDGE], ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+@pytest.fixture(scope="module")
+def texts(docs):
+    return {r.doc_id: r.text for r in docs.select("doc_id", "text").collect()}
+
+
+@pytest.fixture(scope="module")
+def library():
+    import base64
+
+    import tiktoken
+
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(RANKS, "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe_equals_the_library(spark, texts, library):
+    rows = queries.op2_byte_bpe(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode_ordinary(texts[r.doc_id] or "")
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(bpe.packed(ids)).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+def test_bpe_on_random_and_odd_texts(library):
+    coder = bpe.TextCoder(bpe.codec(RANKS), public_tokenizers.PATTERN)
+    rng = random.Random(1)
+    odd = ["՘࢏x", "\x1c \x1d", "a　b  c\r\n", "é" * 500, "0" * 3000, " " * 999 + "x", "it's we'LL", "\U0003d000 \U000187f8a1", "<|endoftext|>"]
+    made = ["".join(rng.choice("abcdeéth  inü.,01\n\tßñ中文🙂") for _ in range(rng.randrange(400))) for _ in range(300)]
+    for t in [*odd, *made, LONG]:
+        ids = coder.encode(t)
+        assert ids == bpe.packed(library.encode_ordinary(t)) and coder.bpe.decode(array("I", ids)) == t.encode()
+
+
+def test_bpe_defined_cases(spark):
+    df = edge(spark, "ids", "Decoded")
+    out = bpe.bpe_encode(df, RANKS, public_tokenizers.PATTERN, decoded_col="decoded")
+    rows = out.collect()
+    assert len(rows) == len(EDGE) and {"ids", "ids_", "Decoded", "decoded_"} <= set(out.columns)
+    assert all(bytes(r["decoded_"]) == (r.text or "").encode() and (r.text or not r["ids_"]) for r in rows)
+    back = bpe.bpe_decode(out.drop("ids", "Decoded"), RANKS, "ids_", "again").where("again <> decoded_")
+    assert back.count() == 0 and bpe.bpe_encode(df.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+def _kinds_base_secrets(t):
+    out = []
+    for m in re.finditer(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", t, re.I | re.A):
+        if len(m[2]) >= 8 and all(c < "\x80" for c in m[1]):
+            out.append((m.start(), 0, "assign", m.end()))
+    out += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 16]
+    out += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 32]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(out))
+
+
+def test_secret_base_spans(spark, texts):
+    for r in queries.op5_secret_scan(spark, SF).collect():
+        want = _kinds_base_secrets(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+        assert set(filter(None, want.split(","))) <= set(r.spans.split(",")) and (r.n_assign, r.n_access, r.n_hex) == tuple(want.count(k) for k in ("assign", "access", "hex"))
+    rng = random.Random(4)
+    parts = ["password", "Token", "API_KEY", "apikey", '"', "'", " = ", ":", "AKIA", "ABCDEFGH12345678", "deadbeef" * 4, "x9", "\n", "secret: short", "é", " "]
+    for _ in range(400):
+        t = "".join(rng.choice(parts) for _ in range(25))
+        base = [s for s in secrets.scan(t) if s["base"]]
+        assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in base) == _kinds_base_secrets(t), t
+
+
+def test_lexed_secrets():
+    found = lambda t: [t[s["start"] : s["end"]] for s in secrets.scan(t) if s["kind"] == "literal"]
+    assert found('key = "aB3$kd93kdLLq"\ndb_pwd = key') == ["aB3$kd93kdLLq"]
+    assert found("<clientSecret>a8f7d9s8f7</clientSecret>") == ["a8f7d9s8f7"]
+    assert found('privateKey => "Zx81Qm" + "44tTyy09"') == ['Zx81Qm" + "44tTyy09']
+    assert found('color = "aB3$kd93kdLLq"\nwidth = color') == [] and found('auth_pwd = "changeme123"') == []
+    assert found("a = b\nb = a\npwd = a") == []
+
+
+def test_secret_defined_cases(spark):
+    out = secrets.scan_secrets(edge(spark, "secret_spans"))
+    assert out.count() == len(EDGE) and "secret_spans_" in out.columns
+    df = spark.createDataFrame([(1, 'a token = "abcdefgh12345" b'), (2, None), (3, "")], "doc_id int, text string")
+    assert [r.text for r in secrets.redact_secrets(df).orderBy("doc_id").collect()] == ['a [SECRET]" b', None, ""]
+    assert secrets.redact_secrets(edge(spark, "redacted")).columns == edge(spark, "redacted").columns and secrets.scan_secrets(df.limit(0)).count() == 0
+
+
+def test_licences_against_plain_dice(spark):
+    made = licences.Scanner(licences.TEMPLATES, 0.8)
+
+    def plain(segment):
+        g = licences.bigrams(licences.normalised(segment))
+        best = [(-licences.dice(g, licences.bigrams(licences.normalised(v))), k) for k, v in licences.TEMPLATES.items()] if g else []
+        return min((b for b in best if -b[0] >= 0.8), default=None)
+
+    rng = random.Random(2)
+    for text in licences.TEMPLATES.values():
+        for _ in range(8):
+            words = text.split()
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = rng.choice(["x", "the", "license"])
+            s = " ".join(words)
+            got, want = made.best(s), plain(s)
+            assert (got and (round(-got[0], 9), got[1])) == (want and (round(want[0], 9), want[1]))
+    text = "Intro line.\nLicenced under the Apache License, version 2.0\nMore. Released under the MIT Licence. End."
+    assert [(text[a:b], k) for a, b, k, _ in made.scan(text)] == [("Licenced under the Apache License, version 2.0", "apache-2.0"), ("Released under the MIT Licence.", "mit")]
+    assert made.scan(None) == made.scan("") == made.scan("word") == []
+    out = licences.scan_licences(edge(spark, "licence_matches"))
+    assert out.count() == len(EDGE) and "licence_matches_" in out.columns
+    with pytest.raises(ValueError):
+        licences.Scanner({"bad": "one"}, 0.8)
+
+
+def test_token_counts_against_greedy(spark, texts):
+    pieces = set(wordpiece.load_pieces(PIECES))
+    longest = max(map(len, pieces))
+
+    def greedy(word):
+        s, i, n = "▁" + word, 0, 0
+        while i < len(s):
+            for j in range(min(len(s), i + longest), i, -1):
+                if s[i:j] in pieces and (i == 0 or s[i] != "▁"):
+                    n, i = n + 1, j
+                    break
+            else:
+                n, i = n + len(s[i].encode()), i + 1
+        return n
+
+    for r in queries.op8_token_counts(spark, SF).collect():
+        words = (texts[r.doc_id] or "").split()
+        assert (r.n_words, r.n_tokens) == (len(words), sum(map(greedy, words)))
+    machine = wordpiece.automaton(PIECES)
+    rng = random.Random(3)
+    for _ in range(2000):
+        w = "".join(rng.choice("abcdefghiéß中▁🙂") for _ in range(rng.randrange(1, 30)))
+        assert machine.count(w) == greedy(w), w
+    out = wordpiece.count_tokens(edge(spark, "n_words"), PIECES)
+    assert out.count() == len(EDGE) and {"n_words", "n_words_", "n_tokens"} <= set(out.columns)
+
+
+def _luhn(x):
+    return sum((v - 9 if (v := int(c) * (2 if i % 2 else 1)) > 9 else v) for i, c in enumerate(reversed(x))) % 10 == 0
+
+
+def _base_pii(t):
+    digits = lambda s: re.sub("[^0-9]", "", s)
+    out = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    out += [("card", m) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 16 <= len(digits(m[0])) <= 19 and _luhn(digits(m[0]))]
+    out += [("phone", m) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= len(digits(m[0])) <= 15]
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, m in out)
+
+
+def test_pii_base_spans(spark):
+    rng = random.Random(6)
+    parts = ["a.b", "@", "x-y", ".com", "_", "1.2.3.4", "0255", ".256", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 (234) 555-0199", "+", "12", " ", "-", "é🙂", "\n", "tel 234 555 0199", "..", ")"]
+    made = ["".join(rng.choice(parts) for _ in range(14)) for _ in range(400)]
+    whole = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect()]
+    texts = [*made, *whole, "a@b.c_d@e.f", "1.2.3.4.5.6.7.8", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string").repartition(4)
+    for r in pii.digest_columns(pii.find_pii(df, keep=["doc_id"])).collect():
+        want = _base_pii(texts[r.doc_id] or "")
+        assert r.base_sha256 == hashlib.sha256(want.encode()).hexdigest(), (texts[r.doc_id], want, r.spans)
+        assert set(filter(None, want.split(","))) <= set(r.spans.split(","))
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(want.count(k) for k in pii.KINDS)
+
+
+def test_pii_finds_what_looks_alike_and_redacts(spark):
+    rng = random.Random(8)
+    number = lambda: f"({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
+    rows = [(i, f"call +1 {number()} now") for i in range(300)] + [(1000 + i, f"order {rng.randrange(10**7, 10**8)} was sent") for i in range(300)] + [(2000, "call (234) 555-0199 now"), (2001, None)]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    found = {r.doc_id: r.pii_spans for r in pii.find_pii(df).collect()}
+    assert [(s.kind, s.s, s.e, s.base) for s in found[2000]] == [("phone", 5, 19, False)]
+    assert not any(found[1000 + i] for i in range(300)) and found[2001] == []
+    clean = {r.doc_id: r.text for r in pii.redact(df).collect()}
+    assert clean[0] == clean[2000] == "call [PII] now" and clean[2001] is None
+
+
+def test_pii_defined_cases(spark):
+    out = pii.find_pii(edge(spark, "pii_spans"))
+    assert out.count() == len(EDGE) and "pii_spans_" in out.columns
+    assert pii.find_pii(edge(spark).limit(0)).count() == 0
+
+
+def test_boosted_trees_score_alike_in_both_forms(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 6, (200, 3)).astype(float)
+    pos = (x[:, 0] > 3) * 5.0 + (x[:, 1] == 2)
+    model = boosting.fit(["a", "b", "c"], x, pos, 3 - np.minimum(pos, 3))
+    df = spark.createDataFrame([tuple(map(int, r)) for r in x], "a int, b int, c int")
+    got = [r.p for r in df.select("*", model.column(F.col).alias("p")).collect()]
+    assert np.allclose(got, model.score(x)) and model.score(x)[x[:, 0] > 3].mean() > 0.8
+    boosting.calibrate(model, x, pos, 3 - np.minimum(pos, 3), 0.9)
+    assert 0 < model.threshold < 1

@@ -4,9 +4,10 @@ Vectors are scaled to length one and halved. Each half has a codebook of its own
 FIT_VECTORS vectors; the number of words grows with the square root of the table), and every vector lies in the cell
 that its two nearest words name. A query walks the grid's cells in the order of the summed squared distances of its
 halves to the words (multi-sequence traversal: a heap that holds the next word of either half) until the target recall:
-how far beyond the query's own cell it must go is measured on neighbours that are made for the sample's vectors, their
-cosines spread evenly from the link's least cosine to one, so that TARGET_RECALL of them lie in a visited cell. Every
-candidate of a visited cell is verified by its cosine in double precision, so no link found is false.
+how far beyond the query's own cell it must go is measured, so that TARGET_RECALL of neighbours lie in a visited cell, on
+neighbours that are made for the sample's vectors, their cosines spread evenly from the link's least cosine to one, and on
+those that brute force finds within the sample. Every candidate of a visited cell is verified by its cosine in double
+precision, so no link found is false.
 
 Cells are cut into blocks of BLOCK vectors, and a query meets a block's vectors at once as a matrix product; a block
 gives back link counts and the edges of a spanning forest, never its pairs, so a group of near copies costs rows in
@@ -33,7 +34,7 @@ from .components import components
 COSINE = 0.95
 FIT_VECTORS, FIT_ROUNDS = 20_000, 8
 WORDS_FEWEST, WORDS_MOST = 4, 512
-TARGET_RECALL, MADE_NEIGHBOURS = 0.995, 4000
+TARGET_RECALL, MADE_NEIGHBOURS, ASKED_OF_ALL = 0.995, 4000, 1000
 #: Vectors of one cell that one task holds together, and queries it multiplies at once.
 BLOCK, QUERIES = 2048, 2048
 
@@ -102,17 +103,24 @@ class Index:
         return distances(x[:, :h], self.one), distances(x[:, h:], self.two)
 
     def measure(self, x: np.ndarray, cosine: float, recall: float = TARGET_RECALL, seed: int = 3) -> None:
-        """Set the margin at which this share of made neighbours of ``x`` lies in visited cells."""
+        """Set the margin at which this share of neighbours lies in visited cells: of neighbours made for vectors of ``x``, and of those that brute force finds within ``x`` for some of them."""
         rng = np.random.default_rng(seed)
-        x = x[rng.choice(len(x), MADE_NEIGHBOURS)]
-        c = rng.uniform(cosine, 1, len(x))[:, None]
-        away = rng.normal(size=x.shape)
-        away -= (away * x).sum(1)[:, None] * x
+        asked = x[rng.choice(len(x), MADE_NEIGHBOURS)]
+        c = rng.uniform(cosine, 1, len(asked))[:, None]
+        away = rng.normal(size=asked.shape)
+        away -= (away * asked).sum(1)[:, None] * asked
         away /= np.maximum(np.linalg.norm(away, axis=1), 1e-12)[:, None]
-        made = c * x + np.sqrt(1 - c * c) * away
-        (one, two), (i, j), at = self.halves(x), (d.argmin(1) for d in self.halves(made)), np.arange(len(x))
-        beyond = one[at, i] ** 2 + two[at, j] ** 2 - one.min(1) ** 2 - two.min(1) ** 2
-        self.margin = float(np.quantile(beyond, recall)) + 1e-9
+        found = [self._beyond(asked, c * asked + np.sqrt(1 - c * c) * away)]
+        for k in range(0, ASKED_OF_ALL, 100):
+            q, y = np.nonzero(asked[k : k + 100] @ x.T >= cosine)
+            if len(q):
+                some = rng.choice(len(q), min(len(q), 20_000), replace=False)
+                found.append(self._beyond(asked[k + q[some]], x[y[some]]))
+        self.margin = max(float(np.quantile(v, recall)) for v in (found[0], np.concatenate(found[1:] or found))) + 1e-9
+
+    def _beyond(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        (one, two), (i, j), at = self.halves(x), (d.argmin(1) for d in self.halves(y)), np.arange(len(x))
+        return one[at, i] ** 2 + two[at, j] ** 2 - one.min(1) ** 2 - two.min(1) ** 2
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
