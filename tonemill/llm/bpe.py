@@ -26,8 +26,8 @@ from pyspark.sql import types as T
 
 from .common import free_name, map_text
 
-#: Pieces remembered by a worker, and the longest piece that is; beyond it the memory starts anew.
-MEMO_PIECES, MEMO_LENGTH = 150_000, 64
+#: Pieces in one of a worker's two generations of memory, and the longest piece that is remembered.
+MEMO_PIECES, MEMO_LENGTH = 200_000, 64
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -197,7 +197,9 @@ class TextCoder:
     def __init__(self, bpe: ByteBPE, pattern: str):
         import regex
 
-        self.bpe, self.pattern, self.memo = bpe, regex.compile(pattern), {}
+        self.bpe, self.pattern = bpe, regex.compile(pattern)
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.newer = regex.compile(newer_class())
 
     def split(self, text: str) -> list[str]:
@@ -211,19 +213,22 @@ class TextCoder:
         return self.pattern.findall(text)
 
     def _piece(self, piece: str) -> bytes:
-        ids = packed(self.bpe.encode_piece(piece.encode("utf-8").decode("latin-1")))
+        ids = self.memo.get(piece) or self.older.get(piece)
+        if ids is None:
+            ids = packed(self.bpe.encode_piece(piece.encode("utf-8").decode("latin-1")))
         if len(piece) <= MEMO_LENGTH:
-            if len(self.memo) >= MEMO_PIECES:
-                self.memo.clear()
+            if len(self.memo) >= MEMO_PIECES:  # what was met since the last turn stays within reach
+                self.memo, self.older = {}, self.memo
             self.memo[piece] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
         """Packed ids of a text; null counts as empty."""
-        memo, make, out = self.memo, self._piece, []
-        for piece in self.split(text or ""):
-            ids = memo.get(piece)
-            out.append(make(piece) if ids is None else ids)
+        pieces = self.split(text or "")
+        out = list(map(self.memo.get, pieces))
+        if None in out:
+            make = self._piece
+            out = [make(p) if ids is None else ids for p, ids in zip(pieces, out)]
         return b"".join(out)
 
 
