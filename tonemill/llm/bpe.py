@@ -234,10 +234,10 @@ class TextCoder:
 
 def bpe_encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text", ids_col: str = "ids", decoded_col: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """Add ``ids_col`` (binary: ids as little-endian unsigned 32-bit integers) and, if named, ``decoded_col`` (binary: the bytes decoded from those ids)."""
-    ids_col = free_name(df, ids_col)
+    ids_col = free_name(df, ids_col, keep)
     added = {ids_col: T.BinaryType()}
     if decoded_col:
-        added[free_name(df, decoded_col)] = T.BinaryType()
+        added[free_name(df, decoded_col, keep)] = T.BinaryType()
 
     def make():
         bpe = codec(ranks_path)

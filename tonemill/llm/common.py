@@ -35,10 +35,12 @@ _own_dir: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset (tests) a temporary one."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where that is unset a temporary one, in local mode alone."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="tonemill-"))
     return _own_dir[0]
@@ -57,9 +59,9 @@ def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def free_name(df: DataFrame, name: str) -> str:
-    """``name``, with underscores added until no column of ``df`` bears it (Spark compares without case)."""
-    taken = {c.lower() for c in df.columns}
+def free_name(df: DataFrame, name: str, keep: list[str] | None = None) -> str:
+    """``name``, with underscores added until no column of ``df`` (of ``keep``, if given) bears it (Spark compares without case)."""
+    taken = {c.lower() for c in (df.columns if keep is None else keep)}
     while name.lower() in taken:
         name += "_"
     return name

@@ -121,4 +121,4 @@ def scan_licences(df: DataFrame, templates: dict[str, str] | None = None, thresh
 
         return work
 
-    return map_text(df, text_col, {free_name(df, out_col): MATCHES}, make, keep)
+    return map_text(df, text_col, {free_name(df, out_col, keep): MATCHES}, make, keep)

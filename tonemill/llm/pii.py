@@ -171,7 +171,7 @@ def find_pii(df: DataFrame, text_col: str = "text", out_col: str = "pii_spans",
     if models is None:
         found = settle(found, "pii-candidates")
         models = train(found)
-    return found.select(*[F.col(f"`{c}`") for c in keep], select_spans(models).alias(free_name(df.select(*[F.col(f'`{c}`') for c in keep]), out_col)))
+    return found.select(*[F.col(f"`{c}`") for c in keep], select_spans(models).alias(free_name(df, out_col, keep)))
 
 
 def redact(df: DataFrame, text_col: str = "text", mark: str = "[PII]", models: dict[str, Boosted] | None = None) -> DataFrame:

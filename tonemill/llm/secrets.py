@@ -146,7 +146,7 @@ SPANS = T.ArrayType(
 
 def scan_secrets(df: DataFrame, text_col: str = "text", out_col: str = "secret_spans", keep: list[str] | None = None) -> DataFrame:
     """Add ``out_col``: array of (kind, start, end, base, score), by start, then kind."""
-    return map_text(df, text_col, {free_name(df, out_col): SPANS}, lambda: lambda texts: [[scan(t) for t in texts]], keep)
+    return map_text(df, text_col, {free_name(df, out_col, keep): SPANS}, lambda: lambda texts: [[scan(t) for t in texts]], keep)
 
 
 def joined_spans(spans: Column) -> Column:

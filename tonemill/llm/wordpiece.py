@@ -100,7 +100,7 @@ def automaton(path: str) -> LongestMatch:
 
 def count_tokens(df: DataFrame, vocab_path: str, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Add ``n_words`` (words between white space) and ``n_tokens`` (their pieces)."""
-    added = {free_name(df, c): T.LongType() for c in ("n_words", "n_tokens")}
+    added = {free_name(df, c, keep): T.LongType() for c in ("n_words", "n_tokens")}
 
     def make():
         count, memo = automaton(vocab_path).count, {}
