@@ -189,3 +189,27 @@ def test_registered_queries_agree_with_sql(spark, name):
     key = lambda r: repr([round(v, 6) if isinstance(v, float) else v for v in r])
     at = [want.columns.index(c) for c in order]
     assert sorted(key([r[c] for c in order]) for r in found.collect()) == sorted(key([r[i] for i in at]) for r in want.fetchall())
+
+
+def test_study(spark):
+    import numpy as np
+
+    from tonemill.plans import study
+
+    days = spark.createDataFrame([(D(2001, 1, d),) for d in (1, 2, 3, 8, 9)], "day date")
+    events = spark.createDataFrame([("a", D(2001, 1, 2)), ("b", D(2001, 1, 4)), ("c", D(2001, 2, 1))], "doc_id string, release_date date")
+    assert {r.doc_id: r.trading_day for r in study.align_to_days(events, days).collect()} == {"a": D(2001, 1, 2), "b": D(2001, 1, 8), "c": None}
+    assert [r.day for r in study.placebo_days(days, study.align_to_days(events, days), 9).orderBy("day").collect()] == [D(2001, 1, d) for d in (1, 3, 9)]
+
+    rng = np.random.default_rng(1)
+    x = np.c_[np.ones(80), rng.normal(size=(80, 2))]
+    y = x @ [0.5, 2.0, -1.0] + rng.normal(size=80) * (1 + abs(x[:, 1]))
+    df = spark.createDataFrame([(i, float(a), float(b), float(c)) for i, ((_, a, b), c) in enumerate(zip(x, y))], "id int, a double, b double, y double")
+    inv = np.linalg.inv(x.T @ x)
+    beta = inv @ x.T @ y
+    e = y - x @ beta
+    se = np.sqrt(np.diag(inv @ (x.T * e**2 @ x) @ inv * 80 / 77))
+    out = study.ols_hc1(df, "y", ["a", "b"])
+    assert [r["coef"] for r in out] == pytest.approx(list(beta)) and [r["se"] for r in out] == pytest.approx(list(se))
+    slopes = study.bootstrap_slopes(df, "y", "a", "id", 50)
+    assert slopes.count() == 50 and abs(slopes.agg(F.avg("slope")).first()[0] - np.polyfit(x[:, 1], y, 1)[0]) < 0.3
