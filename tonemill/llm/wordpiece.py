@@ -50,7 +50,6 @@ class LongestMatch:
                     ends.append(False)
                 node = found
             ends[node] = True
-        self.alphabet = {c for p in pieces if p[0] != WORD_START and len(p) == 1 for c in p}
         self.fail = [-1] * len(self.next)
         self.pops = [0] * len(self.next)
         queue = [0, 1]
@@ -60,12 +59,15 @@ class LongestMatch:
                 if ends[child]:
                     self.fail[child], self.pops[child] = 1, 1
                     continue
-                at, popped = self.fail[node], self.pops[node]
-                while at >= 0 and c not in self.next[at]:
+                # Without the child's last character, pop pieces until it fits; at the root it costs its bytes.
+                at, popped = (self.fail[node], self.pops[node]) if node > 1 else (-1, 0)
+                while at > 1 and c not in self.next[at]:
                     popped += self.pops[at]
                     at = self.fail[at]
-                if at >= 0:
+                if at >= 0 and c in self.next[at]:
                     self.fail[child], self.pops[child] = self.next[at][c], popped
+                else:
+                    self.fail[child], self.pops[child] = 1, popped + len(c.encode("utf-8"))
 
     def count(self, word: str) -> int:
         """Number of pieces of one word."""
@@ -74,11 +76,11 @@ class LongestMatch:
         if node < 0:
             raise ValueError("the vocabulary lacks the word mark")
         for c in word:
-            if c not in self.alphabet:
-                n += self._rest(node) + len(c.encode("utf-8"))
-                node = 1
-                continue
             while (found := step[node].get(c, -1)) < 0:
+                if node == 1:
+                    n += len(c.encode("utf-8"))
+                    found = 1
+                    break
                 n += pops[node]
                 node = fail[node]
             node = found
