@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -193,6 +194,14 @@ ENTRIES = T.ArrayType(
 )
 
 
+def bounded_batches(df: DataFrame, rows: int = 256) -> DataFrame:
+    """``df``, with the session's Arrow batches cut to at most ``rows`` rows: ten thousand long pages would fill a worker."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def paragraphs_udf(prefer_article: bool = True):
     """Column function: page -> array of paragraphs (empty for null)."""
 

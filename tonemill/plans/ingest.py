@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean, dates, release
-from ..functions.html import entries_udf, paragraphs_udf
+from ..functions.html import bounded_batches, entries_udf, paragraphs_udf
 from ..functions.text import word_count
 from ..functions.urls import SITE, absolute_url
 from ..operators.report import keep_first
@@ -19,7 +19,7 @@ def parse_calendars(calendars: DataFrame, site: str = SITE) -> DataFrame:
     """Meetings of calendar pages given as (ord, year, url, kind, html), as printed and in page order (ord, at)."""
 
     def read(kind):
-        rows = calendars.where(F.col("kind") == kind)
+        rows = bounded_batches(calendars).where(F.col("kind") == kind)
         return rows.select("ord", F.col("year").alias("page_year"), F.col("url").alias("source_page"), F.posexplode(entries_udf(kind, site)(F.col("html"))).alias("at", "e"))
 
     rows = read("archive").unionByName(read("recent"))
@@ -54,6 +54,7 @@ def find_press_release(days: DataFrame, pages: DataFrame, paragraphs, site: str
 def build_documents(meetings: DataFrame, pages: DataFrame, site: str = SITE) -> tuple[DataFrame, DataFrame]:
     """(documents, stripped): every statement and minutes document whose page has paragraphs, and the log of what cleaning took."""
     paragraphs = paragraphs_udf()
+    bounded_batches(pages)
     empty = F.array().cast("array<string>")
     both = look_up(look_up(meetings, pages, "statement_url", "st_html", site), pages, "minutes_url", "mn_html", site)
     both = both.withColumns({"st": F.coalesce(paragraphs(F.col("st_html")), empty), "mn": F.coalesce(paragraphs(F.col("mn_html")), empty)}).drop("st_html", "mn_html")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import clean, dates, release, text, urls
-from .functions.html import links_udf, paragraphs_udf
+from .functions.html import bounded_batches, links_udf, paragraphs_udf
 from .functions.lexicon import Lexicon, sentence_label
 from .operators import metrics, nli, report, sampling, tone
 from .plans import scoring
@@ -174,13 +174,13 @@ def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of every page."""
-    p = _t(spark, sf_dir, "pages").select("page_id", paragraphs_udf()(F.col("html")).alias("ps"))
+    p = bounded_batches(_t(spark, sf_dir, "pages")).select("page_id", paragraphs_udf()(F.col("html")).alias("ps"))
     return p.select("page_id", F.posexplode("ps").alias("i", "paragraph"))
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of every page."""
-    p = _t(spark, sf_dir, "pages").select("page_id", links_udf("example.com")(F.col("html")).alias("ls"))
+    p = bounded_batches(_t(spark, sf_dir, "pages")).select("page_id", links_udf("example.com")(F.col("html")).alias("ls"))
     return p.select("page_id", F.posexplode("ls").alias("i", "l")).select("page_id", "i", "l.href", F.col("l.text").alias("link_text"))
 
 
