@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, map_text
+from .common import free_name, map_text, trimmed
 
 #: Pieces in one of a worker's two generations of memory, and the longest piece that is remembered.
 MEMO_PIECES, MEMO_LENGTH = 200_000, 64
@@ -256,15 +256,15 @@ def bpe_decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: st
     """Add ``out_col`` (binary): the bytes of the packed ids in ``ids_col``; null ids decode to null."""
     out_col = free_name(df, out_col)
     schema = T.StructType([*df.schema.fields, T.StructField(out_col, T.BinaryType())])
-    at = df.columns.index(ids_col)
+    at, names = df.columns.index(ids_col), [*df.columns, out_col]
 
     def run(batches):
         bpe = codec(ranks_path)
         for batch in batches:
             decoded = [None if x is None else bpe.decode(array("I", x)) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, type=pa.binary())], names=[*df.columns, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, type=pa.binary())], names=names)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(trimmed(run), schema)
 
 
 def digest_columns(df: DataFrame, ids_col: str = "ids", decoded_col: str = "decoded", text_id: str = "doc_id") -> DataFrame:

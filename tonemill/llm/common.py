@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -92,6 +95,26 @@ def sliced(batch: pa.RecordBatch, text: int, limit: int = SLICE_BYTES) -> Iterat
     yield batch.slice(start, n - start)
 
 
+def release_memory() -> None:
+    """Give memory that is free within this process back to the system: idle workers stay beside a JVM that needs it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(run):
+    """``run`` (batches -> batches), which gives its free memory back when its task ends."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
 def map_text(df: DataFrame, text_col: str, added: dict[str, T.DataType], make: Callable[[], Callable[[list], list]], keep: list[str] | None = None) -> DataFrame:
     """Add columns computed from one text column in Arrow batches.
 
@@ -116,4 +139,4 @@ def map_text(df: DataFrame, text_col: str, added: dict[str, T.DataType], make: C
                 arrays += [pa.array(v, type=out_schema.field(width + i).type) for i, v in enumerate(columns)]
                 yield pa.RecordBatch.from_arrays(arrays, names=out_schema.names)
 
-    return bounded_batches(source).mapInArrow(run, schema)
+    return bounded_batches(source).mapInArrow(trimmed(run), schema)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_AZ, bounded_batches, settle, sliced, small
+from .common import LOWER_AZ, bounded_batches, settle, sliced, small, trimmed
 from .components import components
 
 WORDS, AT_LEAST, OUT_OF = 5, 4, 5
@@ -37,9 +37,9 @@ FRAGMENTS = 8
 #: The most frequent shingles that are known as such on every worker (bounded: 16 bytes each).
 FREQUENT, FREQUENT_FROM = 300_000, 4
 #: Shingles gathered by a worker before it counts those that repeat.
-STRETCH = 2_000_000
+STRETCH = 1_000_000
 #: Bytes of text that are hashed at once.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -178,7 +178,7 @@ def set_summaries(docs: DataFrame, id_col: str, text_col: str, width: int) -> Da
         if size:
             yield counted()
 
-    return bounded_batches(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(run, schema)
+    return bounded_batches(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(trimmed(run), schema)
 
 
 def frequent_shingles(summaries: DataFrame) -> Order:
@@ -210,7 +210,7 @@ def prefixes(docs: DataFrame, order, width: int) -> DataFrame:
                     pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
                     yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate([p for p, _ in parts]))), ids, pa.array(n), pa.array(pos.astype(np.int32))], schema=out)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def fragments(docs: DataFrame, order, width: int) -> DataFrame:
@@ -241,7 +241,7 @@ def fragments(docs: DataFrame, order, width: int) -> DataFrame:
                     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(_signed(np.concatenate(parts))))
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(f, type=pa.int32()), lists.cast(out.field(2).type)], schema=out)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def _possible(n: str, pos: str, m: str, qos: str) -> str:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, settle
+from .common import bounded_batches, settle, trimmed
 from .components import components
 
 COSINE = 0.95
@@ -168,7 +168,7 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
                 i, j = one.argmin(1), two.argmin(1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(i.astype(np.int32)), pa.array(j.astype(np.int32)), batch.column(2)], names=[f.name for f in assigned_schema])
 
-    assigned = settle(bounded_batches(every.select("id", "v", "m")).mapInArrow(assign, assigned_schema), "neighbours-cells")
+    assigned = settle(bounded_batches(every.select("id", "v", "m")).mapInArrow(trimmed(assign), assigned_schema), "neighbours-cells")
     # At most WORDS_MOST squared cells, so this is bounded.
     for row in assigned.select("i", "j").distinct().collect():
         index.cells[row.i, row.j] = True
@@ -271,8 +271,8 @@ def near_duplicates(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
         if (made := answer()) is not None:
             yield made
 
-    spread = assigned.mapInArrow(visit, task_schema).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
-    found = settle(spread.mapInArrow(meet, found_schema), "neighbours-found")
+    spread = assigned.mapInArrow(trimmed(visit), task_schema).repartition("cell", "block").sortWithinPartitions("cell", "block", "asks")
+    found = settle(spread.mapInArrow(trimmed(meet), found_schema), "neighbours-found")
     links = found.where("other IS NULL").groupBy("id").agg(F.sum("links").alias("links")).withColumnRenamed("id", "x")
     comp = components(found.where("other IS NOT NULL").select(F.col("id").alias("a"), F.col("other").alias("b"))).withColumnRenamed("node", "y")
     out = ids.join(member.withColumnRenamed("id", "z"), ids["id"] == F.col("z"), "left").withColumn("rep", F.coalesce("rep", "id"))
