@@ -37,7 +37,7 @@ FRAGMENTS = 8
 #: The most frequent shingles that are known as such on every worker (bounded: 16 bytes each).
 FREQUENT, FREQUENT_FROM = 300_000, 4
 #: Shingles gathered by a worker before it counts those that repeat.
-STRETCH = 1_000_000
+STRETCH = 2_000_000
 #: Bytes of text that are hashed at once.
 AT_ONCE = 1 << 20
 
@@ -285,7 +285,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grouped = prefixes(chosen, order, width).selectExpr("h", "node", "n", "pos", "count(*) OVER (PARTITION BY h) AS cnt", "min(struct(pos, n, node)) OVER (PARTITION BY h) AS head", "min(n) OVER (PARTITION BY h) AS least_n")
     # A row that no partner's size lets pass is dropped at once: the overlap left behind its place is too small.
     viable = f"{AT_LEAST + OUT_OF} * (n - pos) >= {AT_LEAST} * (n + greatest(least_n, ({AT_LEAST} * n + {OUT_OF - 1}) div {OUT_OF}))"
-    groups = settle(grouped.where(f"cnt > 1 AND {viable}").select("h", "node", "n", "pos", "head"), "jaccard-groups")
+    groups = settle(grouped.where(f"cnt > 1 AND {viable}").select("h", "node", "n", "pos", "head", "cnt"), "jaccard-groups")
 
     tried = groups.where("node <> head.node").where(_possible("n", "pos", "head.n", "head.pos"))
     tried = tried.select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb")).distinct()
@@ -293,7 +293,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = settle(verified(tried, chosen, order, width), "jaccard-links")
     comp = components(links)
 
-    labelled = groups.join(comp.withColumnRenamed("node", "x"), groups["node"] == F.col("x"), "left").selectExpr("h", "node", "n", "pos", "coalesce(component, node) AS c")
+    # Where two documents meet, their one pair has been compared already.
+    wider = groups.where("cnt > 2").drop("head", "cnt")
+    labelled = wider.join(comp.withColumnRenamed("node", "x"), wider["node"] == F.col("x"), "left").selectExpr("h", "node", "n", "pos", "coalesce(component, node) AS c")
     mixed_groups = labelled.selectExpr("*", "min(c) OVER (PARTITION BY h) AS c1", "max(c) OVER (PARTITION BY h) AS c2").where("c1 <> c2").drop("c1", "c2")
     mixed_groups = settle(mixed_groups, "jaccard-mixed")
     p, q = mixed_groups.alias("p"), mixed_groups.alias("q")
