@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .common import free_name, map_text, trimmed
 
 #: Pieces in one of a worker's two generations of memory, and the longest piece that is remembered.
-MEMO_PIECES, MEMO_LENGTH = 200_000, 64
+MEMO_PIECES, MEMO_LENGTH = 150_000, 64
 
 
 def load_ranks(path: str) -> list[bytes]:
@@ -38,6 +38,9 @@ def load_ranks(path: str) -> list[bytes]:
     return [found[i] for i in range(len(found))]
 
 
+#: Pairs of tokens whose compatibility is remembered.
+FITS = 150_000
+
 # Code points that the regex package (newer Unicode tables) counts as letters or digits and
 # tiktoken's splitter doesn't; there they are symbols.
 NEWER_LETTERS_AND_DIGITS = (
@@ -106,7 +109,7 @@ class ByteBPE:
         """Whether the merge loop can leave these two tokens side by side."""
         known = self._fits.get((left, right))
         if known is None:
-            if len(self._fits) > 1_000_000:
+            if len(self._fits) >= FITS:
                 self._fits.clear()
             known = self._fits[left, right] = self._check(left, right)
         return known
