@@ -126,6 +126,13 @@ def test_jaccard_defined_cases(spark):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
+def test_jaccard_counts_a_repeated_row_once(spark):
+    words = [f"w{k}" for k in range(104)]
+    a, b = " ".join(words), " ".join(words[:70] + [f"v{k}" for k in range(34)])  # 100 shingles each, 66 shared: 0.49
+    docs = spark.createDataFrame([(1, a), (1, a.upper()), (2, b)], "doc_id long, text string").repartition(3)
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()} == {(1, 100, 1), (2, 100, 2)}
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7), (None, 3)]

@@ -188,6 +188,18 @@ def frequent_shingles(summaries: DataFrame) -> Order:
     return Order(rows["s1"].to_numpy(dtype=np.int64).view(np.uint64), rows["n"].to_numpy(dtype=np.int64))
 
 
+def of_digest(docs: DataFrame, width: int) -> DataFrame:
+    """The rows of (id, text, s1, s2) whose text has the digest that is given."""
+
+    def run(batches):
+        for whole in batches:
+            for batch in sliced(whole, 1, AT_ONCE):
+                sets = shingle_sets(batch.column(1).to_pylist(), width)
+                yield batch.filter(pa.array([set_digest(s) == d for s, d in zip(sets, zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))], type=pa.bool_()))
+
+    return bounded_batches(docs).mapInArrow(trimmed(run), docs.schema)
+
+
 def prefixes(docs: DataFrame, order, width: int) -> DataFrame:
     """(h, node, n, pos): the prefix shingles of documents given as (id, text, s1, s2); where a digest is given, texts with another one are passed over. ``order``: a broadcast Order."""
     schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("node", docs.schema[0].dataType), T.StructField("n", T.IntegerType()), T.StructField("pos", T.IntegerType())])
@@ -277,10 +289,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Copies are few beside the documents: they go by an anti-join that can be a broadcast, and the digests stay in step.
     copies = small(member.where("id <> rep").select(F.col("id").alias("copy")))
     chosen = texts.join(copies, texts["id"] == copies["copy"], "left_anti").where("id IS NOT NULL")
-    # An id with several texts stands for its smallest digest; there are hardly ever any, so this join is a small one.
-    torn = sets.where("id IS NOT NULL AND n > 0").groupBy("id").agg(F.min(F.struct("s1", "s2")).alias("s"), F.max(F.struct("s1", "s2")).alias("t"))
-    torn = small(torn.where("s <> t").select(F.col("id").alias("torn"), "s.*"))
-    chosen = chosen.join(torn, chosen["id"] == torn["torn"], "left").select("id", "text", "s1", "s2")
+    # One row per node: an id that is repeated stands once, by its smallest digest; such ids are few, so only their rows are gathered by a key.
+    repeated = sets.where("id IS NOT NULL AND n > 0").groupBy("id").agg(F.count("*").alias("k"), F.min(F.struct("s1", "s2")).alias("s"))
+    repeated = small(settle(repeated.where("k > 1").select(F.col("id").alias("again"), "s.*"), "jaccard-repeated"))
+    again = chosen.join(repeated, chosen["id"] == repeated["again"]).select("id", "text", "s1", "s2")
+    again = settle(of_digest(again, width).dropDuplicates(["id"]), "jaccard-once")
+    once = chosen.join(repeated, chosen["id"] == repeated["again"], "left_anti")
+    chosen = once.select("id", "text", F.lit(None).cast("long").alias("s1"), F.lit(None).cast("long").alias("s2")).union(again)
 
     grouped = prefixes(chosen, order, width).selectExpr("h", "node", "n", "pos", "count(*) OVER (PARTITION BY h) AS cnt", "min(struct(pos, n, node)) OVER (PARTITION BY h) AS head", "min(n) OVER (PARTITION BY h) AS least_n")
     # A row that no partner's size lets pass is dropped at once: the overlap left behind its place is too small.
