@@ -8,7 +8,7 @@ Two layers give spans (code points, end exclusive) in every whole text:
   propagated (``password = key`` scores the literal that ``key`` was given), and a literal counts if its own
   score times the sensitivity of the names it reaches is at least ``THRESHOLD``.
 
-Lexed spans never remove base spans; one that repeats a base span's literal is not added.
+Lexed spans never remove base spans; one that a base span covers whole is not added.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are scanned alike; names that are
 assigned in a circle stop after each name was followed once; other columns pass through, and on a clash the
@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,14 +54,21 @@ SENSITIVE = {
 LEX_HINTS = re.compile("pass(?:w|phrase)|pwd|secret|token|api.?key|credential|private.?key|access.?key|signing.?key|encryption.?key|auth|bearer|salt")
 PLACEHOLDERS = re.compile(r"(?i)example|changeme|placeholder|your[-_ ]|dummy|xxxx|\*\*\*\*|<[^>]*>|\$\{|todo|none|null|true|false")
 
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]{0,80}"
-_QUOTED = r""""(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}'"""
+# Possessive repeats: nothing is capped, and every literal is passed over once.
+_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
+_QUOTED = "|".join(
+    [rf"""{q}{{3}}[^{q}\\]*+(?:(?:\\[\s\S]|{q}(?!{q}{q}))[^{q}\\]*+)*+{q}{{3}}""" for q in "\"'"] + [rf"""{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+{q}""" for q in "\"'"]
+)
+# Parts are added with a plus sign (also across lines), or adjacent: on one line, after a line's last backslash, or within parentheses.
+_PLUS, _NEXT = r"[\x20\t\r\n]*+\+[\x20\t\r\n]*+", r"[\x20\t]*+(?:\\\r?\n[\x20\t]*+)?"
 PAIR = re.compile(
-    rf"""(?P<q>["']?)(?<![A-Za-z0-9_.\-])(?P<name>{_NAME})(?P=q)(?:\x20*:\x20*[A-Za-z_][A-Za-z0-9_\[\]]{{0,40}}(?=\x20*=))?[\x20\t]*(?:=>|:=|=|:)[\x20\t]*"""
-    rf"""(?P<value>(?:{_QUOTED})(?:[\x20\t]*\+?[\x20\t]*(?:{_QUOTED})){{0,16}}|[A-Za-z0-9+/_.=\-!@#$%^&*]+)"""
-    rf"""|<(?P<tag>{_NAME})>(?P<body>[^<\n]{{1,4096}})</(?P=tag)>"""
+    rf"""(?P<q>["']?)(?<![A-Za-z0-9_.\-])(?P<name>{_NAME})(?P=q)(?:\x20*:\x20*[A-Za-z_][A-Za-z0-9_\[\]]*+(?=\x20*=))?[\x20\t]*(?:=>|:=|=|:)[\x20\t]*"""
+    rf"""(?P<value>(?:{_QUOTED})(?:(?:{_PLUS}|{_NEXT})(?:{_QUOTED}))*+|\([\x20\t\r\n]*+(?:{_QUOTED})(?:(?:{_PLUS}|[\x20\t\r\n]*+)(?:{_QUOTED}))*+|[A-Za-z0-9+/_.=\-!@#$%^&*]+)"""
+    rf"""|<(?P<tag>{_NAME})>(?P<body>[^<]++)</(?P=tag)>"""
 )
 PART = re.compile(_QUOTED)
+#: Longer literals hold a placeholder's letters by chance.
+LONG = 256
 BARE_NAME = re.compile(rf"{_NAME}\Z")
 
 
@@ -85,7 +94,7 @@ def name_score(name: str) -> float:
 def literal_score(value: str) -> float:
     """How much a literal looks like a secret: length, entropy of its characters, no placeholder and no plain word."""
     n = len(value)
-    if n < 6 or PLACEHOLDERS.search(value) or " " in value:
+    if n < 6 or (n <= LONG and PLACEHOLDERS.search(value)) or " " in value:
         return 0.0
     entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
     classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
@@ -100,14 +109,19 @@ def lexed(text: str) -> list[tuple[int, int, float]]:
     for m in PAIR.finditer(text):
         name, group = (m["name"], "value") if m["name"] else (m["tag"], "body")
         value, at = m[group], m.start(group)
-        parts = [(at + p.start() + 1, at + p.end() - 1, p[0][1:-1]) for p in PART.finditer(value)] if value[0] in "\"'" else []
+        parts = []
+        for p in PART.finditer(value) if group == "value" and value[0] in "\"'(" else ():
+            k = 3 if len(p[0]) >= 6 and p[0][:3] in ('"""', "'''") else 1
+            parts.append((at + p.start() + k, at + p.end() - k, p[0][k:-k]))
         if parts:
             literals.append((parts[0][0], parts[-1][1], "".join(p[2] for p in parts)))
             given.setdefault(name, []).append(len(literals) - 1)
         elif group == "value" and BARE_NAME.match(value) and not any(c.isdigit() for c in value):
             same.setdefault(name, set()).add(value)
         else:
-            literals.append((at, m.end(group), value))
+            inner = value.strip()
+            start = at + value.index(inner)
+            literals.append((start, start + len(inner), "".join(line.strip() for line in inner.splitlines())))
             given.setdefault(name, []).append(len(literals) - 1)
     best = [0.0] * len(literals)
     for target in [*given, *same]:
@@ -132,8 +146,8 @@ def scan(text: str | None) -> list[dict]:
     base = base_spans(text)
     out = [{"kind": k, "start": s, "end": e, "base": True, "score": 1.0} for s, e, k in base]
     if LEX_HINTS.search(text.lower()):
-        ends = {e for _, e, _ in base}
-        out += [{"kind": "literal", "start": s, "end": e, "base": False, "score": v} for s, e, v in lexed(text) if e not in ends]
+        starts, reach = [s for s, _, _ in sorted(base)], list(accumulate((e for _, e, _ in sorted(base)), max))
+        out += [{"kind": "literal", "start": s, "end": e, "base": False, "score": v} for s, e, v in lexed(text) if not ((k := bisect_right(starts, s)) and reach[k - 1] >= e)]
     return sorted(out, key=lambda x: (x["start"], KINDS.index(x["kind"])))
 
 
