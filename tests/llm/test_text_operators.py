@@ -160,6 +160,22 @@ def test_licences_against_plain_dice(spark):
         licences.Scanner({"bad": "one"}, 0.8)
 
 
+def test_licences_across_lines():
+    import textwrap
+
+    made = licences.Scanner(licences.TEMPLATES, 0.8)
+    rng = random.Random(3)
+    prose = lambda: " ".join(rng.choice(["the", "of", "software", "any", "copies", "dog", "İx"]) for _ in range(300))
+    for name, notice in licences.TEMPLATES.items():
+        for width in (78, 40):
+            text = f"{prose()}\n" + textwrap.fill(notice, width, initial_indent=" * ", subsequent_indent=" * ") + f"\n{prose()}"
+            hits = [(text[a:b], v) for a, b, k, v in made.scan(text) if k == name]
+            assert len(hits) == 1 and hits[0][1] >= 0.95 and len(hits[0][0]) <= 1.3 * len(notice) + 20, (name, hits)
+        assert [m[2] for m in made.scan(f"Some words before {notice} and some after")] == [name]
+    text = "x " + textwrap.fill(licences.TEMPLATES["mit-text"], 78) + " y\n" + licences.TEMPLATES["mpl-2.0"] + " z"
+    assert [m[2] for m in made.scan(text)] == ["mit-text", "mpl-2.0"] and made.scan(prose()) == []
+
+
 def test_token_counts_against_greedy(spark, texts):
     pieces = set(wordpiece.load_pieces(PIECES))
     longest = max(map(len, pieces))

@@ -1,9 +1,12 @@
 """Operator 7: licence scans.
 
 A text is normalised (lower case, letters and digits alone, spelling variants joined) and compared to licence
-templates by the Dice coefficient over sets of word bigrams. Compared are the whole text and each of its lines
-and sentences. Two sets of sizes a and b reach a coefficient t only if min(a, b) * (2 - t) >= t * max(a, b), so most
-templates, and most lines, are pruned by size before a bigram is counted.
+templates by the Dice coefficient over sets of word bigrams. Compared are the whole text, each of its lines and
+sentences, and for each template the windows of words, across lines and sentences, that begin and end with a bigram of
+the template. Of overlapping matches the one with most bigrams of its template stays, a line or sentence before a window.
+Two sets of sizes a and b reach a coefficient t only if min(a, b) * (2 - t) >= t * max(a, b), so most
+templates, and most lines, are pruned by size before a bigram is counted; a window is only opened where enough of a
+template's bigrams lie within its greatest length (its number of words over that ratio).
 
 Defined cases: null, empty and one-word texts have no bigrams and no licence; equal coefficients go to the
 first template by name; repeated rows are scanned alike; other columns pass through, and on a clash an added
@@ -14,6 +17,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from math import ceil
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -23,7 +27,7 @@ from .common import free_name, map_text
 #: Least Dice coefficient that counts as the licence.
 THRESHOLD = 0.8
 
-# Notices by which well-known licences are declared, and the opening passages of short licences.
+# Notices by which well-known licences are declared, and the opening passages and whole texts of short licences.
 TEMPLATES = {
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -38,6 +42,9 @@ TEMPLATES = {
     "bsd-3-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "isc-text": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "bsd-3-clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
 }
 VARIANTS = {"licence": "license", "licenced": "licensed", "licences": "licenses", "v": "version"}
 
@@ -50,6 +57,16 @@ def normalised(text: str) -> list[str]:
     return [VARIANTS.get(w, w) for w in _WORD.findall(text.lower())]
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """(start, end) in ``text`` of each of its normalised words."""
+    low = text.lower()
+    spans = [m.span() for m in _WORD.finditer(low)]
+    if len(low) == len(text):
+        return spans
+    back = [i for i, c in enumerate(text) for _ in c.lower()]  # a few characters grow in lower case
+    return [(back[a], back[b - 1] + 1) for a, b in spans]
+
+
 def bigrams(words: list[str]) -> set[tuple[str, str]]:
     """The set of word pairs."""
     return set(zip(words, words[1:]))
@@ -72,7 +89,13 @@ class Scanner:
         ratio = threshold / (2 - threshold)
         self.low, self.ratio = (self.sizes[0] * ratio if made else 0), ratio
         self.high = self.sizes[-1] / ratio if made else 0
-        self.known = {g for m in made for g in m[2]}
+        #: Of each bigram, the templates that have it; of each template, the bigrams that a window must share and its longest span.
+        self.known: dict[tuple[str, str], list[int]] = {}
+        for k, m in enumerate(made):
+            for g in m[2]:
+                self.known.setdefault(g, []).append(k)
+        self.need = [max(1, ceil(m[0] * ratio - 1e-9)) for m in made]
+        self.span = [int((len(normalised(templates[m[1]])) - 1) / ratio + 1e-9) for m in made]
 
     def best(self, segment: str) -> tuple[float, str] | None:
         """(coefficient, name) of the best template at or over the threshold."""
@@ -92,16 +115,53 @@ class Scanner:
                 found = (value, name)
         return found
 
+    def windows(self, grams: list[tuple[str, str]]) -> list[tuple[int, int, int, float, str]]:
+        """(shared bigrams, first word, last word, coefficient, name) of the best window from each start that reaches the threshold."""
+        places: dict[int, list[int]] = {}
+        for i, g in enumerate(grams):
+            if g in self.known:
+                for k in self.known[g]:
+                    places.setdefault(k, []).append(i)
+        out = []
+        for k, at in places.items():
+            size, name, _ = self.made[k]
+            need, span = self.need[k], self.span[k]
+            for x in range(len(at) - need + 1):
+                first = at[x]
+                if at[x + need - 1] - first >= span:
+                    continue
+                shared, every, done, best = set(), set(), first, None
+                for last in at[x : bisect_left(at, first + span, x)]:
+                    every.update(grams[done : last + 1])
+                    done = last + 1
+                    shared.add(grams[last])
+                    value = 2 * len(shared) / (len(every) + size)
+                    if value >= self.threshold and (best is None or value > best[3]):
+                        best = (len(shared), first, last + 1, value, name)
+                if best:
+                    out.append(best)
+        return out
+
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:
-        """(start, end, licence, coefficient) of the parts that match a template; of the whole text if no part does."""
+        """(start, end, licence, coefficient) of the parts and windows that match a template; of the whole text if none does."""
         text = text or ""
-        out, at = [], 0
+        found, at = [], 0
         cuts = [(m.start(), m.end()) for m in _BREAK.finditer(text)]
         for start, end in [*cuts, (len(text), len(text))]:
-            line_end, nxt = start, end
-            if at < line_end and (found := self.best(text[at:line_end])):
-                out.append((at, line_end, found[1], round(found[0], 6)))
-            at = nxt
+            if at < start and (best := self.best(text[at:start])):
+                shared = len(bigrams(normalised(text[at:start])) & next(m[2] for m in self.made if m[1] == best[1]))
+                found.append((-shared, 0, -best[0], at, start, best[1]))
+            at = end
+        words = normalised(text) if self.made else []
+        near = self.windows(list(zip(words, words[1:])))
+        if near:
+            spans = word_spans(text)
+            found += [(-shared, 1, -value, spans[i][0], spans[j][1], name) for shared, i, j, value, name in near]
+        out: list[tuple[int, int, str, float]] = []
+        for _, _, value, start, end, name in sorted(found, key=lambda f: (*f[:4], f[5])):
+            k = bisect_left(out, (start,))
+            if (not k or out[k - 1][1] <= start) and (k == len(out) or out[k][0] >= end):
+                out.insert(k, (start, end, name, round(-value, 6)))
         whole = self.best(text) if not out and text else None
         return [(0, len(text), whole[1], round(whole[0], 6))] if whole else out
 
