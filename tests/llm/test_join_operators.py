@@ -219,9 +219,9 @@ def test_chat_digest(spark):
 
 
 def plain_kneser_ney(texts):
-    tri = Counter(b for t in texts for r in [b"\n\n" + t.encode()] for b in (r[i : i + 3] for i in range(len(r) - 2)))
-    bi = Counter(g[1:] for g in tri)
-    uni = Counter(g[1:] for g in bi)
+    orders = [Counter(r[i : i + 5] for t in texts for r in [b"\n\n\n\n" + t.encode()] for i in range(len(r) - 4))]
+    for _ in range(4):
+        orders.append(Counter(g[1:] for g in orders[-1]))
 
     def discounts(c):
         n = [sum(v == k for v in c.values()) for k in (1, 2, 3, 4)]
@@ -247,8 +247,10 @@ def plain_kneser_ney(texts):
 
         return p
 
-    p1 = level(uni, lambda g: 1 / 256)
-    return level(tri, level(bi, p1))
+    p = lambda g: 1 / 256
+    for c in reversed(orders):
+        p = level(c, p)
+    return p
 
 
 def test_quality_model_against_plain_kneser_ney(spark):
@@ -256,14 +258,38 @@ def test_quality_model_against_plain_kneser_ney(spark):
     texts = ["".join(rng.choice(["tha", "re", " ", "on", ". ", "é"]) for _ in range(rng.randrange(5, 80))) for _ in range(60)]
     model = quality.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
     p = plain_kneser_ney(texts)
-    table = model.table()
-    for g in [b"\n\nt", b"tha", b"hat", b"zzz", b"on.", b"n. ", b"\xc3\xa9r", b"xth", b"th\xff"]:
-        assert table[g[0] * 65536 + g[1] * 256 + g[2]] == pytest.approx(-math.log(p(g)), rel=1e-4), g
-    rows = texts[:20] + ["zz!! QQ", "", None]
+    rows = texts[:40] + ["zz!! QQ", "", None, "tha \n\n\n\n re", "x", "é" * 300]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(rows)], "doc_id int, text string, nll string")
-    for r in quality.perplexities(df, model).collect():
-        raw = b"\n\n" + (rows[r.doc_id] or "").encode()
-        assert r.n_bytes == len(raw) - 2 and r["nll_"] == pytest.approx(-sum(math.log(p(raw[i : i + 3])) for i in range(len(raw) - 2)), rel=1e-4)
+    for stretch in (300, 1 << 20):  # many stretches a partition, and one
+        found = quality.perplexities(df, model, stretch=stretch).collect()
+        assert len(found) == len(rows)
+        for r in found:
+            raw = quality.START + (rows[r.doc_id] or "").encode()
+            assert r.text == rows[r.doc_id] and r.nll == "c" and r.n_bytes == len(raw) - 4
+            assert r["nll_"] == pytest.approx(-sum(math.log(p(raw[i : i + 5])) for i in range(len(raw) - 4)), rel=1e-4)
+
+
+def test_quality_query_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang", "text", F.xxhash64("text").alias("h")).collect()
+    good = {}
+    for r in spark.read.parquet(f"{SF}/labels.parquet").collect():
+        good[r.doc_id] = good.get(r.doc_id, True) and r.quality == 1 and not r.toxic
+    trusted = [d for d in docs if good.get(d.doc_id)]
+    held_out = [d for d in trusted if d.h % quality.HELD_OUT == 0]
+    p = plain_kneser_ney([d.text for d in trusted if d.h % quality.HELD_OUT])
+    cost = {d: (len(raw) - 4, -sum(math.log(p(raw[i : i + 5])) for i in range(len(raw) - 4))) for d in docs for raw in [quality.START + d.text.encode()]}
+    langs = Counter(d.lang for d in held_out)
+    mean = lambda some: sum(cost[d][1] for d in some) / sum(cost[d][0] for d in some)
+    means = {k: mean([d for d in held_out if d.lang == k]) if langs[k] >= quality.LEAST_FOR_MEAN else mean(held_out) for k in {d.lang for d in docs}}
+    score = {d: (n[1] - means[d.lang] * n[0]) / (n[0] + quality.PRIOR) for d, n in cost.items()}
+    quantile = lambda some: sorted(score[d] for d in some)[max(0, math.ceil(quality.HIGH * len(some)) - 1)]
+    high = {k: quantile([d for d in held_out if d.lang == k] if langs[k] >= quality.LEAST_TRUSTED else held_out) for k in means}
+    rows = {r.doc_id: r for r in queries.op3_quality_classifier(spark, SF).collect()}
+    assert len(rows) == len(docs) and 0 < sum(r.kept for r in rows.values()) < len(rows)
+    for d in docs:
+        r = rows[d.doc_id]
+        assert r.n_bytes == cost[d][0] and r.perplexity == pytest.approx(math.exp(cost[d][1] / cost[d][0]), rel=1e-3)
+        assert r.kept == (score[d] <= high[d.lang] + quality.SLACK) or abs(score[d] - high[d.lang] - quality.SLACK) < 1e-4
 
 
 def test_quality_keeps_clean_and_rejects_noise(spark):

@@ -57,6 +57,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Steps after which a second reading might deal rows to other partitions.
+_UNSTABLE = ("Join", "Aggregate", "Repartition", "RebalancePartitions", "Sort", "Window", "Sample", "Limit", "Deduplicate", "Distinct")
+
+
+def rereadable(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if each reading gives the same rows in the same partitions (scans, filters, projections, unions); else settled."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return settle(df, name) if any(line.lstrip(" :+-").startswith(_UNSTABLE) for line in plan.splitlines()) else df
+
+
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it is counted to hold at most ``limit`` rows, else as it is (the join then shuffles)."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -1,24 +1,31 @@
-"""Operator 3: quality classifier, an interpolated modified Kneser-Ney model over byte trigrams.
-
-Trigrams of trusted documents (all of them; no sample) are counted by workers and summed by shard. Joins of the sharded
-counts with their contexts' totals give the modified Kneser-Ney estimates: three discounts for each order, trigrams by
-their counts, bigrams and single bytes by the number of contexts they continue, the last interpolated with the uniform
-distribution. An order of three bytes has at most 2**24 trigrams, whatever the corpus, so the estimates are a table of
-proven size that every worker may hold, and each document's perplexity is a sum of look-ups without moving its text.
-A document is kept if its score lies between two quantiles of the trusted documents' scores in its language, SLACK
-beyond them (trusted documents are in the counts, others are not); both ends count, since text that repeats itself is
-too easy and noise too hard. The score is the mean negative log probability less the language's trusted mean, with PRIOR
-bytes at that mean added, so that very short texts are not rejected by chance.
+"""Operator 3: quality classifier, an interpolated modified Kneser-Ney model over byte 5-grams.
+
+The model is a sharded table and is never gathered anywhere; it grows with what the trusted texts hold.
+
+1. Counts. Workers count the 5-grams of trusted texts, the counts are summed by gram. Joins of each order's counts with
+   their contexts' totals and with the order below give the modified Kneser-Ney estimates (three discounts an order; the
+   lower orders count the bytes that precede a gram; the last is interpolated with the uniform distribution). The result
+   has one row for each gram of 0 to 5 bytes: its probability after its context, and its weight as a context.
+2. Perplexity by sharded count joins. Documents are taken in stretches of about STRETCH bytes. A stretch asks for each
+   distinct gram that it holds once, whatever the number of its documents: the asked grams meet the model shard by
+   shard (a gram's shard is its code modulo a prime number that grows with the model), and the answers meet the
+   stretch's texts, which travel compressed. So a frequent gram costs one entry a stretch, and no task holds more than
+   one shard or one stretch.
+3. Thresholds. One trusted text in HELD_OUT (by its hash) is not counted; the quantiles of those texts' scores, by
+   language, bound the scores of what is kept, SLACK beyond them. The score is the mean negative log probability of
+   a byte less the language's mean, with PRIOR bytes at that mean added, so very short texts aren't rejected by chance.
 
 Defined cases: null and empty texts have no perplexity and are not kept; a null language is a language; languages with
-fewer than LEAST_TRUSTED trusted documents use the quantiles of all, those with fewer than LEAST_FOR_MEAN the mean of all too; without any trusted document nothing is rejected but
-empty texts; labels repeated for an id count as trusted if all of them are; repeated rows score alike; ``keep`` columns
-pass through, and on a clash an added column gets a trailing underscore.
+fewer than LEAST_TRUSTED held-out documents use the quantile of all, those with fewer than LEAST_FOR_MEAN the mean of all
+too; without any held-out document all trusted ones give the quantiles; without any trusted document nothing is
+rejected but empty texts; labels repeated for an id count as trusted if all of them are; repeated rows score
+alike and each row is judged by its own text; other columns are not carried by ``classify`` and all stay in ``keep_good``.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,28 +33,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, free_name, settle, sliced, small, trimmed
+from .common import bounded_batches, free_name, rereadable, settle, sliced, small, trimmed
 
-LOW, HIGH = 0.002, 0.998
+ORDER = 5
+HIGH = 0.998
 PRIOR = 100
 SLACK = 0.03
+HELD_OUT = 5
 LEAST_TRUSTED, LEAST_FOR_MEAN = 50, 5
 #: What stands before a text.
-START = b"\n\n"
-AT_ONCE = 1 << 20
-
-
-def codes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Trigram codes of all texts one after the other, and each text's number of bytes."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    sizes = np.array([len(r) for r in raw], dtype=np.int64)
-    buf = np.frombuffer(b"".join(x for r in raw for x in (START, r)), dtype=np.uint8).astype(np.uint32)
-    if len(buf) < 3:
-        return np.zeros(0, dtype=np.uint32), sizes
-    every = (buf[:-2] << 16) | (buf[1:-1] << 8) | buf[2:]
-    ends = np.cumsum(sizes + 2)
-    cross = np.concatenate([[e - 2, e - 1] for e in ends[:-1]]) if len(ends) > 1 else np.zeros(0, dtype=np.int64)
-    return np.delete(every, cross.astype(np.int64)), sizes
+START = b"\n" * (ORDER - 1)
+#: Bytes of text that ask the model together, and that are coded at once.
+STRETCH, AT_ONCE = 16 << 20, 1 << 18
+#: Rows of the model that one shard holds, about; shards are a prime number, 67 at least.
+SHARD_ROWS = 250_000
+#: Grams of different orders are told apart above their bytes.
+PLACE = 8 * ORDER
+
+
+def codes(raw: list[bytes]) -> np.ndarray:
+    """The code of the ORDER bytes that end at each byte of each text, one text after the other."""
+    buf = np.frombuffer(b"".join(x for r in raw for x in (START, r)), dtype=np.uint8).astype(np.int64)
+    if len(buf) <= ORDER - 1:
+        return np.zeros(0, dtype=np.int64)
+    every = buf[: len(buf) - ORDER + 1].copy()
+    for k in range(1, ORDER):
+        every <<= 8
+        every |= buf[k : len(buf) - ORDER + 1 + k]
+    # What ends within the bytes before the next text belongs to none.
+    ends = np.cumsum([len(r) + len(START) for r in raw])[:-1]
+    cross = (ends[:, None] + np.arange(-len(START), 0)[None]).ravel()
+    return np.delete(every, cross)
+
+
+def distinct(codes: np.ndarray) -> np.ndarray:
+    """The sorted distinct values."""
+    codes = np.sort(codes)
+    return codes[np.concatenate([[True], codes[1:] != codes[:-1]])] if len(codes) else codes
+
+
+def _bytes(texts: list[str | None]) -> list[bytes]:
+    return [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+
+
+def needed(top: np.ndarray) -> np.ndarray:
+    """The sorted keys (order and code) of all that the probabilities of the 5-grams ``top`` depend on."""
+    out = []
+    for k in range(ORDER):
+        mask = (1 << 8 * k) - 1
+        out.append(distinct(np.concatenate([top & mask, (top >> 8) & mask])) | (k << PLACE))
+    return np.concatenate([*out, top | (ORDER << PLACE)])
+
+
+def chances(top: np.ndarray, keys: np.ndarray, p: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Interpolated probabilities of the 5-grams ``top``; ``p`` and ``g`` answer ``keys`` (not a number: the model has no such gram or context)."""
+    out = np.full(len(top), 1 / 256)
+    for k in range(1, ORDER + 1):
+        gram = (top & ((1 << 8 * k) - 1)) | (k << PLACE)
+        context = ((top >> 8) & ((1 << 8 * (k - 1)) - 1)) | ((k - 1) << PLACE)
+        seen, weight = p[np.searchsorted(keys, gram)], g[np.searchsorted(keys, context)]
+        out = np.where(np.isnan(seen), np.where(np.isnan(weight), 1.0, weight) * out, seen)
+    return out
 
 
 def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -56,18 +102,18 @@ def trusted_ids(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(good.cast("int")).alias("good")).where("good = 1").select(F.col(id_col).alias("\x00id"))
 
 
-def trigram_counts(texts: DataFrame, text_col: str) -> DataFrame:
-    """(x, y, z, n): how often each trigram of bytes occurs."""
-    schema = "code int, n long"
+def gram_counts(texts: DataFrame, text_col: str) -> DataFrame:
+    """(gram, n): how often each 5-gram occurs."""
 
     def run(batches):
         for whole in batches:
-            for batch in sliced(whole, 0, AT_ONCE):
-                values, n = np.unique(codes(batch.column(0).to_pylist())[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.astype(np.int32)), pa.array(n.astype(np.int64))], names=["code", "n"])
+            for batch in sliced(whole, 0, 4 << 20):
+                held = np.sort(codes(_bytes(batch.column(0).to_pylist())))
+                if len(held):
+                    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(held[first]), pa.array(np.diff(np.append(first, len(held))))], names=["gram", "n"])
 
-    counted = bounded_batches(texts.select(F.col(f"`{text_col}`"))).mapInArrow(trimmed(run), schema).groupBy("code").agg(F.sum("n").alias("n"))
-    return counted.selectExpr("shiftright(code, 16) AS x", "shiftright(code, 8) & 255 AS y", "code & 255 AS z", "n")
+    return bounded_batches(texts.select(F.col(f"`{text_col}`"))).mapInArrow(trimmed(run), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(counts: DataFrame) -> list[float]:
@@ -81,98 +127,204 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [min(max(v, 0.05), k + 0.95) for k, v in enumerate(d)]
 
 
-def _order(counts: DataFrame, context: list[str]) -> tuple[DataFrame, DataFrame]:
-    """One order's entries with their discounted share ``a`` of the context, and each context's left-over weight ``g``."""
-    d = _discounts(counts)
-    cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    totals = counts.groupBy(*context).agg(F.sum("n").alias("t"), F.sum(F.least(cut, F.col("n"))).alias("left"))
-    weights = totals.select(*context, "t", (F.col("left") / F.col("t")).alias("g"))
-    if context:
-        shares = counts.join(weights, context)
-    else:  # the lowest order has one total
-        row = weights.first()
-        shares = counts.withColumns({"t": F.lit(row["t"]), "g": F.lit(row["g"])})
-    return shares.withColumn("a", F.greatest(F.col("n") - cut, F.lit(0.0)) / F.col("t")).drop("t", "n"), weights.drop("t")
-
-
-@dataclass
-class Model:
-    """Estimates: seen trigrams with their probabilities, bigram probabilities for all pairs, and context weights."""
-
-    seen: np.ndarray
-    p3: np.ndarray
-    p2: np.ndarray
-    g2: np.ndarray
-
-    def table(self) -> np.ndarray:
-        """Negative log probabilities of all 2**24 trigrams."""
-        flat = np.empty((65536, 256), dtype=np.float32)
-        for x in range(256):
-            flat[x * 256 : (x + 1) * 256] = self.g2[x * 256 : (x + 1) * 256, None] * self.p2
-        flat = flat.reshape(-1)
-        flat[self.seen] = self.p3
-        return np.negative(np.log(flat, out=flat), out=flat)
-
-
-def fit(texts: DataFrame, text_col: str = "text") -> Model:
-    """The model of the given texts, by joins of sharded counts."""
-    tri = settle(trigram_counts(texts, text_col), "quality-trigrams")
-    bi = settle(tri.groupBy("y", "z").agg(F.count("*").alias("n")), "quality-bigrams")
-    uni = bi.groupBy("z").agg(F.count("*").alias("n"))
-    s1, w1 = _order(uni, [])
-    s2, w2 = _order(bi, ["y"])
-    s3, w3 = _order(tri, ["x", "y"])
-    p1 = s1.select("z", (F.col("a") + F.col("g") / 256).alias("p1"))
-    p2 = s2.join(p1, "z").select("y", "z", (F.col("a") + F.col("g") * F.col("p1")).alias("p2"))
-    p3 = s3.join(p2, ["y", "z"]).select("x", "y", "z", (F.col("a") + F.col("g") * F.col("p2")).alias("p3"))
-    # All bounded by the alphabet: 2**8, 2**16 and 2**24 rows at most.
-    one, rest1 = p1.toPandas(), w1.toPandas()
-    two, rest2, three, rest3 = p2.toPandas(), w2.toPandas(), p3.toPandas(), w3.toPandas()
-    left = float(rest1["g"].iloc[0]) if len(rest1) and rest1["g"].iloc[0] == rest1["g"].iloc[0] else 1.0
-    u = np.full(256, left / 256 if len(one) else 1 / 256)
-    u[one["z"].to_numpy(dtype=np.int64)] = one["p1"]
-    g1 = np.ones(256)
-    g1[rest2["y"].to_numpy(dtype=np.int64)] = rest2["g"]
-    pairs = g1[:, None] * u[None]
-    pairs[two["y"].to_numpy(dtype=np.int64), two["z"].to_numpy(dtype=np.int64)] = two["p2"]
-    g2 = np.ones(65536)
-    g2[(rest3["x"] * 256 + rest3["y"]).to_numpy(dtype=np.int64)] = rest3["g"]
-    seen = (three["x"] * 65536 + three["y"] * 256 + three["z"]).to_numpy(dtype=np.int64)
-    return Model(seen, three["p3"].to_numpy(dtype=np.float32), pairs.astype(np.float32), g2.astype(np.float32))
-
-
-def perplexities(docs: DataFrame, model: Model, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (all columns), ``n_bytes`` and ``nll``: the summed negative log probability of the text."""
+def fit(texts: DataFrame, text_col: str = "text") -> DataFrame:
+    """The model of the given texts, by joins of sharded counts: (key, p, g) for every gram of 0 to ORDER bytes."""
+    spark = texts.sparkSession
+    counts = {ORDER: settle(gram_counts(texts, text_col), "quality-counts")}
+    for k in range(ORDER - 1, 0, -1):
+        counts[k] = settle(counts[k + 1].groupBy(F.col("gram").bitwiseAND((1 << 8 * k) - 1).alias("gram")).agg(F.count("*").alias("n")), "quality-counts")
+    rows, lower = [], None
+    for k in range(1, ORDER + 1):
+        d = _discounts(counts[k])
+        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
+        own = counts[k].select("gram", "n", F.shiftright("gram", 8).alias("context"), F.col("gram").bitwiseAND((1 << 8 * (k - 1)) - 1).alias("suffix"))
+        weights = own.groupBy("context").agg(F.sum("n").alias("t"), F.sum(F.least(cut, F.col("n"))).alias("left"))
+        weights = settle(weights.select("context", "t", (F.col("left") / F.col("t")).alias("g")), "quality-weights")
+        shares = own.join(weights, "context")
+        if lower is None:
+            chance = F.col("g") / 256
+        else:
+            shares, chance = shares.join(lower, "suffix"), F.col("g") * F.col("q")
+        found = shares.select("gram", (F.greatest(F.col("n") - cut, F.lit(0.0)) / F.col("t") + chance).alias("p"))
+        found = settle(found, "quality-order")
+        rows.append(weights.select((F.col("context") + (k - 1 << PLACE)).alias("key"), F.lit(None).cast("float").alias("p"), F.col("g").cast("float").alias("g")))
+        rows.append(found.select((F.col("gram") + (k << PLACE)).alias("key"), F.col("p").cast("float").alias("p"), F.lit(None).cast("float").alias("g")))
+        lower = found.select(F.col("gram").alias("suffix"), F.col("p").alias("q"))
+    model = rows[0]
+    for more in rows[1:]:
+        model = model.union(more)
+    return settle(model.groupBy("key").agg(F.max("p").alias("p"), F.max("g").alias("g")), "quality-model") if rows else spark.createDataFrame([], "key long, p float, g float")
+
+
+def _prime(least: int) -> int:
+    while any(least % k == 0 for k in range(2, int(least**0.5) + 1)):
+        least += 1
+    return least
+
+
+class _Stretch:
+    """Batches of one stretch, cut to pieces, and the name that its texts give it."""
+
+    def __init__(self, number: int):
+        self.number, self.size, self.part, self.pieces, self.mark = number, 0, -1, [], hashlib.blake2b(digest_size=8)
+
+    def add(self, piece: pa.RecordBatch, raw: list[bytes]) -> None:
+        self.pieces.append(piece)
+        for r in raw:
+            self.mark.update(len(r).to_bytes(8, "little"))
+            self.mark.update(r)
+            self.size += len(r)
+
+    @property
+    def name(self) -> str:
+        return f"{self.part}-{self.number}-{self.mark.hexdigest()}"
+
+
+def stretches(batches, text: int, limit: int) -> Iterator[_Stretch]:
+    """The batches of one partition (its number stands after the texts) in stretches; the same for each reading of the same rows."""
+    held = _Stretch(0)
+    for whole in batches:
+        held.part = whole.column(text + 1)[0].as_py() if whole.num_rows else held.part
+        for piece in sliced(whole, text, min(AT_ONCE, limit)):
+            held.add(piece, _bytes(piece.column(text).to_pylist()))
+            if held.size >= limit:
+                yield held
+                number, part = held.number + 1, held.part
+                held = _Stretch(number)
+                held.part = part
+    if held.pieces:
+        yield held
+
+
+ASKS = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("stretch", T.StringType()), T.StructField("key", T.LongType()), T.StructField("p", T.FloatType()), T.StructField("g", T.FloatType()), T.StructField("keys", T.BinaryType())])
+PARTS = T.StructType([T.StructField("stretch", T.StringType()), T.StructField("at", T.IntegerType()), T.StructField("one", T.BinaryType()), T.StructField("two", T.BinaryType())])
+
+
+def perplexities(docs: DataFrame, model: DataFrame, text_col: str = "text", keep: list[str] | None = None, stretch: int = STRETCH) -> DataFrame:
+    """``keep`` (all columns), ``n_bytes`` and ``nll``: the summed negative log probability of the text. ``docs`` is read twice, by the same partitions."""
     keep = list(docs.columns) if keep is None else keep
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(model)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("\x00text"))
-    added = [free_name(docs, c, keep) for c in ("n_bytes", "nll")]
-    schema = T.StructType([*[docs.schema[c] for c in keep], T.StructField(added[0], T.LongType()), T.StructField(added[1], T.DoubleType())])
     width = len(keep)
+    source = rereadable(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("\x00text")), "quality-texts")
+    source = bounded_batches(source.withColumn("\x00part", F.spark_partition_id()))
+    shards = _prime(max(67, -(-model.count() // SHARD_ROWS)))
+
+    def ask(batches):
+        for held in stretches(batches, width, stretch):
+            top = distinct(np.concatenate([distinct(codes(_bytes(x.column(width).to_pylist()))) for x in held.pieces]))
+            keys = needed(top)
+            shard = keys % shards
+            for k in np.unique(shard):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k], pa.int32()), pa.array([held.name]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float32()), pa.nulls(1, pa.float32()), pa.array([keys[shard == k].tobytes()], pa.binary())], names=ASKS.names
+                )
+
+    def answer(batches):
+        """One partition, by shard: the shard's part of the model comes first, then the stretches that ask."""
+        now, parts, table = None, [], None
+        for batch in batches:
+            shard, asks = batch.column(0).to_numpy(), np.asarray(batch.column(1).is_valid())
+            edges = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (asks[1:] != asks[:-1])])) if len(shard) else []
+            for a, b in zip(edges, [*edges[1:], len(shard)]):
+                if shard[a] != now:
+                    now, parts, table = shard[a], [], None
+                if not asks[a]:
+                    parts.append([batch.column(k).slice(a, b - a).to_numpy(zero_copy_only=False) for k in (2, 3, 4)])
+                    continue
+                if table is None:
+                    table = [np.concatenate(c) for c in zip(*parts)] if parts else [np.zeros(0, np.int64), np.zeros(0, np.float32), np.zeros(0, np.float32)]
+                    parts = []
+                    by_key = np.argsort(table[0])
+                    table = [np.append(c[by_key], end) for c, end in zip(table, (np.int64(-1), np.float32("nan"), np.float32("nan")))]
+                    table[0] = table[0][:-1]
+                for row in range(a, b):
+                    keys = np.frombuffer(batch.column(5)[row].as_buffer(), dtype=np.int64)
+                    at = np.searchsorted(table[0], keys)
+                    hit = at < len(table[0])
+                    hit[hit] = table[0][at[hit]] == keys[hit]
+                    at = np.where(hit, at, len(table[0]))
+                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, 1), pa.array([1 << 30 | int(now)], pa.int32()), pa.array([table[1][at].tobytes()], pa.binary()), pa.array([table[2][at].tobytes()], pa.binary())], names=PARTS.names)
+
+    kept = T.StructType([docs.schema[c] for c in keep])
+
+    def carry(batches):
+        """The texts of each stretch, compressed, with their rows' columns."""
+        for held in stretches(batches, width, stretch):
+            for n, piece in enumerate(held.pieces):
+                texts = _bytes(piece.column(width).to_pylist())
+                raw = b"".join(texts)
+                rows = piece.select(list(range(width))).append_column("\x00n", pa.array([len(t) for t in texts], pa.int64()))
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, rows.schema) as out:
+                    out.write_batch(rows)
+                packed = len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+                yield pa.RecordBatch.from_arrays([pa.array([held.name]), pa.array([n], pa.int32()), pa.array([packed], pa.binary()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=PARTS.names)
 
-    def run(batches):
-        cost = shared.value.table()
-        for whole in batches:
-            for batch in sliced(whole, width, AT_ONCE):
-                at, sizes = codes(batch.column(width).to_pylist())
-                sums = np.concatenate([[0.0], np.cumsum(cost[at], dtype=np.float64)])
-                ends = np.cumsum(sizes)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:width], pa.array(sizes), pa.array(sums[ends] - sums[ends - sizes])], names=schema.names)
-
-    return bounded_batches(source).mapInArrow(trimmed(run), schema)
-
-
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", low: float = LOW, high: float = HIGH) -> DataFrame:
-    """One row per document: doc_id, lang, n_bytes, perplexity (of a byte), score, keep."""
+    added = [free_name(docs, c, keep) for c in ("n_bytes", "nll")]
+    schema = T.StructType([*kept.fields, T.StructField(added[0], T.LongType()), T.StructField(added[1], T.DoubleType())])
+
+    def rate(batches):
+        """One partition, by stretch: its texts come first, then the answers of all shards."""
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        out_schema = to_arrow_schema(schema)
+        now, texts, answers = None, [], {}
+
+        def unpacked(packed, sizes):
+            raw, n = packed[8:], int.from_bytes(packed[:8], "little")
+            raw = pa.decompress(raw, decompressed_size=n, codec="zstd", asbytes=True) if n else b""
+            ends = np.cumsum(sizes)
+            return [raw[e - s : e] for e, s in zip(ends.tolist(), sizes.tolist())]
+
+        def rated():
+            rows = [pa.ipc.open_stream(two).read_all().combine_chunks() for _, two in texts]
+            sizes = [r.column(width).to_numpy() for r in rows]
+            top = distinct(np.concatenate([distinct(codes(unpacked(one, s))) for (one, _), s in zip(texts, sizes)]))
+            keys = needed(top)
+            shard = keys % shards
+            p, g = np.empty(len(keys), dtype=np.float32), np.empty(len(keys), dtype=np.float32)
+            for k in np.unique(shard):
+                if int(k) not in answers:
+                    raise RuntimeError(f"stretch {now} has no answer: the documents changed between two readings")
+                own = shard == k
+                p[own], g[own] = (np.frombuffer(x, dtype=np.float32) for x in answers[int(k)])
+            cost = -np.log(chances(top, keys, p.astype(np.float64), g.astype(np.float64)))
+            for (one, _), s, r in zip(texts, sizes, rows):
+                sums = np.concatenate([[0.0], np.cumsum(cost[np.searchsorted(top, codes(unpacked(one, s)))])])
+                ends = np.cumsum(s)
+                columns = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in r.columns[:width]]
+                yield pa.RecordBatch.from_arrays([*[c.cast(f.type) for c, f in zip(columns, out_schema)], pa.array(s), pa.array(sums[ends] - sums[ends - s])], schema=out_schema)
+
+        for batch in batches:
+            for name, at, one, two in zip(*(batch.column(k) for k in range(4))):
+                if (name := name.as_py()) != now:
+                    if texts:
+                        yield from rated()
+                    now, texts, answers = name, [], {}
+                if (at := at.as_py()) < 1 << 30:
+                    texts.append((one.as_py(), two.as_py()))
+                else:
+                    answers[at ^ 1 << 30] = (one.as_py(), two.as_py())
+        if texts:
+            yield from rated()
+
+    shared = model.select(F.expr(f"cast(pmod(key, {shards}) AS int)").alias("shard"), F.lit(None).cast("string").alias("stretch"), "key", "p", "g", F.lit(None).cast("binary").alias("keys"))
+    met = shared.union(source.mapInArrow(trimmed(ask), ASKS)).repartition("shard").sortWithinPartitions("shard", "stretch")
+    answers = met.mapInArrow(trimmed(answer), PARTS)
+    texts = source.mapInArrow(trimmed(carry), PARTS)
+    return answers.union(texts).repartition("stretch").sortWithinPartitions("stretch", "at").mapInArrow(trimmed(rate), schema)
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", high: float = HIGH) -> DataFrame:
+    """One row per document: doc_id, lang, text_hash, n_bytes, perplexity (of a byte), score, keep."""
     good = small(settle(trusted_ids(labels, id_col), "quality-trusted"))
-    trusted = docs.join(good, docs[id_col] == good["\x00id"], "left_semi")
-    model = fit(trusted, text_col)
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("\x00t"))
-    scored = perplexities(slim, model, "\x00t", ["doc_id", "lang"])
-    scored = settle(scored, "quality-scores")
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("\x00t"))
+    trusted = slim.join(good, F.col("doc_id") == good["\x00id"], "left_semi")
+    held_out = F.pmod("text_hash", F.lit(HELD_OUT)) == 0
+    model = fit(trusted.where(~held_out), "\x00t")
+    scored = settle(perplexities(slim, model, "\x00t", ["doc_id", "lang", "text_hash"]), "quality-scores")
     known = scored.where("n_bytes > 0").join(good, F.col("doc_id") == good["\x00id"], "left_semi")
-    known = settle(known, "quality-known")
+    some = settle(known.where(held_out), "quality-held-out")
+    known = some if some.take(1) else known
     means = known.groupBy("lang").agg(F.count("*").alias("docs"), (F.sum("nll") / F.sum("n_bytes")).alias("mean"))
     means = means.where(F.col("docs") >= LEAST_FOR_MEAN).select(F.col("lang").alias("l"), "mean")
     whole = known.agg((F.sum("nll") / F.sum("n_bytes")).alias("mean")).first()["mean"]
@@ -182,20 +334,20 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         mean = F.coalesce("mean", F.lit(float(whole or 0.0)))
         return joined.withColumn("score", F.when(F.col("n_bytes") > 0, (F.col("nll") - mean * F.col("n_bytes")) / (F.col("n_bytes") + PRIOR))).drop("mean")
 
-    ends = [F.percentile_approx("score", p, 20_000).alias(n) for p, n in ((low, "low"), (high, "high"))]
+    end = F.percentile_approx("score", high, 20_000).alias("high")
     rated = with_score(known)
-    bounds = rated.groupBy("lang").agg(F.count("*").alias("docs"), *ends).where(F.col("docs") >= LEAST_TRUSTED).select(F.col("lang").alias("l"), "low", "high")
-    low_all, high_all = rated.agg(*ends).first()
+    bounds = rated.groupBy("lang").agg(F.count("*").alias("docs"), end).where(F.col("docs") >= LEAST_TRUSTED).select(F.col("lang").alias("l"), "high")
+    high_all = rated.agg(end).first()["high"]
     out = with_score(scored)
     out = out.join(small(bounds, 10_000), out["lang"].eqNullSafe(F.col("l")), "left")
-    inside = F.col("score").between(F.coalesce("low", F.lit(low_all)) - SLACK, F.coalesce("high", F.lit(high_all)) + SLACK)
-    keep = F.col("score").isNotNull() & (inside if low_all is not None else F.lit(True))
-    return out.select("doc_id", "lang", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(F.col("nll") / F.col("n_bytes"))).alias("perplexity"), "score", keep.alias("keep"))
+    inside = F.col("score") <= F.coalesce("high", F.lit(high_all)) + SLACK
+    keep = F.col("score").isNotNull() & (inside if high_all is not None else F.lit(True))
+    return out.select("doc_id", "lang", "text_hash", "n_bytes", F.when(F.col("n_bytes") > 0, F.exp(F.col("nll") / F.col("n_bytes"))).alias("perplexity"), "score", keep.alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The kept documents with all their columns; rows of a null id are judged by the empty-text rule alone."""
-    found = classify(docs, labels, id_col, text_col, lang_col)
-    gone = small(found.where("NOT keep AND doc_id IS NOT NULL").select(F.col("doc_id").alias("\x00gone")).distinct())
-    kept = docs.join(gone, docs[id_col] == gone["\x00gone"], "left_anti")
-    return kept.where(F.coalesce(F.length(text_col), F.lit(0)) > 0)
+    """The kept documents with all their columns; each row is judged by its own id, language and text."""
+    found = settle(classify(docs, labels, id_col, text_col, lang_col), "quality-found")
+    gone = small(settle(found.where("NOT keep").select(F.col("doc_id").alias("\x00gone"), F.col("lang").alias("\x00lang"), F.col("text_hash").alias("\x00hash")).distinct(), "quality-gone"))
+    same = docs[id_col].eqNullSafe(gone["\x00gone"]) & docs[lang_col].eqNullSafe(gone["\x00lang"]) & (F.xxhash64(docs[text_col]) == gone["\x00hash"])
+    return docs.join(gone, same, "left_anti")
