@@ -126,6 +126,72 @@ def test_lexed_secrets_have_no_caps():
         secrets.scan(odd * 20_000)
 
 
+SYNTAX = [
+    '{n} = "{v}"', "{n} = '{v}'", "{n}: `{v}`", '{n} = """{v}"""', '{n}\n  = "{v}"', '{n} := "{v}"', '"{n}" => "{v}"', '{n}: str = "{v}"', '{n}: Map[str, int] = "{v}"', '"{n}"\n: "{v}"', 'table["{n}"] = "{v}"',
+    'set("{n}", "{v}")', "<{n}>{v}</{n}>", '<add key="{n}" value="{v}"/>', '{{"name": "{n}", "type": "x", "value": "{v}"}}', "- name: {n}\n  value: {v}", "{n}={v}", "{n}: |\n    {v}\n", '{n} = Wrapped("{v}")', '{n} = rb"{v}"', 'x = {n} = "{v}"',
+]
+
+
+def test_every_syntax_gives_its_literal():
+    found = lambda t: [t[s["start"] : s["end"]] for s in secrets.scan(t) if s["kind"] == "literal"]
+    for form in SYNTAX:
+        for name in ("db_pwd", "Signing_Key2", "pass_phrase", "private__key", "a" * 200 + "_pwd"):
+            assert found("color: 1\n" + form.format(n=name, v="Zx81Qm44tTyy09") + "\nport = 8") == ["Zx81Qm44tTyy09"], (form, name)
+        assert found("pwd_hint = 1\n" + form.format(n="color", v="Zx81Qm44tTyy09")) == []
+
+
+def test_constants_are_propagated_by_order_and_scope():
+    found = lambda t: [t[s["start"] : s["end"]] for s in secrets.scan(t) if s["kind"] == "literal"]
+    one, two = "aB3$kd93kdLLq", "Zx81Qm44tTyy09"
+    assert found(f'k1 = "{one}"; db_pwd = k1') == found(f'KEY2 = "{one}"; k = KEY2; pwd = k') == found(f'pwd = LATE1\nLATE1 = "{one}"') == [one]
+    assert found(f'k = "{one}"\nk = "{two}"\npwd = k') == [two] and found(f'k = "{one}"\npwd = k\nk = "{two}"') == [one]
+    assert found(f'{{ k = "{one}" }} pwd = k') == [] and found(f'k = "{one}"; {{ k = "{two}"; }} pwd = k') == [one]
+    assert found(f'def a():\n    k = "{one}"\ndef b():\n    pwd = k\n') == [] and found(f'def a():\n    k = "{one}"\n    pwd = k\n') == [one]
+    assert found(f'k = "{one}"\ndef a():\n    j = 1\ndef b():\n    pwd = k') == [one] and found(f'pwd = "abc" + k\nk = "{one}"') == [one]
+    assert found("pwd = pwd") == found("pwd = get_password()") == found("pwd = some_other_value") == [] and found("pwd = hunter2xY9z") == ["hunter2xY9z"]
+    chain = f'k0 = "{one}"\n' + "".join(f"k{i + 1} = k{i}\n" for i in range(3000)) + "pwd = k3000"
+    assert found(chain) == [one]
+
+
+def plain_program(rng):
+    """A program with the spans of its sensitive literals, found by keeping each name's last literal."""
+    text, last, want = "", {}, set()
+    for _ in range(rng.randrange(1, 40)):
+        name = rng.choice(["color", "port2", "db_pwd", "signingKey", "k1", "k2", "k3", "KEY"])
+        if last and rng.random() < 0.4:
+            other = rng.choice(sorted(last))
+            text += f"{name} = "
+            last[name] = last[other]
+            text += f"{other}\n"
+        else:
+            value = "".join(rng.choice("abcdefgABCDEFG0123456789$!") for _ in range(rng.choice([16, 20, 5000]))) + "aB3"
+            before, after = rng.choice([(f'{name} = "', '"\n'), (f"{name}: '", "',\n"), (f"{name} := `", "`;\n"), (f'"{name}": """', '"""\n'), (f'f(1)\nset("{name}", "', '")\n'), (f"<{name}>", f"</{name}>\n")])
+            last[name] = (len(text) + len(before), len(text) + len(before) + len(value))
+            text += before + value + after
+        if name in ("db_pwd", "signingKey"):
+            want.add(last[name])
+    return text, sorted(want)
+
+
+def test_lexer_against_a_plain_reading_of_random_programs():
+    rng = random.Random(31)
+    for _ in range(300):
+        text, want = plain_program(rng)
+        assert [(s["start"], s["end"]) for s in secrets.scan(text) if s["kind"] == "literal"] == want, text[:400]
+
+
+def test_lexer_time_grows_with_the_text():
+    import time
+
+    for odd in ("auth a ", "auth { a=b ", 'auth = "\\', "auth=x", "<auth>", "auth: b[", 'auth="a" + b', 'auth="a", ', 'f("auth" ,', "auth=`", 'auth="""x', "auth    ", "auth = \\\n", "def a():\n  auth=1\n", "auth: |\n"):
+        took = []
+        for n in (20_000, 80_000):
+            start = time.process_time()
+            secrets.scan(odd * n)
+            took.append(time.process_time() - start)
+        assert took[1] < 8 * took[0] + 0.5, odd
+
+
 def test_secret_defined_cases(spark):
     out = secrets.scan_secrets(edge(spark, "secret_spans"))
     assert out.count() == len(EDGE) and "secret_spans_" in out.columns

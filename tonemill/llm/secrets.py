@@ -3,16 +3,23 @@
 Two layers give spans (code points, end exclusive) in every whole text:
 
 * base: fixed patterns for assigned secrets, access keys and long hexadecimal runs;
-* lexed (kind ``literal``): source and configuration syntax is parsed into name-literal pairs (``name = "x"``,
-  ``"name": "x"``, ``name => x``, ``NAME=x``, ``<name>x</name>``, adjacent or added string parts), constants are
-  propagated (``password = key`` scores the literal that ``key`` was given), and a literal counts if its own
-  score times the sensitivity of the names it reaches is at least ``THRESHOLD``.
+* lexed (kind ``literal``): a lexer passes over the text once and parses source and configuration syntax into name-literal
+  pairs; constants are propagated (``password = key`` scores the literal that ``key`` was given), and a literal counts
+  if its own score times the sensitivity of the names it reaches is at least ``THRESHOLD``.
+
+The lexer knows ``name = "x"`` (also ``:=``, ``=>``, ``?=``, ``+=``, over line breaks), ``"name": "x"``, ``name: Type = "x"``,
+``table["name"] = "x"``, ``call("name", "x")``, ``NAME=x``, ``<name>x</name>``, ``key="name" value="x"``, block scalars
+(``name: |``), single, double, back and triple quotes with escapes and prefixes, a literal wrapped in one call, and parts that are
+added or adjacent. Nothing is capped; it reads each character a bounded number of times. A value that is a bare name
+counts as a constant if the text defines that name, as a literal if it doesn't and the name holds a digit, and as nothing
+otherwise. A constant means the last definition before it within the open braces around it (local names end with their
+function), else the first one after it.
 
 Lexed spans never remove base spans; one that a base span covers whole is not added.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows are scanned alike; names that are
-assigned in a circle stop after each name was followed once; other columns pass through, and on a clash the
-added column gets a trailing underscore.
+assigned in a circle are each followed once; other columns pass through, and on a clash the added column gets a
+trailing underscore.
 """
 
 from __future__ import annotations
@@ -51,25 +58,29 @@ SENSITIVE = {
     "credential": 0.9, "credentials": 0.9, "privatekey": 1.0, "accesskey": 1.0, "secretkey": 1.0, "auth": 0.7,
     "bearer": 0.8, "signingkey": 0.9, "encryptionkey": 0.9, "salt": 0.6,
 }
-LEX_HINTS = re.compile("pass(?:w|phrase)|pwd|secret|token|api.?key|credential|private.?key|access.?key|signing.?key|encryption.?key|auth|bearer|salt")
 PLACEHOLDERS = re.compile(r"(?i)example|changeme|placeholder|your[-_ ]|dummy|xxxx|\*\*\*\*|<[^>]*>|\$\{|todo|none|null|true|false")
 
-# Possessive repeats: nothing is capped, and every literal is passed over once.
-_NAME = r"[A-Za-z_][A-Za-z0-9_.\-]*+"
-_QUOTED = "|".join(
-    [rf"""{q}{{3}}[^{q}\\]*+(?:(?:\\[\s\S]|{q}(?!{q}{q}))[^{q}\\]*+)*+{q}{{3}}""" for q in "\"'"] + [rf"""{q}[^{q}\\\n]*+(?:\\.[^{q}\\\n]*+)*+{q}""" for q in "\"'"]
-)
-# Parts are added with a plus sign (also across lines), or adjacent: on one line, after a line's last backslash, or within parentheses.
-_PLUS, _NEXT = r"[\x20\t\r\n]*+\+[\x20\t\r\n]*+", r"[\x20\t]*+(?:\\\r?\n[\x20\t]*+)?"
-PAIR = re.compile(
-    rf"""(?P<q>["']?)(?<![A-Za-z0-9_.\-])(?P<name>{_NAME})(?P=q)(?:\x20*:\x20*[A-Za-z_][A-Za-z0-9_\[\]]*+(?=\x20*=))?[\x20\t]*(?:=>|:=|=|:)[\x20\t]*"""
-    rf"""(?P<value>(?:{_QUOTED})(?:(?:{_PLUS}|{_NEXT})(?:{_QUOTED}))*+|\([\x20\t\r\n]*+(?:{_QUOTED})(?:(?:{_PLUS}|[\x20\t\r\n]*+)(?:{_QUOTED}))*+|[A-Za-z0-9+/_.=\-!@#$%^&*]+)"""
-    rf"""|<(?P<tag>{_NAME})>(?P<body>[^<]++)</(?P=tag)>"""
-)
-PART = re.compile(_QUOTED)
 #: Longer literals hold a placeholder's letters by chance.
 LONG = 256
-BARE_NAME = re.compile(rf"{_NAME}\Z")
+
+# Pieces of syntax, matched where the lexer stands; possessive repeats, so each is linear.
+_NAME = r"[A-Za-z_][A-Za-z0-9_]*+(?:[.\-][A-Za-z0-9_]++)*+"
+_GAP = r"(?:[\x20\t\r\n]|\\\r?\n)*+"
+EVENT = re.compile(rf"""(?<![A-Za-z0-9_])(?P<name>(?:def|func|function|fn|sub)(?=\x20)|{_NAME}(?=["'`]?{_GAP}[=:?+]|["'`]{_GAP}[\],]))|[{{}}<]""")
+NAME = re.compile(_NAME)
+TAG = re.compile(rf"<(?P<tag>{_NAME})>(?P<body>[^<]++)</(?P=tag)>")
+GAP, BLANKS = re.compile(_GAP), re.compile(r"[\x20\t]*+")
+ANNOTATED = re.compile(r":[\x20\t]*+[A-Za-z_][A-Za-z0-9_.]*+(?:\[[^\[\]\n]*+\])?[\x20\t]*+=(?![=>~])")
+GIVES = re.compile(r"=>|:=|\?=|\+=|=(?![=~>])|:(?![:/])")
+_SINGLE = "|".join(rf"""{q}[^{q}\\\n]*+(?:\\[\s\S][^{q}\\\n]*+)*+{q}""" for q in "\"'")
+_TRIPLE = "|".join(rf"""{q}{{3}}[^{q}\\]*+(?:(?:\\[\s\S]|{q}(?!{q}{q}))[^{q}\\]*+)*+{q}{{3}}""" for q in "\"'")
+QUOTED = re.compile(rf"(?P<prefix>[rRbBfFuUlL@$]{{0,2}})(?:(?P<triple>{_TRIPLE})|{_SINGLE}|`[^`]*+`)")
+BARE = re.compile(r"[A-Za-z0-9+/_.=\-!@#$%^&*]++")
+BLOCK = re.compile(r"[|>][+\-0-9]*+[\x20\t]*+(?:\#[^\n]*+)?\r?\n")
+LINE = re.compile(r"([\x20\t]*+)([^\n]*+)\n?")
+ADDED, NEXT_WITHIN, NEXT = re.compile(r"[\x20\t\r\n]*+(?:\\\r?\n)?[\x20\t]*+(?:\+|\.(?=[\x20\t]*+[\"'`]))(?!=)" + _GAP), re.compile(r"[\x20\t\r\n]*+"), re.compile(r"[\x20\t]*+(?:\\\r?\n[\x20\t]*+)?")
+#: Words that open a function, and names whose literal names the ``value`` that follows.
+FUNCTIONS, NAMING, VALUES = {"def", "func", "function", "fn", "sub"}, {"key", "name", "id"}, {"value", "val", "content", "default"}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -101,43 +112,209 @@ def literal_score(value: str) -> float:
     return min(1.0, n / 12) * min(1.0, entropy / 3) * (0.4 if classes == 1 else 1.0)
 
 
+class _Lexer:
+    """One pass over a text: literals, and definitions that hold literals and other definitions."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.literals: list[tuple[int, int, str]] = []
+        #: Each definition: target name, its literals, the definitions that it uses.
+        self.made: list[tuple[str, list[int], list[int]]] = []
+        #: The definitions of each name that are in sight, the last one last; by open brace, the names set there with their line's indent.
+        self.sight: dict[str, list[int]] = {}
+        self.scopes: list[list[tuple[str, int]]] = [[]]
+        #: How far lines are known, and where the last one begins.
+        self.known, self.line = 0, 0
+        self.first: dict[str, list[int]] = {}
+        #: Uses that no earlier definition answers: (definition, name, the literal it is otherwise).
+        self.open: list[tuple[int, str, int | None]] = []
+
+    def run(self) -> None:
+        text, at, named = self.text, 0, None
+        while m := EVENT.search(text, at):
+            name, at = m["name"], m.end()
+            if name is None:
+                named = None
+                if m[0] == "{":
+                    self.scopes.append([])
+                elif m[0] == "}":
+                    if len(self.scopes) > 1:
+                        for gone, _ in self.scopes.pop():
+                            self.sight[gone].pop()
+                elif tag := TAG.match(text, m.start()):
+                    body = tag["body"].strip()
+                    if body:
+                        start = tag.start("body") + tag["body"].index(body)
+                        self.define(tag["tag"], [self.literal(start, start + len(body), "".join(x.strip() for x in body.splitlines()))], [], tag.start())
+                    at = tag.end()
+                continue
+            if name in FUNCTIONS:
+                self.leave(m.start())
+                continue
+            value = self.given(m.start(), at)
+            if value is None:
+                continue
+            place, literals, uses, at = value
+            target = named if named and name.lower() in VALUES else name
+            if name.lower() in NAMING and len(literals) + len(uses) == 1:
+                named = self.literals[literals[0]][2] if literals else uses[0][0]
+            if place == "+=":
+                uses.append((target, None))
+            self.define(target, literals, uses, m.start())
+
+    def given(self, start: int, end: int) -> tuple | None:
+        """What the name at ``start`` is given: operator, literals, uses (name, literal it is otherwise), where to go on."""
+        text = self.text
+        quote = text[start - 1] if start and text[start - 1] in "\"'`" and text[end : end + 1] == text[start - 1] else ""
+        after = GAP.match(text, end + len(quote)).end()
+        if quote and text[after : after + 1] == "]":
+            after = GAP.match(text, after + 1).end()
+        if quote and text[after : after + 1] == "," and text[max(0, start - 2) : start - 1] == "(":
+            place, at = ",", after + 1
+        elif m := ANNOTATED.match(text, after):
+            place, at = "=", m.end()
+        elif (m := GIVES.match(text, after)) and (quote or m[0] != ":" or "\n" not in text[end:after]):
+            place, at = m[0], m.end()
+        else:
+            return None
+        if place == ":" and (block := BLOCK.match(text, BLANKS.match(text, at).end())):
+            return self.block(start, block.end())
+        blank = BLANKS.match(text, at).end()
+        value = GAP.match(text, at).end()
+        within = text[value : value + 1] == "("
+        if within:
+            value = NEXT_WITHIN.match(text, value + 1).end()
+        if QUOTED.match(text, value):
+            return self.parts(place, value, within)
+        if within or place == ",":
+            return None
+        m = BARE.match(text, blank)
+        if not m:
+            return None
+        word = m[0].lstrip("$%@")
+        if NAME.fullmatch(word):
+            if text[m.end() : m.end() + 1] == "(":  # a call: its one literal is what it gives
+                inner = NEXT_WITHIN.match(text, m.end() + 1).end()
+                if q := QUOTED.match(text, inner):
+                    if text.startswith(")", NEXT_WITHIN.match(text, q.end()).end()):
+                        return self.parts(place, inner, True)
+                return None
+            otherwise = self.literal(m.start(), m.end(), m[0]) if any(c.isdigit() for c in m[0]) else None
+            found = place, [], [(word, otherwise)], m.start() + len(m[0]) - len(word)
+            follows = ADDED.match(text, m.end())
+            if follows and "+" in follows[0] and QUOTED.match(text, follows.end()):
+                _, literals, uses, at = self.parts(place, follows.end(), False)
+                return place, literals, [*found[2], *uses], at
+            return found
+        return place, [self.literal(m.start(), m.end(), m[0])], [], m.end()
+
+    def parts(self, place: str, at: int, within: bool) -> tuple:
+        """A literal of one part or more, added or adjacent."""
+        text, spans, uses = self.text, [], []
+        while m := QUOTED.match(text, at):
+            k, start = 3 if m["triple"] else 1, m.end("prefix")
+            spans.append((start + k, m.end() - k))
+            at = m.end()
+            if (more := ADDED.match(text, at)) is not None:
+                while more is not None and not QUOTED.match(text, more.end()) and (word := NAME.match(text, more.end())):
+                    uses.append((word[0], None))
+                    at = word.end()
+                    more = ADDED.match(text, at)
+                if more is None or not QUOTED.match(text, more.end()):
+                    break
+                at = more.end()
+            else:
+                follows = (NEXT_WITHIN if within else NEXT).match(text, at).end()
+                if not QUOTED.match(text, follows):
+                    break
+                at = follows
+        return place, [self.literal(spans[0][0], spans[-1][1], "".join(text[a:b] for a, b in spans))], uses, at
+
+    def block(self, start: int, at: int) -> tuple | None:
+        """A block scalar: the lines that are indented more than the line of its name."""
+        text, first = self.text, None
+        depth = self.indent(start)
+        lines, end = [], at
+        while at < len(text):
+            m = LINE.match(text, at)
+            if m[2].strip():
+                if len(m[1]) <= depth:
+                    break
+                first = m.start(2) if first is None else first
+                lines.append(m[2].strip())
+                end = m.start(2) + len(m[2].rstrip())
+            at = m.end()
+        return (":", [self.literal(first, end, "".join(lines))], [], end) if lines else None
+
+    def indent(self, at: int) -> int:
+        if at > self.known:
+            self.line = max(self.line, self.text.rfind("\n", self.known, at) + 1)
+            self.known = at
+        return len(BLANKS.match(self.text, self.line)[0])
+
+    def literal(self, start: int, end: int, value: str) -> int:
+        self.literals.append((start, end, value))
+        return len(self.literals) - 1
+
+    def leave(self, at: int) -> None:
+        """A function begins: what was set deeper than its line is out of sight."""
+        depth, names = self.indent(at), self.scopes[-1]
+        while names and names[-1][1] > depth:
+            self.sight[names.pop()[0]].pop()
+
+    def define(self, name: str, literals: list[int], uses: list[tuple[str, int | None]], at: int) -> None:
+        me, seen = len(self.made), []
+        self.made.append((name, literals, seen))
+        for word, otherwise in uses:
+            found = next((self.sight[k][-1] for k in (word, word.rpartition(".")[2]) if self.sight.get(k)), None)
+            if found is None:
+                self.open.append((me, word, otherwise))
+            else:
+                seen.append(found)
+        self.sight.setdefault(name, []).append(me)
+        self.scopes[-1].append((name, self.indent(at)))
+        self.first.setdefault(name, []).append(me)
+
+    def scores(self) -> list[float]:
+        """For each literal the highest sensitivity of the names that it reaches."""
+        for me, word, otherwise in self.open:
+            after = [v[k] for v in (self.first.get(word, ()), self.first.get(word.rpartition(".")[2], ())) if (k := bisect_right(v, me)) < len(v)]
+            if after:
+                self.made[me][2].append(after[0])
+            elif otherwise is not None:
+                self.made[me][1].append(otherwise)
+        best, done = [0.0] * len(self.literals), [False] * len(self.made)
+        rated = sorted(((name_score(name), me) for me, (name, _, _) in enumerate(self.made)), key=lambda x: (-x[0], x[1]))
+        for score, me in rated:
+            if not score:
+                break
+            todo = [] if done[me] else [me]
+            done[me] = True
+            while todo:
+                _, literals, uses = self.made[todo.pop()]
+                for k in literals:
+                    best[k] = max(best[k], score)
+                for other in uses:
+                    if not done[other]:
+                        done[other] = True
+                        todo.append(other)
+        return best
+
+
+def sensitive_names(text: str) -> bool:
+    """Whether any name of the text can be sensitive: what joins a name's parts is left out, as ``name_score`` does."""
+    flat = text.lower().encode("utf-8", "surrogatepass").translate(None, b"_.-")
+    return any(word in flat for word in _FLAT)
+
+
+_FLAT = sorted({w.encode() for w in SENSITIVE if not any(v != w and v in w for v in SENSITIVE)})
+
+
 def lexed(text: str) -> list[tuple[int, int, float]]:
     """(start, end, score) of the literals that sensitive names reach."""
-    literals: list[tuple[int, int, str]] = []
-    given: dict[str, list[int]] = {}
-    same: dict[str, set[str]] = {}
-    for m in PAIR.finditer(text):
-        name, group = (m["name"], "value") if m["name"] else (m["tag"], "body")
-        value, at = m[group], m.start(group)
-        parts = []
-        for p in PART.finditer(value) if group == "value" and value[0] in "\"'(" else ():
-            k = 3 if len(p[0]) >= 6 and p[0][:3] in ('"""', "'''") else 1
-            parts.append((at + p.start() + k, at + p.end() - k, p[0][k:-k]))
-        if parts:
-            literals.append((parts[0][0], parts[-1][1], "".join(p[2] for p in parts)))
-            given.setdefault(name, []).append(len(literals) - 1)
-        elif group == "value" and BARE_NAME.match(value) and not any(c.isdigit() for c in value):
-            same.setdefault(name, set()).add(value)
-        else:
-            inner = value.strip()
-            start = at + value.index(inner)
-            literals.append((start, start + len(inner), "".join(line.strip() for line in inner.splitlines())))
-            given.setdefault(name, []).append(len(literals) - 1)
-    best = [0.0] * len(literals)
-    for target in [*given, *same]:
-        score = name_score(target)
-        if not score:
-            continue
-        seen, todo = {target}, [target]
-        while todo:
-            name = todo.pop()
-            for k in given.get(name, ()):
-                best[k] = max(best[k], score)
-            for other in same.get(name, ()):
-                if other not in seen:
-                    seen.add(other)
-                    todo.append(other)
-    return [(s, e, round(b * q, 4)) for (s, e, v), b in zip(literals, best) if b and (q := literal_score(v)) * b >= THRESHOLD]
+    lexer = _Lexer(text)
+    lexer.run()
+    return [(s, e, round(b * q, 4)) for (s, e, v), b in zip(lexer.literals, lexer.scores()) if b and (q := literal_score(v)) * b >= THRESHOLD]
 
 
 def scan(text: str | None) -> list[dict]:
@@ -145,7 +322,7 @@ def scan(text: str | None) -> list[dict]:
     text = text or ""
     base = base_spans(text)
     out = [{"kind": k, "start": s, "end": e, "base": True, "score": 1.0} for s, e, k in base]
-    if LEX_HINTS.search(text.lower()):
+    if sensitive_names(text):
         starts, reach = [s for s, _, _ in sorted(base)], list(accumulate((e for _, e, _ in sorted(base)), max))
         out += [{"kind": "literal", "start": s, "end": e, "base": False, "score": v} for s, e, v in lexed(text) if not ((k := bisect_right(starts, s)) and reach[k - 1] >= e)]
     return sorted(out, key=lambda x: (x["start"], KINDS.index(x["kind"])))
