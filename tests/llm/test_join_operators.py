@@ -64,6 +64,31 @@ def test_decontamination_beyond_the_broadcast_bound(spark, monkeypatch):
     assert sorted(map(str, decontaminate.digest_columns(decontaminate.contamination(docs, bench)).collect())) == want
 
 
+def test_decontamination_exchanges_no_texts(spark, monkeypatch, capsys):
+    """Beyond the broadcast bound: what is exchanged for positions has no words, and no joined key is null."""
+    monkeypatch.setattr(decontaminate, "small", lambda df, *a: df)
+    plans = []
+
+    def settle(df, name):
+        df.explain("formatted")
+        plans.append((name, capsys.readouterr().out))
+        return common_settle(df, name)
+
+    common_settle = decontaminate.settle
+    monkeypatch.setattr(decontaminate, "settle", settle)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [(1, "one two three four five " * 8000), (1, "a b"), (None, "x one two three four five six")]
+        out = decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, "one two three four five")], "item_id long, text string"))
+        got = {(r.doc_id, r.n_words): (r.n_hit, r.n_items) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(1, 40000): (40000, 1), (1, 2): (0, 0), (None, 7): (5, 1)}
+    positions = dict(plans)["decontaminate-positions"]
+    exchanged = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", positions)
+    assert exchanged and not any("words" in x or "text#" in x for x in exchanged)
+
+
 def plain_components(rows):
     sets = {}
     for i, t in rows:

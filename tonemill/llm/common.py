@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Broadcast a counted side up to this many rows; beyond it the same join runs as a shuffle join.
-BROADCAST_ROWS = 500_000
+#: Broadcast a counted side up to this many rows and bytes; beyond either the same join runs as a shuffle join.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 #: Arrow batches handed to Python are cut again to about this many text bytes.
 SLICE_BYTES = 4 << 20
 
@@ -68,8 +68,16 @@ def rereadable(df: DataFrame, name: str) -> DataFrame:
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it is counted to hold at most ``limit`` rows, else as it is (the join then shuffles)."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+    """``df`` with a broadcast hint if it is counted to hold at most ``limit`` rows and BROADCAST_BYTES bytes, else as it is (the join then
+    shuffles). Give it settled frames: what it counts is read again by the join."""
+    size = F.lit(16 * len(df.columns))
+    for f in df.schema.fields:
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            size = size + F.coalesce(F.octet_length(F.col(f"`{f.name}`")), F.lit(0))
+        elif isinstance(f.dataType, T.ArrayType):
+            size = size + 32 * F.greatest(F.coalesce(F.size(F.col(f"`{f.name}`")), F.lit(0)), F.lit(0))
+    row = df.limit(limit + 1).agg(F.count("*"), F.sum(size.cast("long"))).first()
+    return F.broadcast(df) if row[0] <= limit and (row[1] or 0) <= BROADCAST_BYTES else df
 
 
 def free_name(df: DataFrame, name: str, keep: list[str] | None = None) -> str:
