@@ -6,6 +6,7 @@ larger than the product of the bins, whatever the input's size. Trees are scored
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -81,12 +82,40 @@ def fit(features: list[str], x: np.ndarray, pos: np.ndarray, neg: np.ndarray, ro
     return model
 
 
-def calibrate(model: Boosted, x: np.ndarray, pos: np.ndarray, neg: np.ndarray, precision: float) -> None:
-    """Set the lowest threshold at which the rows at or over it hold at least this share of positives (over 1 if none does)."""
+def calibrate(model: Boosted, x: np.ndarray, pos: np.ndarray, neg: np.ndarray, precision: float, labelled: float = 1.0) -> None:
+    """Set the lowest threshold at which the rows at or over it hold at least this share of positives (over 1 if none does).
+
+    ``labelled``: the share of positives that are known as such; where it is below 1, a cell's positives are estimated as its
+    known ones over that share, and no more than its rows.
+    """
     model.threshold = 2.0
-    if model.trees:
+    if model.trees and labelled > 0:
         p = np.round(model.score(x), 9)
+        true = np.minimum(pos / labelled, pos + neg)
         for t in np.unique(p)[::-1]:
             over = p >= t
-            if pos[over].sum() >= precision * (pos[over].sum() + neg[over].sum()):
+            if pos[over].sum() and true[over].sum() >= precision * (pos[over].sum() + neg[over].sum()):
                 model.threshold = float(t)
+
+
+def labelled_share(model: Boosted, x: np.ndarray, pos: np.ndarray, least: float = 0.3) -> float:
+    """Which share of positives is known: the lower quartile of known positives' scores (bins where all are known say nothing of the others), ``least`` at least."""
+    if not pos.sum() or not model.trees:
+        return 0.0
+    score = model.score(x)
+    order = np.argsort(score)
+    return max(least, float(score[order][np.searchsorted(np.cumsum(pos[order]), 0.25 * pos.sum())]))
+
+
+def to_json(models: dict[str, Boosted]) -> str:
+    """Models as text, to train once and apply elsewhere."""
+    return json.dumps({k: [m.features, m.base, m.trees, m.threshold] for k, m in models.items()})
+
+
+def from_json(text: str) -> dict[str, Boosted]:
+    """The models that ``to_json`` wrote."""
+
+    def tree(t):
+        return (t[0], t[1], tree(t[2]), tree(t[3])) if isinstance(t, list) else t
+
+    return {k: Boosted(f, base, [tree(t) for t in trees], threshold) for k, (f, base, trees, threshold) in json.loads(text).items()}

@@ -1,19 +1,26 @@
 """Operator 9 (native): personal data by candidates and boosted trees.
 
-Base spans come from fixed patterns (e-mail, IP, card, phone) with their checks. Two further generators of high recall
-propose overlapping spans of digits, whatever marks a base pattern would ask for. Boosted trees score them by format
-and context bins alone (grouping, separators, lengths, the words before, the characters beside): a candidate that
-meets a base span is a positive for its kind, and the marks that decide the base patterns (a plus sign, the check
-digit) are no features, so what has the format and context of known data is found without them. Each kind's
-threshold is calibrated to a precision on all candidates; of overlapping candidates the likeliest stays, and none that
-meets a base span is added. Training needs one grouped count over all rows (a table bounded by the bins); text
-never leaves the JVM.
+Base spans come from fixed patterns (e-mail, IP, card, phone) with their checks. Generators of high recall propose overlapping
+spans whatever marks a base pattern would ask for: runs and groups of digits of any length, e-mail addresses whose signs are
+spelled out or bracketed, IPv6 and bracketed IPv4 addresses. Boosted trees score them by format and context bins alone
+(grouping, separators, lengths, the words before in four languages, the characters beside): a candidate that meets a base
+span of its kind is a known positive, and the marks that decide the base patterns (a plus sign, the at sign) are no
+features, so what has the format and context of known data is found without them.
+
+Other candidates are unlabelled, not negative: the lower quartile of known positives' scores in held-out texts estimates which
+share of positives is known, and with it how many positives a bin holds, so many unmarked numbers don't hide each other. Each kind's
+threshold is calibrated to a precision on held-out texts (one in HELD_OUT, by hash). For cards the check digit settles it: one that
+fails is a negative and is never added. Of overlapping candidates the likeliest stays, and none that meets a base span
+is added. Training needs one grouped count over all rows (a table bounded by the bins); text never leaves the JVM. Without
+``models`` they are trained on the table itself; ``train`` and ``boosting.to_json`` keep them, so that spans don't depend on
+the other documents of a run.
 
 Positions: a pattern's matches and the pieces between them (split) give offsets by summing lengths, row by row.
 Repeats are possessive, so very long runs stay linear.
 
-Defined cases: null and empty texts have no spans; repeated rows are scanned alike; without positives or negatives a kind
-adds no spans; other columns pass through, and on a clash the added column gets a trailing underscore.
+Defined cases: null and empty texts have no spans; repeated rows are scanned alike; without positives or other candidates a
+kind adds no spans; of overlapping candidates with equal scores the first, then the longest stays; other columns pass through,
+and on a clash the added column gets a trailing underscore.
 """
 
 from __future__ import annotations
@@ -22,11 +29,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import Boosted, calibrate, fit
+from .boosting import Boosted, calibrate, fit, labelled_share
 from .common import free_name, settle
 
 KINDS = ("email", "ip", "card", "phone")
-PRECISION = 0.95
+PRECISION = 0.85
+FEATURES = ["digits", "separators", "style", "head", "tail", "context", "edges"]
 
 # The base patterns, with possessive repeats; a run begins where the run before it doesn't go on.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -34,12 +42,29 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]?[0-9])"
-# Generators of candidates.
-RUNS = r"(?<![0-9])\(?[0-9][0-9().\x20-]{5,30}[0-9](?![0-9])"
+# Generators of candidates: digits, e-mail addresses, IP addresses.
+RUNS = r"(?<![0-9])\(?[0-9]++(?:[().\x20-]++[0-9]++)*+"
 GROUPS = r"(?<![0-9])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3}[\x20.-]?[0-9]{3,4}(?![0-9])"
-PHONE_WORDS, CARD_WORDS, OTHER_WORDS = "phone|tel|call|fax|mobile|cell|dial", "card|visa|credit|account|iban|pay", "id|no|nr|order|page|date|year|code"
+_AT, _DOT = r"(?:@|\x20?[(\[{]\x20?(?i:at)\x20?[)\]}]\x20?|\x20(?:at|AT)\x20)", r"(?:\.|\x20?[(\[{]\x20?(?i:dot)\x20?[)\]}]\x20?|\x20(?:dot|DOT)\x20)"
+MAILS = rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++{_AT}[A-Za-z0-9-]++(?:{_DOT}[A-Za-z0-9-]++)++"
+HOSTS = r"(?<![0-9A-Za-z:.])(?:[0-9]++(?:(?:\.|\[\.\]|\(\.\)|\[dot\])[0-9]++){3}|(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:]))"
+_V6 = "[0-9A-Fa-f]{1,4}"
+#: Strictly written addresses, brackets undone.
+VALID_HOST = rf"^(?:{_OCTET}(?:\.{_OCTET}){{3}}|(?:{_V6}:){{7}}{_V6}|(?=(?:[^:]*:){{2,7}}[^:]*$)(?:{_V6}(?::{_V6}){{0,5}})?::(?:{_V6}(?::{_V6}){{0,5}})?)$"
+KNOWN_ENDS = "com|org|net|edu|gov|info|io|de|fr|es|uk|ch|at|eu|us|mx|ar"
+
+# Words before a candidate, in English, German, French and Spanish.
+PHONE_WORDS = "phone|telephone|tel|call|fax|mobile|cell|dial|telefon|handy|rufnummer|anrufen|téléphone|tél|portable|appelez|teléfono|móvil|celular|llame"
+CARD_WORDS = "card|visa|mastercard|amex|credit|debit|account|iban|karte|kreditkarte|konto|carte|compte|tarjeta|cuenta"
+OTHER_WORDS = "id|no|nr|order|invoice|page|date|year|code|ref|isbn|version|bestellung|rechnung|seite|datum|jahr|commande|facture|année|pedido|factura|página|fecha|año"
+MAIL_WORDS = "mail|email|e-mail|contact|write|kontakt|schreiben|courriel|écrire|contacto|correo"
+HOST_WORDS = "ip|address|host|server|adresse|serveur|dirección|servidor"
+
+#: Known positives of these kinds are a share of all; one text in HELD_OUT is for thresholds alone.
+PARTLY_KNOWN, HELD_OUT = ("email", "ip", "phone"), 4
+#: Which generator proposes a kind.
+SOURCE = {"email": 1, "ip": 2, "card": 0, "phone": 0}
 
-FEATURES = ["digits", "separators", "style", "head", "tail", "context", "edges"]
 _EMPTY = "array<struct<s:int,e:int,t:string>>"
 
 
@@ -81,22 +106,49 @@ def base_matches(text: Column) -> dict[str, Column]:
     }
 
 
-def _bins(text: Column, m: Column) -> Column:
+def _said(left: Column, words: str) -> Column:
+    return left.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])")
+
+
+def _bins(text: Column, m: Column, source: int) -> Column:
+    """The binned features of a candidate; their meaning differs by source."""
     t, s, e = m["t"], m["s"], m["e"]
     left = F.lower(F.substr(text, F.greatest(s - 24, F.lit(0)) + 1, F.least(s, F.lit(24))))
     before, after = F.substr(text, s, F.when(s > 0, 1).otherwise(0)), F.substr(text, e + 1, F.lit(1))
-    group = lambda pattern: F.least(F.length(F.regexp_extract(t, pattern, 1)), F.lit(6))
-    return F.struct(
-        s.alias("s"),
-        e.alias("e"),
-        F.least(F.length(_digits(t)), F.lit(20)).alias("digits"),
-        F.least(F.length(F.regexp_replace(t, "[0-9]", "")), F.lit(5)).alias("separators"),
-        F.when(t.rlike("^[0-9]+$"), 0).when(t.contains("("), 4).when(t.rlike("^[0-9 ]+$"), 1).when(t.rlike("^[0-9-]+$"), 2).otherwise(3).alias("style"),
-        group("^\\(?([0-9]+)").alias("head"),
-        group("([0-9]+)$").alias("tail"),
-        F.when(left.rlike(PHONE_WORDS), 1).when(left.rlike(CARD_WORDS), 2).when(left.rlike(rf"\b(?:{OTHER_WORDS})\b"), 3).otherwise(0).alias("context"),
-        (F.when(before.rlike("[A-Za-z0-9]"), 1).otherwise(0) + F.when(after.rlike("[A-Za-z0-9]"), 2).otherwise(0)).alias("edges"),
-    )
+    edges = F.when(before.rlike("[A-Za-z0-9]"), 1).otherwise(0) + F.when(after.rlike("[A-Za-z0-9]"), 2).otherwise(0)
+    least = lambda c, most: F.least(c, F.lit(most))
+    if source == 0:
+        group = lambda pattern: least(F.length(F.regexp_extract(t, pattern, 1)), 6)
+        values = [
+            least(F.length(_digits(t)), 20),
+            least(F.length(F.regexp_replace(t, "[0-9]", "")), 5),
+            F.when(t.rlike("^[0-9]+$"), 0).when(t.contains("("), 4).when(t.rlike("^[0-9 ]+$"), 1).when(t.rlike("^[0-9-]+$"), 2).otherwise(3),
+            group("^\\(?([0-9]+)"),
+            group("([0-9]+)$"),
+            F.when(_said(left, PHONE_WORDS), 1).when(_said(left, CARD_WORDS), 2).when(_said(left, OTHER_WORDS), 3).otherwise(0),
+            edges,
+        ]
+        luhn_ok = F.when(F.length(_digits(t)).between(13, 19), luhn(_digits(t))).otherwise(False)
+    elif source == 1:
+        plain = F.regexp_replace(F.regexp_replace(t, _AT, "@"), _DOT, ".")
+        end = F.regexp_extract(plain, r"\.([A-Za-z0-9-]+)$", 1)
+        local = F.regexp_extract(plain, "^([^@]+)@", 1)
+        bare = F.when(t.rlike(r"\x20(?:at|AT)\x20"), F.when(t.rlike(r"\x20(?:dot|DOT)\x20"), 0).otherwise(1)).otherwise(0)
+        values = [
+            F.when(F.length(local) == 1, 1).when(F.length(local) <= 30, 2).otherwise(3),
+            least(F.length(F.regexp_replace(plain, "[^.]", "")), 5),
+            bare,
+            F.when(F.lower(end).rlike(f"^(?:{KNOWN_ENDS})$"), 1).when(end.rlike("^[A-Za-z]{2,}$"), 2).otherwise(0),
+            F.lit(0),
+            F.when(_said(left, MAIL_WORDS), 1).otherwise(0),
+            F.lit(0),
+        ]
+        luhn_ok = F.lit(False)
+    else:
+        plain = F.regexp_replace(t, r"\[\.\]|\(\.\)|\[dot\]", ".")
+        values = [F.lit(0), F.lit(0), F.when(plain.rlike(VALID_HOST), 1).otherwise(0), F.lit(0), F.lit(0), F.when(_said(left, HOST_WORDS), 1).when(_said(left, OTHER_WORDS), 3).otherwise(0), edges]
+        luhn_ok = F.lit(False)
+    return F.struct(F.lit(source).alias("source"), s.alias("s"), e.alias("e"), *[v.cast("int").alias(f) for v, f in zip(values, FEATURES)], luhn_ok.alias("luhn"))
 
 
 def _meets(spans: Column, m: Column) -> Column:
@@ -104,36 +156,41 @@ def _meets(spans: Column, m: Column) -> Column:
 
 
 def candidates(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """``keep``, then base spans (email, ip, card, phone: arrays of s, e) and candidates (cand: array of s, e, bins, meets_phone, meets_card, meets_any)."""
+    """``keep``, then base spans (email, ip, card, phone: arrays of s, e), candidates (cand: array of m with source, s, e, bins and luhn, and whether it meets a base span of each kind) and whether the text is held out."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     kept = [F.col(f"`{c}`") for c in keep]
     found = df.select(*kept, text.alias("\x00t"), *[c.alias(f"\x00{k}") for k, c in base_matches(text).items()])
     t = F.col("\x00t")
-    runs = matches(t, RUNS, t.rlike(r"[0-9][0-9().\x20-]{5}"))
+    runs = F.filter(matches(t, RUNS, t.rlike(r"[0-9][0-9().\x20-]{5}")), lambda m: F.length(m["t"]) >= 7)
     found = found.withColumn("\x00runs", runs)
     # Grouped shapes lie within runs, so only texts with runs are searched again.
     found = found.withColumn("\x00groups", matches(t, GROUPS, F.size("\x00runs") > 0))
-    cand = F.array_distinct(F.transform(F.concat("\x00runs", "\x00groups"), lambda m: _bins(t, m)))
+    found = found.withColumn("\x00mails", matches(t, MAILS, t.contains("@") | t.rlike(r"(?i)[(\[{]\x20?at\x20?[)\]}]|\x20at\x20[^\x20]+\x20dot\x20")))
+    found = found.withColumn("\x00hosts", matches(t, HOSTS, t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]|[0-9](?:\[\.\]|\(\.\)|\[dot\])[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:")))
+    parts = [F.transform(F.concat("\x00runs", "\x00groups"), lambda m: _bins(t, m, 0)), F.transform("\x00mails", lambda m: _bins(t, m, 1)), F.transform("\x00hosts", lambda m: _bins(t, m, 2))]
+    found = found.withColumn("\x00all", F.array_distinct(F.concat(*parts)))
     marks = lambda k: F.transform(f"\x00{k}", lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e")))
-    found = found.select(*kept, *[marks(k).alias(f"\x00{k}") for k in KINDS], cand.alias("\x00cand"))
-    labelled = F.transform("\x00cand", lambda m: F.struct(m.alias("m"), _meets(F.col("\x00phone"), m).alias("phone"), _meets(F.col("\x00card"), m).alias("card"), (_meets(F.col("\x00email"), m) | _meets(F.col("\x00ip"), m)).alias("other")))
-    return found.withColumn("\x00cand", labelled)
+    found = found.select(*kept, *[marks(k).alias(f"\x00{k}") for k in KINDS], F.col("\x00all").alias("\x00cand"), (F.pmod(F.xxhash64("\x00t"), F.lit(HELD_OUT)) == 0).alias("\x00held"))
+    return found.withColumn("\x00cand", F.transform("\x00cand", lambda m: F.struct(m.alias("m"), *[_meets(F.col(f"\x00{k}"), m).alias(k) for k in KINDS])))
 
 
 def train(found: DataFrame, precision: float = PRECISION) -> dict[str, Boosted]:
     """One calibrated model per kind, from the counts of all candidates by bins."""
-    rows = found.select(F.explode("\x00cand").alias("c"))
-    counts = rows.groupBy(*[F.col(f"c.m.{f}").alias(f) for f in FEATURES]).agg(
-        F.count("*").alias("n"), F.count_if("c.phone").alias("phone"), F.count_if("c.card").alias("card")
-    )
+    rows = found.select(F.explode("\x00cand").alias("c"), F.col("\x00held").alias("held"))
+    counts = rows.groupBy("held", F.col("c.m.source").alias("source"), *[F.col(f"c.m.{f}").alias(f) for f in FEATURES]).agg(F.count("*").alias("n"), *[F.count_if(f"c.{k}").alias(k) for k in KINDS])
     table = sorted(tuple(r) for r in counts.collect())  # bounded by the product of the bins
-    data = np.array(table, dtype=np.float64).reshape(-1, len(FEATURES) + 3)
-    x, n = data[:, : len(FEATURES)], data[:, len(FEATURES)]
+    data = np.array(table, dtype=np.float64).reshape(-1, 2 + len(FEATURES) + 1 + len(KINDS))
     models = {}
-    for k, kind in enumerate(("phone", "card")):
-        pos = data[:, len(FEATURES) + 1 + k]
+    for k, kind in enumerate(KINDS):
+        own = data[data[:, 1] == SOURCE[kind]]
+        seen, held = own[own[:, 0] == 0], own[own[:, 0] == 1]
+        if not len(held):  # few texts: what is there serves both
+            held = seen
+        parts = [(d[:, 2 : 2 + len(FEATURES)], d[:, 2 + len(FEATURES)], d[:, 3 + len(FEATURES) + k]) for d in (seen, held)]
+        (x, n, pos), (hx, hn, hpos) = parts
         models[kind] = fit(FEATURES, x, pos, n - pos)
-        calibrate(models[kind], x, pos, n - pos, precision)
+        known = labelled_share(models[kind], hx, hpos) if kind in PARTLY_KNOWN else 1.0
+        calibrate(models[kind], hx, hpos, hn - hpos, precision, known)
     return models
 
 
@@ -148,7 +205,8 @@ def select_spans(models: dict[str, Boosted]) -> Column:
         return F.transform(f"\x00{kind}", lambda m: make(kind, m["s"], m["e"], True, F.lit(1.0)))
 
     def scored(kind, model):
-        all_of = F.transform(free, lambda c: make(kind, c["m"]["s"], c["m"]["e"], False, model.column(lambda f: c["m"][f])))
+        own = F.filter(free, lambda c: (c["m"]["source"] == SOURCE[kind]) & (c["m"]["luhn"] if kind == "card" else F.lit(True)))
+        all_of = F.transform(own, lambda c: make(kind, c["m"]["s"], c["m"]["e"], False, model.column(lambda f: c["m"][f])))
         return F.filter(all_of, lambda c: F.round(c["score"], 9) >= model.threshold)
 
     def before(a, b):
@@ -156,7 +214,7 @@ def select_spans(models: dict[str, Boosted]) -> Column:
         return (a["s"] < b["e"]) & (b["s"] < a["e"]) & (first(a) < first(b))
 
     base = [fixed(k) for k in KINDS]
-    free = F.filter("\x00cand", lambda c: ~(c["phone"] | c["card"] | c["other"]))
+    free = F.filter("\x00cand", lambda c: ~(c["email"] | c["ip"] | c["card"] | c["phone"]))
     found = [scored(kind, model) for kind, model in models.items() if model.trees and model.threshold <= 1]
     if found:
         extra = F.concat(*found)
@@ -201,4 +259,7 @@ def digest_columns(df: DataFrame, spans_col: str = "pii_spans", text_id: str = "
     def count(kind):
         return F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return df.select(text_id, *[count(k) for k in KINDS], F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col(spans_col)).alias("spans"))
+    return df.select(
+        text_id, *[count(k) for k in KINDS], F.sha2(joined_spans(base), 256).alias("base_sha256"), joined_spans(F.col(spans_col)).alias("spans"),
+        F.size(spans_col).cast("long").alias("n_spans"), (F.size(spans_col) > 0).alias("has_pii"),
+    )
