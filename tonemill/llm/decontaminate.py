@@ -65,7 +65,8 @@ def _shingles(windows: DataFrame, width: int) -> DataFrame:
 
 def _positions(source: DataFrame, widths: list[int]) -> DataFrame:
     """(doc_id, text_hash, n, pos, key): each place of a document and its shingle of each width, without the words."""
-    at = source.where("n > 0").select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("pos"))
+    # A filter on n would be pushed below and split the text a second time; what doesn't fit is dropped by place.
+    at = source.select("*", F.explode(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0)))).alias("pos"))
     if len(widths) > 1:
         at = at.withColumn("w", F.explode(F.array(*[F.lit(w) for w in widths])))
         key = reduce(lambda rest, n: F.when(F.col("w") == n, _shingle(F.col("words"), F.col("pos"), n)).otherwise(rest), widths, F.lit(None).cast("long"))
