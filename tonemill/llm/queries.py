@@ -39,7 +39,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one that quotes control strings, formatted and read back."""
     said = "\\### Assistant: </turn> ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    extra = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    extra = extra.select(*[F.col(f.name).cast(f.dataType) for f in turns.schema])
     return chat.digest_columns(chat.format_conversations(turns.unionByName(extra)))
 
 

@@ -22,26 +22,28 @@ FROM doc LEFT JOIN covered USING (doc_id) LEFT JOIN named USING (doc_id)
 
 _ESC = r"replace(replace(replace({0}, '\', '\b'), '<', '\l'), '>', '\g')"
 OP4 = rf"""
-WITH turns AS (
+WITH RECURSIVE turns AS (
     SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS body FROM conversations
     UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
 a AS (SELECT *, ceil(length(body) / 4)::BIGINT + 4 AS cost,
              length({_ESC.format('role')}) + length({_ESC.format('body')}) + 15 AS width,
-             row_number() OVER o AS pos FROM turns WINDOW o AS (PARTITION BY conv_id ORDER BY turn, role, body)),
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, body) AS pos FROM turns),
 b AS (SELECT *, sum(cost) OVER (PARTITION BY conv_id ORDER BY pos) AS upto,
-             coalesce(max(CASE WHEN pos = 1 AND role = 'system' THEN cost END) OVER (PARTITION BY conv_id), 0) AS sys_cost,
+             max(CASE WHEN pos = 1 AND role = 'system' THEN cost END) OVER (PARTITION BY conv_id) AS sys_cost,
              max(CASE WHEN pos = 1 AND role = 'system' THEN width END) OVER (PARTITION BY conv_id) AS sys_width FROM a),
-c AS (SELECT *, greatest(0, floor((upto - sys_cost - 1) / greatest(1, floor((512 - sys_cost) / 2)))) AS no FROM b),
-d AS (SELECT conv_id, no, min(pos) AS first, min(upto - cost) AS before, any_value(sys_width) AS sys_width,
-             512 - any_value(sys_cost) - sum(CASE WHEN pos = 1 THEN cost - sys_cost ELSE cost END) AS room FROM c GROUP BY conv_id, no),
-again AS (SELECT d.conv_id, sum(width) AS width FROM d JOIN c ON c.conv_id = d.conv_id AND c.pos < d.first AND c.pos >= d.first - 2
-          AND d.before - (c.upto - c.cost) <= d.room AND NOT (c.pos = 1 AND c.role = 'system') GROUP BY d.conv_id),
-sys AS (SELECT conv_id, sum(sys_width) AS width FROM d WHERE first > 1 GROUP BY conv_id),
-own AS (SELECT conv_id, count(*) AS n_turns, sum(width) AS width, string_agg(role || chr(10) || body || chr(10), '' ORDER BY pos) AS said,
-               coalesce(string_agg(CASE WHEN role = 'assistant' THEN body END, '' ORDER BY pos), '') AS learnt FROM c GROUP BY conv_id)
-SELECT own.conv_id, n_turns::BIGINT AS n_turns, sha256(said) AS turns_sha256, length(learnt)::BIGINT AS loss_chars, sha256(learnt) AS loss_sha256,
-       (own.width + coalesce(again.width, 0) + coalesce(sys.width, 0))::BIGINT AS formatted_chars
-FROM own LEFT JOIN again ON again.conv_id = own.conv_id LEFT JOIN sys ON sys.conv_id = own.conv_id
+c AS (SELECT *, (upto - 1) // (32 * 512) AS segment, 512 - coalesce(sys_cost, 0) AS room, CASE WHEN pos = 1 AND sys_cost IS NOT NULL THEN 0 ELSE cost END AS c FROM b),
+d AS (SELECT *, lag(c, 1) OVER w AS c1, lag(c, 2) OVER w AS c2, lag(width, 1) OVER w AS w1, lag(width, 2) OVER w AS w2, row_number() OVER w AS k
+      FROM c WINDOW w AS (PARTITION BY conv_id, segment ORDER BY pos)),
+e AS (SELECT *, CASE WHEN c1 > 0 AND c2 > 0 AND 4 * (c1 + c2) <= room AND c1 + c2 + c <= room THEN 2 WHEN c1 > 0 AND 4 * c1 <= room AND c1 + c <= room THEN 1 ELSE 0 END AS again FROM d),
+walk AS (SELECT conv_id, segment, k, c AS used, true AS starts, 0 AS again FROM e WHERE k = 1
+         UNION ALL SELECT e.conv_id, e.segment, e.k, CASE WHEN stays THEN used + c ELSE c + CASE e.again WHEN 2 THEN c1 + c2 WHEN 1 THEN c1 ELSE 0 END END, NOT stays, CASE WHEN stays THEN 0 ELSE e.again END
+         FROM (SELECT e.*, walk.used, walk.used + e.c <= e.room OR walk.used = 0 AS stays FROM e JOIN walk ON e.conv_id = walk.conv_id AND e.segment = walk.segment AND e.k = walk.k + 1) AS e),
+f AS (SELECT e.*, walk.starts, walk.again AS n FROM e JOIN walk ON e.conv_id = walk.conv_id AND e.segment = walk.segment AND e.k = walk.k)
+SELECT conv_id, count(*)::BIGINT AS n_turns, sha256(string_agg(role || chr(10) || body || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       length(coalesce(string_agg(CASE WHEN role = 'assistant' THEN body END, '' ORDER BY pos), ''))::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(CASE WHEN role = 'assistant' THEN body END, '' ORDER BY pos), '')) AS loss_sha256,
+       sum(width + CASE WHEN starts AND pos > 1 THEN coalesce(sys_width, 0) ELSE 0 END + CASE WHEN n >= 1 THEN w1 ELSE 0 END + CASE WHEN n = 2 THEN w2 ELSE 0 END)::BIGINT AS formatted_chars
+FROM f GROUP BY conv_id
 """
 
 OP6 = rf"""
