@@ -196,6 +196,28 @@ def test_embedding_links_against_brute_force(spark):
     assert neighbours.near_duplicates(nothing).where("n_links = 0 AND kept").count() == len(bad) and neighbours.near_duplicates(nothing.limit(0)).count() == 0
 
 
+def test_embeddings_of_several_lengths(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", 64)  # lengths with an index, and without
+    rng = np.random.default_rng(6)
+    rows, k = [], 0
+    for dim, groups in ((16, 30), (5, 12), (2, 4), (1, 6), (3, 1)):
+        for _ in range(groups):
+            base = rng.normal(size=dim)
+            for _ in range(8):
+                rows.append((k, [float(v) for v in base + rng.normal(size=dim) * 0.08]))
+                k += 1
+        rows += [(k + i, rows[-1][1]) for i in range(3)] + [(k + 3, [2 * v for v in rows[-1][1]])]
+        k += 4
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in neighbours.near_duplicates(df).collect()}
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    near = {i: [j for j in unit if j != i and len(unit[j]) == len(unit[i]) and unit[i] @ unit[j] >= 0.95] for i in unit}
+    want = sum(map(len, near.values()))
+    assert all(got[i][0] <= len(near[i]) for i in unit) and sum(g[0] for g in got.values()) >= 0.99 * want
+    assert all((got[i][0] == 0) == (got[i][1] == i and all(got[j][1] != i for j in unit if j != i)) for i in unit)
+    assert all(got[i][0] == len(near[i]) for i in unit if len(unit[i]) in (1, 2, 3)) and all(len(unit[got[i][1]]) == len(unit[i]) for i in unit)
+
+
 def test_embedding_blocks_hold_all_links(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 16)
     monkeypatch.setattr(neighbours, "QUERIES", 7)
@@ -224,16 +246,63 @@ def test_chat_reads_back_and_keeps_its_budget(spark):
     cost = lambda turn: math.ceil(len(turn[1]) / 4) + 4
     for c, turns in by.items():
         want = [(r, t) for _, r, t in sorted(turns)]
-        said, learnt = [], []
+        said, learnt, made = [], [], []
         for w in [w for w in windows if w.conv_id == c]:
             parts = [(undo(a), undo(b)) for a, b in re.findall(r"<turn:([^<>]*)>([^<>]*)</turn>\n", w.text)]
-            assert len(parts) == w.n_turns and w.n_tokens == sum(map(cost, parts)) and (w.n_tokens <= 200 or max(map(cost, parts)) > 60)
+            assert len(parts) == w.n_turns and w.n_tokens == sum(map(cost, parts))
+            assert w.n_tokens <= 200 or sum(r != "system" for r, _ in parts) == 1 == w.n_turns - w.n_repeated or want[0][0] == "system" and w.n_turns <= 2
             if w.window_no and want[0][0] == "system":
                 assert parts[0] == want[0]
             said += parts[w.n_repeated :]
             learnt += [undo(w.text[s.start : s.end]) for s in w.loss]
-        assert said == want and learnt == [t for r, t in want if r == "assistant"]
+            made.append(parts)
+        assert said == want and learnt == [t for r, t in want if r == "assistant"] and made == plain_windows(want, cost, 200, 2), c
     assert any(w.n_repeated > 1 for w in windows) and chat.format_conversations(df.limit(0)).count() == 0
+    counted = chat.format_conversations(df.withColumn("t", F.lit(196)), budget=200, tokens="t")
+    assert counted.where("window_no > 0 AND n_turns - n_repeated > 1").count() == 0 and "t" not in counted.columns
+
+
+def plain_windows(turns, cost, budget, history):
+    """Windows of one conversation: segments by running sums, each filled greedily."""
+    lead = turns[0] if turns[0][0] == "system" else None
+    room, total, segments = budget - (cost(lead) if lead else 0), 0, defaultdict(list)
+    for k, t in enumerate(turns):
+        total += cost(t)
+        segments[(total - 1) // (chat.SEGMENT * budget)].append((k, t, 0 if lead and not k else cost(t)))
+    out = []
+    for _, part in sorted(segments.items()):
+        used, window = 0, []
+        for at, (k, t, c) in enumerate(part):
+            if used and used + c > room:
+                out.append(window)
+                again = 0
+                for n in range(1, history + 1):
+                    before = [x[2] for x in part[max(0, at - n) : at]]
+                    if len(before) < n or 0 in before or 4 * sum(before) > room or sum(before) + c > room:
+                        break
+                    again = n
+                window = ([lead] if lead else []) + [x[1] for x in part[at - again : at]]
+                used = sum(x[2] for x in part[at - again : at])
+            elif not used and k and not window:
+                window = [lead] if lead else []
+            window.append(t)
+            used += c
+        out.append(window)
+    return out
+
+
+def test_a_conversation_over_several_ranges_and_segments(spark):
+    rng = random.Random(23)
+    turns = [("system", "be brief")] + [(rng.choice(["user", "assistant"]), "w" * rng.choice([5, 60, 300, 700, 900])) for _ in range(3000)]
+    rows = [(1, k, r, t) for k, (r, t) in enumerate(turns)] + [(c, k, "user", "hi") for c in range(2, 400) for k in range(2)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").repartition(7)
+    cost = lambda turn: math.ceil(len(turn[1]) / 4) + 4
+    found = chat.format_conversations(df, budget=256).where("conv_id = 1").orderBy("window_no").collect()
+    made = [re.findall(r"<turn:([^<>]*)>([^<>]*)</turn>\n", w.text) for w in found]
+    assert made == plain_windows(turns, cost, 256, 2) and len({w.window_no >> 20 for w in found}) > 10
+    assert all(w.n_tokens <= 256 for w in found) and sum(w.n_tokens for w in found) >= 0.7 * 256 * len(found)
+    summed = chat._summed(df.selectExpr("conv_id", "turn", "role", "text AS body", "5L AS cost")).where("conv_id = 1").orderBy("pos").collect()
+    assert [r.upto for r in summed] == [5 * (k + 1) for k in range(3001)] and {r.sys for r in summed} == {"be brief"}
 
 
 def test_chat_digest(spark):
