@@ -132,9 +132,11 @@ def near_copies(seed, groups=12, each=14):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_jaccard_components(spark, seed, monkeypatch):
     rows = near_copies(seed) + [(900, None), (901, ""), (902, " \n\t"), (903, "One"), (904, "one"), (905, "x " * 3000), (906, "x " * 3000)]
-    if seed == 3:  # all joins by shuffle, and many frequent shingles
+    if seed > 1:  # most shingles are hot
+        monkeypatch.setattr(jaccard, "HOT_FROM", 2)
+        monkeypatch.setattr(jaccard, "HOT_TIMES", 0)
+    if seed == 3:  # all joins by shuffle
         monkeypatch.setattr(jaccard, "small", lambda df, *a: df)
-        monkeypatch.setattr(jaccard, "FREQUENT_FROM", 2)
     docs = spark.createDataFrame([(*r, 1, "a") for r in rows], "doc_id long, text string, n int, node string").repartition(6)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()}
     assert got == plain_components(rows)
@@ -158,6 +160,20 @@ def test_jaccard_counts_a_repeated_row_once(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(docs).collect()} == {(1, 100, 1), (2, 100, 2)}
 
 
+def test_one_row_of_each_id_stays(spark):
+    text = "one two three four five six seven eight nine ten"
+    rows = [(1, text, 1), (1, text, 2), (2, text.upper(), 3), (None, text, 4), (None, text, 5), (3, "a b c d e f", 6), (3, "p q r s t u", 7), (4, "", 8), (4, None, 9), (5, "x", 10), (5, None, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k int").repartition(4)
+    kept = jaccard.keep_one_of_each(docs)
+    got = sorted((r.doc_id or 0, r.text) for r in kept.collect() if r.doc_id != 4)
+    third = [t for i, t in got if i == 3]
+    assert kept.columns == docs.columns and len(third) == 1 and [g for g in got if g[0] != 3] == [(0, text), (0, text), (1, text), (5, "x")]
+    assert kept.where("doc_id = 4").count() == 1 and jaccard.keep_one_of_each(docs.limit(0)).count() == 0
+    sketch = jaccard.global_order(jaccard.set_summaries(docs.where("doc_id < 3"), "doc_id", "text", 5))
+    s = jaccard.shingle_sets([text])[0]
+    assert set(sketch.counts(s).tolist()) == {3.0} and sketch.counts(jaccard.shingle_sets(["not seen at all here"])[0]).tolist() == [0.0]
+
+
 def test_components(spark):
     rng = random.Random(5)
     edges = [(i, i + 1) for i in range(60)] + [(100, k) for k in range(101, 160)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)] + [(7, 7), (None, 3)]

@@ -54,7 +54,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tonemill/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read.settled_at = path
+    return read
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete what ``settle`` wrote for ``frames``, once all that was made of them is settled itself."""
+    for df in frames:
+        path = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(df.settled_at)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 #: Steps after which a second reading might deal rows to other partitions.

@@ -2,7 +2,7 @@
 
 Each round replaces every edge by edges to the smallest node known nearby, first for the larger neighbours, then for
 the smaller ones; the edges end as stars around the smallest node of each component. A round is two grouped minima and
-joins, its result is written to the shared folder, and only two numbers of it reach the driver.
+joins, its result is written to the shared folder in place of the last round's, and only two numbers of it reach the driver.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import discard, settle
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u")
         small = large.join(least, F.col("a") == F.col("u"))
         pairs = F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b"))))
-        e = settle(small.select(pairs.alias("p")).select("p.a", "p.b").where("a <> b").distinct(), "components")
+        last, e = e, settle(small.select(pairs.alias("p")).select("p.a", "p.b").where("a <> b").distinct(), "components")
+        discard(last)
         new = _mark(e)
         if new == mark:
             break

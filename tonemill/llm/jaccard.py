@@ -3,13 +3,15 @@
 A document is its set of distinct word shingles, held as 64-bit hashes. The steps:
 
 1. One pass gives each document its set size and a 128-bit digest of its set (documents with equal sets are one class
-   from here on), and counts shingles that repeat within a stretch of the input; their sums over all stretches tell
-   which shingles are frequent. The global order is rare before frequent, then by hash. Any order gives the same links;
-   this one keeps frequent shingles out of the prefixes, so no passage that many documents share makes pairs.
+   from here on), and adds every shingle of every document to a sketch of counts (ROWS x SLOTS counters, whatever the input's
+   size; a shingle's least counter is at least its number of documents). The global order is by the power of two of that
+   estimate, rare first, then by hash. Any order gives the same links; this one keeps frequent shingles out of the
+   prefixes, so no passage that many documents share makes pairs, and nothing of it is cut at a number.
 2. Two sets that reach the similarity share a shingle in their prefixes (the first n - ceil(0.8 n) + 1 in the global
    order). Documents that meet at a prefix shingle are compared to the one of them for which that shingle stands
-   first, under length and positional bounds, instead of all to all.
-3. Compared pairs are verified by fragments: the global order is cut into FRAGMENTS (the frequent shingles are the last
+   first, under length and positional bounds, instead of all to all. Shingles that the sketch calls hot are grouped by
+   partial sums and joined, never gathered by their key.
+3. Compared pairs are verified by fragments: the global order is cut into FRAGMENTS (the hot shingles are the last
    one), each fragment's overlap is counted on its own, and the counts are summed per pair.
 4. Links give components. Where a prefix shingle's documents still lie in different components, the pairs across them are
    verified too (all that the bounds allow), so no link is lost; pairs within a component can't change the result.
@@ -28,15 +30,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER_AZ, bounded_batches, settle, sliced, small, trimmed
+from .common import LOWER_AZ, bounded_batches, discard, settle, sliced, small, trimmed
 from .components import components
 
 WORDS, AT_LEAST, OUT_OF = 5, 4, 5
-#: Cuts of the global order by hash; the frequent shingles are one more.
+#: Cuts of the global order by hash; the hot shingles are one more.
 FRAGMENTS = 8
-#: The most frequent shingles that are known as such on every worker (bounded: 16 bytes each).
-FREQUENT, FREQUENT_FROM = 300_000, 4
-#: Shingles gathered by a worker before it counts those that repeat.
+#: The sketch of counts, and the pieces in which it is summed. A shingle is hot from so many documents, and so many times the mean counter.
+ROWS, SLOTS, PIECES = 2, 1 << 21, 64
+HOT_FROM, HOT_TIMES = 512, 8
+#: Shingles gathered by a worker before they are added to its sketch.
 STRETCH = 2_000_000
 #: Bytes of text that are hashed at once.
 AT_ONCE = 1 << 20
@@ -114,30 +117,25 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
     return int(one.sum(dtype=np.uint64).astype(np.int64)), int(two.sum(dtype=np.uint64).astype(np.int64))
 
 
+def slots(s: np.ndarray, row: int) -> np.ndarray:
+    """The counters of shingles in one row of the sketch."""
+    return ((s >> np.uint64(32 * row)) & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
 class Order:
-    """The global order: shingles not known as frequent by hash, then the frequent by count and hash."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray):
-        by_hash = np.argsort(hashes)
-        self.hashes = hashes[by_hash]
-        rank = np.empty(len(hashes), dtype=np.int64)
-        rank[np.lexsort((hashes, counts))] = np.arange(len(hashes))
-        self.rank = rank[by_hash]
-
-    def frequent(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether each shingle is frequent, and the places of those that are."""
-        if not len(self.hashes):
-            return np.zeros(len(s), dtype=bool), np.zeros(0, dtype=np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, s), len(self.hashes) - 1)
-        is_in = self.hashes[at] == s
-        return is_in, self.rank[at[is_in]]
-
-    def sort(self, s: np.ndarray) -> np.ndarray:
-        """A sorted set in the global order."""
-        is_in, rank = self.frequent(s)
-        if not len(rank):
-            return s
-        return np.concatenate([s[~is_in], s[is_in][np.argsort(rank)]])
+    """The global order: by the power of two of the estimated number of documents, then by hash."""
+
+    def __init__(self, sketch: np.ndarray):
+        self.sketch = sketch
+        self.hot_from = max(HOT_FROM, HOT_TIMES * float(sketch[0].mean(dtype=np.float64)))
+
+    def counts(self, s: np.ndarray) -> np.ndarray:
+        """Upper bounds of the numbers of documents that hold each shingle."""
+        return np.minimum.reduce([self.sketch[row][slots(s, row)] for row in range(ROWS)])
+
+    def sort(self, s: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The places of a sorted set in the global order."""
+        return np.argsort(np.frexp(counts)[1].astype(np.int8), kind="stable")
 
 
 def _ids(df: DataFrame, id_col: str) -> T.DataType:
@@ -149,43 +147,58 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def set_summaries(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Rows of two kinds. Documents: id, n, s1, s2. Counts (is_count): s1 is a shingle, n how often it came in one stretch."""
-    schema = T.StructType([T.StructField("is_count", T.BooleanType()), T.StructField("id", _ids(docs, id_col)), T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType())])
+    """Rows of two kinds. Documents: id, n, s1, s2. Pieces of a task's sketch (piece is not null): n is the piece's number."""
+    schema = T.StructType([T.StructField("id", _ids(docs, id_col)), T.StructField("n", T.LongType()), T.StructField("s1", T.LongType()), T.StructField("s2", T.LongType()), T.StructField("piece", T.BinaryType())])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         out = to_arrow_schema(schema)
-        held, size = [], 0
+        sketch, held, size = np.zeros((ROWS, SLOTS), dtype=np.float32), [], 0
 
-        def counted():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            more = counts > 1
-            k = int(more.sum())
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(k, dtype=bool)), pa.nulls(k, out.field(1).type), pa.array(counts[more]), pa.array(_signed(values[more])), pa.nulls(k, pa.int64())], schema=out)
+        def add():
+            every = np.concatenate(held)
+            for row in range(ROWS):
+                sketch[row] += np.bincount(slots(every, row), minlength=SLOTS)
 
         for whole in batches:
             for batch in sliced(whole, 1, AT_ONCE):
                 sets = shingle_sets(batch.column(1).to_pylist(), width)
                 digests = [set_digest(s) for s in sets]
                 k = len(sets)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(k, dtype=bool)), batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([d[0] for d in digests], type=pa.int64()), pa.array([d[1] for d in digests], type=pa.int64())], schema=out)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], type=pa.int64()), pa.array([d[0] for d in digests], type=pa.int64()), pa.array([d[1] for d in digests], type=pa.int64()), pa.nulls(k, pa.binary())], schema=out)
                 held += sets
                 size += sum(map(len, sets))
                 if size >= STRETCH:
-                    yield counted()
+                    add()
                     held, size = [], 0
         if size:
-            yield counted()
+            add()
+        for n, piece in enumerate(sketch.reshape(ROWS * PIECES, -1)):
+            if piece.any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, out.field(0).type), pa.array([n], pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([pa.compress(piece.tobytes(), "zstd", asbytes=True)], pa.binary())], schema=out)
 
     return bounded_batches(docs.select(F.col(id_col), F.col(text_col))).mapInArrow(trimmed(run), schema)
 
 
-def frequent_shingles(summaries: DataFrame) -> Order:
-    """The order, from the summed counts (at most FREQUENT of them)."""
-    top = summaries.where("is_count").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT_FROM)
-    rows = top.orderBy(F.desc("n"), "s1").limit(FREQUENT).toPandas()
-    return Order(rows["s1"].to_numpy(dtype=np.int64).view(np.uint64), rows["n"].to_numpy(dtype=np.int64))
+def global_order(summaries: DataFrame) -> Order:
+    """The order, from the summed sketches of all tasks: ROWS x SLOTS numbers, whatever the input's size."""
+    width = 4 * SLOTS // PIECES
+
+    def run(batches):
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for n, piece in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = np.frombuffer(pa.decompress(piece.as_buffer(), decompressed_size=width, codec="zstd", asbytes=True), dtype=np.float32)
+                total[n] = total[n] + own if n in total else own
+        for n, own in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([pa.compress(own.tobytes(), "zstd", asbytes=True)], pa.binary())], names=["n", "piece"])
+
+    pieces = summaries.where("piece IS NOT NULL").select("n", "piece").repartition("n").mapInArrow(run, "n long, piece binary").collect()
+    sketch = np.zeros((ROWS * PIECES, SLOTS // PIECES), dtype=np.float32)
+    for n, piece in pieces:
+        sketch[n] = np.frombuffer(pa.decompress(bytes(piece), decompressed_size=width, codec="zstd", asbytes=True), dtype=np.float32)
+    return Order(sketch.reshape(ROWS, SLOTS))
 
 
 def of_digest(docs: DataFrame, width: int) -> DataFrame:
@@ -201,8 +214,8 @@ def of_digest(docs: DataFrame, width: int) -> DataFrame:
 
 
 def prefixes(docs: DataFrame, order, width: int) -> DataFrame:
-    """(h, node, n, pos): the prefix shingles of documents given as (id, text, s1, s2); where a digest is given, texts with another one are passed over. ``order``: a broadcast Order."""
-    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("node", docs.schema[0].dataType), T.StructField("n", T.IntegerType()), T.StructField("pos", T.IntegerType())])
+    """(h, node, n, pos, hot): the prefix shingles of documents given as (id, text, s1, s2); where a digest is given, texts with another one are passed over. ``order``: a broadcast Order."""
+    schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("node", docs.schema[0].dataType), T.StructField("n", T.IntegerType()), T.StructField("pos", T.IntegerType()), T.StructField("hot", T.BooleanType())])
 
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
@@ -210,17 +223,20 @@ def prefixes(docs: DataFrame, order, width: int) -> DataFrame:
         out, glob = to_arrow_schema(schema), order.value
         for whole in batches:
             for batch in sliced(whole, 1, AT_ONCE):
-                keep, parts = [], []
+                keep, parts, hot = [], [], []
                 for i, (s, one, two) in enumerate(zip(shingle_sets(batch.column(1).to_pylist(), width), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                     if len(s) and (one is None or set_digest(s) == (one, two)):
+                        counts = glob.counts(s)
+                        first = glob.sort(s, counts)[: len(s) - -(-len(s) * AT_LEAST // OUT_OF) + 1]
                         keep.append(i)
-                        parts.append((glob.sort(s)[: len(s) - -(-len(s) * AT_LEAST // OUT_OF) + 1], len(s)))
+                        parts.append((s[first], len(s)))
+                        hot.append(counts[first] >= glob.hot_from)
                 if keep:
                     sizes = np.array([len(p) for p, _ in parts])
                     ids = batch.column(0).take(pa.array(np.repeat(keep, sizes)))
                     n = np.repeat(np.array([k for _, k in parts], dtype=np.int32), sizes)
                     pos = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate([p for p, _ in parts]))), ids, pa.array(n), pa.array(pos.astype(np.int32))], schema=out)
+                    yield pa.RecordBatch.from_arrays([pa.array(_signed(np.concatenate([p for p, _ in parts]))), ids, pa.array(n), pa.array(pos.astype(np.int32)), pa.array(np.concatenate(hot))], schema=out)
 
     return docs.mapInArrow(trimmed(run), schema)
 
@@ -240,7 +256,7 @@ def fragments(docs: DataFrame, order, width: int) -> DataFrame:
                 for i, (s, one, two) in enumerate(zip(shingle_sets(batch.column(1).to_pylist(), width), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
                     if not len(s) or (one is not None and set_digest(s) != (one, two)):
                         continue
-                    is_in, _ = glob.frequent(s)
+                    is_in = glob.counts(s) >= glob.hot_from
                     rare = s[~is_in]
                     cuts = np.searchsorted(rare >> shift, np.arange(FRAGMENTS + 1, dtype=np.uint64))
                     for k, piece in enumerate([*(rare[a:b] for a, b in zip(cuts[:-1], cuts[1:])), s[is_in]]):
@@ -278,8 +294,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(doc_id, n_shingles, component_id) of every document."""
     sc = docs.sparkSession.sparkContext
     summaries = settle(set_summaries(docs, id_col, text_col, width), "jaccard-sets")
-    order = sc.broadcast(frequent_shingles(summaries))
-    sets = summaries.where("NOT is_count")
+    order = sc.broadcast(global_order(summaries))
+    sets = summaries.where("piece IS NULL").drop("piece")
     one = sets.where("id IS NOT NULL AND n > 0").groupBy("id").agg(F.min(F.struct("s1", "s2", "n")).alias("s")).select("id", "s.*")
     # Classes of more than one; a third of all rows may be one class, so its rows aren't gathered by a key where that can be helped.
     shared = one.groupBy("s1", "s2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("k")).where("k > 1").drop("k")
@@ -297,10 +313,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     once = chosen.join(repeated, chosen["id"] == repeated["again"], "left_anti")
     chosen = once.select("id", "text", F.lit(None).cast("long").alias("s1"), F.lit(None).cast("long").alias("s2")).union(again)
 
-    grouped = prefixes(chosen, order, width).selectExpr("h", "node", "n", "pos", "count(*) OVER (PARTITION BY h) AS cnt", "min(struct(pos, n, node)) OVER (PARTITION BY h) AS head", "min(n) OVER (PARTITION BY h) AS least_n")
+    rows = settle(prefixes(chosen, order, width), "jaccard-prefixes")
+    cold = rows.where("NOT hot").selectExpr("h", "node", "n", "pos", "count(*) OVER (PARTITION BY h) AS cnt", "min(struct(pos, n, node)) OVER (PARTITION BY h) AS head", "min(n) OVER (PARTITION BY h) AS least_n").where("cnt > 1")
+    # A hot shingle's documents may be a third of all: sums within tasks, then a join that can be a broadcast or is split.
+    heads = rows.where("hot").groupBy("h").agg(F.count("*").alias("cnt"), F.min(F.struct("pos", "n", "node")).alias("head"), F.min("n").alias("least_n")).where("cnt > 1")
+    heads = small(settle(heads, "jaccard-heads"))
+    warm = rows.where("hot").select("h", "node", "n", "pos").join(heads, "h").select("h", "node", "n", "pos", "cnt", "head", "least_n")
     # A row that no partner's size lets pass is dropped at once: the overlap left behind its place is too small.
     viable = f"{AT_LEAST + OUT_OF} * (n - pos) >= {AT_LEAST} * (n + greatest(least_n, ({AT_LEAST} * n + {OUT_OF - 1}) div {OUT_OF}))"
-    groups = settle(grouped.where(f"cnt > 1 AND {viable}").select("h", "node", "n", "pos", "head", "cnt"), "jaccard-groups")
+    groups = settle(cold.unionByName(warm).where(viable).select("h", "node", "n", "pos", "head", "cnt"), "jaccard-groups")
+    discard(rows)
 
     tried = groups.where("node <> head.node").where(_possible("n", "pos", "head.n", "head.pos"))
     tried = tried.select(F.col("head.node").alias("a"), F.col("node").alias("b"), F.col("head.n").alias("na"), F.col("n").alias("nb")).distinct()
@@ -311,8 +333,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # Where two documents meet, their one pair has been compared already.
     wider = groups.where("cnt > 2").drop("head", "cnt")
     labelled = wider.join(comp.withColumnRenamed("node", "x"), wider["node"] == F.col("x"), "left").selectExpr("h", "node", "n", "pos", "coalesce(component, node) AS c")
-    mixed_groups = labelled.selectExpr("*", "min(c) OVER (PARTITION BY h) AS c1", "max(c) OVER (PARTITION BY h) AS c2").where("c1 <> c2").drop("c1", "c2")
-    mixed_groups = settle(mixed_groups, "jaccard-mixed")
+    labelled = settle(labelled, "jaccard-labelled")
+    several = labelled.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).where("c1 <> c2").select(F.col("h").alias("several"))
+    several = small(settle(several, "jaccard-several"))
+    mixed_groups = settle(labelled.join(several, labelled["h"] == several["several"], "left_semi"), "jaccard-mixed")
+    discard(labelled, groups)
     p, q = mixed_groups.alias("p"), mixed_groups.alias("q")
     rest = p.join(q, F.expr("p.h = q.h AND p.node < q.node AND p.c <> q.c AND " + _possible("p.n", "p.pos", "q.n", "q.pos")))
     rest = rest.select(F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.col("p.n").alias("na"), F.col("q.n").alias("nb")).distinct()
@@ -328,7 +353,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stand for their component (smallest id), with all their columns."""
-    found = jaccard_components(docs, id_col, text_col).where("doc_id <> component_id")
-    gone = small(found.select(F.col("doc_id").alias("\x00gone")).distinct())
-    return docs.join(gone, docs[id_col] == gone["\x00gone"], "left_anti")
+    """The documents that stand for their component (smallest id), with all their columns, one row for each id.
+
+    Of rows that repeat an id one stays (which of equal texts is open; of different ones the one whose set has the smallest
+    digest, as in the join; where no text of the id has words, any). Rows without an id are in no component: all stay.
+    """
+    found = settle(jaccard_components(docs, id_col, text_col), "jaccard-found")
+    gone = small(settle(found.where("doc_id <> component_id").select(F.col("doc_id").alias("\x00gone")).distinct(), "jaccard-gone"))
+    left = docs.join(gone, docs[id_col] == gone["\x00gone"], "left_anti")
+    # Repeated ids are few beside the documents; only their rows are gathered by a key.
+    again = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count("*").alias("\x00k")).where("`\x00k` > 1")
+    again = small(settle(again.select(F.col(id_col).alias("\x00again")), "jaccard-again"))
+    once = left.join(again, left[id_col] == again["\x00again"], "left_anti")
+    repeats = left.join(again, left[id_col] == again["\x00again"], "left_semi")
+    return once.unionByName(_first_of_each(repeats, id_col, text_col))
+
+
+def _first_of_each(docs: DataFrame, id_col: str, text_col: str, width: int = WORDS) -> DataFrame:
+    """One row of each id: the one whose shingle set is not empty and has the smallest digest."""
+    schema = T.StructType([*docs.schema.fields, T.StructField("\x00rank", T.ArrayType(T.LongType()))])
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for whole in batches:
+            for batch in sliced(whole, at, AT_ONCE):
+                ranks = [[0, *set_digest(s)] if len(s) else [1, 0, 0] for s in shingle_sets(batch.column(at).to_pylist(), width)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ranks, pa.list_(pa.int64()))], names=schema.names)
+
+    ranked = bounded_batches(docs).mapInArrow(trimmed(run), schema)
+    best = ranked.groupBy(id_col).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), "\x00rank").alias("\x00row"))
+    return best.select([F.col("`\x00row`")[c].alias(c) for c in docs.columns])
