@@ -4,8 +4,8 @@ A document is its set of distinct word shingles, held as 64-bit hashes. The step
 
 1. One pass gives each document its set size and a 128-bit digest of its set (documents with equal sets are one class
    from here on), and adds every shingle of every document to a sketch of counts (ROWS x SLOTS counters, whatever the input's
-   size; a shingle's least counter is at least its number of documents). The global order is by the power of two of that
-   estimate, rare first, then by hash. Any order gives the same links; this one keeps frequent shingles out of the
+   size; a shingle's least counter is at least its number of documents). The global order is by that estimate in small steps,
+   rare first, then by hash. Any order gives the same links; this one keeps frequent shingles out of the
    prefixes, so no passage that many documents share makes pairs, and nothing of it is cut at a number.
 2. Two sets that reach the similarity share a shingle in their prefixes (the first n - ceil(0.8 n) + 1 in the global
    order). Documents that meet at a prefix shingle are compared to the one of them for which that shingle stands
@@ -123,7 +123,7 @@ def slots(s: np.ndarray, row: int) -> np.ndarray:
 
 
 class Order:
-    """The global order: by the power of two of the estimated number of documents, then by hash."""
+    """The global order: by the estimated number of documents in steps of an eighth of an octave (what chance collisions spread), then by hash."""
 
     def __init__(self, sketch: np.ndarray):
         self.sketch = sketch
@@ -135,7 +135,7 @@ class Order:
 
     def sort(self, s: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """The places of a sorted set in the global order."""
-        return np.argsort(np.frexp(counts)[1].astype(np.int8), kind="stable")
+        return np.argsort((8 * np.log2(counts + 1)).astype(np.uint8), kind="stable")
 
 
 def _ids(df: DataFrame, id_col: str) -> T.DataType:
