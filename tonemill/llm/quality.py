@@ -311,7 +311,8 @@ def perplexities(docs: DataFrame, model: DataFrame, text_col: str = "text", keep
     met = shared.union(source.mapInArrow(trimmed(ask), ASKS)).repartition("shard").sortWithinPartitions("shard", "stretch")
     answers = met.mapInArrow(trimmed(answer), PARTS)
     texts = source.mapInArrow(trimmed(carry), PARTS)
-    return answers.union(texts).repartition("stretch").sortWithinPartitions("stretch", "at").mapInArrow(trimmed(rate), schema)
+    # As many parts as the texts' readings ask for: a part's stretches don't grow with the input.
+    return answers.union(texts).repartition(max(1, 2 * source.rdd.getNumPartitions()), "stretch").sortWithinPartitions("stretch", "at").mapInArrow(trimmed(rate), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", high: float = HIGH) -> DataFrame:
