@@ -96,6 +96,13 @@ def test_addresses(evaluate):
     assert evaluate(urls.absolute_url, shown)[0].startswith("https://www.federalreserve.gov/a/b") and evaluate(urls.absolute_url, shown)[4] == "https://www.federalreserve.gov/rel/x.htm"
 
 
+def test_dots_in_addresses(evaluate):
+    from urllib.parse import urljoin
+
+    shown = ["/a/./b.htm", "/a/b/../c.htm", "../x.htm", "a/../../b/", "/a/..", "/a/b/.", "/../..", "/a/b.c/..d?x=../y", "./", "x/./y#../z", "/plain/a..b.htm"]
+    assert evaluate(urls.absolute_url, shown) == [urljoin("https://www.federalreserve.gov/", s) for s in shown]
+
+
 def test_decoding(evaluate):
     raw = ["naïve".encode(), b"caf\xe9 \x93quoted\x94 \x81", b""]
     assert evaluate(urls.decode_body, raw, "binary") == [r.decode("utf-8") if i != 1 else raw[1].decode("cp1252", errors="replace") for i, r in enumerate(raw)]

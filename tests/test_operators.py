@@ -54,6 +54,84 @@ def test_model_scorer_resumes(spark, tmp_path):
     assert again.count() == 6
 
 
+def test_a_resumed_run_is_as_one_run_whatever_changed(spark, tmp_path):
+    seen = []
+
+    def run(df):
+        rows = df.collect()
+        seen.append({r.doc_id for r in rows})
+        return df.withColumn("label", F.when(F.col("sentence").contains("up"), "hawkish").otherwise("dovish"))
+
+    def table(texts):
+        return spark.createDataFrame([(k, "statement", D(2001, 1, 1 + i), True, t) for i, (k, t) in enumerate(sorted(texts.items()))], SCHEMA)
+
+    texts = {f"d{i}": f"It goes up {i} now. It goes down now." for i in range(6)} | {"none": "", "null": None}
+    partial = str(tmp_path / "partial")
+    scoring.score_with_model(spark, table(texts), "statement", run, partial, batch=3)
+    # A batch that was not written to its end counts for nothing.
+    (tmp_path / "partial" / "batch-broken").mkdir()
+    spark.createDataFrame([("d9", 1, 0, "It goes up.", "hawkish")], scoring.PARTIAL).write.mode("overwrite").parquet(str(tmp_path / "partial" / "batch-broken"))
+    (tmp_path / "partial" / "batch-broken" / "_SUCCESS").unlink()
+    texts = {k: t for k, t in texts.items() if k not in ("d0", "d1")} | {"d2": "All is up and up.", "d7": "New one is up.", "d8": "New one goes down. And up it goes.", "d9": "It goes down."}
+    seen.clear()
+    scored, sentences = scoring.score_with_model(spark, table(texts), "statement", run, partial, batch=2)
+    got, words = sorted(map(tuple, scored.collect())), sorted(map(tuple, sentences.collect()))
+    assert set().union(*seen) == {"d2", "d7", "d8", "d9"}
+    once, each = scoring.score_with_model(spark, table(texts), "statement", run, str(tmp_path / "other"), batch=100)
+    assert got == sorted(map(tuple, once.collect())) and words == sorted(map(tuple, each.collect()))
+    scoring.forget(spark, partial)
+    assert not (tmp_path / "partial").exists() and scoring.scored_so_far(spark, partial).count() == 0
+
+
+def test_scorers_can_be_added(spark):
+    scoring.register_scorer("shout", lambda: lambda df: df.withColumn("label", F.when(F.col("sentence").endswith("!"), "hawkish").otherwise("neutral")))
+    df = spark.createDataFrame([(1, "Up!"), (2, "Down.")], "id int, sentence string")
+    assert "shout" in scoring.scorer_names() and [r.label for r in scoring.scorer("shout")(df).orderBy("id").collect()] == ["hawkish", "neutral"]
+    with pytest.raises(ValueError):
+        scoring.register_scorer("lexicon", lambda: None)
+
+
+def test_supervised_scorer_learns_its_labels(spark):
+    from tonemill.operators import supervised
+
+    rows = [(f"{a} {b} {c}", label) for label, bs in (("hawkish", ("rose", "climbed")), ("dovish", ("fell", "slipped")), ("neutral", ("stayed", "remained"))) for a in ("Inflation", "Output", "Demand") for b in bs for c in ("again", "today", "this year")]
+    train, held = [r for k, r in enumerate(rows) if k % 4], [r for k, r in enumerate(rows) if not k % 4]
+    model = supervised.train(spark.createDataFrame([*train, ("no label", None)], "sentence string, label string"), slots=256)
+    out = supervised.scorer(model)(spark.createDataFrame([(i, s) for i, (s, _) in enumerate(held)] + [(99, None)], "i int, sentence string"))
+    got = {r.i: r.label for r in out.collect()}
+    assert out.columns == ["i", "sentence", "label"] and [got[i] for i in range(len(held))] == [label for _, label in held] and got[99] in ("hawkish", "dovish", "neutral")
+
+
+def test_missing_marks_without_a_byte_are_known(spark, tmp_path):
+    (tmp_path / "a.htm").write_text("<p>x")
+    (tmp_path / "b.htm.404").touch()
+    (tmp_path / "c.htm.404").write_text("gone")
+    assert sorted((r.key, r.html) for r in store.read_pages(spark, str(tmp_path)).collect()) == [("a.htm", "<p>x"), ("b.htm", None), ("c.htm", None)]
+    urls = spark.createDataFrame([("/a.htm",), ("/b.htm",), ("/d.htm",)], "u string")
+    assert tuple(store.fetch_counts(urls, store.read_pages(spark, str(tmp_path)), "u").first()) == (1, 1, 1)
+
+
+def test_unreadable_meetings_fail_or_are_listed(spark):
+    page = '<div class="panel"><h5>Jan x Meeting - 2001</h5></div><div class="panel"><h5>March 5 Meeting - 2001</h5></div>'
+    calendars = spark.createDataFrame([(0, 2001, "/c", "archive", page)], "ord int, year int, url string, kind string, html string")
+    with pytest.raises(Exception, match="unreadable meeting dates: Jan x Meeting"):
+        ingest.load_meetings(calendars, D(2001, 12, 31)).collect()
+    assert [r.label for r in ingest.load_meetings(calendars, D(2001, 12, 31), strict=False).collect()] == ["March 5 Meeting - 2001"]
+    assert [tuple(r) for r in ingest.unreadable_meetings(calendars).collect()] == [("/c", "Jan x Meeting - 2001", 2001)]
+
+
+def test_summaries_of_validation_and_checks(spark, tmp_path):
+    from tonemill.sources import files
+
+    rows = [("1", "hawkish", "Inflation rose."), ("2", "dovish", "Activity is weak."), ("3", "neutral", "Rates were increased.")]
+    gold = spark.createDataFrame(rows, "id string, label string, sentence string")
+    found = scoring.validation_summary(scoring.validate(gold, {"lexicon": scoring.scorer("lexicon")}), ["lexicon"])
+    assert found["candidates"]["lexicon"]["confusion_gold_by_pred"]["neutral"] == {"hawkish": 1, "dovish": 0, "neutral": 0} and "primary" not in found
+    assert found["majority_class_accuracy"] == pytest.approx(1 / 3)
+    files.write_text(spark, str(tmp_path / "x.json"), "{}\n")
+    assert (tmp_path / "x.json").read_text() == "{}\n" and files.names(spark, str(tmp_path), ".json") == ["x.json"]
+
+
 def test_softmax_and_entailment(spark):
     row = spark.createDataFrame([([2.0, 1.0, 2.0],)], "l array<double>").select(nli.softmax(F.col("l")).alias("p")).withColumn("label", nli.argmax_label(F.col("p"))).first()
     e = [math.exp(x - 2) for x in (2, 1, 2)]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import json
 from datetime import date
 
 from pyspark.sql import SparkSession
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from .functions.text import scoring_sentences
 from .operators import metrics, sampling
 from .plans import ingest, scoring
+from .sources import files
 from .sources import pages as store
 
 
@@ -35,6 +37,12 @@ def build_parser() -> argparse.ArgumentParser:
     return parser
 
 
+def _report(spark: SparkSession, path: str, value: dict) -> None:
+    text = json.dumps(value, indent=2, default=str) + "\n"
+    files.write_text(spark, path, text)
+    print(text)
+
+
 def main(argv: list[str] | None = None) -> None:
     """Run one command."""
     parser = build_parser()
@@ -54,10 +62,9 @@ def main(argv: list[str] | None = None) -> None:
             print(title)
             table.show(100, False)
     elif args.command == "score" and args.validate:
-        wide, results, majority, primary = scoring.validate(store.read_sentences(spark, args.validate), {n: scoring.scorer(n) for n in args.candidates})
-        store.write_predictions(wide, f"{at}/validation_predictions")
-        for table in (results, majority, primary):
-            table.show(truncate=False)
+        found = scoring.validate(store.read_sentences(spark, args.validate).cache(), {n: scoring.scorer(n) for n in args.candidates})
+        store.write_predictions(found[0], f"{at}/validation_predictions")
+        _report(spark, f"{at}/validation_metrics.json", scoring.validation_summary(found, args.candidates))
     elif args.command == "score" and args.documents and args.scorer:
         documents, name = spark.read.parquet(f"{at}/documents.parquet"), f"{at}/tone_{args.scorer}_{args.documents}"
         if args.scorer == "lexicon":
@@ -66,12 +73,14 @@ def main(argv: list[str] | None = None) -> None:
             scored, sentences = scoring.score_with_model(spark, documents, args.documents, scoring.scorer(args.scorer), f"{name}_partial", args.since)
         store.write_table(scored, f"{name}.parquet")
         store.write_table(sentences, f"{name}_sentences.parquet")
+        scoring.forget(spark, f"{name}_partial")
     elif args.command == "score":
         parser.error("score: give --validate, or --documents with --scorer")
     elif args.command == "check-tone":
         read = lambda n: spark.read.parquet(f"{at}/{n}.parquet")
-        for table in scoring.check_tone(read("documents"), read(f"tone_{args.scorer}_statement"), read("tone_lexicon_statement")):
-            table.show(50, False)
+        checked = scoring.check_tone(read("documents"), read(f"tone_{args.scorer}_statement"), read("tone_lexicon_statement"))
+        store.write_table(checked[2], f"{at}/statement_tone_{args.scorer}.parquet")
+        _report(spark, f"{at}/statement_checks_{args.scorer}.json", scoring.check_summary(checked, args.scorer))
     else:
         docs = spark.read.parquet(f"{at}/documents.parquet").where((F.col("doc_type") == "statement") & F.col("scheduled"))
         store.write_sentences(sampling.sentence_sample(docs, scoring_sentences(F.col("clean_text")), args.n), f"{at}/statement_sentences.jsonl")

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import cleaning_sentences, ends_with_any, let, starts_with_any, word_count
+from .text import CLEANING_MARK, cleaning_sentences, collapse, ends_with_any, let, starts_with_any, word_count
 
 # The rules' patterns and marks.
 VOTING = r"(?iuU)^(Voting|Votes?\s+(for|against)|Absent and not voting)\b"
@@ -85,8 +85,10 @@ def capitalised_share(p: Column) -> Column:
 
 
 def strip_sentences(p: Column, pattern: str) -> Column:
-    """(text, gone): the paragraph without the sentences that match, and those."""
-    return let(cleaning_sentences(p), lambda ss: F.struct(F.array_join(F.filter(ss, lambda s: ~s.rlike(pattern)), " ").alias("text"), F.filter(ss, lambda s: s.rlike(pattern)).alias("gone")))
+    """(text, gone): the paragraph without the sentences that match, and those. Only a paragraph that matches is split."""
+    cut = let(cleaning_sentences(p), lambda ss: F.struct(F.array_join(F.filter(ss, lambda s: ~s.rlike(pattern)), " ").alias("text"), F.filter(ss, lambda s: s.rlike(pattern)).alias("gone")))
+    whole = lambda t: F.struct(F.replace(t, F.lit(CLEANING_MARK), F.lit(".")).alias("text"), F.array().cast("array<string>").alias("gone"))
+    return let(collapse(p), lambda t: F.when(t.rlike(pattern), cut).otherwise(whole(t)))
 
 
 def first_index(paragraphs: Column, cond) -> Column:

@@ -11,14 +11,14 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Elements that part paragraphs, elements without text, elements without end tags.
-BLOCK_TAGS = "p div li ul ol table tr td th h1 h2 h3 h4 h5 h6 blockquote pre br hr dd dt".split()
-SILENT_TAGS = "script style noscript svg".split()
-VOID_TAGS = "area base br col embed hr img input link meta param source track wbr basefont bgsound command frame image isindex nextid spacer menuitem keygen".split()
+BLOCK_TAGS = ("p", "div", "li", "ul", "ol", "table", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre", "br", "hr", "dd", "dt")
+SILENT_TAGS = ("script", "style", "noscript", "svg")
+VOID_TAGS = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr", "basefont", "bgsound", "command", "frame", "image", "isindex", "nextid", "spacer", "menuitem", "keygen")
 
 _SPACE = re.compile(r"\s+")
 
@@ -194,12 +194,11 @@ ENTRIES = T.ArrayType(
 )
 
 
-def bounded_batches(df: DataFrame, rows: int = 256) -> DataFrame:
-    """``df``, with the session's Arrow batches cut to at most ``rows`` rows: ten thousand long pages would fill a worker."""
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key, "10000")) <= rows:
-        conf.set(key, str(rows))
-    return df
+def limit_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Cut the session's Arrow batches to at most ``rows`` rows: ten thousand long pages would fill a worker. This changes the session's setting."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
 
 
 def paragraphs_udf(prefer_article: bool = True):

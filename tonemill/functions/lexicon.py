@@ -12,24 +12,31 @@ from .text import let
 LABELS = ("hawkish", "dovish", "neutral")
 
 # The built-in vocabulary.
-SUBJECTS_UP = (
-    "inflation prices price wages costs pressures rate rates target activity growth economy expansion spending investment "
-    "output production employment jobs job hiring demand labor conditions recovery sales housing utilization"
-).split()
-SUBJECTS_DOWN = "unemployment slack underutilization losses strains".split()
-MORE = (
-    "increase increased increases increasing raise raised raising rise rising rose higher high elevated strong stronger solid "
-    "robust firm firmed firming accelerate accelerated accelerating improve improved improving improvement strengthen strengthened "
-    "expand expanded expanding picked upward heightened tight tighter"
-).split()
-LESS = (
-    "decrease decreased decline declined declining lower lowered low reduce reduced reduction cut weak weaker weakened soft "
-    "softened slow slowed slowing slower subdued muted depressed below contained eased easing diminished diminish moderated "
-    "sluggish downward fall fell falling"
-).split()
+#: What is spoken of: 1 if more of it is tighter, -1 if more of it is looser.
+SUBJECTS = {
+    "inflation": 1, "prices": 1, "price": 1, "wages": 1, "costs": 1, "pressures": 1, "rate": 1, "rates": 1,
+    "target": 1, "activity": 1, "growth": 1, "economy": 1, "expansion": 1, "spending": 1, "investment": 1, "output": 1,
+    "production": 1, "employment": 1, "jobs": 1, "job": 1, "hiring": 1, "demand": 1, "labor": 1, "conditions": 1,
+    "recovery": 1, "sales": 1, "housing": 1, "utilization": 1,
+    "unemployment": -1, "slack": -1, "underutilization": -1, "losses": -1, "strains": -1,
+}
+#: Words of direction: 1 for more, -1 for less.
+DIRECTIONS = {
+    "increase": 1, "increased": 1, "increases": 1, "increasing": 1, "raise": 1, "raised": 1, "raising": 1, "rise": 1,
+    "rising": 1, "rose": 1, "higher": 1, "high": 1, "elevated": 1, "strong": 1, "stronger": 1, "solid": 1,
+    "robust": 1, "firm": 1, "firmed": 1, "firming": 1, "accelerate": 1, "accelerated": 1, "accelerating": 1, "improve": 1,
+    "improved": 1, "improving": 1, "improvement": 1, "strengthen": 1, "strengthened": 1, "expand": 1, "expanded": 1, "expanding": 1,
+    "picked": 1, "upward": 1, "heightened": 1, "tight": 1, "tighter": 1,
+    "decrease": -1, "decreased": -1, "decline": -1, "declined": -1, "declining": -1, "lower": -1, "lowered": -1, "low": -1,
+    "reduce": -1, "reduced": -1, "reduction": -1, "cut": -1, "weak": -1, "weaker": -1, "weakened": -1, "soft": -1,
+    "softened": -1, "slow": -1, "slowed": -1, "slowing": -1, "slower": -1, "subdued": -1, "muted": -1, "depressed": -1,
+    "below": -1, "contained": -1, "eased": -1, "easing": -1, "diminished": -1, "diminish": -1, "moderated": -1, "sluggish": -1,
+    "downward": -1, "fall": -1, "fell": -1, "falling": -1,
+}
 REMOVING_ACCOMMODATION = r"\b(remov(e|ing|al of)|withdraw\w*) (policy )?accommodation\b|\bless accommodative\b"
 ACCOMMODATION = r"\baccommodat(ive|ion)\b"
-COMPOUNDS = "unemployment inflation participation savings exchange growth".split()
+#: After these, "rate" is another rate.
+COMPOUNDS = ("unemployment", "inflation", "participation", "savings", "exchange", "growth")
 PHRASES = [
     (r"\bfirming\b", 1), (r"\btighten(ing|ed)?\b", 1), (r"\brestrictive\b", 1),
     (r"\breduc\w* (in )?the (monthly )?pace of (its )?(net )?(asset )?purchases\b", 1),
@@ -44,13 +51,13 @@ PHRASES = [
 class Lexicon:
     """A vocabulary: subjects and directions with signs, phrases, and words that lose their meaning after others."""
 
-    subjects: dict[str, int] = field(default_factory=lambda: dict.fromkeys(SUBJECTS_UP, 1) | dict.fromkeys(SUBJECTS_DOWN, -1))
-    directions: dict[str, int] = field(default_factory=lambda: dict.fromkeys(MORE, 1) | dict.fromkeys(LESS, -1))
+    subjects: dict[str, int] = field(default_factory=lambda: dict(SUBJECTS))
+    directions: dict[str, int] = field(default_factory=lambda: dict(DIRECTIONS))
     phrases: tuple[tuple[str, int], ...] = tuple(PHRASES)
     removing: str | None = REMOVING_ACCOMMODATION
     accommodating: str | None = ACCOMMODATION
     guarded: tuple[str, ...] = ("rate", "rates")
-    compounds: tuple[str, ...] = tuple(COMPOUNDS)
+    compounds: tuple[str, ...] = COMPOUNDS
     window: int = 4
 
 

@@ -51,6 +51,7 @@ def changes_after_filter(joined: DataFrame, part_by: list[str], change: str = "t
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("\x00n", F.row_number().over(w)).where("`\x00n` = 1").drop("\x00n")
+    """The first row of each key: a least value by key, so rows combine before they are shuffled and no group is sorted."""
+    row, rank = F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*[F.col(f"`{c}`") for c in order])
+    best = df.groupBy(*[F.col(f"`{k}`").alias(f"\x00{k}") for k in keys]).agg(F.min_by(row, rank).alias("\x00row"))
+    return best.select([F.col("`\x00row`")[c].alias(c) for c in df.columns])

@@ -40,16 +40,21 @@ def score_documents(labelled: DataFrame, labels: tuple[str, str, str] = LABELS)
 def tone_change(scored: DataFrame, part_by: list[str] | None = None, id_col: str = "doc_id", date_col: str = "release_date", flag_col: str = "scheduled") -> DataFrame:
     """``scored`` with ``tone_change``: score less that of the previous scheduled document of its kind; null for others."""
     flag = F.coalesce(F.col(flag_col), F.lit(False))
-    # The flag is part of the partition: scheduled rows see scheduled rows alone, and no join is needed.
-    order = Window.partitionBy(*(part_by or []), flag).orderBy(date_col, id_col)
+    # Scheduled rows see scheduled rows alone, and no join is needed; the others need no order, so each is a partition of its own.
+    order = Window.partitionBy(*(part_by or []), F.when(~flag, F.xxhash64(id_col))).orderBy(date_col, id_col)
     return scored.withColumn("tone_change", F.when(flag, F.col("score") - F.lag("score").over(order)))
 
 
-def not_done(docs: DataFrame, done: DataFrame, id_col: str = "doc_id") -> DataFrame:
+def not_done(docs: DataFrame, done: DataFrame, id_col: str | list[str] = "doc_id") -> DataFrame:
     """The documents that ``done`` doesn't hold: where a stopped run goes on."""
     return docs.join(done.select(id_col).distinct(), id_col, "left_anti")
 
 
+def still_wanted(done: DataFrame, docs: DataFrame, id_col: str | list[str] = "doc_id") -> DataFrame:
+    """The rows of ``done`` whose documents are still there: what a run that goes on takes over."""
+    return done.join(docs.select(id_col).distinct(), id_col, "left_semi")
+
+
 def choose_documents(docs: DataFrame, doc_type: str, since=None) -> DataFrame:
     """Documents of a type, released at ``since`` or later if given (undated ones then go)."""
     out = docs.where(F.col("doc_type") == doc_type)

@@ -1,8 +1,13 @@
-"""DuckDB SQL for the registered queries, written apart from the Spark code."""
+"""DuckDB SQL for the registered queries, written apart from the Spark code.
+
+The built-in vocabulary, the abbreviations and, for ``statement_rules`` and ``minutes_rules``, the rules' patterns are fixed values that
+the Spark code states; the SQL takes them from there. Queries that print their own pages (announcements, minutes, calendars,
+press releases) are held against rows that SQL makes without any pattern.
+"""
 
 from __future__ import annotations
 
-from .functions.lexicon import ACCOMMODATION, COMPOUNDS, LESS, MORE, PHRASES, REMOVING_ACCOMMODATION, SUBJECTS_DOWN, SUBJECTS_UP
+from .functions.lexicon import ACCOMMODATION, COMPOUNDS, DIRECTIONS, PHRASES, REMOVING_ACCOMMODATION, SUBJECTS
 from .functions.text import CLEANING_ABBREVIATIONS, SCORING_ABBREVIATIONS
 
 # DuckDB's \s is ASCII; the tables hold no other white space but what is listed here.
@@ -20,6 +25,12 @@ def _collapsed(expr: str) -> str:
     return f"trim(regexp_replace({expr}, '{_WS}', ' ', 'g'))"
 
 
+def _decoded(expr: str) -> str:
+    for entity, sign in (("&quot;", "chr(34)"), ("&copy;", "'©'"), ("&middot;", "'·'"), ("&amp;", "'&'")):
+        expr = f"replace({expr}, '{entity}', {sign})"
+    return expr
+
+
 _SENTENCES = f"""
 paras AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n')) AS p, generate_subscripts(regexp_split_to_array(coalesce(text, ''), '\\n\\s*\\n'), 1) AS k FROM documents),
 cut AS (SELECT doc_id, k, string_split(regexp_replace({_protected(_collapsed('p'))}, '([.!?])["'')\\]]?\\s+(["''(\\[]?[A-Z0-9])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ss FROM paras),
@@ -53,7 +64,7 @@ _CORPUS = {
 }
 _OTHER = {"subjects": {"the": 1, "of": 1, "de": 1}, "directions": {"to": 1, "in": -1, "en": -1, "la": 1}, "phrases": [], "removing": None, "accommodating": None, "guarded": [], "compounds": []}
 _BUILT_IN = {
-    "subjects": dict.fromkeys(SUBJECTS_UP, 1) | dict.fromkeys(SUBJECTS_DOWN, -1), "directions": dict.fromkeys(MORE, 1) | dict.fromkeys(LESS, -1), "phrases": PHRASES,
+    "subjects": SUBJECTS, "directions": DIRECTIONS, "phrases": PHRASES,
     "removing": REMOVING_ACCOMMODATION, "accommodating": ACCOMMODATION, "guarded": ["rate", "rates"], "compounds": COMPOUNDS,
 }
 
@@ -121,6 +132,54 @@ SELECT rule, count(*) AS n, sum(length(p))::BIGINT AS chars FROM r WHERE rule IS
 
 _STATEMENT, _MINUTES = _rules()
 
+
+def _lines(*lines: tuple[str, str, str, str]) -> str:
+    """SQL of printed paragraphs: whether each is there, what it must be ('kept' or the rule that takes it), its text as logged, what is kept of it."""
+    rows = ", ".join(f"struct_pack(i := {i}, c := {c}, rule := {rule}, p := {p}, kept := {kept})" for i, (c, rule, p, kept) in enumerate(lines))
+    return f"WITH l AS (SELECT o_orderkey, unnest([{rows}]) AS x FROM (SELECT *, o_orderkey AS k FROM orders)), lines AS (SELECT o_orderkey, x.i AS i, x.c AS c, x.rule AS rule, x.p AS p, x.kept AS kept FROM l)"
+
+
+_ANNOUNCEMENTS = _lines(
+    ("k % 9 <> 0", "'header'", "'Menu of the site for customer ' || o_custkey", "NULL"),
+    ("k % 9 <> 0", "'header'", "'For release at 2:00 p.m. EST'", "NULL"),
+    ("k % 2 = 0", "'voting'", "'The Federal Open Market Committee approved the following statement for release by a 12 – 0 vote:'", "NULL"),
+    ("true", "'kept'", "''", "'Economic activity on ' || o_orderdate::DATE || ' expanded at a solid pace. Inflation remains elevated.'"),
+    ("k % 3 = 0", "'discount_approval'", "'In taking the action, the Board approved requests submitted by the Boards of Directors of ' || o_orderpriority || '.'", "'The outlook is balanced. Risks remain.'"),
+    ("k % 6 = 1", "'discount_approval'", "'The Board approved a request submitted by the Board of Directors of one bank.'", "NULL"),
+    ("true", "'voting'", "'Voting for the action were: Able; Baker; and ' || o_orderpriority || '.'", "NULL"),
+    ("k % 5 = 0", "'voting'", "'Jane Q. Able dissented because she preferred to wait.'", "NULL"),
+    ("k % 4 = 0", "'media_contact'", "'For media inquiries, please call 202-452-2955.'", "NULL"),
+    ("k % 7 = 0", "'fragment'", "'Projection Materials'", "NULL"),
+    ("true", "'fragment'", "'Short line ' || k", "NULL"),
+    ("k % 8 <> 3", "'footer'", "'2024 Monetary policy releases'", "NULL"),
+    ("true", "CASE WHEN k % 8 <> 3 THEN 'footer' ELSE 'kept' END", "'Line at the end by ' || o_orderpriority", "CASE WHEN k % 8 = 3 THEN 'Line at the end by ' || o_orderpriority END"),
+)
+_HAS = "CASE WHEN k % 11 <> 0 THEN '{0}' ELSE '{1}' END"
+_PRINTED = _lines(
+    ("true", _HAS.format("header_attendance", "procedural"), "'Present:'", "NULL"),
+    ("true", _HAS.format("header_attendance", "heading"), "'Jerome Able, Chair; Joan Baker, Vice Chair; Michael Court; ' || o_orderpriority", "NULL"),
+    ("true", _HAS.format("header_organisational", "kept"), "'The Manager shall clear with the Subcommittee any operation that is not routine in character.'", "NULL"),
+    ("k % 3 = 0", _HAS.format("header_organisational", "heading"), "'(b) lending of securities held by the account on a day'", "NULL"),
+    ("true", "'longer_run_goals_statement'", "'The maximum level of employment is a broad goal that is not directly measurable by anyone.'", "NULL"),
+    ("k % 2 = 0", "'kept'", "'Participants discussed the balance sheet of ' || o_orderdate::DATE || ' at length, and many noted that runoff could end earlier than expected.'", "NULL"),
+    ("k % 11 <> 0", "'kept'", "'The manager turned first to a review of domestic market developments over the period.'", "NULL"),
+    ("true", "'heading'", "'Staff outlook for the period ahead of us all'", "NULL"),
+    ("true", "'fragment'", "'Too short to keep'", "NULL"),
+    ("k % 4 = 1", "'quoted_statement_or_directive'", "'“The Committee decided today to raise its target.'", "NULL"),
+    ("k % 4 = 1", "'quoted_statement_or_directive'", "'It judges that the risks are balanced.”'", "NULL"),
+    ("true", "'voting'", "'Votes for this action:'", "NULL"),
+    ("true", "'voting'", "'Messrs. Able, Baker, and Court.'", "NULL"),
+    ("k % 5 = 0", "'voting'", "'Votes against this action:'", "NULL"),
+    ("k % 5 = 0", "'voting'", "'None.'", "NULL"),
+    ("k % 7 = 0", "'navigation'", "'Skip to the main content of this page now'", "NULL"),
+    ("true", "'procedural'", "'By unanimous vote, the minutes of the last meeting were approved by all members.'", "NULL"),
+    ("k % 6 = 0", "'media_contact'", "'Media inquiries about this document should go to the office that made it.'", "NULL"),
+    ("true", "'kept'", "'Participants noted that inflation pressures had increased somewhat over the period, as customer ' || o_custkey || ' said.'", "NULL"),
+    ("k % 13 <> 0", "'tail'", "'It was agreed that the next meeting of the Committee would be held on Tuesday.'", "NULL"),
+    ("k % 13 <> 0", "'tail'", "'The meeting adjourned at 1:15 p.m.'", "NULL"),
+    ("k % 11 = 0", "'warning'", "'no start anchor found'", "NULL"),
+)
+
 ORACLE_SQL: dict[str, str] = {
     "doc_tone": f"{_TONE} SELECT * FROM tone",
     "default_lexicon_labels": f"""WITH s AS (SELECT ['Inflation', 'The unemployment rate', 'Economic activity', 'The target rate', 'Labor market slack'][o_orderkey % 5 + 1] AS subject,
@@ -128,6 +187,30 @@ ORACLE_SQL: dict[str, str] = {
         ['in recent months', 'and policy accommodation is patient', 'with further firming'][year(o_orderdate) % 3 + 1] AS tail, count(*) AS n FROM orders GROUP BY ALL),
         v AS (SELECT subject, n, subject || ' ' || verb || ' ' || tail AS sentence FROM s), w AS (SELECT subject, n, {_score('sentence', _BUILT_IN)} AS v FROM v)
         SELECT subject, CASE WHEN v > 0 THEN 'hawkish' WHEN v < 0 THEN 'dovish' ELSE 'neutral' END AS label, sum(n)::BIGINT AS n FROM w GROUP BY 1, 2""",
+    "resumed_scores": f"""{_TONE}, {_tone(_OTHER, 'other')} SELECT o.doc_id, o.n_sentences, round(o.score, 9) AS score, false AS made FROM other o WHERE o.doc_id IN (SELECT doc_id FROM labels)
+        UNION ALL SELECT t.doc_id, t.n_sentences, round(t.score, 9), true FROM tone t WHERE t.doc_id NOT IN (SELECT doc_id FROM labels)""",
+    "announcement_rules": f"{_ANNOUNCEMENTS} SELECT rule, count(*) AS n, sum(length(p))::BIGINT AS chars FROM lines WHERE c AND rule <> 'kept' GROUP BY rule",
+    "announcements_cleaned": f"""{_ANNOUNCEMENTS} SELECT o_orderkey, coalesce(string_agg(kept, chr(10) || chr(10) ORDER BY i) FILTER (WHERE c AND kept IS NOT NULL), '') AS clean_text,
+        (count(*) FILTER (WHERE c AND rule <> 'kept'))::INT AS n_stripped FROM lines GROUP BY o_orderkey""",
+    "printed_minutes_rules": f"{_PRINTED} SELECT rule, count(*) AS n, sum(length(p))::BIGINT AS chars FROM lines WHERE c AND rule <> 'kept' GROUP BY rule",
+    "printed_minutes_cleaned": f"""{_PRINTED} SELECT o_orderkey, md5(coalesce(string_agg(p, chr(10) || chr(10) ORDER BY i) FILTER (WHERE c AND rule = 'kept'), '')) AS clean_md5,
+        (count(*) FILTER (WHERE c AND rule = 'kept'))::INT AS n_kept FROM lines GROUP BY o_orderkey""",
+    "calendar_meetings": """WITH o AS (SELECT DISTINCT year(o_orderdate)::INT AS y, month(o_orderdate) AS m FROM orders), a AS (SELECT y, m, monthname(make_date(y, m, 1)) AS name, CASE WHEN m % 5 = 0 THEN 'unscheduled' WHEN m = 6 THEN 'conference_call' ELSE 'scheduled' END AS kind FROM o),
+        r AS (SELECT n_nationkey + 1 AS m, n_regionkey + 10 AS d FROM nation WHERE n_nationkey < 12)
+        SELECT y AS year, name || CASE kind WHEN 'unscheduled' THEN ' 26 (unscheduled) Meeting - ' WHEN 'conference_call' THEN ' 26 Conference Call - ' ELSE ' 25-26 Meeting - ' END || y AS label,
+            make_date(y, m, CASE WHEN kind = 'scheduled' THEN 25 ELSE 26 END) AS meeting_start, make_date(y, m, 26) AS meeting_end, kind AS event_type, kind = 'scheduled' AS scheduled,
+            '/fomc/' || strftime(make_date(y, m, 26), '%Y%m%d') || 'default.htm' AS statement_url, '/fomc/minutes/' || strftime(make_date(y, m, 26), '%Y%m%d') || '.htm' AS minutes_url,
+            (make_date(y, m, 26) + 21)::DATE AS minutes_release_date, '/a/' || y AS source_page FROM a
+        UNION ALL SELECT 2021, monthname(make_date(2021, m, 1)) || ' ' || d || '-' || (d + 1) || '*', make_date(2021, m, d), make_date(2021, m, d + 1), 'scheduled', true,
+            '/newsevents/pressreleases/monetary' || strftime(make_date(2021, m, d + 1), '%Y%m%d') || 'a.htm', NULL, NULL, '/current' FROM r WHERE m <= 9""",
+    "press_releases": """WITH d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders), l AS (SELECT day, CASE WHEN month(day) % 2 = 0 THEN least(dayofyear(day) % 6, 2) ELSE dayofyear(day) % 6 END AS n FROM d),
+        h AS (SELECT day, CASE WHEN day(day) % 4 < n THEN day(day) % 4 WHEN n = 5 THEN 4 END AS k FROM l)
+        SELECT day AS release_day, '/newsevents/pressreleases/monetary' || strftime(day, '%Y%m%d') || substr('abcde', k + 1, 1) || '.htm' AS press_url, CASE WHEN k IS NOT NULL THEN 840 END AS minutes_after_midnight,
+            CASE WHEN k IS NULL THEN 'unverified' ELSE 'minutes_press_release' END AS source, CASE WHEN k IS NULL THEN 'no minutes press release found' ELSE '' END AS note FROM h""",
+    "ambiguous_times": """WITH t AS (SELECT n_nationkey, n_regionkey AS r, (n_nationkey % 11 + 13) * 60 + 15 AS told, n_nationkey % 11 + 13 AS h FROM nation)
+        SELECT n_nationkey, CASE WHEN r IN (1, 3) THEN told::INT END AS minutes_after_midnight, CASE WHEN r IN (1, 3) THEN 'minutes' ELSE 'unverified' END AS source,
+            CASE r WHEN 0 THEN 'no time found' WHEN 1 THEN '' WHEN 3 THEN '' ELSE 'ambiguous times in minutes: 08:30:00,' || h || ':15:00' END AS note FROM t""",
+    "exact_sample_facts": "SELECT 150 AS n, 150 AS n_docs, 'v001' AS first_id, 'v150' AS last_id, 150 AS n_own, 150 AS n_again",
     "tone_change_by_source": f"{_CHANGES} SELECT f.doc_id, source, scheduled, round(score, 9) AS score, round(tone_change, 9) AS tone_change FROM flagged f LEFT JOIN sched USING (doc_id)",
     "change_correlation": f"""{_CHANGES}, {_tone(_OTHER, 'other')},
         j AS (SELECT f.doc_id, f.source, f.score, s.tone_change, other.score AS lexicon FROM flagged f JOIN sched s USING (doc_id) JOIN other USING (doc_id)),
@@ -147,7 +230,9 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT max(n) AS n, sum(tp) / max(n) AS po, sum((g / n) * (p / n)) AS pe, avg(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (g + p) END) AS f FROM per)
         SELECT n, round(po, 9) AS accuracy, round(f, 9) AS macro_f1, round(CASE WHEN pe = 1 THEN 0 ELSE (po - pe) / (1 - pe) END, 9) AS kappa FROM s""",
     "majority_class": f"{_PAIRS} SELECT round(max(n) / sum(n), 9) AS majority_class_accuracy FROM (SELECT gold, count(*) AS n FROM pairs GROUP BY gold)",
-    "choose_scorer": "WITH s AS (SELECT r_regionkey AS c, ['lexicon', 'zs-base', 'zs-large'][r_regionkey + 1] AS scorer, 0.70 + r_regionkey * 0.02 AS f FROM region WHERE r_regionkey < 3) SELECT arg_min(scorer, c) AS \"primary\" FROM s WHERE f >= (SELECT max(f) FROM s) - 0.03",
+    "choose_scorer": """WITH n AS (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation),
+        s AS (SELECT n_regionkey, k, 0.6 + n_nationkey % 7 * 0.02 AS f FROM n WHERE k <= 3 AND NOT (n_regionkey = 4 AND k = 2)), t AS (SELECT *, max(f) OVER (PARTITION BY n_regionkey) AS best FROM s)
+        SELECT n_regionkey::INT AS n_regionkey, CASE WHEN count(*) = 3 THEN ['lexicon', 'zs-base', 'zs-large'][min(k) FILTER (WHERE f >= best - 0.03)] END AS "primary" FROM t GROUP BY n_regionkey""",
     "crosstab_year_kind": "SELECT year(o_orderdate)::INT AS year, " + ", ".join(f"count(*) FILTER (WHERE o_orderstatus = '{k}' AND {'' if not u else 'NOT '}o_totalprice > 100000) AS {k}{u}" for k in "FOP" for u in ("", "_unsched")) + " FROM orders GROUP BY 1",
     "group_null_keys": "SELECT lang, quality, toxic, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL",
     "statement_rules": _STATEMENT,
@@ -160,9 +245,20 @@ ORACLE_SQL: dict[str, str] = {
     "page_keys": """WITH p AS (SELECT page_id, regexp_replace(url, '^https?://[^/]*', '') AS rest FROM pages), k AS (SELECT page_id, rest, trim(regexp_replace(rest, '[?#].*$', ''), '/') AS path FROM p)
         SELECT page_id, CASE WHEN path = '' THEN 'index' ELSE regexp_replace(replace(path, '/', '_'), '[^A-Za-z0-9._-]', '_', 'g') END AS cache_key,
         CASE WHEN rest = '' THEN 'https://www.federalreserve.gov' ELSE 'https://www.federalreserve.gov' || rest END AS absolute FROM k""",
-    "page_lookup": """WITH k AS (SELECT page_id, trim(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', ''), '/') AS path FROM pages)
-        SELECT page_id, path IN (SELECT path FROM k WHERE page_id % 2 = 0) AS found FROM k""",
-    "decoded_bodies": "SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE lang || 'é“' END) AS digest FROM documents",
+    "page_lookup": """WITH u AS (SELECT page_id, 'as it is' AS asked, url FROM pages UNION ALL SELECT page_id, 'changed', url || '-gone' FROM pages),
+        k AS (SELECT page_id, asked, trim(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', ''), '/') AS path FROM u),
+        c AS (SELECT page_id, asked, CASE WHEN path = '' THEN 'index' ELSE regexp_replace(replace(path, '/', '_'), '[^A-Za-z0-9._-]', '_', 'g') END AS key FROM k),
+        h AS (SELECT key, min(html) AS html FROM c JOIN pages USING (page_id) WHERE asked = 'as it is' GROUP BY key)
+        SELECT page_id, asked, md5(html) AS found_md5 FROM c LEFT JOIN h USING (key)""",
+    "decoded_bodies": r"SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '[^\x00-\x7F\x{A0}-\x{FF}]', '?', 'g') || '“' END) AS digest FROM documents",
+    # The pages of the tables hold these elements and entities alone.
+    "html_paragraphs": rf"""WITH b AS (SELECT page_id, regexp_replace(regexp_extract(html, '<body>(.*)$', 1, 's'), '<!--.*?-->', '', 'gs') AS h FROM pages),
+        t AS (SELECT page_id, string_split(regexp_replace(regexp_replace(h, '</?(p|li|ul|div|h1|br)( [^>]*)?>', chr(1), 'g'), '<[^>]*>', '', 'g'), chr(1)) AS ps FROM b),
+        c AS (SELECT page_id, list_filter(list_transform(ps, lambda p: {_collapsed(_decoded('p'))}), lambda p: p <> '') AS ps FROM t)
+        SELECT page_id, unnest(range(len(ps)))::INT AS i, unnest(ps) AS paragraph FROM c""",
+    "page_links": rf"""WITH a AS (SELECT page_id, regexp_extract_all(html, '<a href="[^"]*">[^<]*</a>') AS ls FROM pages),
+        l AS (SELECT page_id, unnest(range(len(ls)))::INT AS i, unnest(ls) AS l FROM a)
+        SELECT page_id, i, regexp_replace(trim({_decoded("regexp_extract(l, 'href=\"([^\"]*)', 1)")}), '^https?://example[.]com', '') AS href, {_collapsed(_decoded("regexp_extract(l, '>([^<]*)<', 1)"))} AS link_text FROM l""",
     "softmax_labels": """WITH e AS (SELECT vec_id, list_transform(embedding[1:3], lambda x: x::DOUBLE * 8) AS l FROM embeddings), s AS (SELECT vec_id, l, list_sum(list_transform(l, lambda x: exp(x - list_max(l)))) AS t FROM e)
         SELECT vec_id, ['hawkish', 'dovish', 'neutral'][list_position(l, list_max(l))] AS label, round(1 / t, 6) AS top FROM s""",
     "hypothesis_pairs": """SELECT h.k AS hypothesis_label, h.v AS hypothesis, count(*) AS n FROM conversations, (VALUES ('hawkish', 'This text signals tighter monetary policy, rising inflation, or a strengthening economy.'),

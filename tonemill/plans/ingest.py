@@ -8,18 +8,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clean, dates, release
-from ..functions.html import bounded_batches, entries_udf, paragraphs_udf
-from ..functions.text import word_count
+from ..functions.html import entries_udf, limit_batches, paragraphs_udf
+from ..functions.text import ordered_join, word_count
 from ..functions.urls import SITE, absolute_url
 from ..operators.report import keep_first
 from ..sources.pages import look_up
 
 
 def parse_calendars(calendars: DataFrame, site: str = SITE) -> DataFrame:
-    """Meetings of calendar pages given as (ord, year, url, kind, html), as printed and in page order (ord, at)."""
+    """Meetings of calendar pages given as (ord, year, url, kind, html), as printed and in page order (ord, at); null dates where none can be read."""
+    limit_batches(calendars.sparkSession)
 
     def read(kind):
-        rows = bounded_batches(calendars).where(F.col("kind") == kind)
+        rows = calendars.where(F.col("kind") == kind)
         return rows.select("ord", F.col("year").alias("page_year"), F.col("url").alias("source_page"), F.posexplode(entries_udf(kind, site)(F.col("html"))).alias("at", "e"))
 
     rows = read("archive").unionByName(read("recent"))
@@ -32,9 +33,20 @@ def parse_calendars(calendars: DataFrame, site: str = SITE) -> DataFrame:
     return out.select("ord", "at", "year", "label", F.col("span.start").alias("meeting_start"), F.col("span.end").alias("meeting_end"), "event_type", "scheduled", "u.statement_url", "u.minutes_url", "u.minutes_release_date", "source_page")
 
 
-def load_meetings(calendars: DataFrame, today: datetime.date, site: str = SITE) -> DataFrame:
-    """Meetings up to ``today``, the first of each (meeting_end, label) in page order, by date."""
-    found = parse_calendars(calendars, site).where(F.col("meeting_end") <= F.lit(today))
+def unreadable_meetings(calendars: DataFrame, site: str = SITE) -> DataFrame:
+    """(source_page, label, year): the entries whose dates can't be read, which ``load_meetings`` refuses or leaves out."""
+    return parse_calendars(calendars, site).where("meeting_start IS NULL OR meeting_end IS NULL").select("source_page", "label", "year")
+
+
+def load_meetings(calendars: DataFrame, today: datetime.date, site: str = SITE, strict: bool = True) -> DataFrame:
+    """Meetings up to ``today``, the first of each (meeting_end, label) in page order, by date. An entry whose dates can't be read
+    fails the query; with ``strict`` off it is left out (``unreadable_meetings`` lists them)."""
+    found = parse_calendars(calendars, site)
+    if strict:
+        said = F.concat(F.lit("unreadable meeting dates: "), F.coalesce("label", F.lit("")), F.lit(" on "), F.coalesce("source_page", F.lit("")))
+        known = F.col("meeting_start").isNotNull() & F.col("meeting_end").isNotNull()
+        found = found.withColumn("meeting_end", F.when(known, F.col("meeting_end")).otherwise(F.raise_error(said).cast("date")))
+    found = found.where(F.col("meeting_end") <= F.lit(today))
     return keep_first(found, ["meeting_end", "label"], ["ord", "at"]).drop("ord", "at").orderBy("meeting_end", "label")
 
 
@@ -54,7 +66,7 @@ def find_press_release(days: DataFrame, pages: DataFrame, paragraphs, site: str
 def build_documents(meetings: DataFrame, pages: DataFrame, site: str = SITE) -> tuple[DataFrame, DataFrame]:
     """(documents, stripped): every statement and minutes document whose page has paragraphs, and the log of what cleaning took."""
     paragraphs = paragraphs_udf()
-    bounded_batches(pages)
+    limit_batches(pages.sparkSession)
     empty = F.array().cast("array<string>")
     both = look_up(look_up(meetings, pages, "statement_url", "st_html", site), pages, "minutes_url", "mn_html", site)
     both = both.withColumns({"st": F.coalesce(paragraphs(F.col("st_html")), empty), "mn": F.coalesce(paragraphs(F.col("mn_html")), empty)}).drop("st_html", "mn_html")
@@ -64,7 +76,7 @@ def build_documents(meetings: DataFrame, pages: DataFrame, site: str = SITE) ->
     rel = F.coalesce(dates.page_date(F.col("st")), url_date)
     st = both.where(F.size("st") > 0).select(
         *base, rel.alias("release_date"), url_date.alias("url_date"), release.resolve_statement_time(F.col("st"), F.col("mn")).alias("rt"),
-        clean.clean_statement(F.col("st")).alias("c"), absolute_url(F.col("statement_url"), site).alias("source_url"), F.array_join("st", "\n\n").alias("raw_text"),
+        clean.clean_statement(F.col("st")).alias("c"), absolute_url(F.col("statement_url"), site).alias("source_url"), ordered_join(F.col("st"), "\n\n").alias("raw_text"),
     )
     text = lambda d: F.coalesce(d.cast("string"), F.lit("None"))
     st = st.select(
@@ -82,12 +94,12 @@ def build_documents(meetings: DataFrame, pages: DataFrame, site: str = SITE) ->
     mn = mn.select(
         *base, F.concat_ws("_", F.lit("minutes"), text(F.col("meeting_end")), F.col("event_type")).alias("doc_id"), F.lit("minutes").alias("doc_type"), F.col("minutes_release_date").alias("release_date"),
         F.when(F.col("minutes_release_date").isNotNull(), "calendar").otherwise("missing").alias("release_date_check"),
-        rt.alias("rt"), clean.clean_minutes(F.col("mn")).alias("c"), absolute_url(F.col("minutes_url"), site).alias("source_url"), F.array_join("mn", "\n\n").alias("raw_text"),
+        rt.alias("rt"), clean.clean_minutes(F.col("mn")).alias("c"), absolute_url(F.col("minutes_url"), site).alias("source_url"), ordered_join(F.col("mn"), "\n\n").alias("raw_text"),
     )
 
     every = st.unionByName(mn)
     stripped = every.select("doc_id", F.posexplode("c.stripped").alias("seq", "s")).select("doc_id", "s.rule", "s.text", "seq")
-    clean_text = F.array_join("c.kept", "\n\n")
+    clean_text = ordered_join(F.col("c.kept"), "\n\n")
     documents = every.select(
         *base, "doc_id", "doc_type", "release_date", "release_date_check", F.col("rt.time").alias("release_time_et"), dates.in_new_york(F.col("release_date"), F.col("rt.time")).alias("release_datetime"),
         F.col("rt.source").alias("time_source"), F.col("rt.note").alias("time_note"), "source_url", "raw_text", clean_text.alias("clean_text"), word_count(clean_text).alias("n_words"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,13 +12,32 @@ from ..functions.lexicon import Lexicon
 from ..functions.release import decision
 from ..functions.text import scoring_sentences
 from ..operators import metrics, nli, report, tone
+from ..sources import files
 
 #: A scorer of sentence tables: adds the column ``label``.
 TableScorer = Callable[[DataFrame], DataFrame]
 
 
+#: Scorers that were added by name, beside the built-in ones.
+_ADDED: dict[str, Callable[[], TableScorer]] = {}
+
+
+def register_scorer(name: str, make: Callable[[], TableScorer]) -> None:
+    """Add a scorer by name: ``make`` gives a function from a table with ``sentence`` to one with ``label`` too."""
+    if name in metrics.CANDIDATES:
+        raise ValueError(f"{name} is built in")
+    _ADDED[name] = make
+
+
+def scorer_names() -> list[str]:
+    """The names that ``scorer`` knows."""
+    return [*metrics.CANDIDATES, *_ADDED]
+
+
 def scorer(name: str, load_model: Callable[[str], Callable[[], nli.Model]] | None = None, lexicon: Lexicon = Lexicon()) -> TableScorer:
-    """A scorer by name: ``lexicon`` stays native; others load a model in each worker."""
+    """A scorer by name: ``lexicon`` stays native; others load a model in each worker, or were added by ``register_scorer``."""
+    if name in _ADDED:
+        return _ADDED[name]()
     if name == "lexicon":
         label: Callable[[Column], Column] = tone.lexicon_scorer(lexicon)
         return lambda sentences: sentences.withColumn("label", label(F.col("sentence")))
@@ -39,6 +59,28 @@ def validate(labelled: DataFrame, scorers: dict[str, TableScorer]) -> tuple[Data
     return wide.orderBy("id"), rounded, metrics.majority_share(gold), metrics.choose(rounded)
 
 
+def validation_summary(validated: tuple[DataFrame, DataFrame, DataFrame, DataFrame], names: list[str]) -> dict:
+    """The figures of ``validate`` as one nested value: candidates with their confusions, the majority's share, the primary scorer if all
+    candidates were there. Its tables have a few rows each."""
+    wide, results, majority, primary = validated
+    candidates = {r.scorer: {"macro_f1": r.macro_f1, "accuracy": r.accuracy, "kappa": r.kappa} for r in results.collect()}
+    for name in names:
+        table: dict = {g: {} for g in metrics.LABELS}
+        for r in metrics.confusion(wide.select("gold", F.col(f"pred_{name}").alias("pred"))).collect():
+            table[r.gold][r.pred] = r.n
+        candidates[name]["confusion_gold_by_pred"] = {g: {p: row[p] for p in metrics.LABELS} for g, row in table.items()}
+    out = {"candidates": {n: candidates[n] for n in names}, "majority_class_accuracy": majority.first()[0]}
+    best = primary.first()["primary"]
+    return out | ({"primary": best} if best else {})
+
+
+def check_summary(checked: tuple[DataFrame, DataFrame, DataFrame], name: str) -> dict:
+    """The figures of ``check_tone`` as one nested value; its tables have a few rows each."""
+    by_decision, correlations, series = checked
+    both = correlations.first()
+    return {"scorer": name, "statements": series.count(), "mean_score_by_decision": [r.asDict() for r in by_decision.collect()], **both.asDict()}
+
+
 def score_documents(documents: DataFrame, doc_type: str, since=None, lexicon: Lexicon = Lexicon()) -> tuple[DataFrame, DataFrame]:
     """(tone, sentences) of one type's documents by the lexicon."""
     docs = tone.choose_documents(documents, doc_type, since).select("doc_id", "release_date", "scheduled", "clean_text")
@@ -47,24 +89,48 @@ def score_documents(documents: DataFrame, doc_type: str, since=None, lexicon: Le
     return scored.orderBy("release_date", "doc_id"), tone.sentence_table(labelled)
 
 
-def score_with_model(spark: SparkSession, documents: DataFrame, doc_type: str, run: TableScorer, partial: str, since=None, batch: int = 500) -> tuple[DataFrame, DataFrame]:
-    """(tone, sentences) by a slow scorer, in batches that are written to ``partial``; a run that stopped goes on after the written ones."""
-    docs = tone.choose_documents(documents, doc_type, since).select("doc_id", "release_date", "scheduled", "clean_text")
-    schema = "doc_id string, i int, sentence string, label string, bucket int"
-    buckets = -(-docs.count() // batch) or 1
-    docs = docs.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
-    spark.createDataFrame([], schema).write.mode("append").parquet(partial)
-    done = {r.bucket for r in spark.read.schema(schema).parquet(partial).select("bucket").distinct().collect()}
-    for k in sorted(set(range(buckets)) - done):
-        part = docs.where(F.col("bucket") == k).select("doc_id", "bucket", F.posexplode(scoring_sentences(F.col("clean_text"))).alias("i", "sentence"))
-        run(part).select("doc_id", "i", "sentence", "label", "bucket").write.mode("append").parquet(partial)
-    sentences = spark.read.schema(schema).parquet(partial).drop("bucket")
+#: What a batch of a slow scorer writes: one row per sentence, or one without a sentence for a document that has none.
+PARTIAL = "doc_id string, text_hash long, i int, sentence string, label string"
+
+
+def scored_so_far(spark: SparkSession, partial: str) -> DataFrame:
+    """The rows of all batches that were written to their end."""
+    whole = [f"{partial}/{n}" for n in files.names(spark, partial) if n.startswith("batch-") and files.exists(spark, f"{partial}/{n}/_SUCCESS")]
+    return spark.read.schema(PARTIAL).parquet(*whole) if whole else spark.createDataFrame([], PARTIAL)
+
+
+def score_with_model(spark: SparkSession, documents: DataFrame, doc_type: str, run: TableScorer, partial: str, since=None, batch: int = 5000) -> tuple[DataFrame, DataFrame]:
+    """(tone, sentences) by a slow scorer; a run that stopped goes on where it was, whatever was added, taken away or changed since.
+
+    What is done is known by document and text, so a changed text is scored again and a document that is gone is left out. What is
+    to do is written once to ``partial``, dealt into batches of about ``batch`` documents, and each batch reads its own part
+    alone; a batch counts once it is written to its end. Call ``forget`` when the results are stored.
+    """
+    keys = ["doc_id", "text_hash"]
+    docs = tone.choose_documents(documents, doc_type, since).select("doc_id", "release_date", "scheduled", "clean_text", F.xxhash64("clean_text").alias("text_hash"))
+    todo = tone.not_done(docs.select(*keys, "clean_text"), scored_so_far(spark, partial), keys)
+    n = -(-todo.count() // batch)
+    if n:
+        todo.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).write.mode("overwrite").partitionBy("part").parquet(f"{partial}/todo")
+        dealt = spark.read.schema("doc_id string, text_hash long, clean_text string, part int").parquet(f"{partial}/todo")
+        for k in range(n):
+            own = dealt.where(F.col("part") == k).select(*keys, F.posexplode_outer(scoring_sentences(F.col("clean_text"))).alias("i", "sentence"))
+            labelled = run(own.where("sentence IS NOT NULL")).select(*keys, "i", "sentence", "label")
+            none = own.where("sentence IS NULL").select(*keys, "i", "sentence", F.lit(None).cast("string").alias("label"))
+            labelled.unionByName(none).write.parquet(f"{partial}/batch-{uuid.uuid4().hex}")
+    found = tone.still_wanted(scored_so_far(spark, partial), docs, keys)
+    sentences = found.where("sentence IS NOT NULL").select("doc_id", "i", "sentence", "label")
     counts = sentences.groupBy("doc_id").agg(F.count("*").cast("int").alias("n_sentences"), F.count_if(F.col("label") == "hawkish").cast("int").alias("n_hawkish"), F.count_if(F.col("label") == "dovish").cast("int").alias("n_dovish"))
-    scored = docs.drop("clean_text", "bucket").join(counts, "doc_id", "left").na.fill(0, ["n_sentences", "n_hawkish", "n_dovish"])
+    scored = docs.drop("clean_text", "text_hash").join(counts, "doc_id", "left").na.fill(0, ["n_sentences", "n_hawkish", "n_dovish"])
     scored = scored.withColumn("score", F.try_divide(F.col("n_hawkish") - F.col("n_dovish"), F.col("n_sentences")).cast("double"))
     return tone.tone_change(scored).orderBy("release_date", "doc_id"), sentences
 
 
+def forget(spark: SparkSession, partial: str) -> None:
+    """Delete the batches of a run whose results are stored."""
+    files.remove(spark, partial)
+
+
 def check_tone(documents: DataFrame, scored: DataFrame, lexicon_scored: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(by_decision, correlations, series) of scheduled documents: mean score by the decision read from the text, agreement
     with the lexicon in level and change, and the rows for a time-series chart."""

@@ -6,16 +6,17 @@ what is scheduled, and a small vocabulary of function words stands in for the bu
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import clean, dates, release, text, urls
-from .functions.html import bounded_batches, links_udf, paragraphs_udf
-from .functions.lexicon import Lexicon, sentence_label
+from .functions.html import limit_batches, links_udf, paragraphs_udf
+from .functions.lexicon import Lexicon, sentence_label, sentence_score
 from .operators import metrics, nli, report, sampling, tone
-from .plans import scoring
+from .plans import ingest, scoring
 from .sources import pages as store
 
 #: A vocabulary of words that the invented prose has.
@@ -27,6 +28,10 @@ CORPUS = Lexicon(
 OTHER = Lexicon(subjects={"the": 1, "of": 1, "de": 1}, directions={"to": 1, "in": -1, "en": -1, "la": 1}, phrases=(), removing=None, accommodating=None, guarded=(), compounds=())
 
 
+#: What the older encoding has no sign for (of Latin letters it has these).
+OLD_SIGNS = r"[^\x00-\x7F\x{A0}-\x{FF}]"
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -55,6 +60,15 @@ def default_lexicon_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return o.select(sentence_label(F.concat_ws(" ", subject, verb, tail)).alias("label"), subject.alias("subject")).groupBy("subject", "label").agg(F.count("*").alias("n"))
 
 
+def resumed_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of a run that goes on: the labelled documents' are taken over (another lexicon's), the others made and appended."""
+    docs, done = _t(spark, sf_dir, "documents").select("doc_id", "source", "text"), _t(spark, sf_dir, "labels").select("doc_id")
+    stored = tone.score_documents(tone.label_documents(docs.join(done.distinct(), "doc_id", "left_semi"), tone.lexicon_scorer(OTHER), "text"))
+    taken = tone.still_wanted(stored.withColumn("made", F.lit(False)), docs)
+    new = tone.score_documents(tone.label_documents(tone.not_done(docs, stored), tone.lexicon_scorer(CORPUS), "text")).withColumn("made", F.lit(True))
+    return taken.unionByName(new).select("doc_id", "n_sentences", F.round("score", 9).alias("score"), "made")
+
+
 def tone_change_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score changes from one scheduled document of a source to the next."""
     changed = tone.tone_change(_flagged(spark, sf_dir), ["source"], date_col="doc_id")
@@ -62,10 +76,16 @@ def tone_change_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def change_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Agreement of two lexicons in level and in change, by source."""
-    mine = tone.tone_change(_flagged(spark, sf_dir), ["source"], date_col="doc_id").where("scheduled")
-    other = _scored(spark, sf_dir, OTHER).select("doc_id", F.col("score").alias("lexicon"))
-    joined = mine.join(other, "doc_id")
+    """Agreement of two lexicons in level and in change, by source; the sentences are split once for both."""
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "source", text.scoring_sentences(F.col("text")).alias("ss"))
+    labels = _t(spark, sf_dir, "labels").select("doc_id", (F.col("quality") == 1).alias("scheduled"))
+
+    def level_of(lexicon):
+        signs = F.transform("ss", lambda s: F.signum(sentence_score(s, lexicon)).cast("int"))
+        return F.try_divide(F.aggregate(signs, F.lit(0), lambda a, x: a + x), F.size("ss")).cast("double")
+
+    scored = docs.select("doc_id", "source", level_of(CORPUS).alias("score"), level_of(OTHER).alias("lexicon")).join(labels, "doc_id", "left")
+    joined = tone.tone_change(scored, ["source"], date_col="doc_id").where("scheduled")
     level = joined.groupBy("source").agg(F.count("*").alias("n"), F.round(report.correlation("score", "lexicon"), 6).alias("level"))
     moved = report.changes_after_filter(joined, ["source"], date_col="doc_id")
     change = moved.groupBy("source").agg(F.count("*").alias("n_changes"), F.round(report.correlation("tone_change", "lexicon_change"), 6).alias("change"))
@@ -109,10 +129,15 @@ def majority_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def choose_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cheapest scorer within the margin; regions lend their keys as scores."""
-    r = _t(spark, sf_dir, "region").where("r_regionkey < 3")
-    name = F.element_at(F.array(*[F.lit(c) for c in metrics.CANDIDATES]), F.col("r_regionkey") + 1)
-    return metrics.choose(r.select(name.alias("scorer"), (0.70 + F.col("r_regionkey") * 0.02).alias("macro_f1")))
+    """The cheapest scorer within the margin, for each region: nations lend their keys as scores of the candidates; some lack one."""
+    n = _t(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("k")).where("k <= 3")
+    name = F.element_at(F.array(*[F.lit(c) for c in metrics.CANDIDATES]), F.col("k"))
+    rows = n.where("NOT (n_regionkey = 4 AND k = 2)").select("n_regionkey", name.alias("scorer"), (0.6 + F.col("n_nationkey") % 7 * 0.02).alias("macro_f1"))
+    out = None
+    for region in range(5):  # a table of three rows each
+        one = metrics.choose(rows.where(F.col("n_regionkey") == region)).select(F.lit(region).alias("n_regionkey"), "primary")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def crosstab_year_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +168,125 @@ def minutes_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.rule_audit(docs.select(F.explode("c.stripped").alias("s")).select("s.rule", "s.text"))
 
 
+def _announcements(spark, sf_dir) -> DataFrame:
+    """(o_orderkey, ps): for each order the printed paragraphs of an announcement; which of them there are depends on the key."""
+    key = F.col("o_orderkey")
+    lines = [
+        (key % 9 != 0, F.concat(F.lit("Menu of the site for customer "), F.col("o_custkey"))),
+        (key % 9 != 0, F.lit("For release at 2:00 p.m. EST")),
+        (key % 2 == 0, F.lit("The Federal Open Market Committee approved the following statement for release by a 12 – 0 vote:")),
+        (F.lit(True), F.concat(F.lit("Economic activity on "), F.to_date("o_orderdate").cast("string"), F.lit("  expanded at a solid pace.  Inflation remains elevated."))),
+        (key % 3 == 0, F.concat(F.lit("The outlook is balanced. In taking the action, the Board approved requests  submitted by the Boards of Directors of "), F.col("o_orderpriority"), F.lit(". Risks remain."))),
+        (key % 6 == 1, F.lit("The Board approved a request submitted by the Board of Directors of one bank.")),
+        (F.lit(True), F.concat(F.lit("Voting for the action were: Able; Baker; and "), F.col("o_orderpriority"), F.lit("."))),
+        (key % 5 == 0, F.lit("Jane Q. Able dissented because she preferred to wait.")),
+        (key % 4 == 0, F.lit("For media inquiries, please call 202-452-2955.")),
+        (key % 7 == 0, F.lit("Projection Materials")),
+        (F.lit(True), F.concat(F.lit("Short line "), key)),
+        (key % 8 != 3, F.lit("2024 Monetary policy releases")),
+        (F.lit(True), F.concat(F.lit("Line at the end by "), F.col("o_orderpriority"))),
+    ]
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.filter(F.array(*[F.when(c, p) for c, p in lines]), lambda p: p.isNotNull()).alias("ps"))
+
+
+def announcement_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the statement rules take from an announcement printed for every order."""
+    docs = _announcements(spark, sf_dir).select(clean.clean_statement(F.col("ps")).alias("c"))
+    return report.rule_audit(docs.select(F.explode("c.stripped").alias("s")).select("s.rule", "s.text"))
+
+
+def announcements_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the statement rules leave of an announcement printed for every order."""
+    docs = _announcements(spark, sf_dir).select("o_orderkey", clean.clean_statement(F.col("ps")).alias("c"))
+    return docs.select("o_orderkey", text.ordered_join(F.col("c.kept"), "\n\n").alias("clean_text"), F.size("c.stripped").alias("n_stripped"))
+
+
+def _minutes(spark, sf_dir) -> DataFrame:
+    """(o_orderkey, ps): for each order the printed paragraphs of minutes; one key in eleven has no start anchor, one in thirteen no end anchor."""
+    key = F.col("o_orderkey")
+    lines = [
+        (F.lit(True), F.lit("Present:")),
+        (F.lit(True), F.concat(F.lit("Jerome Able, Chair; Joan Baker, Vice Chair; Michael Court; "), F.col("o_orderpriority"))),
+        (F.lit(True), F.lit("The Manager shall clear with the Subcommittee any operation that is not routine in character.")),
+        (key % 3 == 0, F.lit("(b) lending of securities held by the account on a day")),
+        (F.lit(True), F.lit("The maximum level of employment is a broad goal that is not directly measurable by anyone.")),
+        (key % 2 == 0, F.concat(F.lit("Participants discussed the balance sheet of "), F.to_date("o_orderdate").cast("string"), F.lit(" at length, and many noted that runoff could end earlier than expected."))),
+        (key % 11 != 0, F.lit("The manager turned first to a review of domestic market developments over the period.")),
+        (F.lit(True), F.lit("Staff outlook for the period ahead of us all")),
+        (F.lit(True), F.lit("Too short to keep")),
+        (key % 4 == 1, F.lit("“The Committee decided today to raise its target.")),
+        (key % 4 == 1, F.lit("It judges that the risks are balanced.”")),
+        (F.lit(True), F.lit("Votes for this action:")),
+        (F.lit(True), F.lit("Messrs. Able, Baker, and Court.")),
+        (key % 5 == 0, F.lit("Votes against this action:")),
+        (key % 5 == 0, F.lit("None.")),
+        (key % 7 == 0, F.lit("Skip to the main content of this page now")),
+        (F.lit(True), F.lit("By unanimous vote, the minutes of the last meeting were approved by all members.")),
+        (key % 6 == 0, F.lit("Media inquiries about this document should go to the office that made it.")),
+        (F.lit(True), F.concat(F.lit("Participants noted that inflation pressures had increased somewhat over the period, as customer "), F.col("o_custkey"), F.lit(" said."))),
+        (key % 13 != 0, F.lit("It was agreed that the next meeting of the Committee would be held on Tuesday.")),
+        (key % 13 != 0, F.lit("The meeting adjourned at 1:15 p.m.")),
+    ]
+    return _t(spark, sf_dir, "orders").select("o_orderkey", F.filter(F.array(*[F.when(c, p) for c, p in lines]), lambda p: p.isNotNull()).alias("ps"))
+
+
+def printed_minutes_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the minutes rules take from minutes printed for every order."""
+    docs = _minutes(spark, sf_dir).select(clean.clean_minutes(F.col("ps")).alias("c"))
+    return report.rule_audit(docs.select(F.explode("c.stripped").alias("s")).select("s.rule", "s.text"))
+
+
+def printed_minutes_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the minutes rules leave of minutes printed for every order."""
+    docs = _minutes(spark, sf_dir).select("o_orderkey", clean.clean_minutes(F.col("ps")).alias("c"))
+    return docs.select("o_orderkey", F.md5(text.ordered_join(F.col("c.kept"), "\n\n")).alias("clean_md5"), F.size("c.kept").alias("n_kept"))
+
+
+def calendar_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meetings read from calendar pages: an archive page printed for each year of orders, a current page for the nations."""
+    o = _t(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).distinct()
+    name = F.date_format(F.make_date("y", "m", F.lit(1)), "MMMM")
+    stamp = F.concat(F.col("y"), F.lpad("m", 2, "0"), F.lit("26"))
+    label = F.when(F.col("m") % 5 == 0, F.concat(name, F.lit(" 26 (unscheduled) Meeting - "), F.col("y"))).when(F.col("m") == 6, F.concat(name, F.lit(" 26 Conference Call - "), F.col("y"))).otherwise(F.concat(name, F.lit(" 25-26 Meeting - "), F.col("y")))
+    released = F.concat(F.lit(" (Released "), F.date_format(F.date_add(F.make_date("y", "m", F.lit(26)), 21), "MMMM d, yyyy"), F.lit(")"))
+    panel = F.concat(F.lit('<div class="panel"><h5>'), label, F.lit('</h5><p><a href="/fomc/'), stamp, F.lit('default.htm">Statement</a> <a href="https://www.federalreserve.gov/fomc/minutes/'), stamp, F.lit('.htm">Minutes</a>'), released, F.lit("</p></div>"))
+    twice = F.when(F.col("m") == 3, F.concat(panel, panel)).otherwise(panel)
+    archive = o.groupBy("y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("m", twice.alias("h")))), lambda x: x["h"]), "").alias("html"))
+    archive = archive.select((F.col("y") - 1990).cast("int").alias("ord"), F.col("y").cast("int").alias("year"), F.concat(F.lit("/a/"), F.col("y")).alias("url"), F.lit("archive").alias("kind"), "html")
+    n = _t(spark, sf_dir, "nation").where("n_nationkey < 12").select((F.col("n_nationkey") + 1).alias("m"), (F.col("n_regionkey") + 10).alias("d"))
+    month = F.date_format(F.make_date(F.lit(2021), "m", F.lit(1)), "MMMM")
+    stamp = F.concat(F.lit("2021"), F.lpad("m", 2, "0"), F.col("d") + 1)
+    meeting = F.concat(F.lit('<div class="row fomc-meeting"><div class="fomc-meeting__month">'), month, F.lit('</div><div class="fomc-meeting__date">'), F.col("d"), F.lit("-"), F.col("d") + 1, F.lit('*</div><a href="/newsevents/pressreleases/monetary'), stamp, F.lit('a.htm">HTML</a></div>'))
+    recent = n.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("m", meeting.alias("h")))), lambda x: x["h"]), "").alias("h"))
+    recent = recent.select(F.lit(99).alias("ord"), F.lit(None).cast("int").alias("year"), F.lit("/current").alias("url"), F.lit("recent").alias("kind"), F.concat(F.lit('<div class="panel"><h4><a>2021 FOMC Meetings</a></h4>'), F.col("h"), F.lit("</div>")).alias("html"))
+    return ingest.load_meetings(archive.unionByName(recent), datetime.date(2021, 10, 1)).select("year", "label", "meeting_start", "meeting_end", "event_type", "scheduled", "statement_url", "minutes_url", "minutes_release_date", "source_page")
+
+
+def press_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The press release that announces minutes, of those printed for each order date: before the first missing one, the first with the title."""
+    days = _t(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("release_day")).distinct()
+    k = F.explode(F.sequence(F.lit(0), F.lit(4))).alias("k")
+    made = days.select("release_day", k).where((F.col("k") < F.dayofyear("release_day") % 6) & ~((F.col("k") == 2) & (F.month("release_day") % 2 == 0)))
+    title = F.when((F.col("k") == F.day("release_day") % 4) | (F.col("k") == 4), F.lit("Minutes of the Federal Open Market Committee")).otherwise(F.lit("Federal Reserve announces approval of an application"))
+    url = F.concat(F.lit("/newsevents/pressreleases/monetary"), F.date_format("release_day", "yyyyMMdd"), F.substr(F.lit("abcde"), F.col("k") + 1, F.lit(1)), F.lit(".htm"))
+    pages = made.select(urls.cache_key(url).alias("key"), F.concat(F.lit("<body><p>Press Release<p>"), title, F.lit("<p>For release at 2:00 p.m. EST</body>")).alias("html"))
+    limit_batches(spark)
+    found = ingest.find_press_release(days, pages, paragraphs_udf())
+    rt = release.minutes_time(F.col("press_paras"), F.col("press_url").isNotNull())
+    return found.select("release_day", "press_url", rt["time"].alias("minutes_after_midnight"), rt["source"].alias("source"), rt["note"].alias("note"))
+
+
+def ambiguous_times(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Release times of announcements whose minutes mention no time, one, one twice, or two."""
+    n = _t(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    at = lambda c: F.concat(F.lit("the statement below to be released at "), c)
+    hour = F.concat(F.col("n_nationkey") % 11 + 1, F.lit(":15 p.m."))
+    other = F.when(F.col("n_regionkey") == 3, hour).otherwise(F.lit("8:30 a.m."))
+    said = F.when(F.col("n_regionkey") == 0, F.array(F.lit("no time here"))).when(F.col("n_regionkey") == 1, F.array(at(hour))).otherwise(F.array(at(hour), F.lit("Other words."), at(other)))
+    rt = release.resolve_statement_time(F.array(F.lit("For immediate release")), said)
+    return n.select("n_nationkey", rt["time"].alias("minutes_after_midnight"), rt["source"].alias("source"), rt["note"].alias("note"))
+
+
 def latch_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two latches over every conversation's turns, roles lent as quotes and votes."""
     c = _t(spark, sf_dir, "conversations")
@@ -166,29 +310,31 @@ def page_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Addresses looked up in the store of pages: found or not."""
+    """Every page's address and a changed one looked up in the store of all pages: what was found."""
     p = _t(spark, sf_dir, "pages")
-    pages = p.where("page_id % 2 = 0").select(urls.cache_key(F.col("url")).alias("key"), F.col("html")).dropDuplicates(["key"])
-    return store.look_up(p.select("page_id", "url"), pages, "url", "found").select("page_id", F.col("found").isNotNull().alias("found"))
+    pages = p.select(urls.cache_key(F.col("url")).alias("key"), F.col("html")).groupBy("key").agg(F.min("html").alias("html"))
+    asked = p.select("page_id", F.lit("as it is").alias("asked"), "url").unionByName(p.select("page_id", F.lit("changed").alias("asked"), F.concat("url", F.lit("-gone")).alias("url")))
+    return store.look_up(asked, pages, "url", "found").select("page_id", "asked", F.md5("found").alias("found_md5"))
 
 
 def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of every page."""
-    p = bounded_batches(_t(spark, sf_dir, "pages")).select("page_id", paragraphs_udf()(F.col("html")).alias("ps"))
+    limit_batches(spark)
+    p = _t(spark, sf_dir, "pages").select("page_id", paragraphs_udf()(F.col("html")).alias("ps"))
     return p.select("page_id", F.posexplode("ps").alias("i", "paragraph"))
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links of every page."""
-    p = bounded_batches(_t(spark, sf_dir, "pages")).select("page_id", links_udf("example.com")(F.col("html")).alias("ls"))
+    limit_batches(spark)
+    p = _t(spark, sf_dir, "pages").select("page_id", links_udf("example.com")(F.col("html")).alias("ls"))
     return p.select("page_id", F.posexplode("ls").alias("i", "l")).select("page_id", "i", "l.href", F.col("l.text").alias("link_text"))
 
 
 def decoded_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bodies in two encodings decoded again."""
+    """Whole texts in two encodings decoded again; the older one has no sign for some characters, and one sign of its own."""
     d = _t(spark, sf_dir, "documents")
-    old = F.encode("lang", "ISO-8859-1")
-    body = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.concat(old, F.unhex(F.lit("E993"))))
+    body = F.when(F.col("doc_id") % 2 == 0, F.encode("text", "UTF-8")).otherwise(F.concat(F.encode(F.regexp_replace("text", OLD_SIGNS, "?"), "ISO-8859-1"), F.unhex(F.lit("93"))))
     return d.select("doc_id", F.md5(urls.decode_body(body)).alias("digest"))
 
 
@@ -267,6 +413,17 @@ def exact_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sentence_sample(docs, F.col("s"))
 
 
+def exact_sample_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What holds for a seeded sample: its size, its ids, that no document is drawn twice, that each sentence is its document's, that a second draw is the same."""
+    drawn = exact_sample(spark, sf_dir)
+    again = exact_sample(spark, sf_dir).select(F.col("doc_id").alias("other"), F.col("sentence").alias("same"))
+    own = sentences_long(spark, sf_dir).select("doc_id", "sentence").distinct().withColumn("known", F.lit(True))
+    rows = drawn.join(own, ["doc_id", "sentence"], "left").join(again, F.col("doc_id") == F.col("other"), "left")
+    return rows.agg(
+        F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.min("id").alias("first_id"), F.max("id").alias("last_id"), F.count_if("known").alias("n_own"), F.count_if(F.col("sentence") == F.col("same")).alias("n_again")
+    )
+
+
 def score_by_lang(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and mean score by language, nulls counted but not averaged; range of ids."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", "lang")
@@ -295,9 +452,10 @@ def event_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        doc_tone, default_lexicon_labels, tone_change_by_source, change_correlation, sentences_long, clean_split, confusion_matrix, agreement_metrics, majority_class,
-        choose_scorer, crosstab_year_kind, group_null_keys, statement_rules, minutes_rules, latch_state, keep_first_event, page_keys, page_lookup, html_paragraphs, page_links,
-        decoded_bodies, softmax_labels, hypothesis_pairs, resume_anti, union_distinct, date_spans, dates_in_text, release_times, decisions, length_orders, exact_sample,
+        doc_tone, default_lexicon_labels, resumed_scores, tone_change_by_source, change_correlation, sentences_long, clean_split, confusion_matrix, agreement_metrics, majority_class,
+        choose_scorer, crosstab_year_kind, group_null_keys, statement_rules, minutes_rules, announcement_rules, announcements_cleaned,
+        printed_minutes_rules, printed_minutes_cleaned, calendar_meetings, press_releases, ambiguous_times, latch_state, keep_first_event, page_keys, page_lookup, html_paragraphs, page_links,
+        decoded_bodies, softmax_labels, hypothesis_pairs, resume_anti, union_distinct, date_spans, dates_in_text, release_times, decisions, length_orders, exact_sample, exact_sample_facts,
         score_by_lang, word_counts, holm_adjusted, event_returns,
     )
 }

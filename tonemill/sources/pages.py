@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.urls import SITE, cache_key, decode_body
+from .files import names
 
 #: Schema of labelled sentences, one JSON object a line.
 SENTENCES = T.StructType([T.StructField(c, T.StringType()) for c in ("id", "doc_id", "release_date", "sentence", "label", "note")])
@@ -14,11 +15,13 @@ MISSING = ".404"
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of stored pages as (key, html): files named by cache key; marks of missing pages have a null html (Spark passes over files without a byte, so an empty mark is as no mark)."""
+    """A folder of stored pages as (key, html): files named by cache key; pages known as missing (a mark beside the pages, mostly without
+    a byte, which Spark's reader passes over) have a null html. The marks are taken from the folder's listing."""
     files = spark.read.format("binaryFile").load(path)
     name = F.regexp_extract(F.col("path"), r"([^/]+)$", 1)
-    gone = name.endswith(MISSING)
-    return files.select(F.when(gone, F.left(name, F.char_length(name) - len(MISSING))).otherwise(name).alias("key"), F.when(~gone, decode_body(F.col("content"))).alias("html"))
+    found = files.select(name.alias("key"), decode_body(F.col("content")).alias("html")).where(~F.col("key").endswith(MISSING))
+    marks = [(n.removesuffix(MISSING),) for n in names(spark, path, MISSING)]
+    return found.unionByName(spark.createDataFrame(marks, "key string").withColumn("html", F.lit(None).cast("string"))) if marks else found
 
 
 def look_up(urls: DataFrame, pages: DataFrame, url_col: str, html_col: str, site: str = SITE) -> DataFrame:
