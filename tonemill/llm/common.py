@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 #: Broadcast a counted side up to this many rows and bytes; beyond either the same join runs as a shuffle join.
 BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
 #: Arrow batches handed to Python are cut again to about this many text bytes.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 LOWER_AZ = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"

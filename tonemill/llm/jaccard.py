@@ -314,7 +314,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     chosen = once.select("id", "text", F.lit(None).cast("long").alias("s1"), F.lit(None).cast("long").alias("s2")).union(again)
 
     rows = settle(prefixes(chosen, order, width), "jaccard-prefixes")
-    cold = rows.where("NOT hot").selectExpr("h", "node", "n", "pos", "count(*) OVER (PARTITION BY h) AS cnt", "min(struct(pos, n, node)) OVER (PARTITION BY h) AS head", "min(n) OVER (PARTITION BY h) AS least_n").where("cnt > 1")
+    # Small parts, so that what a task sorts stays small beside its heap whatever the input.
+    parts = max(1, 4 * rows.rdd.getNumPartitions())
+    cold = rows.where("NOT hot").repartition(parts, "h").selectExpr("h", "node", "n", "pos", "count(*) OVER (PARTITION BY h) AS cnt", "min(struct(pos, n, node)) OVER (PARTITION BY h) AS head", "min(n) OVER (PARTITION BY h) AS least_n").where("cnt > 1")
     # A hot shingle's documents may be a third of all: sums within tasks, then a join that can be a broadcast or is split.
     heads = rows.where("hot").groupBy("h").agg(F.count("*").alias("cnt"), F.min(F.struct("pos", "n", "node")).alias("head"), F.min("n").alias("least_n")).where("cnt > 1")
     heads = small(settle(heads, "jaccard-heads"))
