@@ -168,6 +168,11 @@ def minutes_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.rule_audit(docs.select(F.explode("c.stripped").alias("s")).select("s.rule", "s.text"))
 
 
+def _orders(spark, sf_dir) -> DataFrame:
+    """Orders dealt out evenly: few bytes each, but a document is printed and cleaned for every one."""
+    return _t(spark, sf_dir, "orders").repartition(spark.sparkContext.defaultParallelism)
+
+
 def _announcements(spark, sf_dir) -> DataFrame:
     """(o_orderkey, ps): for each order the printed paragraphs of an announcement; which of them there are depends on the key."""
     key = F.col("o_orderkey")
@@ -186,7 +191,7 @@ def _announcements(spark, sf_dir) -> DataFrame:
         (key % 8 != 3, F.lit("2024 Monetary policy releases")),
         (F.lit(True), F.concat(F.lit("Line at the end by "), F.col("o_orderpriority"))),
     ]
-    return _t(spark, sf_dir, "orders").select("o_orderkey", F.filter(F.array(*[F.when(c, p) for c, p in lines]), lambda p: p.isNotNull()).alias("ps"))
+    return _orders(spark, sf_dir).select("o_orderkey", F.filter(F.array(*[F.when(c, p) for c, p in lines]), lambda p: p.isNotNull()).alias("ps"))
 
 
 def announcement_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,7 +232,7 @@ def _minutes(spark, sf_dir) -> DataFrame:
         (key % 13 != 0, F.lit("It was agreed that the next meeting of the Committee would be held on Tuesday.")),
         (key % 13 != 0, F.lit("The meeting adjourned at 1:15 p.m.")),
     ]
-    return _t(spark, sf_dir, "orders").select("o_orderkey", F.filter(F.array(*[F.when(c, p) for c, p in lines]), lambda p: p.isNotNull()).alias("ps"))
+    return _orders(spark, sf_dir).select("o_orderkey", F.filter(F.array(*[F.when(c, p) for c, p in lines]), lambda p: p.isNotNull()).alias("ps"))
 
 
 def printed_minutes_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
