@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, jaccard, licences, neighbours, pii, quality, secrets, sql, wordpiece
+from . import bpe, chat, codes, decontaminate, fertility, fim, jaccard, licences, neighbours, pii, quality, secrets, sql, wordpiece
 from .common import table
 
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -78,7 +78,29 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op11_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts, tokeniser fertility and the verdict of every document."""
+    import public_tokenizers
+
+    vocabularies = public_tokenizers.path(PIECES), public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN
+    return fertility.digest_columns(fertility.judge(table(spark, sf_dir, "documents"), *vocabularies, keep=["doc_id"]))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document transformed, and restored from the output."""
+    return fim.digest_columns(fim.fill_in_middle(table(spark, sf_dir, "documents"), keep=["doc_id"]))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes and errors of every usable embedding."""
+    return codes.digest_columns(codes.compress(table(spark, sf_dir, "embeddings")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_decontaminate, op2_byte_bpe, op3_quality_classifier, op4_chat_format, op5_secret_scan, op6_jaccard_join, op7_licence_scan, op8_token_counts, op9_pii, op10_embedding_dedup)
-}
+    f.__name__: f
+    for f in (
+        op1_decontaminate, op2_byte_bpe, op3_quality_classifier, op4_chat_format, op5_secret_scan, op6_jaccard_join, op7_licence_scan, op8_token_counts, op9_pii, op10_embedding_dedup,
+        op11_quality_rules, op12_fill_in_middle, op13_vector_codes,
+    )
+}
 ORACLE_SQL: dict[str, str] = sql.ORACLE_SQL

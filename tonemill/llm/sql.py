@@ -68,4 +68,36 @@ least AS (SELECT vec_id, min(c) AS c FROM reach GROUP BY vec_id), n AS (SELECT a
 SELECT least.vec_id, coalesce(n.n, 0)::BIGINT AS n_links, c::BIGINT AS component_id, c = least.vec_id AS kept FROM least LEFT JOIN n ON n.a = least.vec_id
 """
 
-ORACLE_SQL = {"op1_decontaminate": OP1, "op4_chat_format": OP4, "op6_jaccard_join": OP6, "op10_embedding_dedup": OP10}
+OP12 = r"""
+WITH drawn AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT doc_id, t, u, len(u) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM drawn),
+f AS (SELECT *, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form,
+             least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM h),
+g AS (SELECT *, coalesce(array_to_string(u[1:a], ''), '') AS pre, coalesce(array_to_string(u[a + 1:b], ''), '') AS mid, coalesce(array_to_string(u[b + 1:n], ''), '') AS suf FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM g
+"""
+
+
+def _code_round(k: int) -> str:
+    """Parts assigned to the entries of round ``k``, and the entries of the next."""
+    return f"""
+near{k} AS (SELECT x.row, x.p, min(struct_pack(d := coalesce(list_sum(list_transform(range(1, len(x.w) + 1), lambda i: (x.w[i] - b.w[i]) * (x.w[i] - b.w[i]))), 0)::BIGINT, e := b.e)) AS best
+            FROM part x JOIN book{k} b ON b.p = x.p GROUP BY x.row, x.p),
+mean{k} AS (SELECT p, e, list(m ORDER BY i) AS w FROM (SELECT x.p, n.best.e AS e, i, floor(sum(x.w[i]) / count(*))::BIGINT AS m
+            FROM (SELECT row, p, w, unnest(range(1, len(w) + 1)) AS i FROM part) x JOIN near{k} n ON n.row = x.row AND n.p = x.p GROUP BY ALL) GROUP BY p, e),
+book{k + 1} AS (SELECT b.p, b.e, coalesce(m.w, b.w) AS w FROM book{k} b LEFT JOIN mean{k} m ON m.p = b.p AND m.e = b.e),"""
+
+
+OP13 = f"""
+WITH kept AS (SELECT vec_id, label, row_number() OVER () AS row, list_transform(embedding::DOUBLE[], lambda x: floor(256 * x)::BIGINT) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+part AS (SELECT row, vec_id, p, v[p * len(v) // 16 + 1:(p + 1) * len(v) // 16] AS w FROM (SELECT *, unnest(range(16)) AS p FROM kept)),
+book0 AS (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS e, w FROM part QUALIFY e < 64),{_code_round(0)}{_code_round(1)}{_code_round(2)}
+done AS (SELECT row, string_agg(lower(printf('%02x', best.e)), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM near2 GROUP BY row),
+books AS (SELECT sha256(string_agg(array_to_string(w, ','), ',' ORDER BY p, e)) AS books FROM book2)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, books AS codebooks_sha256 FROM kept JOIN done USING (row), books
+"""
+
+ORACLE_SQL = {"op1_decontaminate": OP1, "op4_chat_format": OP4, "op6_jaccard_join": OP6, "op10_embedding_dedup": OP10, "op12_fill_in_middle": OP12, "op13_vector_codes": OP13}
