@@ -55,12 +55,11 @@ def main(argv: list[str] | None = None) -> None:
         meetings = ingest.load_meetings(calendars, args.today)
         store.write_table(meetings, f"{at}/meetings.parquet")
         meetings = spark.read.parquet(f"{at}/meetings.parquet")
-        documents, stripped = ingest.build_documents(meetings, pages)
-        store.write_table(documents, f"{at}/documents.parquet")
-        store.write_table(stripped, f"{at}/stripped.parquet")
-        for title, table in ingest.summarise(meetings, spark.read.parquet(f"{at}/documents.parquet"), spark.read.parquet(f"{at}/stripped.parquet")).items():
+        counts = ingest.store_documents(meetings, pages, f"{at}/documents.parquet", f"{at}/stripped.parquet")
+        for title, table in ingest.summarise(meetings, spark.read.parquet(f"{at}/documents.parquet")).items():
             print(title)
             table.show(100, False)
+        _report(spark, f"{at}/ingest_counts.json", counts)
     elif args.command == "score" and args.validate:
         found = scoring.validate(store.read_sentences(spark, args.validate).cache(), {n: scoring.scorer(n) for n in args.candidates})
         store.write_predictions(found[0], f"{at}/validation_predictions")

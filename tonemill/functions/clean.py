@@ -67,6 +67,11 @@ OPEN_QUOTES, CLOSE_QUOTES = ["“", '"', "‘‘", "``"], ["”", '"', "''"]
 SENTENCE_ENDS = [".", ":", "?", "”", '"']
 LOWER_IN_NAMES = ["and", "of", "the", "van", "der", "de", "la"]
 NAME_WORD = r"(?U)[A-Za-z][\w'\-]*"
+#: The names under which rules are logged.
+RULES = (
+    "header", "footer", "voting", "media_contact", "fragment", "discount_approval", "warning", "tail", "quoted_statement_or_directive", "header_attendance", "header_organisational",
+    "longer_run_goals_statement", "navigation", "procedural", "heading",
+)
 STATEMENT_FEWEST, MINUTES_FEWEST, HEADING_FEWEST, CAPITALISED_MOST = 5, 8, 15, 0.35
 
 

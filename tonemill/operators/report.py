@@ -21,6 +21,34 @@ def group_counts(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
+def logged(df: DataFrame, log: str, keep: list[str] | None = None) -> DataFrame:
+    """(kept columns, seq, rule, text): one row for each entry of a log column (array of rule and text).
+
+    Rows without entries are dropped after they were unfolded, not by a condition on the array: Spark would push that below what made
+    the array and so clean each page once more.
+    """
+    return df.select(*(keep or []), F.posexplode_outer(log).alias("seq", "s")).where("seq IS NOT NULL").select(*(keep or []), "seq", "s.rule", "s.text")
+
+
+def _of_rule(log: Column, rule: str) -> Column:
+    return F.filter(log, lambda s: s["rule"] == rule)
+
+
+def rule_counts(log: Column, rules: tuple[str, ...]) -> list[Column]:
+    """Aggregates over a log column: entries and characters of each rule (n_0, chars_0, n_1, ...), for ``observe`` or ``agg``."""
+    out = []
+    for k, rule in enumerate(rules):
+        own = _of_rule(log, rule)
+        chars = F.aggregate(own, F.lit(0).cast("long"), lambda a, s: a + F.coalesce(F.char_length(s["text"]), F.lit(0)))
+        out += [F.sum(F.size(own).cast("long")).alias(f"n_{k}"), F.sum(chars).alias(f"chars_{k}")]
+    return out
+
+
+def audit_of(counts: dict, rules: tuple[str, ...]) -> list[dict]:
+    """(rule, n, chars) of the rules that took something, from what ``rule_counts`` counted."""
+    return [{"rule": rule, "n": counts[f"n_{k}"], "chars": counts[f"chars_{k}"]} for k, rule in enumerate(rules) if counts.get(f"n_{k}")]
+
+
 def rule_audit(stripped: DataFrame) -> DataFrame:
     """(rule, n, chars) of what cleaning took."""
     return stripped.groupBy("rule").agg(F.count("*").alias("n"), F.sum(F.char_length("text")).alias("chars"))

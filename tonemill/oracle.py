@@ -250,6 +250,14 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT page_id, asked, CASE WHEN path = '' THEN 'index' ELSE regexp_replace(replace(path, '/', '_'), '[^A-Za-z0-9._-]', '_', 'g') END AS key FROM k),
         h AS (SELECT key, min(html) AS html FROM c JOIN pages USING (page_id) WHERE asked = 'as it is' GROUP BY key)
         SELECT page_id, asked, md5(html) AS found_md5 FROM c LEFT JOIN h USING (key)""",
+    "pages_by_role": """WITH k AS (SELECT page_id, trim(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', ''), '/') AS path, trim(regexp_replace(regexp_replace(url || '-gone', '^https?://[^/]*', ''), '[?#].*$', ''), '/') AS other, html FROM pages),
+        c AS (SELECT page_id, html, CASE WHEN path = '' THEN 'index' ELSE regexp_replace(replace(path, '/', '_'), '[^A-Za-z0-9._-]', '_', 'g') END AS key,
+              CASE WHEN other = '' THEN 'index' ELSE regexp_replace(replace(other, '/', '_'), '[^A-Za-z0-9._-]', '_', 'g') END AS gone FROM k),
+        h AS (SELECT key, md5(min(html)) AS m FROM c GROUP BY key)
+        SELECT page_id, a.m AS own_md5, b.m AS changed_md5, 2 + (b.m IS NOT NULL)::INT AS n_tried, CASE WHEN b.m IS NULL THEN 1 ELSE 3 END AS n_before_gap FROM c JOIN h a ON a.key = c.key LEFT JOIN h b ON b.key = c.gone""",
+    "streamed_changes": """WITH p AS (SELECT *, value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS change, max(ts) OVER (PARTITION BY user_id) AS latest FROM events WHERE event_type = 'purchase')
+        SELECT event_id, user_id, true AS scheduled, round(change, 6) AS tone_change, false AS late FROM p WHERE ts <= latest - INTERVAL 12 HOURS
+        UNION ALL SELECT event_id, user_id, false, NULL, false FROM events WHERE event_type <> 'purchase' OR event_type IS NULL""",
     "decoded_bodies": r"SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '[^\x00-\x7F\x{A0}-\x{FF}]', '?', 'g') || '“' END) AS digest FROM documents",
     # The pages of the tables hold these elements and entities alone.
     "html_paragraphs": rf"""WITH b AS (SELECT page_id, regexp_replace(regexp_extract(html, '<body>(.*)$', 1, 's'), '<!--.*?-->', '', 'gs') AS h FROM pages),
@@ -279,3 +287,4 @@ ORACLE_SQL: dict[str, str] = {
         SELECT n_nationkey, round(max(least(1, p * (m - k + 1))) OVER (PARTITION BY n_regionkey ORDER BY p ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM a""",
     "event_returns": "SELECT user_id AS asset, event_id AS day, " + ", ".join(f"round(ln(lead(abs(value) + 1, {h}) OVER w / lag(abs(value) + 1) OVER w), 6) AS ret_{h}" for h in (0, 1, 5)) + " FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
 }
+ORACLE_SQL["counted_rules"] = ORACLE_SQL["printed_minutes_rules"]

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import clean, dates, release, text, urls
@@ -17,7 +17,9 @@ from .functions.html import limit_batches, links_udf, paragraphs_udf
 from .functions.lexicon import Lexicon, sentence_label, sentence_score
 from .operators import metrics, nli, report, sampling, tone
 from .plans import ingest, scoring
+from .sources import files
 from .sources import pages as store
+from .streaming import changes
 
 #: A vocabulary of words that the invented prose has.
 CORPUS = Lexicon(
@@ -25,6 +27,8 @@ CORPUS = Lexicon(
     directions={"to": 1, "in": -1, "is": 1, "a": -1, "que": 1, "en": -1, "von": 1, "zu": -1, "le": 1, "les": -1},
     phrases=((r"\bfor\b", 1), (r"\bwith\b", -1)), removing=None, accommodating=None, guarded=("of",), compounds=("that",),
 )
+#: How long events wait for earlier ones.
+STREAM_DELAY = "12 hours"
 OTHER = Lexicon(subjects={"the": 1, "of": 1, "de": 1}, directions={"to": 1, "in": -1, "en": -1, "la": 1}, phrases=(), removing=None, accommodating=None, guarded=(), compounds=())
 
 
@@ -159,13 +163,13 @@ def _lines():
 def statement_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the statement rules take from every document, lines as paragraphs."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", clean.clean_statement(_lines()).alias("c"))
-    return report.rule_audit(docs.select(F.explode("c.stripped").alias("s")).select("s.rule", "s.text"))
+    return report.rule_audit(report.logged(docs, "c.stripped"))
 
 
 def minutes_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the minutes rules take from every document, lines as paragraphs."""
     docs = _t(spark, sf_dir, "documents").select("doc_id", clean.clean_minutes(_lines()).alias("c"))
-    return report.rule_audit(docs.select(F.explode("c.stripped").alias("s")).select("s.rule", "s.text"))
+    return report.rule_audit(report.logged(docs, "c.stripped"))
 
 
 def _orders(spark, sf_dir) -> DataFrame:
@@ -197,7 +201,7 @@ def _announcements(spark, sf_dir) -> DataFrame:
 def announcement_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the statement rules take from an announcement printed for every order."""
     docs = _announcements(spark, sf_dir).select(clean.clean_statement(F.col("ps")).alias("c"))
-    return report.rule_audit(docs.select(F.explode("c.stripped").alias("s")).select("s.rule", "s.text"))
+    return report.rule_audit(report.logged(docs, "c.stripped"))
 
 
 def announcements_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,7 +242,7 @@ def _minutes(spark, sf_dir) -> DataFrame:
 def printed_minutes_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the minutes rules take from minutes printed for every order."""
     docs = _minutes(spark, sf_dir).select(clean.clean_minutes(F.col("ps")).alias("c"))
-    return report.rule_audit(docs.select(F.explode("c.stripped").alias("s")).select("s.rule", "s.text"))
+    return report.rule_audit(report.logged(docs, "c.stripped"))
 
 
 def printed_minutes_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -322,6 +326,40 @@ def page_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.look_up(asked, pages, "url", "found").select("page_id", "asked", F.md5("found").alias("found_md5"))
 
 
+def pages_by_role(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three roles of every page looked up in one join: its own address, a changed one, and three of which the second is gone; what was found, and where each role's row of pages breaks off."""
+    p = _t(spark, sf_dir, "pages")
+    pages = p.select(urls.cache_key(F.col("url")).alias("key"), F.col("html")).groupBy("key").agg(F.min("html").alias("html"))
+    gone = F.concat("url", F.lit("-gone"))
+    roles = {"own": F.array("url"), "changed": F.array(gone), "tried": F.array(F.col("url"), gone, F.col("url"))}
+    found = store.look_up_roles(p.select("page_id", "url"), ["page_id", "url"], roles, pages, read=F.md5)
+    first = lambda c: F.get(F.col(c), F.lit(0))["page"]
+    return found.select("page_id", first("own").alias("own_md5"), first("changed").alias("changed_md5"), F.size("tried").alias("n_tried"), F.size(F.filter("tried", lambda x, i: x["k"] == i)).alias("n_before_gap"))
+
+
+def counted_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit of minutes printed for every order, counted while the cleaned minutes were written (no row is read to count)."""
+    seen = Observation()
+    docs = _minutes(spark, sf_dir).select("o_orderkey", clean.clean_minutes(F.col("ps")).alias("c"))
+    out = files.new_folder(spark, "counted-rules")
+    docs.observe(seen, *report.rule_counts(F.col("c.stripped"), clean.RULES)).write.parquet(out)
+    files.remove(spark, out)
+    return spark.createDataFrame([(r["rule"], r["n"], r["chars"]) for r in report.audit_of(seen.get, clean.RULES)], "rule string, n long, chars long")
+
+
+def streamed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream, each purchase's value less that of the user's purchase before; what waits for the users' watermarks at the end is not published."""
+    path = f"{sf_dir}/events.parquet"
+    # A pattern, because a table may be one file and a stream otherwise takes folders alone.
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf_dir}/events.parque[t]").select("user_id", "event_id", "ts", (F.col("event_type") == "purchase").alias("scheduled"), F.col("value").alias("score"))
+    out, mark = files.new_folder(spark, "streamed-changes"), files.new_folder(spark, "streamed-changes-mark")
+    changed = changes.change_stream(stream, ["user_id"], STREAM_DELAY, "event_id", "ts")
+    run = changed.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start()
+    run.awaitTermination()
+    done = spark.read.schema(changed.schema).parquet(out)
+    return done.select("event_id", "user_id", "scheduled", F.round("tone_change", 6).alias("tone_change"), "late")
+
+
 def html_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of every page."""
     limit_batches(spark)
@@ -459,7 +497,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         doc_tone, default_lexicon_labels, resumed_scores, tone_change_by_source, change_correlation, sentences_long, clean_split, confusion_matrix, agreement_metrics, majority_class,
         choose_scorer, crosstab_year_kind, group_null_keys, statement_rules, minutes_rules, announcement_rules, announcements_cleaned,
-        printed_minutes_rules, printed_minutes_cleaned, calendar_meetings, press_releases, ambiguous_times, latch_state, keep_first_event, page_keys, page_lookup, html_paragraphs, page_links,
+        printed_minutes_rules, printed_minutes_cleaned, calendar_meetings, press_releases, ambiguous_times, latch_state, keep_first_event, page_keys, page_lookup, pages_by_role, counted_rules, streamed_changes, html_paragraphs, page_links,
         decoded_bodies, softmax_labels, hypothesis_pairs, resume_anti, union_distinct, date_spans, dates_in_text, release_times, decisions, length_orders, exact_sample, exact_sample_facts,
         score_by_lang, word_counts, holm_adjusted, event_returns,
     )

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -10,6 +13,21 @@ def _path(spark: SparkSession, path: str):
     return made, made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
+_own: list[str] = []
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that driver and executors share, ``spark.checkpoint.dir``; where that is unset in a temporary one, in local mode alone."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="tonemill-"))
+        shared = _own[0]
+    return f"{shared.rstrip('/')}/tonemill/{name}-{uuid.uuid4().hex}"
+
+
 def names(spark: SparkSession, path: str, ending: str = "") -> list[str]:
     """Names of the files and folders in a folder that end with ``ending``; none if there is no such folder."""
     made, fs = _path(spark, path)

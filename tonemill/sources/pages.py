@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +32,31 @@ def look_up(urls: DataFrame, pages: DataFrame, url_col: str, html_col: str, site
     return urls.join(store, cache_key(F.col(url_col), site) == store["\x00key"], "left").drop("\x00key")
 
 
+def look_up_roles(rows: DataFrame, keys: list[str], roles: dict[str, Column], pages: DataFrame, site: str = SITE, read: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``rows`` (distinct by ``keys``, which may be null) with a column for each role: the pages found at its addresses, in order.
+
+    A role's addresses are an array column; what is found is an array of (k, url, page), k the place of the address, without those that
+    the store lacks or knows as missing; ``page`` is the html, or what ``read`` makes of it. All roles ask in one long table, so the page
+    table is joined (and shuffled, if at all) once however many roles there are, and pages are read before they are folded back by row.
+    """
+    row = F.struct(*[F.col(f"`{k}`") for k in keys])
+
+    def entries(role: str) -> Column:
+        return F.transform(roles[role], lambda u, k: F.struct(F.lit(role).alias("role"), k.alias("k"), u.alias("url")))
+
+    each = [entries(role) for role in roles]
+    none = F.array().cast("array<struct<role:string,k:int,url:string>>")
+    asked = rows.select(row.alias("\x00row"), F.explode(F.concat(*[F.coalesce(e, none) for e in each])).alias("a")).select("\x00row", "a.*")
+    asked = asked.where("url IS NOT NULL").withColumn("key", cache_key(F.col("url"), site))
+    store = pages.where("html IS NOT NULL").select("key", "html")
+    found = asked.join(store, "key").select("\x00row", "role", "k", "url", (read(F.col("html")) if read else F.col("html")).alias("page"))
+    held = {role: F.array_sort(F.collect_list(F.when(F.col("role") == role, F.struct("k", "url", "page")))) for role in roles}
+    folded = found.groupBy("\x00row").agg(*[v.alias(role) for role, v in held.items()])
+    joined = rows.join(folded, row.eqNullSafe(F.col("\x00row")), "left")
+    none = F.array().cast(folded.schema[next(iter(roles))].dataType)
+    return joined.select(*rows.columns, *[F.coalesce(F.col(role), none).alias(role) for role in roles])
+
+
 def fetch_counts(urls: DataFrame, pages: DataFrame, url_col: str, site: str = SITE) -> DataFrame:
     """One row: how many addresses the store has (n_cached), knows as missing (n_missing), or would have to fetch (n_network)."""
     known = urls.join(pages.withColumnRenamed("key", "\x00key"), cache_key(F.col(url_col), site) == F.col("\x00key"), "left")
