@@ -513,3 +513,31 @@ def test_boosted_trees_score_alike_in_both_forms(spark):
     assert np.allclose(got, model.score(x)) and model.score(x)[x[:, 0] > 3].mean() > 0.8
     boosting.calibrate(model, x, pos, 3 - np.minimum(pos, 3), 0.9)
     assert 0 < model.threshold < 1
+
+
+def test_pii_of_one_text_with_many_candidates(spark):
+    """One long text of its own material: work grows with it, not with its square, and the spans are those of its parts."""
+    import time
+
+    some = spark.createDataFrame([(i, f"call +1 234 555 01{i % 90 + 10:02d} or (234) 555-01{i % 90 + 10:02d}, mail a{i}@example.com") for i in range(200)], "doc_id long, text string")
+    models = pii.train(pii.candidates(some, "text", ["doc_id"]))
+    spans = lambda df: pii.find_pii(df, keep=["doc_id"], models=models)
+    for kind, make in {"mail": lambda i: f"u{i}@ex.com", "run": lambda i: f"234-555-{i % 9000 + 1000}"}.items():
+        took = []
+        for n in (2000, 16_000):
+            df = spark.createDataFrame([(1, " ".join(make(i) for i in range(n)))], "doc_id long, text string").coalesce(1)
+            query = spans(df)
+            query._jdf.queryExecution().executedPlan()
+            start = time.time()
+            found = query.collect()[0].pii_spans
+            took.append(time.time() - start)
+            assert len(found) == n, kind
+        assert took[1] < 12 * took[0] + 3, (kind, took)
+    parts = [f"nothing else in this sentence, {t}" for t in ("mail u1@ex.com or call (234) 555-1001, ", "ip 10.0.0.1 and +1 234 555 0199 x ", "order 12345678 of 2001-02-03; ") for _ in range(40)]
+    rows = spans(spark.createDataFrame([(0, "".join(parts))] + [(i + 1, p) for i, p in enumerate(parts)], "doc_id long, text string")).collect()
+    by_id = {r.doc_id: [(x.kind, x.s, x.e) for x in r.pii_spans] for r in rows}
+    at, want = 0, []
+    for i, p in enumerate(parts):
+        want += [(k, at + a, at + b) for k, a, b in by_id[i + 1]]
+        at += len(p)
+    assert sorted(by_id[0]) == sorted(want)

@@ -15,8 +15,9 @@ is added. Training needs one grouped count over all rows (a table bounded by the
 ``models`` they are trained on the table itself; ``train`` and ``boosting.to_json`` keep them, so that spans don't depend on
 the other documents of a run.
 
-Positions: a pattern's matches and the pieces between them (split) give offsets by summing lengths, row by row.
-Repeats are possessive, so very long runs stay linear.
+Positions: a pattern's matches and the pieces between them (split) give offsets and contexts, row by row; a match that overlaps others
+is found among them by binary search. Repeats are possessive. A text's work is in proportion to its length and, times a logarithm, to
+its candidates, however long it is or many they are.
 
 Defined cases: null and empty texts have no spans; repeated rows are scanned alike; without positives or other candidates a
 kind adds no spans; of overlapping candidates with equal scores the first, then the longest stays; other columns pass through,
@@ -25,6 +26,8 @@ and on a clash the added column gets a trailing underscore.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,25 +65,91 @@ HOST_WORDS = "ip|address|host|server|adresse|serveur|dirección|servidor"
 
 #: Known positives of these kinds are a share of all; one text in HELD_OUT is for thresholds alone.
 PARTLY_KNOWN, HELD_OUT = ("email", "ip", "phone"), 4
-#: Which generator proposes a kind.
+#: The source of what each generator (runs, groups, mails, hosts) proposes, and the source that proposes a kind.
+GENERATORS = (0, 0, 1, 2)
 SOURCE = {"email": 1, "ip": 2, "card": 0, "phone": 0}
 
-_EMPTY = "array<struct<s:int,e:int,t:string>>"
+#: Characters before a candidate that are its context.
+BEFORE = 24
 
 
-def matches(text: Column, pattern: str, guard: Column) -> Column:
-    """Array of (s, e, t) of a pattern's leftmost non-overlapping matches: code points, end exclusive."""
-    both = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda p, h: F.struct(F.char_length(p).alias("skip"), h.alias("t")))
-    placed = F.aggregate(
-        F.filter(both, lambda b: b["t"].isNotNull()),
-        F.struct(F.lit(0).alias("at"), F.array().cast(_EMPTY).alias("out")),
-        lambda acc, b: F.struct(
-            (acc["at"] + b["skip"] + F.char_length(b["t"])).alias("at"),
-            F.array_append(acc["out"], F.struct((acc["at"] + b["skip"]).alias("s"), (acc["at"] + b["skip"] + F.char_length(b["t"])).alias("e"), b["t"].alias("t"))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(guard, placed).otherwise(F.array().cast(_EMPTY))
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, inside an expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _sums(values: Column, first: Column) -> Column:
+    return F.aggregate(values, F.array(first), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+
+
+def with_matches(df: DataFrame, text: str, patterns: dict[str, tuple[str, Column]]) -> DataFrame:
+    """``df`` and, for each name of ``patterns`` (pattern, and which rows can have a match), an array of (s, e, t, left, after) of the pattern's leftmost
+    non-overlapping matches in the column ``text``: code points, end exclusive; the BEFORE characters before and the one after.
+
+    All of it comes from the pieces between matches: the text is not cut anew for each. Where a match starts is a sum of lengths. A fold
+    that appends copies what it has at each step, so sums are made in stretches of about the root of their number: of each stretch, then
+    over the stretches, then within them. Each step is a column, which keeps the expressions small.
+    """
+    kept, t = [F.col(f"`{c}`") for c in df.columns], F.col(f"`{text}`")
+    both, width, parts, at = ({n: f"{n}\x00{k}" for n in patterns} for k in ("both", "width", "parts", "at"))
+    none = F.array().cast("array<struct<p:string,t:string>>")
+
+    def pieces(pattern: str) -> Column:
+        return F.zip_with(F.split(t, pattern, -1), F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda p, h: F.struct(p.alias("p"), h.alias("t")))
+
+    df = df.select(*kept, *[F.when(guard, pieces(pattern)).otherwise(none).alias(both[n]) for n, (pattern, guard) in patterns.items()])
+    held = [F.col(both[n]) for n in patterns]
+    df = df.select(*kept, *held, *[F.greatest(F.ceil(F.sqrt(F.size(c))).cast("int"), F.lit(1)).alias(width[n]) for n, c in zip(patterns, held)])
+
+    def stretches(n: str) -> Column:
+        count, size = F.col(width[n]), F.col(both[n])
+        lengths = F.transform(size, lambda b: F.char_length(b["p"]) + F.coalesce(F.char_length(b["t"]), F.lit(0)))
+        return F.transform(F.sequence(F.lit(0), count - 1), lambda k: F.slice(lengths, k * count + 1, count)).alias(parts[n])
+
+    df = df.select(*kept, *held, *[stretches(n) for n in patterns])
+
+    def starts(n: str) -> Column:
+        begin = _sums(F.transform(parts[n], lambda v: F.aggregate(v, F.lit(0), lambda a, x: a + x)), F.lit(0))
+        return F.flatten(F.zip_with(F.col(parts[n]), F.slice(begin, 1, F.size(parts[n])), lambda v, first: F.slice(_sums(v, first), 1, F.size(v)))).alias(at[n])
+
+    df = df.select(*kept, *held, *[starts(n) for n in patterns])
+
+    def placed(n: str) -> Column:
+        pairs, begin = F.col(both[n]), F.col(at[n])
+
+        def one(b, i):
+            # A match and the piece before it have two characters at least, but for a first piece.
+            earlier = F.when(F.char_length(b["p"]) < BEFORE, F.array_join(F.transform(F.slice(pairs, F.greatest(i - BEFORE // 2, F.lit(0)) + 1, F.least(i, F.lit(BEFORE // 2))), lambda x: F.concat(x["p"], x["t"])), ""))
+            start = F.get(begin, i) + F.char_length(b["p"])
+            after = F.concat_ws("", F.get(pairs, i + 1)["p"], F.get(pairs, i + 1)["t"])
+            return F.struct(start.alias("s"), (start + F.char_length(b["t"])).alias("e"), b["t"].alias("t"), F.right(F.concat_ws("", earlier, b["p"]), F.lit(BEFORE)).alias("left"), F.left(after, F.lit(1)).alias("after"))
+
+        return F.transform(F.slice(pairs, 1, F.greatest(F.size(pairs) - 1, F.lit(0))), one)
+
+    return df.select(*kept, *[placed(n).alias(n) for n in patterns])
+
+
+def _below(spans: Column, field: str, limit: Column) -> Column:
+    """How many of the spans, which ascend in ``field``, lie below ``limit`` there: a binary search."""
+
+    def step(acc, _):
+        middle = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        less = F.get(spans, middle)[field] < limit
+        open_ = acc["low"] < acc["high"]
+        return F.struct(F.when(open_ & less, middle + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~less, middle).otherwise(acc["high"]).alias("high"))
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(spans) + 1)).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("low"), F.size(spans).alias("high")), step, lambda acc: acc["low"])
+
+
+#: Up to this many spans are compared one by one.
+FEW = 8
+
+
+def _overlapping(spans: Column, m: Column) -> Column:
+    """Those of the spans that may overlap ``m``; the spans ascend and don't overlap each other, so they stand together."""
+    first = _below(spans, "e", m["s"] + 1)
+    return F.when(F.size(spans) <= FEW, spans).otherwise(_let(first, lambda at: F.slice(spans, at + 1, F.greatest(_below(spans, "s", m["e"]) - at, F.lit(0)))))
 
 
 def luhn(digits: Column) -> Column:
@@ -95,26 +164,30 @@ def _digits(t: Column) -> Column:
     return F.regexp_replace(t, "[^0-9]", "")
 
 
-def base_matches(text: Column) -> dict[str, Column]:
-    """The base spans of each kind: array of (s, e, t)."""
-    card = F.filter(matches(text, CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")), lambda m: F.length(_digits(m["t"])).between(16, 19))
+def base_patterns(text: Column) -> dict[str, tuple[str, Column]]:
+    """The base patterns, and which texts can have a match."""
     return {
-        "email": matches(text, EMAIL, text.contains("@")),
-        "ip": F.filter(matches(text, IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")), lambda m: m["t"].rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")),
-        "card": F.filter(card, lambda m: luhn(_digits(m["t"]))),
-        "phone": F.filter(matches(text, PHONE, text.contains("+")), lambda m: F.length(_digits(m["t"])).between(8, 15)),
-    }
+        "email": (EMAIL, text.contains("@")), "ip": (IP, text.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]")), "card": (CARD, text.rlike(r"[0-9](?:[\x20-]?[0-9]){15}")), "phone": (PHONE, text.contains("+")),
+    }
+
+
+def checked(kind: str, found: Column) -> Column:
+    """The matches of a base pattern that pass the kind's check."""
+    if kind == "ip":
+        return F.filter(found, lambda m: m["t"].rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"))
+    if kind == "card":
+        return F.filter(F.filter(found, lambda m: F.length(_digits(m["t"])).between(16, 19)), lambda m: luhn(_digits(m["t"])))
+    return F.filter(found, lambda m: F.length(_digits(m["t"])).between(8, 15)) if kind == "phone" else found
 
 
 def _said(left: Column, words: str) -> Column:
     return left.rlike(rf"(?<![\p{{L}}\p{{N}}])(?:{words})(?![\p{{L}}\p{{N}}])")
 
 
-def _bins(text: Column, m: Column, source: int) -> Column:
+def _bins(m: Column, generator: int) -> Column:
     """The binned features of a candidate; their meaning differs by source."""
-    t, s, e = m["t"], m["s"], m["e"]
-    left = F.lower(F.substr(text, F.greatest(s - 24, F.lit(0)) + 1, F.least(s, F.lit(24))))
-    before, after = F.substr(text, s, F.when(s > 0, 1).otherwise(0)), F.substr(text, e + 1, F.lit(1))
+    t, s, e, source = m["t"], m["s"], m["e"], GENERATORS[generator]
+    left, before, after = F.lower(m["left"]), F.right(m["left"], F.lit(1)), m["after"]
     edges = F.when(before.rlike("[A-Za-z0-9]"), 1).otherwise(0) + F.when(after.rlike("[A-Za-z0-9]"), 2).otherwise(0)
     least = lambda c, most: F.least(c, F.lit(most))
     if source == 0:
@@ -148,27 +221,37 @@ def _bins(text: Column, m: Column, source: int) -> Column:
         plain = F.regexp_replace(t, r"\[\.\]|\(\.\)|\[dot\]", ".")
         values = [F.lit(0), F.lit(0), F.when(plain.rlike(VALID_HOST), 1).otherwise(0), F.lit(0), F.lit(0), F.when(_said(left, HOST_WORDS), 1).when(_said(left, OTHER_WORDS), 3).otherwise(0), edges]
         luhn_ok = F.lit(False)
-    return F.struct(F.lit(source).alias("source"), s.alias("s"), e.alias("e"), *[v.cast("int").alias(f) for v, f in zip(values, FEATURES)], luhn_ok.alias("luhn"))
+    return F.struct(F.lit(source).alias("source"), F.lit(generator).alias("generator"), s.alias("s"), e.alias("e"), *[v.cast("int").alias(f) for v, f in zip(values, FEATURES)], luhn_ok.alias("luhn"))
 
 
 def _meets(spans: Column, m: Column) -> Column:
-    return F.exists(spans, lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))
+    return F.exists(_overlapping(spans, m), lambda b: (b["s"] < m["e"]) & (m["s"] < b["e"]))
 
 
 def candidates(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """``keep``, then base spans (email, ip, card, phone: arrays of s, e), candidates (cand: array of m with source, s, e, bins and luhn, and whether it meets a base span of each kind) and whether the text is held out."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     kept = [F.col(f"`{c}`") for c in keep]
-    found = df.select(*kept, text.alias("\x00t"), *[c.alias(f"\x00{k}") for k, c in base_matches(text).items()])
+    found = df.select(*kept, text.alias("\x00t"))
     t = F.col("\x00t")
-    runs = F.filter(matches(t, RUNS, t.rlike(r"[0-9][0-9().\x20-]{5}")), lambda m: F.length(m["t"]) >= 7)
-    found = found.withColumn("\x00runs", runs)
-    # Grouped shapes lie within runs, so only texts with runs are searched again.
-    found = found.withColumn("\x00groups", matches(t, GROUPS, F.size("\x00runs") > 0))
-    found = found.withColumn("\x00mails", matches(t, MAILS, t.contains("@") | t.rlike(r"(?i)[(\[{]\x20?at\x20?[)\]}]|\x20at\x20[^\x20]+\x20dot\x20")))
-    found = found.withColumn("\x00hosts", matches(t, HOSTS, t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]|[0-9](?:\[\.\]|\(\.\)|\[dot\])[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:")))
-    parts = [F.transform(F.concat("\x00runs", "\x00groups"), lambda m: _bins(t, m, 0)), F.transform("\x00mails", lambda m: _bins(t, m, 1)), F.transform("\x00hosts", lambda m: _bins(t, m, 2))]
-    found = found.withColumn("\x00all", F.array_distinct(F.concat(*parts)))
+    patterns = {f"\x00{k}": v for k, v in base_patterns(t).items()}
+    lists = ("\x00runs", "\x00groups", "\x00mails", "\x00hosts")
+    digits = t.rlike(r"[0-9][0-9().\x20-]{5}")
+    patterns |= {
+        "\x00runs": (RUNS, digits), "\x00groups": (GROUPS, digits),
+        "\x00mails": (MAILS, t.contains("@") | t.rlike(r"(?i)[(\[{]\x20?at\x20?[)\]}]|\x20at\x20[^\x20]+\x20dot\x20")),
+        "\x00hosts": (HOSTS, t.rlike(r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]|[0-9](?:\[\.\]|\(\.\)|\[dot\])[0-9]|[0-9A-Fa-f]:[0-9A-Fa-f]{0,4}:")),
+    }
+    found = with_matches(found, "\x00t", patterns)
+    own = {f"\x00{k}": checked(k, F.col(f"\x00{k}")) for k in KINDS} | {"\x00runs": F.filter("\x00runs", lambda m: F.length(m["t"]) >= 7)}
+    found = found.select(*[own[c].alias(c) if c in own else F.col(f"`{c}`") for c in found.columns])
+    # A group that is a whole run is there already.
+    found = found.withColumn("\x00groups", F.filter("\x00groups", lambda m: ~F.exists(_overlapping(F.col("\x00runs"), m), lambda r: (r["s"] == m["s"]) & (r["e"] == m["e"]))))
+
+    def binned(generator: int) -> Column:
+        return F.transform(lists[generator], lambda m: _bins(m, generator))
+
+    found = found.withColumn("\x00all", F.concat(*[binned(k) for k in range(len(lists))]))
     marks = lambda k: F.transform(f"\x00{k}", lambda m: F.struct(m["s"].alias("s"), m["e"].alias("e")))
     found = found.select(*kept, *[marks(k).alias(f"\x00{k}") for k in KINDS], F.col("\x00all").alias("\x00cand"), (F.pmod(F.xxhash64("\x00t"), F.lit(HELD_OUT)) == 0).alias("\x00held"))
     return found.withColumn("\x00cand", F.transform("\x00cand", lambda m: F.struct(m.alias("m"), *[_meets(F.col(f"\x00{k}"), m).alias(k) for k in KINDS])))
@@ -195,31 +278,46 @@ def train(found: DataFrame, precision: float = PRECISION) -> dict[str, Boosted]:
 
 
 def select_spans(models: dict[str, Boosted]) -> Column:
-    """Array of (kind, s, e, base, score) by kind as listed, then start, from the columns of ``candidates``."""
+    """Array of (k, s, e, kind, base, score) by kind as listed, then start, from the columns of ``candidates``."""
     rank = {k: i for i, k in enumerate(KINDS)}
 
-    def make(kind, s, e, base, score):
-        return F.struct(F.lit(rank[kind]).alias("k"), s.alias("s"), e.alias("e"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), score.alias("score"))
+    def make(kind, m, base, score):
+        return F.struct(F.lit(rank[kind]).alias("k"), m["s"].alias("s"), m["e"].alias("e"), F.lit(kind).alias("kind"), F.lit(base).alias("base"), score.alias("score"))
+
+    def option(kind, m):
+        # In order of liking: score, then start, length and kind.
+        ranked = lambda v: F.struct((-v).alias("least"), m["s"].alias("s"), (-m["e"]).alias("least_e"), F.lit(rank[kind]).alias("k"), m["generator"].alias("generator"), make(kind, m, False, v).alias("x"))
+        score = models[kind].column(lambda f: m[f])
+        return F.when((m["source"] == SOURCE[kind]) & (m["luhn"] if kind == "card" else F.lit(True)), _let(score, lambda v: F.when(F.round(v, 9) >= models[kind].threshold, ranked(v))))
 
     def fixed(kind):
-        return F.transform(f"\x00{kind}", lambda m: make(kind, m["s"], m["e"], True, F.lit(1.0)))
+        return F.transform(f"\x00{kind}", lambda m: make(kind, m, True, F.lit(1.0)))
 
-    def scored(kind, model):
-        own = F.filter(free, lambda c: (c["m"]["source"] == SOURCE[kind]) & (c["m"]["luhn"] if kind == "card" else F.lit(True)))
-        all_of = F.transform(own, lambda c: make(kind, c["m"]["s"], c["m"]["e"], False, model.column(lambda f: c["m"][f])))
-        return F.filter(all_of, lambda c: F.round(c["score"], 9) >= model.threshold)
+    base = F.concat(*[fixed(k) for k in KINDS])
+    able = [kind for kind, model in models.items() if model.trees and model.threshold <= 1]
+    if not able:
+        return F.array_sort(base)
+    # Each free candidate's best kind; what a generator proposes ascends and doesn't overlap itself.
+    free = F.filter("\x00cand", lambda c: ~(c["email"] | c["ip"] | c["card"] | c["phone"]))
+    rated = F.filter(F.transform(free, lambda c: F.array_min(F.array(*[option(kind, c["m"]) for kind in able]))), lambda x: x.isNotNull())
+    liking = lambda x: F.struct(x["least"], x["s"], x["least_e"], x["k"])
 
-    def before(a, b):
-        first = lambda x: F.struct(-x["score"], x["s"], -x["e"], x["k"])
-        return (a["s"] < b["e"]) & (b["s"] < a["e"]) & (first(a) < first(b))
+    def best(rated):
+        def proposed(g):
+            return F.transform(F.filter(rated, lambda x: x["generator"] == g), lambda x: F.struct(x["x"]["s"].alias("s"), x["x"]["e"].alias("e"), liking(x).alias("liking")))
 
-    base = [fixed(k) for k in KINDS]
-    free = F.filter("\x00cand", lambda c: ~(c["email"] | c["ip"] | c["card"] | c["phone"]))
-    found = [scored(kind, model) for kind, model in models.items() if model.trees and model.threshold <= 1]
-    if found:
-        extra = F.concat(*found)
-        base.append(F.filter(extra, lambda b: ~F.exists(extra, lambda a: before(a, b))))
-    return F.array_sort(F.concat(*base))
+        lists = F.struct(*[proposed(g).alias(f"l{g}") for g in range(len(GENERATORS))])
+
+        def unbeaten(held):
+            def beaten(b):
+                spans = [F.exists(_overlapping(held[f"l{g}"], b["x"]), lambda a: (a["s"] < b["x"]["e"]) & (b["x"]["s"] < a["e"]) & (a["liking"] < liking(b))) for g in range(len(GENERATORS))]
+                return functools.reduce(lambda x, y: x | y, spans)
+
+            return F.array_sort(F.concat(base, F.transform(F.filter(rated, lambda b: ~beaten(b)), lambda b: b["x"])))
+
+        return _let(lists, unbeaten)
+
+    return _let(rated, best)
 
 
 def find_pii(df: DataFrame, text_col: str = "text", out_col: str = "pii_spans", keep: list[str] | None = None, models: dict[str, Boosted] | None = None) -> DataFrame:
