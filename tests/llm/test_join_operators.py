@@ -363,15 +363,16 @@ def plain_kneser_ney(texts):
     return p
 
 
-def test_quality_model_against_plain_kneser_ney(spark):
+def test_quality_model_against_plain_kneser_ney(spark, monkeypatch):
     rng = random.Random(9)
     texts = ["".join(rng.choice(["tha", "re", " ", "on", ". ", "é"]) for _ in range(rng.randrange(5, 80))) for _ in range(60)]
     model = quality.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
     p = plain_kneser_ney(texts)
     rows = texts[:40] + ["zz!! QQ", "", None, "tha \n\n\n\n re", "x", "é" * 300]
     df = spark.createDataFrame([(i, t, "c") for i, t in enumerate(rows)], "doc_id int, text string, nll string")
-    for stretch in (300, 1 << 20):  # many stretches a partition, and one
-        found = quality.perplexities(df, model, stretch=stretch).collect()
+    for stretch, a_salt in ((300, 128), (1 << 20, 128), (300, 1)):  # many stretches a partition, and one; shards of several salts
+        monkeypatch.setattr(quality, "PARTS_A_SALT", a_salt)
+        found = quality.perplexities(df.repartition(3), model, stretch=stretch).collect()
         assert len(found) == len(rows)
         for r in found:
             raw = quality.START + (rows[r.doc_id] or "").encode()
@@ -418,6 +419,9 @@ def test_quality_defined_cases(spark):
     assert len(out) == len(rows) and {(r.doc_id, r.keep) for r in out} == {(1, False), (2, False), (3, True), (None, True), (5, True)}
     some = spark.createDataFrame([(3, 1, 0), (5, 1, None), (5, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert quality.classify(docs, some).count() == len(rows)
+    # One trusted text is too few to reject by.
+    one = spark.createDataFrame([(3, 1, 0)], "doc_id long, quality int, toxic int")
+    assert {(r.doc_id, r.keep) for r in quality.classify(docs, one).collect()} == {(1, False), (2, False), (3, True), (None, True), (5, True)}
     kept = quality.keep_good(docs, some)
     assert kept.columns == docs.columns and quality.classify(docs.limit(0), none).count() == 0
 

@@ -346,6 +346,17 @@ def test_licence_scan_against_every_window():
     assert licences.Scanner({"b": "one two three", "a": "one two three"}, 0.8).best("one two three") == (1.0, "a")
 
 
+def test_licence_time_on_repeated_words():
+    import time
+
+    made = licences.Scanner(licences.TEMPLATES, 0.8)
+    text = licences.TEMPLATES["BSD-3-Clause/text"] if "BSD-3-Clause/text" in licences.TEMPLATES else licences.TEMPLATES["BSD-2-Clause/text"]
+    for t, least in (("of the " * 8000, 0), (f"{text}\n\n" * (60_000 // len(text)), 60_000 // len(text)), ("copies of the software and of the copies " * 1500, 0)):
+        start = time.process_time()
+        found = made.scan(t)
+        assert len(found) >= least and time.process_time() - start < 2.5, (t[:30], len(found), time.process_time() - start)
+
+
 def test_token_counts_against_greedy(spark, texts):
     pieces = set(wordpiece.load_pieces(PIECES))
     longest = max(map(len, pieces))

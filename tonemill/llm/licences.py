@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left, bisect_right
+from collections import Counter
 from math import ceil
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -180,25 +182,36 @@ class Scanner:
         return found
 
     def windows(self, grams: list[tuple[str, str]], places: dict[int, list[int]]) -> list[tuple[int, int, int, float, str]]:
-        """(shared bigrams, first word, last word, coefficient, name) of the best window from each start that reaches the threshold; ``places``: where each template's bigrams stand."""
-        out = []
-        for k, at in places.items():
+        """(shared bigrams, first word, last word, coefficient, name) of the best window from each start that reaches the threshold; ``places``: where each template's bigrams stand.
+
+        A bigram counts once in a window, where the one before it lies outside. A start is passed over if its longest window holds too few
+        different bigrams of the template, which a sliding count tells.
+        """
+        out, seen, before = [], {}, np.empty(len(grams), dtype=np.int64)
+        for i, g in enumerate(grams):
+            before[i] = seen.get(g, -1)
+            seen[g] = i
+        for k, stand in places.items():
             size, name, _ = self.made[k]
             need, span = self.need[k], self.span[k]
-            for x in range(len(at) - need + 1):
-                first = at[x]
-                if at[x + need - 1] - first >= span:
-                    continue
-                shared, every, done, best = set(), set(), first, None
-                for last in at[x : bisect_left(at, first + span, x)]:
-                    every.update(grams[done : last + 1])
-                    done = last + 1
-                    shared.add(grams[last])
-                    value = 2 * len(shared) / (len(every) + size)
-                    if value >= self.threshold and (best is None or value > best[3]):
-                        best = (len(shared), first, last + 1, value, name)
-                if best:
-                    out.append(best)
+            at, inside = np.array(stand), np.zeros(len(grams), dtype=bool)
+            inside[at] = True
+            held, end = Counter(), 0
+            for x, first in enumerate(stand):
+                while end < len(stand) and stand[end] < first + span:
+                    held[grams[stand[end]]] += 1
+                    end += 1
+                if len(held) >= need:
+                    ends = at[x:end] - first
+                    new = before[first : first + ends[-1] + 1] < first
+                    shared = np.cumsum(new & inside[first : first + ends[-1] + 1])[ends]
+                    values = 2 * shared / (np.cumsum(new)[ends] + size)
+                    best = int(values.argmax())
+                    if values[best] >= self.threshold:
+                        out.append((int(shared[best]), first, int(ends[best]) + first + 1, float(values[best]), name))
+                held[grams[first]] -= 1
+                if not held[grams[first]]:
+                    del held[grams[first]]
         return out
 
     def scan(self, text: str | None) -> list[tuple[int, int, str, float]]:

@@ -8,8 +8,9 @@ The model is a sharded table and is never gathered anywhere; it grows with what
    has one row for each gram of 0 to 5 bytes: its probability after its context, and its weight as a context.
 2. Perplexity by sharded count joins. Documents are taken in stretches of about STRETCH bytes. A stretch asks for each
    distinct gram that it holds once, whatever the number of its documents: the asked grams meet the model shard by
-   shard (a gram's shard is its code modulo a prime number that grows with the model), and the answers meet the
-   stretch's texts, which travel compressed. So a frequent gram costs one entry a stretch, and no task holds more than
+   shard (a gram's shard is its code modulo a prime number that grows with the model; the stretches of many parts of the
+   documents are salted, and each salt meets a copy of the shard, so that what a task answers doesn't grow with the
+   corpus), and the answers meet the stretch's texts, which travel compressed. So a frequent gram costs one entry a stretch, and no task holds more than
    one shard or one stretch.
 3. Thresholds. One trusted text in HELD_OUT (by its hash) is not counted; the quantiles of those texts' scores, by
    language, bound the scores of what is kept, SLACK beyond them. The score is the mean negative log probability of
@@ -17,7 +18,7 @@ The model is a sharded table and is never gathered anywhere; it grows with what
 
 Defined cases: null and empty texts have no perplexity and are not kept; a null language is a language; languages with
 fewer than LEAST_TRUSTED held-out documents use the quantile of all, those with fewer than LEAST_FOR_MEAN the mean of all
-too; without any held-out document all trusted ones give the quantiles; without any trusted document nothing is
+too; without any held-out document all trusted ones give the quantiles; with fewer than LEAST_HELD of either nothing is
 rejected but empty texts; labels repeated for an id count as trusted if all of them are; repeated rows score
 alike and each row is judged by its own text; other columns are not carried by ``classify`` and all stay in ``keep_good``.
 """
@@ -25,6 +26,7 @@ alike and each row is judged by its own text; other columns are not carried by `
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +43,10 @@ PRIOR = 100
 SLACK = 0.03
 HELD_OUT = 5
 LEAST_TRUSTED, LEAST_FOR_MEAN = 50, 5
+#: Fewer held-out texts than this say nothing of where clean texts end.
+LEAST_HELD = 10
+#: Parts of the documents whose questions one answering task takes from each shard; more parts are dealt out by a salt.
+PARTS_A_SALT = 128
 #: What stands before a text.
 START = b"\n" * (ORDER - 1)
 #: Bytes of text that ask the model together, and that are coded at once.
@@ -206,16 +212,16 @@ def perplexities(docs: DataFrame, model: DataFrame, text_col: str = "text", keep
     width = len(keep)
     source = rereadable(docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("\x00text")), "quality-texts")
     source = bounded_batches(source.withColumn("\x00part", F.spark_partition_id()))
-    shards = _prime(max(67, -(-model.count() // SHARD_ROWS)))
+    shards, salts = _prime(max(67, -(-model.count() // SHARD_ROWS))), -(-max(1, source.rdd.getNumPartitions()) // PARTS_A_SALT)
 
     def ask(batches):
         for held in stretches(batches, width, stretch):
             top = distinct(np.concatenate([distinct(codes(_bytes(x.column(width).to_pylist()))) for x in held.pieces]))
             keys = needed(top)
-            shard = keys % shards
+            shard, salt = keys % shards, zlib.crc32(held.name.encode()) % salts
             for k in np.unique(shard):
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k], pa.int32()), pa.array([held.name]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float32()), pa.nulls(1, pa.float32()), pa.array([keys[shard == k].tobytes()], pa.binary())], names=ASKS.names
+                    [pa.array([k * salts + salt], pa.int32()), pa.array([held.name]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.float32()), pa.nulls(1, pa.float32()), pa.array([keys[shard == k].tobytes()], pa.binary())], names=ASKS.names
                 )
 
     def answer(batches):
@@ -242,7 +248,7 @@ def perplexities(docs: DataFrame, model: DataFrame, text_col: str = "text", keep
                     hit = at < len(table[0])
                     hit[hit] = table[0][at[hit]] == keys[hit]
                     at = np.where(hit, at, len(table[0]))
-                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, 1), pa.array([1 << 30 | int(now)], pa.int32()), pa.array([table[1][at].tobytes()], pa.binary()), pa.array([table[2][at].tobytes()], pa.binary())], names=PARTS.names)
+                    yield pa.RecordBatch.from_arrays([batch.column(1).slice(row, 1), pa.array([1 << 30 | int(now) // salts], pa.int32()), pa.array([table[1][at].tobytes()], pa.binary()), pa.array([table[2][at].tobytes()], pa.binary())], names=PARTS.names)
 
     kept = T.StructType([docs.schema[c] for c in keep])
 
@@ -307,7 +313,7 @@ def perplexities(docs: DataFrame, model: DataFrame, text_col: str = "text", keep
         if texts:
             yield from rated()
 
-    shared = model.select(F.expr(f"cast(pmod(key, {shards}) AS int)").alias("shard"), F.lit(None).cast("string").alias("stretch"), "key", "p", "g", F.lit(None).cast("binary").alias("keys"))
+    shared = model.select(F.explode(F.expr(f"transform(sequence(0, {salts - 1}), salt -> cast(pmod(key, {shards}) AS int) * {salts} + salt)")).alias("shard"), F.lit(None).cast("string").alias("stretch"), "key", "p", "g", F.lit(None).cast("binary").alias("keys"))
     met = shared.union(source.mapInArrow(trimmed(ask), ASKS)).repartition("shard").sortWithinPartitions("shard", "stretch")
     answers = met.mapInArrow(trimmed(answer), PARTS)
     texts = source.mapInArrow(trimmed(carry), PARTS)
@@ -338,7 +344,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     end = F.percentile_approx("score", high, 20_000).alias("high")
     rated = with_score(known)
     bounds = rated.groupBy("lang").agg(F.count("*").alias("docs"), end).where(F.col("docs") >= LEAST_TRUSTED).select(F.col("lang").alias("l"), "high")
-    high_all = rated.agg(end).first()["high"]
+    all_of = rated.agg(end, F.count("score").alias("n")).first()
+    high_all = all_of["high"] if all_of["n"] >= LEAST_HELD else None
     out = with_score(scored)
     out = out.join(small(bounds, 10_000), out["lang"].eqNullSafe(F.col("l")), "left")
     inside = F.col("score") <= F.coalesce("high", F.lit(high_all)) + SLACK
