@@ -49,10 +49,11 @@ def majority_share(pairs: DataFrame, gold: str = "gold") -> DataFrame:
     return pairs.groupBy(gold).agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("majority_class_accuracy"))
 
 
-def choose(results: DataFrame, candidates=CANDIDATES, margin: float = TIE_MARGIN) -> DataFrame:
-    """One row (primary): the cheapest candidate within the margin of the best macro F1; null unless all candidates are there."""
+def choose(results: DataFrame, candidates=CANDIDATES, margin: float = TIE_MARGIN, by: list[str] | None = None) -> DataFrame:
+    """(by..., primary): the cheapest candidate within the margin of the best macro F1; null unless all candidates are there. Without ``by`` one row."""
+    by = by or []
     cost = F.array_position(F.array(*[F.lit(c) for c in candidates]), F.col("scorer"))
-    found = results.select("scorer", "macro_f1", cost.alias("cost")).agg(F.max("macro_f1").alias("best"), F.collect_list(F.struct("cost", "scorer", "macro_f1")).alias("all"))
+    found = results.select(*by, "scorer", "macro_f1", cost.alias("cost")).groupBy(*by).agg(F.max("macro_f1").alias("best"), F.collect_list(F.struct("cost", "scorer", "macro_f1")).alias("all"))
     fit = F.array_sort(F.filter("all", lambda r: (r["macro_f1"] >= F.col("best") - margin) & (r["cost"] > 0)))
     whole = F.size(F.array_except(F.array(*[F.lit(c) for c in candidates]), F.transform("all", lambda r: r["scorer"]))) == 0
-    return found.select(F.when(whole, F.get(fit, F.lit(0))["scorer"]).alias("primary"))
+    return found.select(*by, F.when(whole, F.get(fit, F.lit(0))["scorer"]).alias("primary"))

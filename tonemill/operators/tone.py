@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import LABELS, Lexicon, sentence_label
 from ..functions.text import scoring_sentences
+from .scan import scan
 
 Scorer = Callable[[Column], Column]
 
@@ -38,10 +39,15 @@ def score_documents(labelled: DataFrame, labels: tuple[str, str, str] = LABELS)
 
 
 def tone_change(scored: DataFrame, part_by: list[str] | None = None, id_col: str = "doc_id", date_col: str = "release_date", flag_col: str = "scheduled") -> DataFrame:
-    """``scored`` with ``tone_change``: score less that of the previous scheduled document of its kind; null for others."""
+    """``scored`` with ``tone_change``: score less that of the previous scheduled document of its kind; null for others. Without a kind to part
+    by, the scheduled documents are scanned in ranges of their dates, so that no task holds all of them."""
     flag = F.coalesce(F.col(flag_col), F.lit(False))
+    if not part_by:
+        before = scan(scored.where(flag), [date_col, id_col], {"\x00before": ("lag", "score")})
+        changed = before.withColumn("tone_change", F.col("score") - F.col("\x00before")).drop("\x00before")
+        return changed.unionByName(scored.where(~flag).withColumn("tone_change", F.lit(None).cast(changed.schema["tone_change"].dataType)))
     # Scheduled rows see scheduled rows alone, and no join is needed; the others need no order, so each is a partition of its own.
-    order = Window.partitionBy(*(part_by or []), F.when(~flag, F.xxhash64(id_col))).orderBy(date_col, id_col)
+    order = Window.partitionBy(*part_by, F.when(~flag, F.xxhash64(id_col))).orderBy(date_col, id_col)
     return scored.withColumn("tone_change", F.when(flag, F.col("score") - F.lag("score").over(order)))
 
 

@@ -180,6 +180,29 @@ _PRINTED = _lines(
     ("k % 11 = 0", "'warning'", "'no start anchor found'", "NULL"),
 )
 
+# The vocabulary that ``vocabulary_labels`` expects, stated here on its own (fixed values): words of more and of less, and phrases with their sign
+# (``firming`` is a phrase besides).
+_SAID_SUBJECTS = {
+    1: "inflation prices price wages costs pressures rate rates target activity growth economy expansion spending investment output production employment jobs job hiring demand labor conditions recovery sales housing utilization",
+    -1: "unemployment slack underutilization losses strains",
+}
+_SAID_DIRECTIONS = {
+    1: "increase increased increases increasing raise raised raising rise rising rose higher high elevated strong stronger solid robust firm firmed firming accelerate accelerated accelerating improve improved improving improvement "
+    "strengthen strengthened expand expanded expanding picked upward heightened tight tighter",
+    -1: "decrease decreased decline declined declining lower lowered low reduce reduced reduction cut weak weaker weakened soft softened slow slowed slowing slower subdued muted depressed below contained eased easing diminished diminish "
+    "moderated sluggish downward fall fell falling",
+}
+_SAID_TAILS = (
+    ("calm", "0"), ("firming", "1"), ("tightening", "1"), ("a restrictive stance", "1"), ("reducing the monthly pace of its purchases", "1"), ("normalization", "1"), ("an inflation risk", "1"), ("a wish to ease the stance", "-1"),
+    ("securities purchases", "-1"), ("purchasing additional agency paper", "-1"), ("exceptionally low levels", "-1"), ("an extended period", "-1"), ("considerable time", "-1"), ("a patient approach", "-1"), ("downside risks", "-1"),
+    ("removal of policy accommodation", "1"), ("an accommodative stance", "-1"),
+)
+
+
+def _stated(signs: dict[int, str]) -> str:
+    return "VALUES " + ", ".join(f"('{w}', {v})" for v, words in signs.items() for w in words.split())
+
+
 ORACLE_SQL: dict[str, str] = {
     "doc_tone": f"{_TONE} SELECT * FROM tone",
     "default_lexicon_labels": f"""WITH s AS (SELECT ['Inflation', 'The unemployment rate', 'Economic activity', 'The target rate', 'Labor market slack'][o_orderkey % 5 + 1] AS subject,
@@ -196,13 +219,13 @@ ORACLE_SQL: dict[str, str] = {
     "printed_minutes_cleaned": f"""{_PRINTED} SELECT o_orderkey, md5(coalesce(string_agg(p, chr(10) || chr(10) ORDER BY i) FILTER (WHERE c AND rule = 'kept'), '')) AS clean_md5,
         (count(*) FILTER (WHERE c AND rule = 'kept'))::INT AS n_kept FROM lines GROUP BY o_orderkey""",
     "calendar_meetings": """WITH o AS (SELECT DISTINCT year(o_orderdate)::INT AS y, month(o_orderdate) AS m FROM orders), a AS (SELECT y, m, monthname(make_date(y, m, 1)) AS name, CASE WHEN m % 5 = 0 THEN 'unscheduled' WHEN m = 6 THEN 'conference_call' ELSE 'scheduled' END AS kind FROM o),
-        r AS (SELECT n_nationkey + 1 AS m, n_regionkey + 10 AS d FROM nation WHERE n_nationkey < 12)
+        r AS (SELECT 2021 + n_nationkey // 12 AS y, n_nationkey % 12 + 1 AS m, n_regionkey + 10 AS d FROM nation)
         SELECT y AS year, name || CASE kind WHEN 'unscheduled' THEN ' 26 (unscheduled) Meeting - ' WHEN 'conference_call' THEN ' 26 Conference Call - ' ELSE ' 25-26 Meeting - ' END || y AS label,
             make_date(y, m, CASE WHEN kind = 'scheduled' THEN 25 ELSE 26 END) AS meeting_start, make_date(y, m, 26) AS meeting_end, kind AS event_type, kind = 'scheduled' AS scheduled,
             '/fomc/' || strftime(make_date(y, m, 26), '%Y%m%d') || 'default.htm' AS statement_url, '/fomc/minutes/' || strftime(make_date(y, m, 26), '%Y%m%d') || '.htm' AS minutes_url,
             (make_date(y, m, 26) + 21)::DATE AS minutes_release_date, '/a/' || y AS source_page FROM a
-        UNION ALL SELECT 2021, monthname(make_date(2021, m, 1)) || ' ' || d || '-' || (d + 1) || '*', make_date(2021, m, d), make_date(2021, m, d + 1), 'scheduled', true,
-            '/newsevents/pressreleases/monetary' || strftime(make_date(2021, m, d + 1), '%Y%m%d') || 'a.htm', NULL, NULL, '/current' FROM r WHERE m <= 9""",
+        UNION ALL SELECT y, monthname(make_date(y, m, 1)) || ' ' || d || '-' || (d + 1) || '*', make_date(y, m, d), make_date(y, m, d + 1), 'scheduled', true,
+            '/newsevents/pressreleases/monetary' || strftime(make_date(y, m, d + 1), '%Y%m%d') || 'a.htm', NULL, NULL, '/current' FROM r WHERE make_date(y, m, d + 1) <= DATE '2022-10-01'""",
     "press_releases": """WITH d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders), l AS (SELECT day, CASE WHEN month(day) % 2 = 0 THEN least(dayofyear(day) % 6, 2) ELSE dayofyear(day) % 6 END AS n FROM d),
         h AS (SELECT day, CASE WHEN day(day) % 4 < n THEN day(day) % 4 WHEN n = 5 THEN 4 END AS k FROM l)
         SELECT day AS release_day, '/newsevents/pressreleases/monetary' || strftime(day, '%Y%m%d') || substr('abcde', k + 1, 1) || '.htm' AS press_url, CASE WHEN k IS NOT NULL THEN 840 END AS minutes_after_midnight,
@@ -230,8 +253,8 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT max(n) AS n, sum(tp) / max(n) AS po, sum((g / n) * (p / n)) AS pe, avg(CASE WHEN tp = 0 THEN 0 ELSE 2 * tp / (g + p) END) AS f FROM per)
         SELECT n, round(po, 9) AS accuracy, round(f, 9) AS macro_f1, round(CASE WHEN pe = 1 THEN 0 ELSE (po - pe) / (1 - pe) END, 9) AS kappa FROM s""",
     "majority_class": f"{_PAIRS} SELECT round(max(n) / sum(n), 9) AS majority_class_accuracy FROM (SELECT gold, count(*) AS n FROM pairs GROUP BY gold)",
-    "choose_scorer": """WITH n AS (SELECT n_regionkey, n_nationkey, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation),
-        s AS (SELECT n_regionkey, k, 0.6 + n_nationkey % 7 * 0.02 AS f FROM n WHERE k <= 3 AND NOT (n_regionkey = 4 AND k = 2)), t AS (SELECT *, max(f) OVER (PARTITION BY n_regionkey) AS best FROM s)
+    "choose_scorer": """WITH n AS (SELECT n_regionkey, n_nationkey, (row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1) % 3 + 1 AS k FROM nation),
+        s AS (SELECT n_regionkey, k, (60 + max(n_nationkey % 7 * 2)) / 100 AS f FROM n WHERE NOT (n_regionkey = 4 AND k = 2) GROUP BY ALL), t AS (SELECT *, max(f) OVER (PARTITION BY n_regionkey) AS best FROM s)
         SELECT n_regionkey::INT AS n_regionkey, CASE WHEN count(*) = 3 THEN ['lexicon', 'zs-base', 'zs-large'][min(k) FILTER (WHERE f >= best - 0.03)] END AS "primary" FROM t GROUP BY n_regionkey""",
     "crosstab_year_kind": "SELECT year(o_orderdate)::INT AS year, " + ", ".join(f"count(*) FILTER (WHERE o_orderstatus = '{k}' AND {'' if not u else 'NOT '}o_totalprice > 100000) AS {k}{u}" for k in "FOP" for u in ("", "_unsched")) + " FROM orders GROUP BY 1",
     "group_null_keys": "SELECT lang, quality, toxic, count(*) AS n FROM documents LEFT JOIN labels USING (doc_id) GROUP BY ALL",
@@ -285,6 +308,36 @@ ORACLE_SQL: dict[str, str] = {
     "word_counts": f"SELECT doc_id, len(list_filter(regexp_split_to_array(coalesce(text, ''), '{_WS}'), lambda x: x <> ''))::INT AS n_words FROM documents",
     "holm_adjusted": """WITH a AS (SELECT n_nationkey, n_regionkey, (n_nationkey + 1) / 500 AS p, count(*) OVER (PARTITION BY n_regionkey) AS m, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS k FROM nation)
         SELECT n_nationkey, round(max(least(1, p * (m - k + 1))) OVER (PARTITION BY n_regionkey ORDER BY p ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM a""",
+    "tone_change_overall": f"""{_CHANGES}, c AS (SELECT doc_id, score - lag(score) OVER (ORDER BY doc_id) AS change FROM flagged WHERE scheduled)
+        SELECT f.doc_id, scheduled, round(score, 9) AS score, round(change, 9) AS tone_change FROM flagged f LEFT JOIN c USING (doc_id)""",
+    "days_aligned": """WITH d AS (SELECT DISTINCT l_shipdate::DATE AS day FROM lineitem WHERE l_quantity >= 49), o AS (SELECT o_orderkey, o_orderdate::DATE AS at FROM orders)
+        SELECT o_orderkey, day AS trading_day FROM o ASOF LEFT JOIN d ON d.day >= o.at""",
+    "holm_overall": """WITH p AS (SELECT p_partkey, (p_size + CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_partkey END) / 100000 AS p FROM part), a AS (SELECT *, count(*) OVER () AS m, row_number() OVER (ORDER BY p, p_partkey) AS k FROM p)
+        SELECT p_partkey, round(max(least(1, p * (m - k + 1))) OVER (ORDER BY p, k ROWS UNBOUNDED PRECEDING), 9) AS p_holm FROM a""",
+    "grouped_regressions": """WITH r AS (SELECT l_returnflag, l_linestatus, l_extendedprice / 10000 AS y, l_quantity / 10 AS u, l_discount * 10 AS v FROM lineitem),
+        m AS (SELECT l_returnflag, l_linestatus, count(*) AS n, avg(y) AS my, avg(u) AS mu, avg(v) AS mv FROM r GROUP BY ALL),
+        c AS (SELECT l_returnflag, l_linestatus, n, my, mu, mv, y - my AS y, u - mu AS u, v - mv AS v FROM r JOIN m USING (l_returnflag, l_linestatus)),
+        s AS (SELECT l_returnflag, l_linestatus, sum(u * u) AS uu, sum(u * v) AS uv, sum(v * v) AS vv, sum(u * y) AS uy, sum(v * y) AS vy FROM c GROUP BY ALL),
+        b AS (SELECT *, uu * vv - uv * uv AS det, (vv * uy - uv * vy) / (uu * vv - uv * uv) AS bu, (uu * vy - uv * uy) / (uu * vv - uv * uv) AS bv FROM s),
+        q AS (SELECT l_returnflag, l_linestatus, any_value(n) AS n, any_value(my - bu * mu - bv * mv) AS b0, any_value(bu) AS bu, any_value(bv) AS bv, any_value(vv / det) AS iuu, any_value(-uv / det) AS iuv, any_value(uu / det) AS ivv,
+              sum(pow(y - bu * u - bv * v, 2) * u * u) AS quu, sum(pow(y - bu * u - bv * v, 2) * u * v) AS quv, sum(pow(y - bu * u - bv * v, 2) * v * v) AS qvv FROM c JOIN b USING (l_returnflag, l_linestatus) GROUP BY ALL)
+        SELECT l_returnflag, l_linestatus, t.term, round(t.coef, 6) AS coef, round(t.se, 6) AS se, n, false AS collinear FROM (SELECT l_returnflag, l_linestatus, n, unnest([{'term': 'const', 'coef': b0, 'se': NULL},
+            {'term': 'quantity', 'coef': bu, 'se': sqrt((iuu * iuu * quu + 2 * iuu * iuv * quv + iuv * iuv * qvv) * n / (n - 3))}, {'term': 'discount', 'coef': bv, 'se': sqrt((iuv * iuv * quu + 2 * iuv * ivv * quv + ivv * ivv * qvv) * n / (n - 3))}]) AS t FROM q)""",
+    "placebo_distribution": """WITH d AS (SELECT o_orderdate::DATE AS day, avg(o_totalprice) / 100000 AS y FROM orders GROUP BY 1), no AS (SELECT *, row_number() OVER (ORDER BY day) AS k, count(*) OVER () AS m FROM d),
+        e AS (SELECT event_id, value / 100 AS x, (DATE '1995-01-01' + (event_id % 700)::INT)::DATE AS day FROM events WHERE event_type = 'purchase'), u AS (SELECT event_id, x, y, m FROM e JOIN no USING (day) WHERE x IS NOT NULL),
+        a AS (SELECT count(*) AS n, (count(*) * sum(x * y) - sum(x) * sum(y)) / (count(*) * sum(x * x) - sum(x) * sum(x)) AS slope FROM u),
+        w AS (SELECT r, x, ('0x' || substr(md5('3:' || event_id || ':' || r), 1, 8))::BIGINT % m + 1 AS k FROM (SELECT *, unnest(range(1, 51)) AS r FROM u)),
+        p AS (SELECT r, (count(*) * sum(x * y) - sum(x) * sum(y)) / (count(*) * sum(x * x) - sum(x) * sum(x)) AS s FROM w JOIN no USING (k) GROUP BY r)
+        SELECT any_value(n) AS n, round(any_value(slope), 6) AS slope, round((count(*) FILTER (WHERE abs(s) >= abs(slope)) + 1) / (count(*) + 1), 6) AS p_value, round(quantile_cont(s, 0.025), 6) AS low, round(quantile_cont(s, 0.975), 6) AS high FROM p, a""",
+    "rejected_entries": """WITH o AS (SELECT o_orderkey AS k, o_orderdate::DATE AS d FROM orders)
+        SELECT k AS o_orderkey, 'month' AS "column", 'unknown month: Smarch' AS reason FROM o WHERE k % 5 = 0 UNION ALL SELECT k, 'span', 'unreadable dates: Smarch ' || day(d) FROM o WHERE k % 5 = 0
+        UNION ALL SELECT k, 'url_day', 'no such day: 20240231' FROM o WHERE k % 7 = 0 UNION ALL SELECT k, 'time', 'no such minute: ' || (k % 12 + 1) || ':' || (k % 70) FROM o WHERE k % 70 > 59
+        UNION ALL SELECT k, 'none', concat_ws(' ', month(d), d, (k % 12 + 1) % 12 * 60 + 720 + k % 70, d, d) FROM o WHERE k % 5 > 0 AND k % 7 > 0 AND k % 70 <= 59""",
+    "vocabulary_labels": f"""WITH s AS (SELECT row_number() OVER (ORDER BY w) - 1 AS i, count(*) OVER () AS ns, w, v FROM ({_stated(_SAID_SUBJECTS)}) AS t(w, v)), d AS (SELECT row_number() OVER (ORDER BY w) - 1 AS i, count(*) OVER () AS nd, w, v FROM ({_stated(_SAID_DIRECTIONS)}) AS t(w, v)),
+        p AS (SELECT unnest({[list(t) for t in _SAID_TAILS]}) AS t), q AS (SELECT row_number() OVER () - 1 AS i, t[1] AS w, t[2]::INT AS v FROM p),
+        k AS (SELECT o_orderkey % (SELECT any_value(ns) FROM s) AS a, o_orderkey // (SELECT any_value(ns) FROM s) % (SELECT any_value(nd) FROM d) AS b, o_custkey % (SELECT count(*) FROM q) AS c FROM orders)
+        SELECT s.w AS subject, d.w AS direction, q.w AS tail, CASE sign(s.v * d.v + q.v + (d.w = 'firming' AND q.w <> 'firming')::INT) WHEN 1 THEN 'hawkish' WHEN -1 THEN 'dovish' ELSE 'neutral' END AS label, count(*) AS n FROM k JOIN s ON s.i = a JOIN d ON d.i = b JOIN q ON q.i = c GROUP BY ALL""",
+    "sinks_read_back": """SELECT doc_id, lang AS label, lang AS gold, NULL::VARCHAR AS note, md5(text) AS lines_md5, md5(coalesce(text, '')) AS csv_md5, md5(text) AS table_md5 FROM documents WHERE doc_id IS NOT NULL""",
     "event_returns": "SELECT user_id AS asset, event_id AS day, " + ", ".join(f"round(ln(lead(abs(value) + 1, {h}) OVER w / lag(abs(value) + 1) OVER w), 6) AS ret_{h}" for h in (0, 1, 5)) + " FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)",
 }
 ORACLE_SQL["counted_rules"] = ORACLE_SQL["printed_minutes_rules"]

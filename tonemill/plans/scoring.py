@@ -12,6 +12,7 @@ from ..functions.lexicon import Lexicon
 from ..functions.release import decision
 from ..functions.text import scoring_sentences
 from ..operators import metrics, nli, report, tone
+from ..operators.scan import scan
 from ..sources import files
 
 #: A scorer of sentence tables: adds the column ``label``.
@@ -150,8 +151,12 @@ def event_returns(prices: DataFrame, horizons: tuple[int, ...] = (0, 1, 5), part
 
 
 def holm(tests: DataFrame, p: str = "p", by: list[str] | None = None) -> DataFrame:
-    """``tests`` with ``p_holm``: step-down adjusted values."""
-    part = Window.partitionBy(*(by or []))
+    """``tests`` with ``p_holm``: step-down adjusted values. Without families to part by, tests are scanned in ranges of their values."""
+    if not by:
+        ranked = scan(tests.withColumn("\x00tie", F.xxhash64(*[F.col(f"`{c}`") for c in tests.columns])), [p, "\x00tie"], {"\x00k": ("row_number", None), "\x00m": ("total", None)})
+        stepped = ranked.withColumn("\x00s", F.least(F.lit(1.0), F.col(p) * (F.col("\x00m") - F.col("\x00k") + 1)))
+        return scan(stepped, [p, "\x00k"], {"p_holm": ("running_max", "\x00s")}).drop("\x00tie", "\x00k", "\x00m", "\x00s")
+    part = Window.partitionBy(*by)
     order = part.orderBy(p)
     step = F.least(F.lit(1.0), F.col(p) * (F.count("*").over(part) - F.row_number().over(order) + 1))
     return tests.withColumn("\x00s", step).withColumn("p_holm", F.max("\x00s").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("\x00s")

@@ -3,22 +3,26 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.scan import scan
 from .scoring import event_returns, holm
 
-__all__ = ["align_to_days", "bootstrap_slopes", "event_returns", "holm", "ols_hc1", "placebo_days"]
+__all__ = ["align_to_days", "bootstrap_slopes", "event_returns", "holm", "ols_hc1", "placebo_days", "placebo_test", "regressions"]
 
 
 def align_to_days(events: DataFrame, days: DataFrame, date_col: str = "release_date", day_col: str = "day", by: list[str] | None = None) -> DataFrame:
-    """``events`` with ``trading_day``: the first day at or after the event (as-of, forward). One sort of both sides together; no range join."""
+    """``events`` with ``trading_day``: the first day at or after the event (as-of, forward). One scan of both sides together (in ranges, where there is no key); no range join."""
     by = by or []
     left = events.select("*", F.col(date_col).alias("\x00at"), F.lit(None).cast(days.schema[day_col].dataType).alias("\x00day"), F.lit(0).alias("\x00side"))
     right = days.select(*by, F.col(day_col).alias("\x00at"), F.col(day_col).alias("\x00day"), F.lit(1).alias("\x00side")).distinct()
-    order = Window.partitionBy(*by).orderBy("\x00at", "\x00side").rowsBetween(0, Window.unboundedFollowing)
     both = left.unionByName(right, allowMissingColumns=True)
-    both = both.withColumn("trading_day", F.first("\x00day", ignorenulls=True).over(order))
+    if not by:
+        both = scan(both, ["\x00at", "\x00side"], {"trading_day": ("next", "\x00day")})
+    else:
+        order = Window.partitionBy(*by).orderBy("\x00at", "\x00side").rowsBetween(0, Window.unboundedFollowing)
+        both = both.withColumn("trading_day", F.first("\x00day", ignorenulls=True).over(order))
     return both.where("`\x00side` = 0").drop("\x00at", "\x00day", "\x00side")
 
 
@@ -59,3 +63,80 @@ def placebo_days(days: DataFrame, events: DataFrame, n: int, day_col: str = "day
     """``n`` days that are no event days, the same for the same seed."""
     free = days.select(day_col).distinct().join(events.select(F.col(event_col).alias(day_col)).distinct(), day_col, "left_anti")
     return free.orderBy(F.xxhash64(F.lit(seed), F.col(day_col)), day_col).limit(n)
+
+
+def regressions(df: DataFrame, y: str, xs: list[str], by: list[str]) -> DataFrame:
+    """(by..., term, coef, se, n, collinear): least squares of y on xs with an intercept, for all groups at once, with HC1 errors of the slopes.
+
+    Two grouped aggregations: centred moments, whose normal equations are solved by Cholesky steps as column expressions, and the sums of
+    squared residuals times centred regressors. Groups with a regressor that the others explain, or with no more rows than terms, are marked
+    ``collinear`` and have null coefficients. Rows with a null among y and xs are left out.
+    """
+    p = len(xs)
+    known = df.where(" AND ".join(f"`{c}` IS NOT NULL" for c in [y, *xs])).select(*by, F.col(y).cast("double").alias("\x00y"), *[F.col(x).cast("double").alias(f"\x00x{i}") for i, x in enumerate(xs)])
+    n, pairs = F.count("*"), [(i, j) for i in range(p) for j in range(i + 1)]
+    moments = [n.alias("n"), F.avg("\x00y").alias("\x00my"), *[F.avg(f"\x00x{i}").alias(f"\x00m{i}") for i in range(p)]]
+    moments += [(F.covar_pop(f"\x00x{i}", f"\x00x{j}") * n).alias(f"\x00s{i}_{j}") for i, j in pairs] + [(F.covar_pop(f"\x00x{i}", "\x00y") * n).alias(f"\x00c{i}") for i in range(p)]
+    g = known.groupBy(*by).agg(*moments)
+    add = lambda terms: sum(terms, F.lit(0.0))
+    low = lambda i, j: F.col(f"\x00l{i}_{j}")
+    g = g.withColumn("collinear", F.col("n") <= p + 1)
+    for i, j in pairs:  # the lower triangle of the root
+        rest = F.col(f"\x00s{i}_{j}") - add(low(i, k) * low(j, k) for k in range(j))
+        if i == j:
+            g = g.withColumn("collinear", F.col("collinear") | (rest <= 1e-10 * F.col(f"\x00s{i}_{i}")) | (F.col(f"\x00s{i}_{i}") <= 0))
+        g = g.withColumn(f"\x00l{i}_{j}", F.when(~F.col("collinear"), F.sqrt(rest) if i == j else rest / low(j, j)))
+    unit = {(i, j): 1.0 if i == j else 0.0 for i in range(p) for j in range(p)}
+    for name, right in [("b", [F.col(f"\x00c{i}") for i in range(p)]), *[(f"i{j}_", [F.lit(unit[i, j]) for i in range(p)]) for j in range(p)]]:
+        for i in range(p):
+            g = g.withColumn(f"\x00f{i}", (right[i] - add(low(i, k) * F.col(f"\x00f{k}") for k in range(i))) / low(i, i))
+        for i in reversed(range(p)):
+            g = g.withColumn(f"\x00{name}{i}", (F.col(f"\x00f{i}") - add(low(k, i) * F.col(f"\x00{name}{k}") for k in range(i + 1, p))) / low(i, i))
+        g = g.drop(*[f"\x00f{i}" for i in range(p)])
+    solved = g.select(*[F.col(f"`{c}`").alias(f"\x00k{k}") for k, c in enumerate(by)], "n", "collinear", "\x00my", *[f"\x00m{i}" for i in range(p)], *[f"\x00b{i}" for i in range(p)], *[f"\x00i{j}_{i}" for i in range(p) for j in range(p)])
+    same = F.lit(True)
+    for k, c in enumerate(by):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"\x00k{k}"))
+    centred = lambda i: F.col(f"\x00x{i}") - F.col(f"\x00m{i}")
+    residual = F.col("\x00y") - F.col("\x00my") - add(F.col(f"\x00b{i}") * centred(i) for i in range(p))
+    keys = [f"\x00k{k}" for k in range(len(by))]
+    once = [c for c in solved.columns if c not in keys]
+    meat = known.join(solved, same).withColumn("\x00e", residual).groupBy(*keys).agg(*[F.any_value(c).alias(c) for c in once], *[F.sum(F.col("\x00e") * F.col("\x00e") * centred(i) * centred(j)).alias(f"\x00q{i}_{j}") for i, j in pairs])
+    q = lambda i, j: F.col(f"\x00q{max(i, j)}_{min(i, j)}")
+    inverse = lambda i, j: F.col(f"\x00i{j}_{i}")
+    se = lambda i: F.sqrt(add(inverse(i, j) * q(j, k) * inverse(i, k) for j in range(p) for k in range(p)) * F.col("n") / (F.col("n") - p - 1))
+    intercept = F.col("\x00my") - add(F.col(f"\x00b{i}") * F.col(f"\x00m{i}") for i in range(p))
+    terms = [F.struct(F.lit("const").alias("term"), intercept.alias("coef"), F.lit(None).cast("double").alias("se"))]
+    terms += [F.struct(F.lit(x).alias("term"), F.col(f"\x00b{i}").alias("coef"), F.when(~F.col("collinear"), se(i)).alias("se")) for i, x in enumerate(xs)]
+    return meat.select(*[F.col(f"\x00k{k}").alias(c) for k, c in enumerate(by)], F.explode(F.array(*terms)).alias("t"), "n", "collinear").select(*by, "t.term", "t.coef", "t.se", "n", "collinear")
+
+
+def _slope(n: Column, sx: Column, sy: Column, sxy: Column, sxx: Column) -> Column:
+    return F.try_divide(n * sxy - sx * sy, n * sxx - sx * sx)
+
+
+def placebo_test(events: DataFrame, days: DataFrame, replicates: int = 200, seed: int = 1, id_col: str = "doc_id", x: str = "tone_change", day_col: str = "day", y: str = "ret") -> DataFrame:
+    """One row (n, slope, p_value, low, high): the slope of the days' y on the events' x, and where it lies among slopes at placebo days.
+
+    ``events`` has id, day and x. In each replicate every event is given a day drawn by a digest of seed, id and replicate, as good as at random
+    and the same in each run; all replicates are one plan (events times replicates, joined with the numbered days, summed by
+    replicate). p is the share of replicates whose slope is as far from 0, the event days' own counted in; low and high are the 2.5 and
+    97.5 per cent points of the placebo slopes. Events without x or without their day's y are left out.
+    """
+    known = days.where(F.col(y).isNotNull()).select(F.col(day_col).alias("\x00day"), F.col(y).cast("double").alias("\x00y"))
+    numbered = scan(known, ["\x00day"], {"\x00no": ("row_number", None), "\x00of": ("total", None)})
+    own = events.where(F.col(x).isNotNull()).select(F.col(id_col).alias("\x00id"), F.col(day_col).alias("\x00at"), F.col(x).cast("double").alias("\x00x"))
+    sums = [F.count("*").cast("double").alias("n"), *[F.sum(e).alias(a) for a, e in (("sx", F.col("\x00x")), ("sy", F.col("\x00y")), ("sxy", F.col("\x00x") * F.col("\x00y")), ("sxx", F.col("\x00x") * F.col("\x00x")))]]
+    slope = _slope(*[F.col(c) for c in ("n", "sx", "sy", "sxy", "sxx")])
+    used = own.join(numbered, F.col("\x00at") == F.col("\x00day"))
+    actual = used.agg(*sums).select(F.col("n").cast("long").alias("n"), slope.alias("slope")).first()
+    draws = used.select("\x00id", "\x00x", "\x00of", F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("\x00r"))
+    digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("\x00id").cast("string"), F.col("\x00r").cast("string"))), 1, 8), 16, 10).cast("long")
+    draws = draws.withColumn("\x00drawn", digest % F.col("\x00of") + 1)
+    made = draws.join(numbered.select(F.col("\x00no").alias("\x00drawn_no"), "\x00y"), F.col("\x00drawn") == F.col("\x00drawn_no")).groupBy("\x00r").agg(*sums).select(slope.alias("placebo"))
+    own_slope = F.lit(actual["slope"]).cast("double")
+    far = F.count_if(F.abs("placebo") >= F.abs(own_slope))
+    return made.agg(
+        F.lit(actual["n"]).cast("long").alias("n"), own_slope.alias("slope"), F.when(own_slope.isNotNull(), (far + 1) / (F.count("*") + 1)).alias("p_value"),
+        F.percentile("placebo", F.lit(0.025)).alias("low"), F.percentile("placebo", F.lit(0.975)).alias("high"),
+    )

@@ -12,11 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import clean, dates, release, text, urls
+from .functions import clean, dates, rejects, release, text, urls
 from .functions.html import limit_batches, links_udf, paragraphs_udf
-from .functions.lexicon import Lexicon, sentence_label, sentence_score
+from .functions.lexicon import DIRECTIONS, SUBJECTS, Lexicon, sentence_label, sentence_score
 from .operators import metrics, nli, report, sampling, tone
-from .plans import ingest, scoring
+from .plans import ingest, scoring, study
 from .sources import files
 from .sources import pages as store
 from .streaming import changes
@@ -133,15 +133,12 @@ def majority_class(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def choose_scorer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cheapest scorer within the margin, for each region: nations lend their keys as scores of the candidates; some lack one."""
-    n = _t(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("k")).where("k <= 3")
-    name = F.element_at(F.array(*[F.lit(c) for c in metrics.CANDIDATES]), F.col("k"))
-    rows = n.where("NOT (n_regionkey = 4 AND k = 2)").select("n_regionkey", name.alias("scorer"), (0.6 + F.col("n_nationkey") % 7 * 0.02).alias("macro_f1"))
-    out = None
-    for region in range(5):  # a table of three rows each
-        one = metrics.choose(rows.where(F.col("n_regionkey") == region)).select(F.lit(region).alias("n_regionkey"), "primary")
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The cheapest scorer within the margin, for each region: nations lend their keys as scores of the candidates, in turn; one region lacks one."""
+    n = _t(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", F.row_number().over(Window.partitionBy("n_regionkey").orderBy("n_nationkey")).alias("k"))
+    name = F.element_at(F.array(*[F.lit(c) for c in metrics.CANDIDATES]), (F.col("k") - 1) % 3 + 1)
+    rows = n.select("n_regionkey", name.alias("scorer"), (F.col("n_nationkey") % 7 * 2).alias("f")).where("NOT (n_regionkey = 4 AND scorer = 'zs-base')")
+    scores = rows.groupBy("n_regionkey", "scorer").agg(((60 + F.max("f")) / 100).alias("macro_f1"))
+    return metrics.choose(scores, by=["n_regionkey"])
 
 
 def crosstab_year_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -262,13 +259,15 @@ def calendar_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     twice = F.when(F.col("m") == 3, F.concat(panel, panel)).otherwise(panel)
     archive = o.groupBy("y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("m", twice.alias("h")))), lambda x: x["h"]), "").alias("html"))
     archive = archive.select((F.col("y") - 1990).cast("int").alias("ord"), F.col("y").cast("int").alias("year"), F.concat(F.lit("/a/"), F.col("y")).alias("url"), F.lit("archive").alias("kind"), "html")
-    n = _t(spark, sf_dir, "nation").where("n_nationkey < 12").select((F.col("n_nationkey") + 1).alias("m"), (F.col("n_regionkey") + 10).alias("d"))
-    month = F.date_format(F.make_date(F.lit(2021), "m", F.lit(1)), "MMMM")
-    stamp = F.concat(F.lit("2021"), F.lpad("m", 2, "0"), F.col("d") + 1)
+    n = _t(spark, sf_dir, "nation").select((F.floor(F.col("n_nationkey") / 12) + 2021).cast("int").alias("y"), (F.col("n_nationkey") % 12 + 1).alias("m"), (F.col("n_regionkey") + 10).alias("d"))
+    month = F.date_format(F.make_date("y", "m", F.lit(1)), "MMMM")
+    stamp = F.concat(F.col("y"), F.lpad("m", 2, "0"), F.col("d") + 1)
     meeting = F.concat(F.lit('<div class="row fomc-meeting"><div class="fomc-meeting__month">'), month, F.lit('</div><div class="fomc-meeting__date">'), F.col("d"), F.lit("-"), F.col("d") + 1, F.lit('*</div><a href="/newsevents/pressreleases/monetary'), stamp, F.lit('a.htm">HTML</a></div>'))
-    recent = n.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("m", meeting.alias("h")))), lambda x: x["h"]), "").alias("h"))
-    recent = recent.select(F.lit(99).alias("ord"), F.lit(None).cast("int").alias("year"), F.lit("/current").alias("url"), F.lit("recent").alias("kind"), F.concat(F.lit('<div class="panel"><h4><a>2021 FOMC Meetings</a></h4>'), F.col("h"), F.lit("</div>")).alias("html"))
-    return ingest.load_meetings(archive.unionByName(recent), datetime.date(2021, 10, 1)).select("year", "label", "meeting_start", "meeting_end", "event_type", "scheduled", "statement_url", "minutes_url", "minutes_release_date", "source_page")
+    recent = n.groupBy("y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("m", meeting.alias("h")))), lambda x: x["h"]), "").alias("h"))
+    recent = recent.select("y", F.concat(F.lit('<div class="panel"><h4><a>'), F.col("y"), F.lit(" FOMC Meetings</a></h4>"), F.col("h"), F.lit("</div>")).alias("h"))
+    recent = recent.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "h"))), lambda x: x["h"]), "").alias("html"))
+    recent = recent.select(F.lit(99).alias("ord"), F.lit(None).cast("int").alias("year"), F.lit("/current").alias("url"), F.lit("recent").alias("kind"), "html")
+    return ingest.load_meetings(archive.unionByName(recent), datetime.date(2022, 10, 1)).select("year", "label", "meeting_start", "meeting_end", "event_type", "scheduled", "statement_url", "minutes_url", "minutes_release_date", "source_page")
 
 
 def press_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -492,6 +491,87 @@ def event_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("asset", "day", *[F.round(f"ret_{h}", 6).alias(f"ret_{h}") for h in (0, 1, 5)])
 
 
+def tone_change_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score changes from one scheduled document to the next over all documents, in ranges of their ids."""
+    changed = tone.tone_change(_flagged(spark, sf_dir), date_col="doc_id")
+    return changed.select("doc_id", "scheduled", F.round("score", 9).alias("score"), F.round("tone_change", 9).alias("tone_change"))
+
+
+def days_aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first day with a shipment at or after each order's, all days in one scan of ranges."""
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("release_date"))
+    days = _t(spark, sf_dir, "lineitem").where("l_quantity >= 49").select(F.to_date("l_shipdate").alias("day")).distinct()
+    return study.align_to_days(orders, days).select("o_orderkey", "trading_day")
+
+
+def holm_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Step-down adjusted values of all parts as one family; many values are equal."""
+    p = _t(spark, sf_dir, "part").select("p_partkey", ((F.col("p_size") + F.when(F.col("p_partkey") % 3 == 0, 0).otherwise(F.col("p_partkey"))) / 100000).alias("p"))
+    return scoring.holm(p).select("p_partkey", F.round("p_holm", 9).alias("p_holm"))
+
+
+def grouped_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line prices on quantity and discount for every flag and status at once, with robust errors."""
+    rows = _t(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", (F.col("l_extendedprice") / 10000).alias("y"), (F.col("l_quantity") / 10).alias("quantity"), (F.col("l_discount") * 10).alias("discount"))
+    found = study.regressions(rows, "y", ["quantity", "discount"], ["l_returnflag", "l_linestatus"])
+    return found.select("l_returnflag", "l_linestatus", "term", F.round("coef", 6).alias("coef"), F.round("se", 6).alias("se"), "n", "collinear")
+
+
+def placebo_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The slope of orders' mean price by day on purchases' values, among slopes at placebo days."""
+    base = F.lit(datetime.date(1995, 1, 1))
+    events = _t(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", (F.col("value") / 100).alias("x"), F.date_add(base, (F.col("event_id") % 700).cast("int")).alias("day"))
+    days = _t(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg((F.avg("o_totalprice") / 100000).alias("ret"))
+    found = study.placebo_test(events, days, 50, 3, "event_id", "x")
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("slope", "p_value", "low", "high")])
+
+
+def rejected_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries printed for every order, some of them wrong: what can't be read, with its reason, stored beside the rest in one pass."""
+    key, d = F.col("o_orderkey"), F.to_date("o_orderdate")
+    month = F.when(key % 5 == 0, F.lit("Smarch")).otherwise(F.date_format(d, "MMMM"))
+    entries = _t(spark, sf_dir, "orders").select(
+        "o_orderkey", month.alias("month_name"), F.concat(month, F.lit(" "), F.day(d).cast("string")).alias("printed"), F.year(d).alias("year"),
+        F.concat(F.lit("/a/monetary"), F.when(key % 7 == 0, F.lit("20240231")).otherwise(F.date_format(d, "yyyyMMdd")), F.lit("a.htm")).alias("url"), (key % 12 + 1).cast("string").alias("hour"), (key % 70).cast("string").alias("minute"),
+    )
+    checks = {"month": rejects.month_checked(F.col("month_name")), "url_day": rejects.url_day_checked(F.col("url")), "time": rejects.time_checked(F.col("hour"), F.col("minute"), F.lit("p")), "span": rejects.span_checked(F.col("printed"), F.col("year"))}
+    accepted, wrong = rejects.store_judged(spark, rejects.judge(entries, checks), files.new_folder(spark, "entries"))
+    fine = accepted.select("o_orderkey", F.lit("none").alias("column"), F.concat_ws(" ", "month", "url_day", "time", "span.start", "span.end").alias("reason"))
+    return wrong.select("o_orderkey", "column", "reason").unionByName(fine)
+
+
+#: What is printed after a subject and a direction, five words away from both.
+TAILS = (
+    "calm", "firming", "tightening", "a restrictive stance", "reducing the monthly pace of its purchases", "normalization", "an inflation risk", "a wish to ease the stance", "securities purchases", "purchasing additional agency paper",
+    "exceptionally low levels", "an extended period", "considerable time", "a patient approach", "downside risks", "removal of policy accommodation", "an accommodative stance",
+)
+
+
+def vocabulary_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of sentences printed from each subject, direction and phrase of the built-in vocabulary, dealt over the orders."""
+
+    def pick(words, at: Column) -> Column:
+        return F.element_at(F.array(*[F.lit(w) for w in words]), (at % len(words) + 1).cast("int"))
+
+    o = _t(spark, sf_dir, "orders").select(pick(sorted(SUBJECTS), F.col("o_orderkey")).alias("subject"), pick(sorted(DIRECTIONS), F.floor(F.col("o_orderkey") / len(SUBJECTS))).alias("direction"), pick(TAILS, F.col("o_custkey")).alias("tail"))
+    said = o.select("subject", "direction", "tail", sentence_label(F.concat_ws(" ", F.lit("The"), "subject", "direction", F.lit("again this year while other things stayed put with"), "tail")).alias("label"))
+    return said.groupBy("subject", "direction", "tail", "label").agg(F.count("*").alias("n"))
+
+
+def sinks_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document written as JSON lines, CSV and a table, and read back: digests of what came back."""
+    docs = _t(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), F.concat(F.lit("d"), F.col("doc_id")).alias("doc_id"), F.lit("2001-01-01").alias("release_date"), F.col("text").alias("sentence"), F.col("lang").alias("label"), F.lit(None).cast("string").alias("note"))
+    at = files.new_folder(spark, "sinks")
+    store.write_sentences(rows, f"{at}/lines")
+    store.write_predictions(rows.select("id", F.col("label").alias("gold"), "sentence"), f"{at}/csv")
+    store.write_table(rows.select("id", "sentence"), f"{at}/table")
+    lines = store.read_sentences(spark, f"{at}/lines").select("id", "label", "note", F.md5("sentence").alias("lines_md5"))
+    csv = store.read_predictions(spark, f"{at}/csv").select("id", "gold", F.md5(F.coalesce("sentence", F.lit(""))).alias("csv_md5"))
+    table = spark.read.parquet(f"{at}/table").select("id", F.md5("sentence").alias("table_md5"))
+    return lines.join(csv, "id").join(table, "id").select(F.col("id").cast("long").alias("doc_id"), "label", "gold", "note", "lines_md5", "csv_md5", "table_md5")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -499,6 +579,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         choose_scorer, crosstab_year_kind, group_null_keys, statement_rules, minutes_rules, announcement_rules, announcements_cleaned,
         printed_minutes_rules, printed_minutes_cleaned, calendar_meetings, press_releases, ambiguous_times, latch_state, keep_first_event, page_keys, page_lookup, pages_by_role, counted_rules, streamed_changes, html_paragraphs, page_links,
         decoded_bodies, softmax_labels, hypothesis_pairs, resume_anti, union_distinct, date_spans, dates_in_text, release_times, decisions, length_orders, exact_sample, exact_sample_facts,
-        score_by_lang, word_counts, holm_adjusted, event_returns,
+        score_by_lang, word_counts, holm_adjusted, event_returns, tone_change_overall, days_aligned, holm_overall, grouped_regressions, placebo_distribution, rejected_entries, vocabulary_labels,
+        sinks_read_back,
     )
 }

@@ -87,7 +87,12 @@ def write_table(df: DataFrame, path: str) -> None:
 
 def write_predictions(df: DataFrame, path: str) -> None:
     """A CSV table with a header and quoted text."""
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    df.write.mode("overwrite").option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """What ``write_predictions`` wrote, as strings; text may go over lines."""
+    return spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path)
 
 
 def as_json(df: DataFrame) -> DataFrame:
