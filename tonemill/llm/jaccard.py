@@ -40,9 +40,9 @@ FRAGMENTS = 8
 ROWS, SLOTS, PIECES = 2, 1 << 21, 64
 HOT_FROM, HOT_TIMES = 512, 8
 #: Shingles gathered by a worker before they are added to its sketch.
-STRETCH = 2_000_000
+STRETCH = 500_000
 #: Bytes of text that are hashed at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 19
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
