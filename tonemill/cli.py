@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 from datetime import date
 
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .functions.text import scoring_sentences
 from .operators import metrics, sampling
-from .plans import ingest, scoring
+from .plans import evaluation, ingest, scoring
 from .sources import files
 from .sources import pages as store
 
@@ -26,9 +27,11 @@ def build_parser() -> argparse.ArgumentParser:
     p.add_argument("--today", type=date.fromisoformat, default=date.today())
     p = sub.add_parser("score")
     p.add_argument("--validate", help="labelled sentences (JSON lines)")
-    p.add_argument("--candidates", nargs="+", default=list(metrics.CANDIDATES), choices=metrics.CANDIDATES)
+    p.add_argument("--candidates", nargs="+", default=list(metrics.CANDIDATES), choices=[*scoring.scorer_names(), "supervised"], help="scorers to compare; ``supervised`` is evaluated in order of time")
+    p.add_argument("--folds", type=int, default=5, help="folds of the supervised scorer's evaluation")
+    p.add_argument("--scorers", help="a module that adds scorers by name (scoring.register_scorer)")
     p.add_argument("--documents", choices=["statement", "minutes"])
-    p.add_argument("--scorer", choices=metrics.CANDIDATES)
+    p.add_argument("--scorer", choices=scoring.scorer_names())
     p.add_argument("--since", type=date.fromisoformat)
     p = sub.add_parser("check-tone")
     p.add_argument("--scorer", default="zs-large")
@@ -45,6 +48,10 @@ def _report(spark: SparkSession, path: str, value: dict) -> None:
 
 def main(argv: list[str] | None = None) -> None:
     """Run one command."""
+    early = argparse.ArgumentParser(add_help=False)
+    early.add_argument("--scorers")
+    if module := early.parse_known_args(argv)[0].scorers:
+        importlib.import_module(module)  # its names are choices then
     parser = build_parser()
     args = parser.parse_args(argv)
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -61,9 +68,13 @@ def main(argv: list[str] | None = None) -> None:
             table.show(100, False)
         _report(spark, f"{at}/ingest_counts.json", counts)
     elif args.command == "score" and args.validate:
-        found = scoring.validate(store.read_sentences(spark, args.validate).cache(), {n: scoring.scorer(n) for n in args.candidates})
-        store.write_predictions(found[0], f"{at}/validation_predictions")
-        _report(spark, f"{at}/validation_metrics.json", scoring.validation_summary(found, args.candidates))
+        labelled, names = store.read_sentences(spark, args.validate).cache(), [n for n in args.candidates if n != "supervised"]
+        if names:
+            found = scoring.validate(labelled, {n: scoring.scorer(n) for n in names})
+            store.write_predictions(found[0], f"{at}/validation_predictions")
+            _report(spark, f"{at}/validation_metrics.json", scoring.validation_summary(found, names))
+        if "supervised" in args.candidates:
+            _report(spark, f"{at}/supervised_folds.json", {"folds": [r.asDict() for r in evaluation.expanding_folds(labelled, args.folds).collect()]})
     elif args.command == "score" and args.documents and args.scorer:
         documents, name = spark.read.parquet(f"{at}/documents.parquet"), f"{at}/tone_{args.scorer}_{args.documents}"
         if args.scorer == "lexicon":

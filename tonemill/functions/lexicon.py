@@ -76,12 +76,17 @@ def tokens(sentence: Column) -> Column:
 
 def sentence_score(sentence: Column, lexicon: Lexicon = Lexicon()) -> Column:
     """The signed count of one sentence."""
-    low, w = F.lower(sentence), lexicon.window
-    total = F.lit(0)
-    for pattern, sign in lexicon.phrases:
-        total = total + F.when(low.rlike("(?U)" + pattern), sign).otherwise(0)
-    if lexicon.accommodating:
-        total = total + F.when(low.rlike("(?U)" + lexicon.removing), 1).when(low.rlike("(?U)" + lexicon.accommodating), -1).otherwise(0)
+    w = lexicon.window
+    patterns = [p for p, _ in lexicon.phrases] + ([lexicon.removing, lexicon.accommodating] if lexicon.accommodating else [])
+
+    def phrases(low):
+        total = F.lit(0)
+        for pattern, sign in lexicon.phrases:
+            total = total + F.when(low.rlike("(?U)" + pattern), sign).otherwise(0)
+        if lexicon.accommodating:
+            total = total + F.when(low.rlike("(?U)" + lexicon.removing), 1).when(low.rlike("(?U)" + lexicon.accommodating), -1).otherwise(0)
+        # Most sentences have none of the phrases: one pattern says so.
+        return F.when(low.rlike("(?U)" + "|".join(f"(?:{p})" for p in patterns)), total).otherwise(0) if patterns else total
 
     def near_sign(t, i):
         near = F.concat(F.slice(t, F.greatest(F.lit(1), i - w + 1), F.least(i, F.lit(w))), F.slice(t, i + 2, w))
@@ -94,7 +99,7 @@ def sentence_score(sentence: Column, lexicon: Lexicon = Lexicon()) -> Column:
         )
         return F.aggregate(subjects, F.lit(0), lambda a, r: a + r["s"] * near_sign(t, r["i"]))
 
-    return total + let(tokens(sentence), counted)
+    return let(F.lower(sentence), lambda low: phrases(low) + let(F.regexp_extract_all(low, F.lit("[a-z]+"), F.lit(0)), counted))
 
 
 def label(score: Column, labels: tuple[str, str, str] = LABELS) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,11 +40,7 @@ def starts_with_any(text: Column, marks: list[str]) -> Column:
 
 def ends_with_any(text: Column, marks: list[str]) -> Column:
     """Whether the text, white space at its end aside, ends with one of ``marks``."""
-    bare = F.regexp_replace(text, r"(?U)\s+\z", "")
-    out = F.lit(False)
-    for m in marks:
-        out = out | bare.endswith(m)
-    return out
+    return text.rlike(r"(?U)(?:" + "|".join(re.escape(m) for m in marks) + r")\s*\z")
 
 
 def ordered_join(items: Column, sep: str) -> Column:

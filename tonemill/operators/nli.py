@@ -89,3 +89,52 @@ def score_sentences(sentences: DataFrame, load: Callable[[], Model], sentence_co
 
     scored = sentences.mapInPandas(run, schema).withColumn("probs", softmax(F.col("logits"))).drop("logits")
     return scored.withColumn("label", argmax_label(F.col("probs"), tuple(hypotheses)))
+
+
+def batches_within(lengths: list[int], budget: int) -> list[tuple[int, int]]:
+    """(start, end) of batches of ascending lengths: a batch's rows times its longest one stay within ``budget``, one row at least."""
+    out, start = [], 0
+    for end in range(1, len(lengths) + 1):
+        if end == len(lengths) or (end - start + 1) * lengths[end] > budget:
+            out.append((start, end))
+            start = end
+    return out
+
+
+def score_by_length(sentences: DataFrame, load: Callable[[], Model], sentence_col: str = "sentence", hypotheses: dict[str, str] = HYPOTHESES, budget: int = BATCH_SENTENCES * MAX_TOKENS, length: Column | None = None) -> DataFrame:
+    """``score_sentences`` with the whole table in order of length, so that batches hold sentences of like length wherever they came from.
+
+    Rows are dealt into ranges of length (equal lengths by a hash, so that a frequent length fills several tasks), sorted there, and
+    taken in batches whose padded size, rows times the longest, stays within ``budget``. ``length``: tokens of a row (its words and a third,
+    at most MAX_TOKENS, if not given). All columns stay with their rows, so the order is undone by any key they hold.
+    """
+    schema = T.StructType([*sentences.schema.fields, T.StructField("logits", T.ArrayType(T.DoubleType()))])
+    texts, held = list(hypotheses.values()), len(sentences.columns)
+    words = F.size(F.split(F.coalesce(F.col(sentence_col), F.lit("")), r"\s+"))
+    tokens = F.least(F.lit(MAX_TOKENS), (F.ceil(words * 4 / 3) if length is None else length).cast("int"))
+    ordered = sentences.withColumn("\x00tokens", F.coalesce(tokens, F.lit(1))).repartitionByRange("\x00tokens", F.xxhash64(sentence_col)).sortWithinPartitions("\x00tokens")
+
+    def run(frames):
+        model, waiting = load(), None
+
+        def scored(frame):
+            lengths = frame.iloc[:, held].tolist()
+            logits: list = []
+            for start, end in batches_within(lengths, budget):
+                premises = [s or "" for s in frame[sentence_col].iloc[start:end] for _ in texts]
+                values = model(premises, texts * (end - start))
+                logits += [[float(v) for v in values[k * len(texts) : (k + 1) * len(texts)]] for k in range(end - start)]
+            return frame.iloc[:, :held].assign(logits=pd.Series(logits, index=frame.index, dtype=object))
+
+        for frame in frames:
+            # The last batch of a frame may go on in the next.
+            waiting = frame if waiting is None else pd.concat([waiting, frame], ignore_index=True)
+            last = batches_within(waiting.iloc[:, held].tolist(), budget)[-1][0] if len(waiting) else 0
+            if last:
+                yield scored(waiting.iloc[:last])
+                waiting = waiting.iloc[last:].reset_index(drop=True)
+        if waiting is not None and len(waiting):
+            yield scored(waiting)
+
+    scored = ordered.mapInPandas(run, schema).withColumn("probs", softmax(F.col("logits"))).drop("logits")
+    return scored.withColumn("label", argmax_label(F.col("probs"), tuple(hypotheses)))

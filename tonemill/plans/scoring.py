@@ -43,7 +43,7 @@ def scorer(name: str, load_model: Callable[[str], Callable[[], nli.Model]] | Non
         label: Callable[[Column], Column] = tone.lexicon_scorer(lexicon)
         return lambda sentences: sentences.withColumn("label", label(F.col("sentence")))
     load = load_model(name) if load_model else (lambda: nli.load_transformer(name))
-    return lambda sentences: nli.score_sentences(sentences, load)
+    return lambda sentences: nli.score_by_length(sentences, load)
 
 
 def validate(labelled: DataFrame, scorers: dict[str, TableScorer]) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
