@@ -225,7 +225,7 @@ def test_lexer_time_grows_with_the_text():
         "auth, ", "auth,  ", "a,auth", "<auth><![CDATA[", "<auth><![CDATA[x]]>", "<auth x ", "auth { get; ", "auth: A<", "auth: A<B<C", "x=f(", "auth=[", 'auth = ["a", ', "auth ? ", 'auth = a ? "b" : ', "auth = a if ", '"--auth", ', 'auth="a"\n+ ', "://a:", "auth:\n- x\n", 'set_auth("',
         "auth string ", 'auth = (("a"', 'x = "auth=1;" ', 'auth = a.b["c"] || ', "auth = a::b->", 'auth="a".b(', "$h{auth} = ", "auth[] = ", "--auth ", "ENV auth x\n", 'auth == "a" ', "auth = f\"{a}\" + "):
         took = []
-        for n in (10_000, 40_000):
+        for n in (5_000, 20_000):
             start = time.process_time()
             secrets.scan(odd * n)
             took.append(time.process_time() - start)
@@ -339,7 +339,11 @@ def test_licence_scan_against_every_window():
         text = " ".join(words)
         want = plain_scan(text, templates, 0.8)
         seen += len(want)
-        assert made.scan(text) == want or not want, (text, made.scan(text), want)
+        got = made.scan(text)
+        if not want:  # then the whole text may match
+            whole = made.best(text)
+            want = [(0, len(text), whole[1], round(whole[0], 6))] if whole else []
+        assert got == want, (text, got, want)
     assert seen > 300
     # Equal coefficients: the first template by name.
     assert made.best("use it for any purpose")[1] == "tie-a" and licences.Scanner({"b": "one two", "a": "two one two"}, 0.6).best("one two")[1] == "b"
