@@ -78,3 +78,21 @@ def test_links_and_calendars():
     assert [(e["label"], e["links"]) for e in found] == [("January 30-31 Meeting - 2001", [("/fomc/20010131default.htm", "Statement")])]
     recent = '<div class="panel"><h4>2025 FOMC Meetings</h4><div class="row fomc-meeting"><div class="fomc-meeting__month">Apr/May</div><div class="fomc-meeting__date">30-1</div><a href="/m.htm">x</a></div><div class="fomc-meeting">broken</div></div>'
     assert [(e["year"], e["month"], e["dates"], e["label"]) for e in recent_entries(recent, SITE)] == [(2025, "Apr/May", "30-1", "Apr/May 30-1")]
+
+
+def test_functions_in_sql(spark):
+    from tonemill.functions import dates, html, sql
+
+    sql.register(spark)
+    sql.register(spark)  # again: replaced
+    labels = ["March 2 (unscheduled) Meeting", "Cancelled", "notation vote of May", "Conference Call", None, "January 30-31 Meeting"]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(labels)], "i int, v string")
+    want = df.select("i", dates.classify_event(F.col("v")).alias("k"), dates.month_number(F.col("v")).alias("m"), dates.date_in_url(F.concat(F.lit("/a/2001013"), "i")).alias("d"))
+    assert spark.sql("SELECT i, event_kind(v) AS k, month_number(v) AS m, url_day('/a/2001013' || i) AS d FROM {df}", df=df).collect() == want.collect()
+    page = '<div class="panel"><h5>January 30-31 Meeting - 2001</h5><a href="/fomc/a.htm">Statement</a></div><p>One<p>Two'
+    pages = spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, html string")
+    found = spark.sql("SELECT id, e.* FROM {pages}, LATERAL calendar_entries(html, 'archive', 'x.gov') AS e", pages=pages).collect()
+    entry = html.archive_entries(page, "x.gov")[0]
+    assert [(r.id, r.at, r.label, [tuple(x) for x in r.links], r.text) for r in found] == [(1, 0, entry["label"], entry["links"], entry["text"])]
+    said = spark.sql("SELECT id, p.paragraph FROM {pages}, LATERAL page_paragraphs(html) AS p ORDER BY p.i", pages=pages).collect()
+    assert [r.paragraph for r in said if r.id == 1] == list(html.html_to_paragraphs(page, True))

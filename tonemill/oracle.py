@@ -226,6 +226,11 @@ ORACLE_SQL: dict[str, str] = {
             (make_date(y, m, 26) + 21)::DATE AS minutes_release_date, '/a/' || y AS source_page FROM a
         UNION ALL SELECT y, monthname(make_date(y, m, 1)) || ' ' || d || '-' || (d + 1) || '*', make_date(y, m, d), make_date(y, m, d + 1), 'scheduled', true,
             '/newsevents/pressreleases/monetary' || strftime(make_date(y, m, d + 1), '%Y%m%d') || 'a.htm', NULL, NULL, '/current' FROM r WHERE make_date(y, m, d + 1) <= DATE '2022-10-01'""",
+    "calendar_in_sql": """WITH o AS (SELECT DISTINCT year(o_orderdate)::INT AS y, month(o_orderdate) AS m FROM orders), a AS (SELECT y, m, unnest(CASE WHEN m = 3 THEN [1, 2] ELSE [1] END) AS twice, monthname(make_date(y, m, 1)) AS name FROM o),
+        r AS (SELECT 2021 + n_nationkey // 12 AS y, n_nationkey % 12 + 1 AS m, n_regionkey + 10 AS d FROM nation)
+        SELECT '/a/' || y AS source_page, (row_number() OVER (PARTITION BY y ORDER BY m, twice) - 1)::INT AS at, name || CASE WHEN m % 5 = 0 THEN ' 26 (unscheduled) Meeting - ' WHEN m = 6 THEN ' 26 Conference Call - ' ELSE ' 25-26 Meeting - ' END || y AS label,
+            CASE WHEN m % 5 = 0 THEN 'unscheduled' WHEN m = 6 THEN 'conference_call' ELSE 'scheduled' END AS event_type, m::INT AS month, 2 AS n_links FROM a
+        UNION ALL SELECT '/current', (row_number() OVER (ORDER BY y, m) - 1)::INT, monthname(make_date(y, m, 1)) || ' ' || d || '-' || (d + 1) || '*', 'scheduled', m::INT, 1 FROM r""",
     "press_releases": """WITH d AS (SELECT DISTINCT o_orderdate::DATE AS day FROM orders), l AS (SELECT day, CASE WHEN month(day) % 2 = 0 THEN least(dayofyear(day) % 6, 2) ELSE dayofyear(day) % 6 END AS n FROM d),
         h AS (SELECT day, CASE WHEN day(day) % 4 < n THEN day(day) % 4 WHEN n = 5 THEN 4 END AS k FROM l)
         SELECT day AS release_day, '/newsevents/pressreleases/monetary' || strftime(day, '%Y%m%d') || substr('abcde', k + 1, 1) || '.htm' AS press_url, CASE WHEN k IS NOT NULL THEN 840 END AS minutes_after_midnight,

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions import clean, dates, rejects, release, text, urls
+from .functions import clean, dates, rejects, release, sql, text, urls
 from .functions.html import limit_batches, links_udf, paragraphs_udf
 from .functions.lexicon import DIRECTIONS, SUBJECTS, Lexicon, sentence_label, sentence_score
 from .operators import metrics, nli, report, sampling, tone
@@ -248,8 +248,8 @@ def printed_minutes_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("o_orderkey", F.md5(text.ordered_join(F.col("c.kept"), "\n\n")).alias("clean_md5"), F.size("c.kept").alias("n_kept"))
 
 
-def calendar_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Meetings read from calendar pages: an archive page printed for each year of orders, a current page for the nations."""
+def _calendars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(ord, year, url, kind, html): an archive page printed for each year of orders, a current page for the nations."""
     o = _t(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("y"), F.month("o_orderdate").alias("m")).distinct()
     name = F.date_format(F.make_date("y", "m", F.lit(1)), "MMMM")
     stamp = F.concat(F.col("y"), F.lpad("m", 2, "0"), F.lit("26"))
@@ -267,7 +267,22 @@ def calendar_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
     recent = recent.select("y", F.concat(F.lit('<div class="panel"><h4><a>'), F.col("y"), F.lit(" FOMC Meetings</a></h4>"), F.col("h"), F.lit("</div>")).alias("h"))
     recent = recent.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("y", "h"))), lambda x: x["h"]), "").alias("html"))
     recent = recent.select(F.lit(99).alias("ord"), F.lit(None).cast("int").alias("year"), F.lit("/current").alias("url"), F.lit("recent").alias("kind"), "html")
-    return ingest.load_meetings(archive.unionByName(recent), datetime.date(2022, 10, 1)).select("year", "label", "meeting_start", "meeting_end", "event_type", "scheduled", "statement_url", "minutes_url", "minutes_release_date", "source_page")
+    return archive.unionByName(recent)
+
+
+def calendar_meetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Meetings read from calendar pages: an archive page printed for each year of orders, a current page for the nations."""
+    return ingest.load_meetings(_calendars(spark, sf_dir), datetime.date(2022, 10, 1)).select("year", "label", "meeting_start", "meeting_end", "event_type", "scheduled", "statement_url", "minutes_url", "minutes_release_date", "source_page")
+
+
+def calendar_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entries of the same calendar pages, read in SQL alone: a table function joined laterally, and the engine's functions."""
+    sql.register(spark)
+    return spark.sql(
+        """SELECT c.url AS source_page, e.at, e.label, event_kind(e.label) AS event_type, month_number(e.label) AS month, size(e.links) AS n_links
+        FROM {calendars} AS c, LATERAL calendar_entries(c.html, c.kind, 'www.federalreserve.gov') AS e""",
+        calendars=_calendars(spark, sf_dir),
+    )
 
 
 def press_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -577,7 +592,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         doc_tone, default_lexicon_labels, resumed_scores, tone_change_by_source, change_correlation, sentences_long, clean_split, confusion_matrix, agreement_metrics, majority_class,
         choose_scorer, crosstab_year_kind, group_null_keys, statement_rules, minutes_rules, announcement_rules, announcements_cleaned,
-        printed_minutes_rules, printed_minutes_cleaned, calendar_meetings, press_releases, ambiguous_times, latch_state, keep_first_event, page_keys, page_lookup, pages_by_role, counted_rules, streamed_changes, html_paragraphs, page_links,
+        printed_minutes_rules, printed_minutes_cleaned, calendar_meetings, calendar_in_sql, press_releases, ambiguous_times, latch_state, keep_first_event, page_keys, page_lookup, pages_by_role, counted_rules, streamed_changes, html_paragraphs, page_links,
         decoded_bodies, softmax_labels, hypothesis_pairs, resume_anti, union_distinct, date_spans, dates_in_text, release_times, decisions, length_orders, exact_sample, exact_sample_facts,
         score_by_lang, word_counts, holm_adjusted, event_returns, tone_change_overall, days_aligned, holm_overall, grouped_regressions, placebo_distribution, rejected_entries, vocabulary_labels,
         sinks_read_back,
