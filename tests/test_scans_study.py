@@ -58,6 +58,33 @@ def test_ranges_hold_alike_many_rows(spark):
     assert len(sizes) == 8 and max(sizes) < 2.5 * 2000 / 8
 
 
+def test_a_sample_of_few_values_holds_them_all(spark):
+    from tonemill.operators.scan import range_of
+
+    df = spark.range(4000).select(F.expr("CAST(id % 40 AS INT)").alias("day"))  # each value a hundred times
+    sizes = [r["count"] for r in df.groupBy(range_of(df, ["day"], 8).alias("r")).count().collect()]
+    assert len(sizes) >= 6 and max(sizes) < 2.5 * 4000 / 8
+
+
+@pytest.mark.parametrize("by", [[], ["k"]])
+def test_days_are_aligned_once_a_date(spark, by):
+    events = spark.createDataFrame([(i, "ab"[i % 2], None if i % 10 == 9 else D(2001, 1, 1 + i % 7)) for i in range(300)], "id int, k string, release_date date")
+    days = spark.createDataFrame([(k, D(2001, 1, d)) for k, d in (("a", 3), ("a", 3), ("a", 5), ("b", 1), ("b", 6), ("c", 7))], "k string, day date")
+    out, known = study.align_to_days(events, days if by else days.drop("k"), by=by), days.collect()
+    for r in out.collect():
+        own = sorted(d for k, d in known if (not by or k == r.k) and r.release_date and d >= r.release_date)
+        assert r.trading_day == (own[0] if own else None), r
+    assert out.columns == ["id", "k", "release_date", "trading_day"] and out.count() == 300
+
+
+def test_no_frame_ends_with_its_partition(spark):
+    # Spark computes such a frame anew for each row.
+    df = spark.createDataFrame(scan_rows(2, 50), ROWS)
+    events, days = df.select("id", "k", F.col("day").alias("release_date")), df.select("k", "day").where("day IS NOT NULL")
+    for made in (lambda: scan(df, ["day", "id"], {"c": ("next", "v")}, ["k"], 3), lambda: study.align_to_days(events, days, by=["k"])):
+        assert "unboundedfollowing" not in made()._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
 def test_grouped_regressions_equal_the_driver_ones(spark):
     rng = np.random.default_rng(2)
     rows = []

@@ -1,6 +1,6 @@
 """Ordered scans whose rows needn't meet in one task: lag, running maximum, row number, next value.
 
-Rows are dealt into ranges of their order (bounds from a sample of the order's values: at most SAMPLED a range, whatever the table), each
+Rows are dealt into ranges of their order (bounds from a sample of the rows: at most SAMPLED a range, whatever the table), each
 range is scanned by a window of its own, and one carried row a range (its count, last value, greatest value, first value) is
 scanned once more, by key or, without keys, on the driver, which holds a row a range then. A key with a third of all rows is dealt over
 ranges like the rest. Where the bounds lie changes the work, never the result. The ranges' windows are written to the shared folder
@@ -22,9 +22,10 @@ KINDS = ("lag", "running_max", "row_number", "next", "total")
 
 
 def _bounds(df: DataFrame, order: list[str], parts: int) -> list:
-    """Order values between ranges: every SAMPLED-th of a sample by hash, which is the same however the rows are dealt."""
+    """Order values between ranges: every SAMPLED-th of a sample. Rows are drawn, not values: by a hash of their values equal rows would be
+    drawn together, and the sample of a table with few values would be one of them."""
     values = df.select(*order)
-    some = values.orderBy(F.xxhash64(F.lit(7), *order)).limit(parts * SAMPLED).orderBy(*order).collect()
+    some = values.orderBy(F.rand(7)).limit(parts * SAMPLED).orderBy(*order).collect()
     return list(dict.fromkeys(some[SAMPLED::SAMPLED]))
 
 
@@ -50,8 +51,9 @@ def _carried(spark: SparkSession, ranges: DataFrame, wanted: dict[str, tuple[str
     """For each range what comes before it (after it, for the next value)."""
     if by:
         earlier = Window.partitionBy(*by).orderBy("\x00scan-range")
-        before, after = earlier.rowsBetween(Window.unboundedPreceding, -1), earlier.rowsBetween(1, Window.unboundedFollowing)
-        out = {"lag": lambda c: F.lag(c).over(earlier), "running_max": lambda c: F.max(c).over(before), "next": lambda c: F.first(c, ignorenulls=True).over(after)}
+        before = earlier.rowsBetween(Window.unboundedPreceding, -1)
+        after = Window.partitionBy(*by).orderBy(F.desc("\x00scan-range")).rowsBetween(Window.unboundedPreceding, -1)
+        out = {"lag": lambda c: F.lag(c).over(earlier), "running_max": lambda c: F.max(c).over(before), "next": lambda c: F.last(c, ignorenulls=True).over(after)}
         columns = [out[kind](f"\x00scan-s-{n}").alias(f"\x00scan-c-{n}") for n, (kind, _) in wanted.items() if kind in out]
         return ranges.select(*by, "\x00scan-range", F.coalesce(F.sum("\x00scan-n").over(before), F.lit(0)).alias("\x00scan-before"), F.sum("\x00scan-n").over(Window.partitionBy(*by)).alias("\x00scan-all"), *columns)
     rows = ranges.orderBy("\x00scan-range").collect()  # one a range
@@ -78,11 +80,14 @@ def scan(df: DataFrame, order: list[str], wanted: dict[str, tuple[str, str | Non
     by, spark = by or [], df.sparkSession
     parts = parts or max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     own = Window.partitionBy(*by, "\x00scan-range").orderBy(*order)
-    local = {"lag": lambda v: F.lag(v).over(own), "running_max": lambda v: F.max(v).over(own.rowsBetween(Window.unboundedPreceding, 0)), "next": lambda v: F.first(v, ignorenulls=True).over(own.rowsBetween(0, Window.unboundedFollowing))}
+    # What follows is read from the end: Spark computes a frame that ends with the partition anew for each row.
+    back = Window.partitionBy(*by, "\x00scan-range").orderBy(F.desc("\x00scan-at")).rowsBetween(Window.unboundedPreceding, 0)
+    local = {"lag": lambda v: F.lag(v).over(own), "running_max": lambda v: F.max(v).over(own.rowsBetween(Window.unboundedPreceding, 0)), "next": lambda v: F.last(v, ignorenulls=True).over(back)}
     if unknown := {kind for kind, _ in wanted.values()} - set(KINDS):
         raise ValueError(f"unknown kinds: {sorted(unknown)}")
     dealt = df.withColumn("\x00scan-range", range_of(df, order, parts).cast("int"))
-    scanned = dealt.select("*", F.row_number().over(own).alias("\x00scan-at"), *[local[kind](v).alias(f"\x00scan-l-{n}") for n, (kind, v) in wanted.items() if kind in local])
+    scanned = dealt.select("*", F.row_number().over(own).alias("\x00scan-at"), *[local[kind](v).alias(f"\x00scan-l-{n}") for n, (kind, v) in wanted.items() if kind in ("lag", "running_max")])
+    scanned = scanned.select("*", *[local[kind](v).alias(f"\x00scan-l-{n}") for n, (kind, v) in wanted.items() if kind == "next"])
     path = files.new_folder(spark, "scan")
     scanned.write.parquet(path)
     scanned = spark.read.schema(scanned.schema).parquet(path)

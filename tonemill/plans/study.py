@@ -13,17 +13,23 @@ __all__ = ["align_to_days", "bootstrap_slopes", "event_returns", "holm", "ols_hc
 
 
 def align_to_days(events: DataFrame, days: DataFrame, date_col: str = "release_date", day_col: str = "day", by: list[str] | None = None) -> DataFrame:
-    """``events`` with ``trading_day``: the first day at or after the event (as-of, forward). One scan of both sides together (in ranges, where there is no key); no range join."""
+    """``events`` with ``trading_day``: the first day at or after the event (as-of, forward), null for an event without a date. One row a date of
+    either side is scanned (in ranges, where there is no key) and the events look their dates up; no range join."""
     by = by or []
-    left = events.select("*", F.col(date_col).alias("\x00at"), F.lit(None).cast(days.schema[day_col].dataType).alias("\x00day"), F.lit(0).alias("\x00side"))
-    right = days.select(*by, F.col(day_col).alias("\x00at"), F.col(day_col).alias("\x00day"), F.lit(1).alias("\x00side")).distinct()
-    both = left.unionByName(right, allowMissingColumns=True)
+    asked = events.select(*by, F.col(date_col).alias("\x00at"), F.lit(None).cast(days.schema[day_col].dataType).alias("\x00day"))
+    dates = asked.unionByName(days.select(*by, F.col(day_col).alias("\x00at"), F.col(day_col).alias("\x00day"))).where(F.col("\x00at").isNotNull())
+    dates = dates.groupBy(*by, "\x00at").agg(F.max("\x00day").alias("\x00day"))
     if not by:
-        both = scan(both, ["\x00at", "\x00side"], {"trading_day": ("next", "\x00day")})
+        dates = scan(dates, ["\x00at"], {"\x00next": ("next", "\x00day")})
     else:
-        order = Window.partitionBy(*by).orderBy("\x00at", "\x00side").rowsBetween(0, Window.unboundedFollowing)
-        both = both.withColumn("trading_day", F.first("\x00day", ignorenulls=True).over(order))
-    return both.where("`\x00side` = 0").drop("\x00at", "\x00day", "\x00side")
+        # From the end: Spark computes a frame that ends with the partition anew for each row.
+        later = Window.partitionBy(*by).orderBy(F.desc("\x00at")).rowsBetween(Window.unboundedPreceding, 0)
+        dates = dates.withColumn("\x00next", F.last("\x00day", ignorenulls=True).over(later))
+    found = dates.select(*[F.col(f"`{c}`").alias(f"\x00by{i}") for i, c in enumerate(by)], "\x00at", "\x00next")
+    same = F.col(f"`{date_col}`") == F.col("\x00at")
+    for i, c in enumerate(by):
+        same = same & F.col(f"`{c}`").eqNullSafe(F.col(f"\x00by{i}"))
+    return events.join(found, same, "left").select(*[F.col(f"`{c}`") for c in events.columns], F.col("\x00next").alias("trading_day"))
 
 
 def ols_hc1(df: DataFrame, y: str, xs: list[str]) -> list[dict]:
