@@ -162,6 +162,17 @@ def test_words_are_forgotten_within_bounds(monkeypatch):
         assert sum(len(w) > fertility.MEMO_BYTES for w in v.memo) <= 15 and len(v.memo) <= 35
 
 
+def test_each_distinct_word_of_a_text_is_measured_once(monkeypatch):
+    v = fertility.Vocabularies(*VOCABULARIES)
+    words = [w.encode() for w in "der Hund läuft über der Straße der Stadt 42 мир , мир".split()]
+    got, asked = v.measures(words, 40), []
+    monkeypatch.setattr(fertility, "script", lambda w: asked.append(w) or "")
+    monkeypatch.setattr(v, "bytes", None)  # nothing is tokenised again
+    assert v.measures(words * 3, 120)[3:] == pytest.approx(got[3:]) and asked == []
+    number = v.numbered(words)
+    assert len(number[0]) == 9 and sorted(number[2].tolist()) == [1] * 7 + [2, 3] and fertility.repeated_numbers(number[1], 9, 1) == 5
+
+
 # Operator 12
 
 

@@ -23,8 +23,7 @@ from __future__ import annotations
 
 import base64
 import unicodedata
-from collections import Counter
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +41,8 @@ FEWEST_WORDS, WINDOW, MOST_REPEATED = 10, 5, 20
 MEASURES = {"chars_per_piece": (0.01, 0.06, 1.1), "fallback_share": (0.001, 0.01, 0.1), "entropy": (0.01, 0.15, 2.5), "chars_per_byte_token": (0.01, 0.06, 1.1)}
 #: Quartile ranges that a band reaches beyond its quartiles, and texts that a band needs.
 FENCE, LEAST = 3.0, 50
-#: Words remembered by a worker, and the longest that is.
-MEMO_WORDS, MEMO_BYTES = 200_000, 64
+#: Words remembered by a worker, the longest that is, and first letters whose script is remembered.
+MEMO_WORDS, MEMO_BYTES, MEMO_LETTERS = 400_000, 64, 10_000
 
 
 def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
@@ -52,11 +51,16 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     if n <= window:
         return 0
     number: dict[bytes, int] = {}
-    key = np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=n)
-    if len(number) == n:
+    return repeated_numbers(np.fromiter((number.setdefault(w, len(number)) for w in words), dtype=np.int64, count=n), len(number), window)
+
+
+def repeated_numbers(word: np.ndarray, base: int, window: int = WINDOW) -> int:
+    """``repeated_words`` of words as numbers below ``base``, which all occur."""
+    n = len(word)
+    if n <= window or base == n:
         return 0
     # Windows as numbers: word by word, renumbered from 0 while the next word could overflow, so never two windows under one number.
-    word, base, most = key, len(number), len(number)
+    key, most = word, base
     for k in range(1, window):
         if most * base >= 1 << 62:
             key = np.unique(key, return_inverse=True)[1]
@@ -71,13 +75,13 @@ def repeated_words(words: list[bytes], window: int = WINDOW) -> int:
     return int(hit.sum())
 
 
-def base_counts(raw: bytes, words: list[bytes]) -> tuple[int, int, int, int, int]:
-    """Words, characters in words, symbols, repeated lines and words in repeated windows of a UTF-8 text."""
+def base_counts(raw: bytes, words: list[bytes], repeated: int | None = None) -> tuple[int, int, int, int, int]:
+    """Words, characters in words, symbols, repeated lines and words in repeated windows (counted here if not given) of a UTF-8 text."""
     spaces = len(raw) - len(raw.translate(None, SPACES))
     continuing = int(np.count_nonzero((np.frombuffer(raw, dtype=np.uint8) & 0xC0) == 0x80))
     chars = len(raw) - continuing - spaces
     lines = [line for line in raw.split(b"\n") if line.strip()]
-    return len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words)
+    return len(words), chars, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeated_words(words) if repeated is None else repeated
 
 
 def script(word: str) -> str:
@@ -87,49 +91,88 @@ def script(word: str) -> str:
 
 
 class Vocabularies:
-    """Both tokenisers, and what they made of the words seen."""
+    """Both tokenisers, and what they made of the words seen.
+
+    A word is remembered as a number; its pieces, its byte-level tokens' number and its script stand in flat arrays, so a text is measured
+    by lookups of its distinct words.
+    """
 
     def __init__(self, pieces_path: str, ranks_path: str, pattern: str):
         import sentencepiece
         import tiktoken
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_file=pieces_path)
-        self.fallback = {i for i in range(self.pieces.get_piece_size()) if self.pieces.is_byte(i) or self.pieces.is_unknown(i)}
+        self.fallback = np.array([self.pieces.is_byte(i) or self.pieces.is_unknown(i) for i in range(self.pieces.get_piece_size())])
         with open(ranks_path, "rb") as file:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.bytes = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.ids = list(range(self.pieces.get_piece_size()))  # one object for each id
-        self.memo: dict[bytes, tuple[tuple[int, ...], int, str]] = {}
+        self.names = {"": 0}
+        self.letters: dict[str, int] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        # Numbers of words; where their pieces end, the pieces, numbers of byte-level tokens, scripts.
+        self.memo: dict[bytes, int] = {}
+        self.ends, self.flat, self.tokens, self.scripts = array("q", [0]), array("i"), array("i"), array("i")
         self.long: list[bytes] = []
 
-    def known(self, words: set[bytes]) -> dict[bytes, tuple[tuple[int, ...], int, str]]:
-        """(pieces, number of byte-level tokens, script) of at least these words; a word begins with a space, as in running text."""
-        for word in self.long:
-            del self.memo[word]
-        new = [w for w in words if w not in self.memo]
-        self.long = [w for w in new if len(w) > MEMO_BYTES]
+    def _script(self, word: str) -> int:
+        first = word[:1]
+        found = self.letters.get(first)
+        if found is None:
+            found = self.names.setdefault(script(word), len(self.names))
+            if first.isalpha() and len(self.letters) < MEMO_LETTERS:
+                self.letters[first] = found
+        return found
+
+    def known(self, words: set[bytes]) -> dict[bytes, int]:
+        """Numbers of at least these words; a word begins with a space, as in running text."""
+        if self.long:  # the last ones
+            for word in self.long:
+                del self.memo[word]
+            n = len(self.memo)
+            del self.flat[self.ends[n] :], self.ends[n + 1 :], self.tokens[n:], self.scripts[n:]
+            self.long = []
+        new = words.difference(self.memo)
         if new:
-            if len(self.memo) + len(new) > MEMO_WORDS:
-                self.memo = {w: self.memo[w] for w in words if w in self.memo}
+            if self.memo and len(self.memo) + len(new) > MEMO_WORDS:
+                self._forget()
+                new = words
+            self.long = [w for w in new if len(w) > MEMO_BYTES]
+            new = [w for w in new if len(w) <= MEMO_BYTES] + self.long
             texts = [w.decode("utf-8", "replace") for w in new]
-            for word, text, ids in zip(new, texts, self.pieces.encode(texts, num_threads=1), strict=True):
-                self.memo[word] = tuple([self.ids[i] for i in ids]), len(self.bytes.encode_ordinary(" " + text)), script(text)
+            flat, ends, tokens, scripts, encode = self.flat, self.ends, self.tokens, self.scripts, self.bytes.encode_ordinary
+            for ids in self.pieces.encode(texts, num_threads=1):
+                flat.extend(ids)
+                ends.append(len(flat))
+            tokens.extend([len(encode(" " + t)) for t in texts])
+            scripts.extend(map(self._script, texts))
+            self.memo.update(zip(new, range(len(self.memo), len(self.memo) + len(new)), strict=True))
         return self.memo
 
-    def measures(self, words: list[bytes], chars: int) -> tuple:
+    def numbered(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of a text's distinct words; for each word its place among those; how often each occurs."""
+        known = self.known(set(words))
+        return np.unique(np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)), return_inverse=True, return_counts=True)
+
+    def measures(self, words: list[bytes], chars: int, numbered: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None) -> tuple:
         """Number of pieces, the four measures and the commonest script; nulls without words."""
         if not words:
             return 0, None, None, None, None, None
-        known = self.known(set(words))
-        got = [known[w] for w in words]
-        pieces = Counter(chain.from_iterable([g[0] for g in got]))
-        n, tokens = pieces.total(), sum([g[1] for g in got])
-        scripts = Counter([g[2] for g in got])
-        scripts.pop("", None)
-        share = np.fromiter(pieces.values(), dtype=np.float64, count=len(pieces)) / max(n, 1)
+        distinct, _, often = numbered or self.numbered(words)
+        ends = np.frombuffer(self.ends, dtype=np.int64)
+        start, size = ends[distinct], ends[distinct + 1] - ends[distinct]
+        before = np.cumsum(size) - size
+        pieces = np.frombuffer(self.flat, dtype=np.int32)[np.repeat(start - before, size) + np.arange(int(size.sum()))]
+        found, at = np.unique(pieces, return_inverse=True)
+        count = np.bincount(at, np.repeat(often, size), len(found))
+        n, tokens = int(count.sum()), int(np.frombuffer(self.tokens, dtype=np.int32)[distinct] @ often)
+        scripts = np.bincount(np.frombuffer(self.scripts, dtype=np.int32)[distinct], often, len(self.names))
+        scripts[0] = 0
+        commonest = min(s for s, k in self.names.items() if scripts[k] == scripts.max()) if scripts.any() else ""
+        share = count / max(n, 1)
         entropy = float(-(share * np.log2(share)).sum()) + 0.0
-        commonest = min(scripts, key=lambda s: (-scripts[s], s)) if scripts else ""
-        return n, chars / max(n, 1), sum(c for i, c in pieces.items() if i in self.fallback) / max(n, 1), entropy, chars / max(tokens, 1), commonest
+        return n, chars / max(n, 1), int(count[self.fallback[found]].sum()) / max(n, 1), entropy, chars / max(tokens, 1), commonest
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -153,8 +196,9 @@ def measure(df: DataFrame, pieces_path: str, ranks_path: str, pattern: str, text
                 rows = []
                 for raw in batch.column(width).cast(pa.binary()).to_pylist():
                     words = raw.split()
-                    base = base_counts(raw, words)
-                    rows.append((*base, *vocabularies.measures(words, base[1])))
+                    numbered = vocabularies.numbered(words)
+                    base = base_counts(raw, words, repeated_numbers(numbered[1], len(numbered[0])))
+                    rows.append((*base, *vocabularies.measures(words, base[1], numbered)))
                 arrays = [batch.column(i) for i in range(width)]
                 arrays += [pa.array([r[k] for r in rows], type=out_schema.field(width + k).type) for k in range(len(kinds))]
                 yield pa.RecordBatch.from_arrays(arrays, names=out_schema.names)
