@@ -85,6 +85,14 @@ def test_no_frame_ends_with_its_partition(spark):
         assert "unboundedfollowing" not in made()._jdf.queryExecution().optimizedPlan().toString().lower()
 
 
+@pytest.mark.parametrize("name", ["exact_sample", "tone_change_overall", "change_correlation"])
+def test_texts_are_split_once(spark, name):
+    from tonemill import queries
+
+    found = queries.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert found.inputFiles() and not any("documents.parquet" in f for f in found.inputFiles())  # what was made of them is read
+
+
 def test_grouped_regressions_equal_the_driver_ones(spark):
     rng = np.random.default_rng(2)
     rows = []

@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = r"(?U)\s+"
+#: White space that is not one plain space: longer runs, and other signs.
+ODD_SPACE = r"(?U)\s{2,}|[\s&&[^ ]]"
 
 
 def let(value: Column, body) -> Column:
@@ -16,8 +18,8 @@ def let(value: Column, body) -> Column:
 
 
 def collapse(text: Column) -> Column:
-    """Runs of white space as one space, none at the ends."""
-    return F.btrim(F.regexp_replace(text, SPACE, " "))
+    """Runs of white space as one space, none at the ends. Single spaces, which are most, are passed over."""
+    return F.btrim(F.regexp_replace(text, ODD_SPACE, " "))
 
 
 def words(text: Column) -> Column:
@@ -39,8 +41,11 @@ def starts_with_any(text: Column, marks: list[str]) -> Column:
 
 
 def ends_with_any(text: Column, marks: list[str]) -> Column:
-    """Whether the text, white space at its end aside, ends with one of ``marks``."""
-    return text.rlike(r"(?U)(?:" + "|".join(re.escape(m) for m in marks) + r")\s*\z")
+    """Whether the text, white space at its end aside, ends with one of ``marks``. Only a text with white space at its end is searched."""
+    out = F.lit(False)
+    for m in marks:
+        out = out | text.endswith(m)
+    return out | F.right(text, F.lit(1)).rlike(SPACE) & text.rlike(r"(?U)(?:" + "|".join(re.escape(m) for m in marks) + r")\s*\z")
 
 
 def ordered_join(items: Column, sep: str) -> Column:
@@ -51,7 +56,9 @@ def ordered_join(items: Column, sep: str) -> Column:
 # Fixed values of the scoring splitter: abbreviations (as written), the mark that hides their periods, fewest words.
 SCORING_ABBREVIATIONS = ["U.S.", "a.m.", "p.m.", "Mr.", "Ms.", "Mrs.", "Dr.", "No.", "e.g.", "i.e.", "St.", "Inc.", "Co.", "Jr.", "vs.", "etc.", "approx."]
 SCORING_MARK = "⁣"
-SCORING_BREAK = r"""(?U)(?<=[.!?])["')\]]?\s+(?=["'(\[]?[A-Z0-9])"""
+SCORING_BREAK = r"""(?U)(?=[\s"')\]])(?<=[.!?])["')\]]?\s+(?=["'(\[]?[A-Z0-9])"""
+#: A period that ends an abbreviation: one search tells that a paragraph, as most, has none.
+SCORING_ABBREVIATED = r"\.(?<=" + "|".join(re.escape(a) for a in SCORING_ABBREVIATIONS) + ")"
 MIN_WORDS = 3
 
 
@@ -59,14 +66,18 @@ def scoring_sentences(text: Column, min_words: int = MIN_WORDS) -> Column:
     """Sentences as they are scored: paragraph by paragraph, in order; short fragments dropped; none for null."""
 
     def of_paragraph(p):
-        p = collapse(p)
+        return F.split(let(collapse(p), hidden), SCORING_BREAK)
+
+    def hidden(p):
+        out = p
         for a in SCORING_ABBREVIATIONS:
-            p = F.replace(p, F.lit(a), F.lit(a.replace(".", SCORING_MARK)))
-        return F.split(p, SCORING_BREAK)
+            out = F.replace(out, F.lit(a), F.lit(a.replace(".", SCORING_MARK)))
+        return F.when(p.rlike(SCORING_ABBREVIATED), out).otherwise(p)
 
     parts = F.flatten(F.transform(F.split(F.coalesce(text, F.lit("")), r"(?U)\n\s*\n"), of_paragraph))
     parts = F.transform(parts, lambda s: F.btrim(F.replace(s, F.lit(SCORING_MARK), F.lit("."))))
-    return F.filter(parts, lambda s: F.size(F.split(s, SPACE)) >= min_words)
+    # White space is single spaces here, so a text with fewer words has no such space to be cut at.
+    return F.filter(parts, lambda s: F.substring_index(s, " ", min_words - 1) != s) if min_words > 1 else parts
 
 
 # Fixed values of the cleaning splitter.

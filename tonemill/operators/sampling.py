@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources import files
+
 SEED, SIZE = 20261029, 150
 
 
 def exact_sample(df: DataFrame, n: int = SIZE, seed: int = SEED, id_col: str = "doc_id") -> DataFrame:
-    """Exactly ``n`` rows, the same for the same seed whatever the partitions; fails if there are fewer."""
-    key = F.xxhash64(F.lit(seed), F.col(id_col))
-    picked = df.orderBy(key, id_col).limit(n)
+    """Exactly ``n`` rows, the same for the same seed whatever the partitions; fails if there are fewer. They are drawn once, into the shared
+    folder: what is counted isn't drawn again."""
+    key, path = F.xxhash64(F.lit(seed), F.col(id_col)), files.new_folder(df.sparkSession, "sample")
+    df.orderBy(key, id_col).limit(n).write.parquet(path)
+    picked = df.sparkSession.read.schema(df.schema).parquet(path)
     if picked.count() < n:
         raise ValueError(f"fewer than {n} rows to sample from")
     return picked
