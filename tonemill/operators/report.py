@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import let
+
 
 def crosstab(df: DataFrame, index: Column, kind: Column, kinds: list[str], index_name: str = "year") -> DataFrame:
     """Counts by index (rows) and kind (columns, given so that the schema is stable), 0 where there is none."""
@@ -44,6 +46,17 @@ def rule_counts(log: Column, rules: tuple[str, ...]) -> list[Column]:
     return out
 
 
+def row_counts(log: Column, rules: tuple[str, ...]) -> Column:
+    """(n, chars) of each rule in a row's log, as one column: what ``summed_counts`` sums, computed once a row."""
+    chars = lambda own: F.aggregate(own, F.lit(0).cast("long"), lambda a, s: a + F.coalesce(F.char_length(s["text"]), F.lit(0)))
+    return F.array(*[let(_of_rule(log, rule), lambda own: F.struct(F.size(own).cast("long").alias("n"), chars(own).alias("chars"))) for rule in rules])
+
+
+def summed_counts(counts: str, rules: tuple[str, ...]) -> list[Column]:
+    """The aggregates of ``rule_counts`` over a column of ``row_counts``."""
+    return [F.sum(F.col(counts)[k][c]).alias(f"{c}_{k}") for k in range(len(rules)) for c in ("n", "chars")]
+
+
 def audit_of(counts: dict, rules: tuple[str, ...]) -> list[dict]:
     """(rule, n, chars) of the rules that took something, from what ``rule_counts`` counted."""
     return [{"rule": rule, "n": counts[f"n_{k}"], "chars": counts[f"chars_{k}"]} for k, rule in enumerate(rules) if counts.get(f"n_{k}")]
