@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lexicon import LABELS, Lexicon, sentence_label
 from ..functions.text import scoring_sentences
+from ..sources import files
 from .scan import scan
 
 Scorer = Callable[[Column], Column]
@@ -40,9 +41,13 @@ def score_documents(labelled: DataFrame, labels: tuple[str, str, str] = LABELS)
 
 def tone_change(scored: DataFrame, part_by: list[str] | None = None, id_col: str = "doc_id", date_col: str = "release_date", flag_col: str = "scheduled") -> DataFrame:
     """``scored`` with ``tone_change``: score less that of the previous scheduled document of its kind; null for others. Without a kind to part
-    by, the scheduled documents are scanned in ranges of their dates, so that no task holds all of them."""
+    by, the scheduled documents are scanned in ranges of their dates, so that no task holds all of them; the scores are written to the shared
+    folder first, because the scheduled ones and the others are read apart."""
     flag = F.coalesce(F.col(flag_col), F.lit(False))
     if not part_by:
+        path = files.new_folder(scored.sparkSession, "scored")
+        scored.write.parquet(path)
+        scored = scored.sparkSession.read.schema(scored.schema).parquet(path)
         before = scan(scored.where(flag), [date_col, id_col], {"\x00before": ("lag", "score")})
         changed = before.withColumn("tone_change", F.col("score") - F.col("\x00before")).drop("\x00before")
         return changed.unionByName(scored.where(~flag).withColumn("tone_change", F.lit(None).cast(changed.schema["tone_change"].dataType)))
