@@ -60,6 +60,30 @@ def test_latches_against_the_recurrence(spark):
             assert (s.quoted, s.voting) == (quoted, voting), row.r
 
 
+def test_short_ways_find_what_the_patterns_find(evaluate):
+    from tonemill.functions import text
+
+    # A text that each alternative finds, and near misses.
+    found = ["authorize", "Directive", "a directive", "Rules of x", "Rule Regarding", "advice of the election", "advices of the election", "were elected.", "reelected", "foreign currency", "Chair shall", "Chairman shall go", "a\nb:", "end:", "end: ", "", "Federal Reserve Bank of A;",
+             "Federal Reserve Bank of St. Louis;", "Governors;", "Governors", "accounts at foreign", "accounts at home", "he shall", *clean.ORGANISATIONAL_PARTS, "foreign central banks", "Permitted Foreign Securities", "disorderly market conditions"]
+    assert evaluate(clean.organisational, found) == evaluate(lambda c: c.rlike(clean.MINUTES_ORGANISATIONAL), found)
+    spaced = ["a.", "a. ", "a.\u00a0\n", "a .b", " ", "", "a”", "a” \u2003", "a.x ", "“"]
+    assert evaluate(lambda c: text.ends_with_any(c, [".", "”"]), spaced) == [t.rstrip().endswith((".", "”")) for t in spaced]
+    assert evaluate(text.collapse, ["a  b", " a\tb ", "a\u00a0b", "a b", "\u2003", "a \n b  c d"]) == ["a b", "a b", "a b", "a b", "", "a b c d"]
+    for n in (1, 2, 8):
+        texts = [" " * k + sep.join("w" * k) for k in range(10) for sep in (" ", "\u00a0\n", "\t")]
+        assert evaluate(lambda c, n=n: clean._has_words(c, n), [None, *texts]) == [False, *[len(t.split()) >= n for t in texts]]
+
+
+def test_counts_of_rows_sum_to_the_rules(spark):
+    from tonemill.operators import report
+
+    df = spark.createDataFrame([([("a", "xx"), ("b", None), ("a", "y")],), ([],), ([("b", "zzz")],)], "log array<struct<rule:string,text:string>>")
+    made = df.withColumn("counts", report.row_counts(F.col("log"), ("a", "b", "c"))).agg(*report.summed_counts("counts", ("a", "b", "c"))).first().asDict()
+    assert made == df.agg(*report.rule_counts(F.col("log"), ("a", "b", "c"))).first().asDict()
+    assert report.audit_of(made, ("a", "b", "c")) == [{"rule": "a", "n": 2, "chars": 3}, {"rule": "b", "n": 2, "chars": 3}]
+
+
 def test_paragraphs():
     old = "<html><body><p>First line\nwraps here <p>Second<br>third<script>x()</script><!-- no --><span>&amp; more</span></body></html>"
     assert html_to_paragraphs(old) == ["First line wraps here", "Second", "third& more"]

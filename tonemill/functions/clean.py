@@ -48,6 +48,12 @@ MINUTES_ORGANISATIONAL = (
     r"|instruments in question|Federal agency issues|foreign central banks|United States Treasury"
     r"|such operation|disorderly market conditions|accounts at foreign|:$)"
 )
+#: What each match of MINUTES_ORGANISATIONAL holds, where that is longer than a letter: texts that are searched as bytes, which most paragraphs end.
+ORGANISATIONAL_PARTS = (
+    "authoriz", "irective", "Procedural Instructions", "Program for Security", "Rule", "advice", "elected", "officers of the Committee", "Manager shall", "pursuant to", "swap", "foreign ", "reaffirm", "amend", "ratif",
+    "attended", "Division of", "Governors;", "notation vote", "Federal Reserve Bank of ", "paragraph", "Selected Bank", "Permitted Foreign", "Eligible Securities", "System balances", "Subcommittee", "shall",
+    "service fee", "continuing rules", "instruments in question", "Federal agency issues", "United States Treasury", "such operation", "disorderly market", "accounts at ",
+)
 ENUMERATED = r"(?U)^\(?([a-z]|[ivx]+|[A-Z]|\d{1,2})[.)]\s"
 LONGER_RUN_GOALS = (
     r"^(The Federal Open Market Committee \(FOMC\) is firmly committed"
@@ -96,6 +102,23 @@ def strip_sentences(p: Column, pattern: str) -> Column:
     return let(collapse(p), lambda t: F.when(t.rlike(pattern), cut).otherwise(whole(t)))
 
 
+def organisational(p: Column) -> Column:
+    """Whether MINUTES_ORGANISATIONAL is found; a paragraph without any of its parts isn't searched for the whole pattern."""
+    some = F.lit(False)
+    for part in ORGANISATIONAL_PARTS:
+        some = some | p.contains(part)
+    return p.rlike(r":$") | some & p.rlike(MINUTES_ORGANISATIONAL)
+
+
+def _has_words(p: Column, n: int) -> Column:
+    """Whether there are ``n`` words or more; reads no further than the last of them."""
+    return F.coalesce(p, F.lit("")).rlike(rf"(?U)^\s*+(?:\S++\s++){{{n - 1}}}\S")
+
+
+def _is_media(p: Column) -> Column:
+    return (p.contains("edia ") | p.contains("202-452-")) & p.rlike(MEDIA)
+
+
 def first_index(paragraphs: Column, cond) -> Column:
     """0-based index of the first paragraph that meets ``cond``; null without one."""
     return F.nullif(F.array_position(F.transform(paragraphs, cond), True).cast("int"), F.lit(0)) - 1
@@ -139,14 +162,13 @@ def latches(paragraphs: Column) -> Column:
     """For each paragraph (quoted, voting): whether it is within a quoted block, or a voting line or its list of names."""
 
     def step(acc, p):
-        quoted = acc["q"] | starts_with_any(p, OPEN_QUOTES)
-        vote = ~quoted & p.rlike(VOTING)
-        names = ~quoted & ~vote & acc["v"] & is_name_list(p)
-        return F.struct(
-            (quoted & ~ends_with_any(p, CLOSE_QUOTES)).alias("q"),
-            F.when(quoted, acc["v"]).otherwise(vote | names).alias("v"),
-            F.array_append(acc["out"], F.struct(quoted.alias("quoted"), (vote | names).alias("voting"))).alias("out"),
-        )
+        def state(now):
+            quoted, voting = now["quoted"], now["voting"]
+            return F.struct((quoted & ~ends_with_any(p, CLOSE_QUOTES)).alias("q"), F.when(quoted, acc["v"]).otherwise(voting).alias("v"), F.array_append(acc["out"], now).alias("out"))
+
+        # Each sign is looked for once.
+        judged = lambda quoted: F.struct(quoted.alias("quoted"), (~quoted & (p.rlike(VOTING) | acc["v"] & is_name_list(p))).alias("voting"))
+        return let(let(acc["q"] | starts_with_any(p, OPEN_QUOTES), judged), state)
 
     zero = F.struct(F.lit(False).alias("q"), F.lit(False).alias("v"), F.array().cast("array<struct<quoted:boolean,voting:boolean>>").alias("out"))
     return F.aggregate(paragraphs, zero, step, lambda acc: acc["out"])
@@ -165,13 +187,12 @@ def clean_minutes(paragraphs: Column) -> Column:
 
             def judge(p, i, state):
                 early = i < start
-                n = word_count(p)
                 return (
                     F.when(state["quoted"], "quoted_statement_or_directive").when(state["voting"], "voting")
                     .when(early & ((capitalised_share(p) > CAPITALISED_MOST) | ends_with_any(p, [";", ","])), "header_attendance")
-                    .when(early & (p.rlike(MINUTES_ORGANISATIONAL) | p.rlike(ENUMERATED) | p.rlike(r"^\p{Ll}")), "header_organisational")
+                    .when(early & (organisational(p) | p.rlike(ENUMERATED) | p.rlike(r"^\p{Ll}")), "header_organisational")
                     .when(p.rlike(LONGER_RUN_GOALS), "longer_run_goals_statement").when(p.rlike(NAVIGATION), "navigation").when(p.rlike(MINUTES_PROCEDURAL), "procedural")
-                    .when(p.rlike(MEDIA), "media_contact").when(n < MINUTES_FEWEST, "fragment").when((n < HEADING_FEWEST) & ~ends_with_any(p, SENTENCE_ENDS), "heading")
+                    .when(_is_media(p), "media_contact").when(~_has_words(p, MINUTES_FEWEST), "fragment").when(~_has_words(p, HEADING_FEWEST) & ~ends_with_any(p, SENTENCE_ENDS), "heading")
                 )
 
             def gather(states):
